@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.testdata import Star
 from . import reports as R
+from .catalog_queries import CATALOG_QUERIES, CATALOG_SQL
 from .cdc_queries import CDC_QUERIES, CDC_SQL
 from .oracle_reports import REPORT_SQL
 
@@ -31,10 +32,12 @@ def _report(fn) -> QueryFn:
 def queries() -> dict[str, QueryFn]:
     q: dict[str, QueryFn] = {name: _report(fn) for name, fn in R.REPORTS.items()}
     q.update(CDC_QUERIES)
+    q.update(CATALOG_QUERIES)
     return q
 
 
 def oracle_sql() -> dict[str, str]:
     sql = dict(REPORT_SQL)
     sql.update(CDC_SQL)
+    sql.update(CATALOG_SQL)
     return sql
