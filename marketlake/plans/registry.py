@@ -16,6 +16,7 @@ from . import reports as R
 from .catalog_queries import CATALOG_QUERIES, CATALOG_SQL
 from .cdc_queries import CDC_QUERIES, CDC_SQL
 from .oracle_reports import REPORT_SQL
+from .order_queries import ORDER_QUERIES, ORDER_SQL
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +34,7 @@ def queries() -> dict[str, QueryFn]:
     q: dict[str, QueryFn] = {name: _report(fn) for name, fn in R.REPORTS.items()}
     q.update(CDC_QUERIES)
     q.update(CATALOG_QUERIES)
+    q.update(ORDER_QUERIES)
     return q
 
 
@@ -40,4 +42,5 @@ def oracle_sql() -> dict[str, str]:
     sql = dict(REPORT_SQL)
     sql.update(CDC_SQL)
     sql.update(CATALOG_SQL)
+    sql.update(ORDER_SQL)
     return sql
