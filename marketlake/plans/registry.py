@@ -17,6 +17,7 @@ from .catalog_queries import CATALOG_QUERIES, CATALOG_SQL
 from .cdc_queries import CDC_QUERIES, CDC_SQL
 from .oracle_reports import REPORT_SQL
 from .order_queries import ORDER_QUERIES, ORDER_SQL
+from .search_queries import SEARCH_QUERIES, SEARCH_SQL
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +36,7 @@ def queries() -> dict[str, QueryFn]:
     q.update(CDC_QUERIES)
     q.update(CATALOG_QUERIES)
     q.update(ORDER_QUERIES)
+    q.update(SEARCH_QUERIES)
     return q
 
 
@@ -43,4 +45,5 @@ def oracle_sql() -> dict[str, str]:
     sql.update(CDC_SQL)
     sql.update(CATALOG_SQL)
     sql.update(ORDER_SQL)
+    sql.update(SEARCH_SQL)
     return sql
