@@ -17,6 +17,7 @@ from .catalog_queries import CATALOG_QUERIES, CATALOG_SQL
 from .cdc_queries import CDC_QUERIES, CDC_SQL
 from .oracle_reports import REPORT_SQL
 from .order_queries import ORDER_QUERIES, ORDER_SQL
+from .quality_queries import QUALITY_QUERIES, QUALITY_SQL
 from .search_queries import SEARCH_QUERIES, SEARCH_SQL
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,7 @@ def queries() -> dict[str, QueryFn]:
     q.update(CATALOG_QUERIES)
     q.update(ORDER_QUERIES)
     q.update(SEARCH_QUERIES)
+    q.update(QUALITY_QUERIES)
     return q
 
 
@@ -46,4 +48,5 @@ def oracle_sql() -> dict[str, str]:
     sql.update(CATALOG_SQL)
     sql.update(ORDER_SQL)
     sql.update(SEARCH_SQL)
+    sql.update(QUALITY_SQL)
     return sql
