@@ -82,20 +82,29 @@ def validate_orders(lines: DataFrame, variants: DataFrame, products: DataFrame,
     Checks, first failing wins: lookup (J8), quantity in 1..100, stock.
     ``cumulative=True`` compares the running demand on the variant with its
     stock (W4); ``False`` reproduces the per-line check (defect B13).
+    In cumulative mode an order failing lookup/quantity adds no demand; an
+    order rejected for stock still counts toward later orders' demand (the
+    set-based form cannot release it without replaying orders one by one).
     """
     j = lookup_lines(lines, variants, products, sellers)
+    static = (
+        F.when(F.col("lookup_error").isNotNull(), F.col("lookup_error"))
+        .when(~F.col("quantity").between(MIN_QTY, MAX_QTY), F.lit("quantity out of range"))
+    )
+    j = j.withColumn("_static", static)
     if cumulative:
+        # orders already failing a static check never reach the stock step,
+        # so their lines add no demand for later orders
+        ok = j.groupBy("request_id").agg((F.count_if(F.col("_static").isNotNull()) == 0).alias("_static_ok"))
+        j = j.join(ok, "request_id", "inner").withColumn(
+            "_eff_qty", F.when(F.col("_static_ok"), F.col("quantity")).otherwise(F.lit(0)))
         bkt = bucket if bucket is not None else F.to_date(F.col(order_cols[0]))
-        j = running_demand(j, "variant_id", list(order_cols), "quantity", bkt)
+        j = running_demand(j, "variant_id", list(order_cols), "_eff_qty", bkt).drop("_static_ok", "_eff_qty")
         short = F.col("demand") > F.col("stock")
     else:
         short = F.col("stock") < F.col("quantity")
-    err = (
-        F.when(F.col("lookup_error").isNotNull(), F.col("lookup_error"))
-        .when(~F.col("quantity").between(MIN_QTY, MAX_QTY), F.lit("quantity out of range"))
-        .when(short, F.lit("insufficient stock"))
-    )
-    j = j.withColumn("line_error", err)
+    err = F.when(F.col("_static").isNotNull(), F.col("_static")).when(short, F.lit("insufficient stock"))
+    j = j.withColumn("line_error", err).drop("_static")
     # first failing line of each order, by line order (min_by = partial aggregate)
     per_order = j.groupBy("request_id").agg(
         F.min_by(F.col("line_error"), F.when(F.col("line_error").isNotNull(), F.struct(*order_cols[1:])))

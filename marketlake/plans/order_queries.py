@@ -106,14 +106,19 @@ _BASE = """
   j AS (SELECT lines.*, v.price, v.stock, pr.product_id, pr.seller_id, s.s_suppkey
         FROM lines LEFT JOIN v USING (variant_id) LEFT JOIN pr ON pr.product_id = v.product_id
         LEFT JOIN supplier s ON s.s_suppkey = pr.seller_id),
-  d AS (SELECT *, sum(quantity) OVER (PARTITION BY variant_id
+  e0 AS (SELECT *, CASE WHEN price IS NULL AND stock IS NULL THEN 'variant not found'
+                        WHEN product_id IS NULL THEN 'product not found'
+                        WHEN s_suppkey IS NULL THEN 'seller not found'
+                        WHEN quantity NOT BETWEEN 1 AND 100 THEN 'quantity out of range' END AS static_error
+         FROM j),
+  so AS (SELECT request_id, count(*) FILTER (WHERE static_error IS NOT NULL) = 0 AS static_ok FROM e0
+         GROUP BY request_id),
+  d AS (SELECT e0.*, sum(CASE WHEN so.static_ok THEN quantity ELSE 0 END) OVER (PARTITION BY variant_id
                     ORDER BY order_ts, request_id, line_no, variant_id, line_key
-                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS demand FROM j),
-  e AS (SELECT *, CASE WHEN price IS NULL AND stock IS NULL THEN 'variant not found'
-                       WHEN product_id IS NULL THEN 'product not found'
-                       WHEN s_suppkey IS NULL THEN 'seller not found'
-                       WHEN quantity NOT BETWEEN 1 AND 100 THEN 'quantity out of range'
-                       WHEN demand > stock THEN 'insufficient stock' END AS line_error FROM d),
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS demand
+        FROM e0 JOIN so USING (request_id)),
+  e AS (SELECT *, coalesce(static_error, CASE WHEN demand > stock THEN 'insufficient stock' END) AS line_error
+        FROM d),
   ord AS (SELECT request_id, count(*) FILTER (WHERE line_error IS NOT NULL) = 0 AS accepted FROM e
           GROUP BY request_id),
   acc AS (SELECT e.* FROM e JOIN ord USING (request_id) WHERE ord.accepted),
