@@ -28,6 +28,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..partitioning import spread
+
 # BM25 parameters of the engine's default similarity.
 K1, B = 1.2, 0.75
 # Field boosts of the source query.
@@ -44,10 +46,16 @@ def tokenize(c) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), TOKEN_SPLIT), lambda t: t != "")
 
 
-def postings(docs: DataFrame, id_col: str, field: str) -> DataFrame:
-    """(id, term, tf, dl) for one text field."""
+def postings(docs: DataFrame, id_col: str, field: str, terms: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, dl) for one text field.
+
+    With ``terms`` (one ``term`` column) only those terms are kept, and they
+    are filtered right after the explode - before the (doc, term) shuffle.
+    """
     toks = docs.select(F.col(id_col).alias("doc_id"), tokenize(field).alias("toks"))
     toks = toks.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    if terms is not None:
+        toks = toks.join(terms, "term", "left_semi")
     return toks.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -61,31 +69,45 @@ def _idf(n: Column, df: Column) -> Column:
     return F.ln(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
 
 
+def index_stats(docs: DataFrame, text_fields: Sequence[str]) -> dict:
+    """N and average field length of each text field, in one aggregate job.
+
+    Returns a handful of numbers to the driver (like an index's statistics),
+    so the scoring plan carries them as literals instead of re-running
+    scalar subqueries over the documents.
+    """
+    aggs = [F.count(F.lit(1)).alias("n")] + [
+        F.sum(F.size(tokenize(f))).alias(f"len_{i}") for i, f in enumerate(text_fields)]
+    row = docs.select(*aggs).first()
+    n = row["n"] or 0
+    return {"n": n, "avgdl": {f: ((row[f"len_{i}"] or 0) / n if n else 0.0) for i, f in enumerate(text_fields)}}
+
+
 def bm25_text_field(docs: DataFrame, id_col: str, field: str, qterms: DataFrame,
-                    k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, doc_id, score) for one tokenized field."""
-    dl = docs.select(F.col(id_col).alias("doc_id"), F.size(tokenize(field)).alias("dl"))
-    n_docs = dl.select(F.count(F.lit(1))).scalar()
-    avgdl = dl.select(F.avg("dl")).scalar()
-    post = postings(docs, id_col, field)
+                    n_docs: int, avgdl: float, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, doc_id, score) for one tokenized field.
+
+    Postings are built only for documents' terms that occur in some query
+    (semi-join on the query terms before the per-term aggregation).
+    """
     wanted = qterms.select("term").distinct()
-    post_q = post.join(wanted, "term", "left_semi")
+    post_q = postings(docs, id_col, field, wanted)
     df = post_q.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     m = qterms.join(df, "term", "inner").join(post_q, "term", "inner")
-    norm = F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / avgdl)
-    part = F.col("qtf") * _idf(n_docs, F.col("df")) * F.col("tf") * F.lit(k1 + 1) / norm
+    norm = F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl))
+    part = F.col("qtf") * _idf(F.lit(n_docs), F.col("df")) * F.col("tf") * F.lit(k1 + 1) / norm
     return m.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
-def keyword_field(docs: DataFrame, id_col: str, field: str, queries: DataFrame,
+def keyword_field(docs: DataFrame, id_col: str, field: str, queries: DataFrame, n_docs: int,
                   qid: str = "query_id", text: str = "query") -> DataFrame:
     """Exact whole-value match on a keyword field, scored by idf."""
     vals = docs.select(F.col(id_col).alias("doc_id"), F.col(field).alias("value"))
-    n_docs = vals.select(F.count(F.lit(1))).scalar()
-    df = vals.groupBy("value").agg(F.count(F.lit(1)).alias("df"))
     q = queries.select(F.col(qid).alias("query_id"), F.col(text).alias("value"))
+    qv = q.select("value").distinct()
+    df = vals.join(qv, "value", "left_semi").groupBy("value").agg(F.count(F.lit(1)).alias("df"))
     m = q.join(df, "value", "inner").join(vals, "value", "inner")
-    return m.select("query_id", "doc_id", _idf(n_docs, F.col("df")).alias("score"))
+    return m.select("query_id", "doc_id", _idf(F.lit(n_docs), F.col("df")).alias("score"))
 
 
 def best_fields(field_scores: dict[str, DataFrame], boosts: dict[str, float] = FIELD_BOOSTS) -> DataFrame:
@@ -107,13 +129,15 @@ def search(docs: DataFrame, queries: DataFrame, id_col: str = "id",
     queries: ``query_id``, ``query`` (texts shorter than 2 chars are rejected).
     Filters (P13): a falsy ``category``/``min_rating`` means no filter.
     """
+    docs = spread(docs)
     q = queries.filter(F.length(F.trim("query")) >= MIN_QUERY_LEN)
     qt = query_terms(q)
     # statistics (N, avgdl, df) come from the whole index; filters only
     # restrict which documents may be returned, as in a filtered bool query
-    scores = {f: bm25_text_field(docs, id_col, f, qt) for f in text_fields}
+    st = index_stats(docs, text_fields)
+    scores = {f: bm25_text_field(docs, id_col, f, qt, st["n"], st["avgdl"][f]) for f in text_fields}
     for f in keyword_fields:
-        scores[f] = keyword_field(docs, id_col, f, q)
+        scores[f] = keyword_field(docs, id_col, f, q, st["n"])
     best = best_fields(scores, boosts).withColumn("score", F.round("score", SCORE_DECIMALS))
     keep = docs
     if category:

@@ -1,0 +1,22 @@
+"""Partitioning helpers.
+
+``spread`` - before CPU-heavy per-row work (JSON encoding/parsing, text
+tokenizing), make sure the rows are spread over at least the session's
+default parallelism. A scan yields one task per file split / row group, so a
+few large files (one row group each) would otherwise run the whole stage on
+a handful of cores. On a cluster reading many files the scan already has
+more splits than cores and this is a no-op (no extra shuffle).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    try:
+        n = df.rdd.getNumPartitions()
+    except Exception:  # e.g. streaming frames: leave as is
+        return df
+    return df.repartition(target) if n < target else df

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import TOPIC_PREFIX
+from ..partitioning import spread
 
 # Event type -> change operation on the users topic.
 EVENT_OPS = {"signup": "c", "purchase": "u", "view": "u", "click": "u", "error": "d"}
@@ -63,7 +64,7 @@ def snapshot_messages(star, table: str) -> DataFrame:
                         created_at=iso_text(F.col("order_date")))
         return o.select(*_message(table, F.col("order_id"), r, after, None, F.col("order_id")))
     if table == "order_items":
-        li = star.raw("lineitem")
+        li = spread(star.raw("lineitem"))
         # Source rows have no single id; the line key hashed gives a stable offset.
         key = F.xxhash64("l_orderkey", "l_partkey", "l_suppkey")
         after = _as_map(order_id=F.col("l_orderkey"), product_id=F.col("l_partkey"),
@@ -95,6 +96,7 @@ def snapshot_messages(star, table: str) -> DataFrame:
 
 def event_messages(events: DataFrame) -> DataFrame:
     """``events`` as a change stream of ``users`` (offset = event id)."""
+    events = spread(events)
     op = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in EVENT_OPS.items()],
                     F.lit("u"))
     ts = iso_text(F.col("ts"))
