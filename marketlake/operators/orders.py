@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
+from ..session import durable_cut
 from ..functions import text as TX
 
 # Request bounds and vocabularies of the order API.
@@ -76,7 +77,8 @@ def running_demand(lines: DataFrame, key: str, order: Sequence[str], qty: str, b
 
 def validate_orders(lines: DataFrame, variants: DataFrame, products: DataFrame, sellers: DataFrame,
                     order_cols: Sequence[str] = ("order_ts", "request_id", "line_no"),
-                    cumulative: bool = True, bucket: Column | None = None) -> DataFrame:
+                    cumulative: bool = True, bucket: Column | None = None,
+                    materialize: bool = True) -> DataFrame:
     """Per line ``line_error`` and per order ``accepted`` / ``order_error``.
 
     Checks, first failing wins: lookup (J8), quantity in 1..100, stock.
@@ -85,6 +87,11 @@ def validate_orders(lines: DataFrame, variants: DataFrame, products: DataFrame,
     In cumulative mode an order failing lookup/quantity adds no demand; an
     order rejected for stock still counts toward later orders' demand (the
     set-based form cannot release it without replaying orders one by one).
+
+    The looked-up lines feed four branches (order flags, bucket totals,
+    running sums, first error); with ``materialize`` they are written once
+    to the session's checkpoint folder (a reliable checkpoint that survives
+    executor loss) instead of re-running the lookup joins per branch.
     """
     j = lookup_lines(lines, variants, products, sellers)
     static = (
@@ -92,6 +99,8 @@ def validate_orders(lines: DataFrame, variants: DataFrame, products: DataFrame,
         .when(~F.col("quantity").between(MIN_QTY, MAX_QTY), F.lit("quantity out of range"))
     )
     j = j.withColumn("_static", static)
+    if materialize:
+        j = durable_cut(j)
     if cumulative:
         # orders already failing a static check never reach the stock step,
         # so their lines add no demand for later orders
