@@ -80,6 +80,24 @@ def to_table(decoded: DataFrame, table: str, etl_ts: Column | None = None) -> Da
     )
 
 
+def to_tombstones(decoded: DataFrame, table: str, etl_ts: Column | None = None) -> DataFrame:
+    """B6 option: delete messages of ``table`` as tombstone rows.
+
+    The key columns come from the ``before`` image; every other column is
+    null and ``_deleted`` is true, so the latest-version view drops the key.
+    """
+    mapping = REG.TABLE_MAPPINGS[table]
+    cols, _ = REG.project(F.col("before"), table)
+    keep = [c for c, f in zip(cols, mapping.fields) if f.target in mapping.key]
+    etl = etl_ts if etl_ts is not None else F.current_timestamp()
+    d = decoded.filter((F.col("status") == "delete") & (F.col("table_name") == table) & F.col("before").isNotNull())
+    return d.select(
+        *keep, etl.alias("etl_updated_at"), F.col("topic").alias("_topic"),
+        F.col("partition").alias("_partition"), F.col("offset").alias("_offset"),
+        F.lit(True).alias("_deleted"),
+    )
+
+
 def split_rejects(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows without the reason column, rejected rows)."""
     good = rows.filter(F.col("reject_reason").isNull()).drop("reject_reason")

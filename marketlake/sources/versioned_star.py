@@ -26,13 +26,16 @@ class VersionedStar:
         self.compat = compat_keys
 
     def log(self, table: str) -> DataFrame:
-        ddl = schemas.ANALYTICS_TABLES[table] + ", _topic string, _partition int, _offset bigint, batch_id bigint"
+        ddl = (schemas.ANALYTICS_TABLES[table]
+               + ", _topic string, _partition int, _offset bigint, _deleted boolean, batch_id bigint")
         return read_table(self.spark, f"{self.dir}/{table}", ddl).withColumnRenamed("batch_id", "_batch")
 
     def latest(self, table: str) -> DataFrame:
         keys = REG.COMPAT_KEYS.get(table) if self.compat and table in REG.COMPAT_KEYS else None
         keys = list(keys or REG.TABLE_MAPPINGS[table].key)
-        return latest_version(self.log(table), keys, VERSION_ORDER)
+        latest = latest_version(self.log(table), keys, VERSION_ORDER)
+        # a key whose newest version is a tombstone is gone (B6 apply_deletes)
+        return latest.filter(~F.coalesce(F.col("_deleted"), F.lit(False)))
 
     def orders(self) -> DataFrame:
         return self.latest("orders").select("order_id", "order_date", "user_id", "status")

@@ -44,13 +44,15 @@ class CdcJob:
     """The per-micro-batch work of the CDC stream (usable in batch too)."""
 
     def __init__(self, out_dir: str, tables=None, etl_ts: Column | None = None,
-                 reports: dict[str, Callable] | None = None, as_of=None, rollups: bool = False):
+                 reports: dict[str, Callable] | None = None, as_of=None, rollups: bool = False,
+                 apply_deletes: bool = False):
         self.out = out_dir.rstrip("/")
         self.tables = list(tables or REG.TABLE_MAPPINGS.keys())
         self.etl_ts = etl_ts
         self.reports = reports or {}
         self.as_of = as_of
         self.rollups = rollups
+        self.apply_deletes = apply_deletes
 
     # paths
     def table_path(self, t: str) -> str:
@@ -80,6 +82,9 @@ class CdcJob:
                 tzinfo=None).isoformat(sep=" ")).cast("timestamp")
             for t in self.tables:
                 good, bad = CDC.split_rejects(CDC.to_table(decoded, t, etl))
+                good = good.withColumn("_deleted", F.lit(False))
+                if self.apply_deletes:  # B6: tombstones instead of ignoring deletes
+                    good = good.unionByName(CDC.to_tombstones(decoded, t, etl), allowMissingColumns=True)
                 write_batch(good, self.table_path(t), batch_id)
                 write_batch(bad, f"{self.out}/quarantine/{t}", batch_id)
             write_batch(CDC.dead_letters(decoded), f"{self.out}/quarantine/_messages", batch_id)

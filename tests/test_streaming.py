@@ -78,3 +78,18 @@ def test_live_reports_and_rollups(spark, scratch):
     assert [(r.main_category, r.total_orders, r.total_revenue) for r in rep] == [("HW", 1, 10.0)]
     roll = spark.read.parquet(f"{out}/rollups/mv_top_categories_month").collect()
     assert len(roll) == 1 and roll[0].total_revenue == 10.0
+
+
+def test_deletes_ignored_by_default_applied_on_request(spark, scratch):
+    o = "postgres.public.orders"
+    rows = [
+        (o, 0, 0, _env("c", {"id": 1, "user_id": 7, "status": "created", "created_at": "2024-01-15T10:30:00Z"})),
+        (o, 0, 1, _env("c", {"id": 2, "user_id": 8, "status": "created", "created_at": "2024-01-15T10:30:00Z"})),
+        (o, 0, 2, json.dumps({"op": "d", "before": {"id": 1}, "after": None})),
+    ]
+    df = spark.createDataFrame(rows, "topic string, partition int, offset long, value string")
+    keep, drop = f"{scratch}/keep", f"{scratch}/drop"
+    P.CdcJob(keep, tables=["orders"]).process(df, 0)
+    P.CdcJob(drop, tables=["orders"], apply_deletes=True).process(df, 0)
+    assert sorted(r.order_id for r in VersionedStar(spark, f"{keep}/tables").orders().collect()) == [1, 2]
+    assert sorted(r.order_id for r in VersionedStar(spark, f"{drop}/tables").orders().collect()) == [2]
