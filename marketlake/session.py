@@ -85,5 +85,11 @@ def durable_cut(df, spark: SparkSession | None = None):
     the executors that computed them).
     """
     spark = spark or df.sparkSession
-    ensure_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    try:
+        ensure_checkpoint_dir(spark)
+        return df.checkpoint(eager=True)
+    except Exception as e:  # e.g. a client session without RDD checkpoints
+        import warnings
+
+        warnings.warn(f"checkpoint unavailable ({type(e).__name__}); keeping the lineage")
+        return df
