@@ -152,6 +152,20 @@ def connect_decimal(c, scale: int, precision: int = 38) -> Column:
     )
 
 
+# Fixed value: text shape of a base64 value (length a multiple of 4).
+BASE64_TEXT = r"^[A-Za-z0-9+/]+={0,2}$"
+
+
+def money_from_connector(c, scale: int = 2, precision: int = 10) -> Column:
+    """Numeric columns arrive base64-encoded under the connector's
+    default decimal mode; decode those (N23) and fall back to N1 for plain
+    numeric text (e.g. a connector configured with string decimals).
+    """
+    c = _c(c).cast("string")
+    is_b64 = c.rlike(BASE64_TEXT) & (F.length(c) % 4 == 0) & ~c.rlike(r"^[0-9]+$")
+    return F.when(is_b64, connect_decimal(c, scale, precision)).otherwise(clean_money_digits(c, precision, scale))
+
+
 # N24 ------------------------------------------------------------------------
 def transaction_id(*cols) -> Column:
     """``txn_`` + 32 hex chars, deterministic over the given key columns."""

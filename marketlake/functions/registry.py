@@ -117,6 +117,22 @@ def register_transform(table: str, source: str, transform: Transform,
     _CUSTOM[(table, source)] = FieldSpec(spec.source, spec.target, dtype or spec.dtype, transform, reject)
 
 
+# Source NUMERIC columns among the mapped fields, with their scale.
+NUMERIC_SOURCE_FIELDS = {("payments", "amount"): 2}
+
+
+def use_connector_decimals() -> None:
+    """Decode base64 NUMERIC values (N23) in the mapped numeric fields,
+    keeping N1 for plain text."""
+    for (table, source), scale in NUMERIC_SOURCE_FIELDS.items():
+        register_transform(table, source, lambda c, s=scale: C.money_from_connector(c, s),
+                           lambda c, s=scale: c.isNotNull() & (c != "") & C.money_from_connector(c, s).isNull())
+
+
+def reset_transforms() -> None:
+    _CUSTOM.clear()
+
+
 def _spec(table: str, f: FieldSpec) -> FieldSpec:
     return _CUSTOM.get((table, f.source), f)
 

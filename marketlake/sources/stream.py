@@ -65,3 +65,12 @@ def topic_filter(messages: DataFrame, tables=None) -> DataFrame:
 def new_topics(expected: DataFrame, existing: DataFrame, subscribed: DataFrame) -> DataFrame:
     """Expected intersect existing, minus already subscribed (one ``topic`` column)."""
     return expected.select("topic").intersect(existing.select("topic")).subtract(subscribed.select("topic"))
+
+
+def dedup_within_watermark(messages: DataFrame, event_time: str = "timestamp", delay: str = "1 hour") -> DataFrame:
+    """R2 (streaming state): drop re-delivered (topic, partition, offset) keys
+    seen within ``delay`` of event time; state stays bounded by the watermark.
+    Kafka frames carry ``timestamp``; file frames need an event-time column.
+    """
+    return messages.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(
+        ["topic", "partition", "offset"])

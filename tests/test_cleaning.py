@@ -117,3 +117,22 @@ def test_time_filters_edges(spark):
     cal = D.calendar_month_filter(df, "d", dt.datetime(2001, 8, 20)).collect()
     assert len(cal) == 2
     assert D.add_months(dt.datetime(2001, 3, 31), -1) == dt.datetime(2001, 2, 28)
+
+
+def test_connector_decimals_in_registry(spark):
+    from marketlake.functions import registry as REG
+    from marketlake.operators import cdc as CDC
+    import json
+
+    rows = [("postgres.public.payments", 0, i, json.dumps({"op": "c", "after": {"id": i, "order_id": 1, "amount": a}}))
+            for i, a in enumerate(["AYaf", "12.50", "N/A"])]
+    df = spark.createDataFrame(rows, "topic string, partition int, offset long, value string")
+    REG.use_connector_decimals()
+    try:
+        out = {r.payment_id: (r.amount, r.reject_reason)
+               for r in CDC.to_table(CDC.decode(df), "payments", F.current_timestamp()).collect()}
+    finally:
+        REG.reset_transforms()
+    assert out[0] == (Decimal("999.99"), None)
+    assert out[1] == (Decimal("12.50"), None)
+    assert out[2][0] is None and out[2][1] == "bad amount"

@@ -51,3 +51,19 @@ def test_age_bucket_edges(spark):
 def test_reports_push_date_filter_to_scan(star):
     plan = R.top_categories(star, R.DEFAULT_AS_OF)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderdate" in plan
+
+
+def test_more_golden_values(star):
+    a = R.DEFAULT_AS_OF
+    cats = {(str(r.month), r.main_category): r for r in R.mv_top_categories_month(star, a).collect()}
+    assert len(cats) == 11
+    e = cats[("2001-07-01", "ECONOMY")]
+    assert (e.total_orders, e.unique_customers) == (127, 94) and e.total_revenue == pytest.approx(3158955.0)
+    perf = {(r.product_name, r.main_category): r for r in R.product_performance(star, a).collect()}
+    assert perf[("blue bolt", "MEDIUM")].total_orders == 9
+    assert perf[("blue bolt", "MEDIUM")].total_revenue == pytest.approx(309680.5)
+    dac = {str(r.time): r.total_customers for r in R.panel_daily_active_customers(star, as_of=a).collect()}
+    assert dac["2001-07-01"] == 10 and dac["2001-07-02"] == 7
+    import datetime as dt
+    nu = R.panel_daily_new_users(star, frm=dt.datetime(1990, 1, 1), to=a).collect()
+    assert len(nu) == 562 and {str(r.time): r.new_users for r in nu}["1995-01-01"] == 2

@@ -93,3 +93,18 @@ def test_deletes_ignored_by_default_applied_on_request(spark, scratch):
     P.CdcJob(drop, tables=["orders"], apply_deletes=True).process(df, 0)
     assert sorted(r.order_id for r in VersionedStar(spark, f"{keep}/tables").orders().collect()) == [1, 2]
     assert sorted(r.order_id for r in VersionedStar(spark, f"{drop}/tables").orders().collect()) == [2]
+
+
+def test_dedup_within_watermark(spark, scratch):
+    src = f"{scratch}/in"
+    os.makedirs(src)
+    with open(f"{src}/a.json", "w") as f:
+        for off in (0, 1, 1, 2):
+            f.write(json.dumps({"topic": "t", "partition": 0, "offset": off, "value": "{}",
+                                "timestamp": "2024-01-01T00:00:0%d" % off}) + "\n")
+    msgs = spark.readStream.schema("topic string, partition int, offset long, value string, timestamp timestamp") \
+        .json(src)
+    q = ST.dedup_within_watermark(msgs, "timestamp", "1 hour").writeStream.format("memory") \
+        .queryName("dedup_test").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r.offset for r in spark.sql("SELECT offset FROM dedup_test").collect()) == [0, 1, 2]
