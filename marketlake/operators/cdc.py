@@ -33,10 +33,14 @@ def decode(messages: DataFrame, tables=None) -> DataFrame:
     """
     mapped = list(tables or REG.TABLE_MAPPINGS.keys())
     env = TX.parse_envelope(F.col("value"))
+    # The parsed envelope is produced by a generator (one row in, one out):
+    # filters on its fields cannot be pushed below it, so the JSON is parsed
+    # exactly once per message, after any repartitioning - instead of being
+    # inlined into every predicate that reads op/after.
     d = messages.select(
         "topic", "partition", "offset", "value",
         TX.topic_table(F.col("topic")).alias("table_name"),
-        env.alias("_env"),
+        F.explode(F.array(env)).alias("_env"),
     )
     op = F.col("_env.op")
     after = F.col("_env.after")
