@@ -97,6 +97,13 @@ def format_datetime(c) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
+def iso_format(c) -> Column:
+    """ISO-8601 text like Python's ``isoformat()``: microseconds only when non-zero."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(F.date_format(c, "SSSSSS") == "000000", F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(
+        F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
 def second_precision(c) -> Column:
     """Truncate to whole seconds."""
     return F.date_trunc("second", c)

@@ -191,7 +191,7 @@ def search_document(products: DataFrame, variants: DataFrame, media: DataFrame,
         F.col("product_name").alias("name"),
         F.coalesce(F.col("description"), F.lit("")).alias("description"),
         "status",
-        F.date_format(F.col("created_at"), "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
+        D.iso_format(F.col("created_at")).alias("created_at"),
         F.coalesce(F.col("_v_price").cast("double"), F.lit(0.0)).alias("price"),
         F.coalesce(F.col("_v_stock"), F.lit(0)).alias("stock"),
         rating.alias("rating"),

@@ -134,7 +134,8 @@ LEFT JOIN (SELECT product_id, count(*) AS n, arg_min(src, media_id) AS first_src
   USING (product_id)"""),
     "search_documents": _w("""
 SELECT cp.product_id AS id, cp.product_name AS name, cp.description, cp.status,
-       strftime(cp.created_at, '%Y-%m-%dT%H:%M:%S') AS created_at,
+       CASE WHEN microsecond(cp.created_at) % 1000000 = 0 THEN strftime(cp.created_at, '%Y-%m-%dT%H:%M:%S')
+            ELSE strftime(cp.created_at, '%Y-%m-%dT%H:%M:%S.%f') END AS created_at,
        coalesce(CAST(v.price AS DOUBLE), 0.0) AS price, coalesce(v.stock, 0) AS stock,
        CAST(4.5 AS DOUBLE) AS rating, 'general' AS category, m.src AS image_url
 FROM cp

@@ -136,3 +136,10 @@ def test_connector_decimals_in_registry(spark):
     assert out[0] == (Decimal("999.99"), None)
     assert out[1] == (Decimal("12.50"), None)
     assert out[2][0] is None and out[2][1] == "bad amount"
+
+
+def test_iso_format_like_python(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 2, 3, 4, 5),), (dt.datetime(2024, 1, 2, 3, 4, 5, 120),)],
+                               "t timestamp_ntz")
+    got = [r[0] for r in df.select(D.iso_format("t")).collect()]
+    assert got == [dt.datetime(2024, 1, 2, 3, 4, 5).isoformat(), dt.datetime(2024, 1, 2, 3, 4, 5, 120).isoformat()]
