@@ -109,8 +109,6 @@ def second_precision(c) -> Column:
     return F.date_trunc("second", c)
 
 
-# Fixed value: the extended ISO-8601 date prefix both parsers accept.
-ISO_DATE_PREFIX = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
 # Fixed value: optional time part, fraction and zone of ISO-8601 text.
 ISO_FULL = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
 

@@ -23,8 +23,6 @@ from ..functions import text as TX
 LOAD_OPS = ("r", "c", "u")
 DELETE_OP = "d"
 
-LINEAGE = ["_topic", "_partition", "_offset"]
-
 
 def decode(messages: DataFrame, tables=None) -> DataFrame:
     """Add ``table_name``, ``op``, ``after``, ``before`` and a ``status``.

@@ -15,6 +15,7 @@ from ..sources.testdata import Star
 from . import reports as R
 from .catalog_queries import CATALOG_QUERIES, CATALOG_SQL
 from .cdc_queries import CDC_QUERIES, CDC_SQL
+from .extra_queries import EXTRA_QUERIES, EXTRA_SQL
 from .lookup_queries import LOOKUP_QUERIES, LOOKUP_SQL
 from .oracle_reports import REPORT_SQL
 from .order_queries import ORDER_QUERIES, ORDER_SQL
@@ -41,6 +42,7 @@ def queries() -> dict[str, QueryFn]:
     q.update(SEARCH_QUERIES)
     q.update(QUALITY_QUERIES)
     q.update(LOOKUP_QUERIES)
+    q.update(EXTRA_QUERIES)
     return q
 
 
@@ -52,4 +54,5 @@ def oracle_sql() -> dict[str, str]:
     sql.update(SEARCH_SQL)
     sql.update(QUALITY_SQL)
     sql.update(LOOKUP_SQL)
+    sql.update(EXTRA_SQL)
     return sql

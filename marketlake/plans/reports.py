@@ -89,10 +89,6 @@ def per_product(star, orders: DataFrame, product_cols=(), keys=()) -> DataFrame:
     )
 
 
-def _money(c) -> Column:
-    return F.sum(c)
-
-
 def _dbl(c) -> Column:
     return F.col(c).cast("double") if isinstance(c, str) else c.cast("double")
 

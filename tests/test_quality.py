@@ -1,5 +1,4 @@
 """Integrity checks on small fixtures."""
-from pyspark.sql import functions as F
 
 from marketlake.operators import quality as Q
 
