@@ -100,7 +100,7 @@ TABLE_MAPPINGS: dict[str, TableMapping] = {
         FieldSpec("user_id", "user_id", "bigint"),
         FieldSpec("status", "status", "string"),
         FieldSpec("created_at", "order_date", "date", D.iso_to_date, D.iso_reject),
-    ], key=("order_id",)),
+    ], key=("order_id", "order_date")),  # the analytics table's sort key: date filters push below W1
 }
 
 # B1/B2 compatibility: the reference's own merge keys for the two tables it

@@ -19,6 +19,12 @@ from .files import read_table
 VERSION_ORDER = ["etl_updated_at", "_batch", "_offset"]
 
 
+def primary_key(table: str) -> str:
+    """Target name of the source primary key ``id`` (else the first merge key)."""
+    m = REG.TABLE_MAPPINGS[table]
+    return next((f.target for f in m.fields if f.source == "id"), m.key[0])
+
+
 class VersionedStar:
     def __init__(self, spark: SparkSession, tables_dir: str, compat_keys: bool = False):
         self.spark = spark
@@ -33,9 +39,16 @@ class VersionedStar:
     def latest(self, table: str) -> DataFrame:
         keys = REG.COMPAT_KEYS.get(table) if self.compat and table in REG.COMPAT_KEYS else None
         keys = list(keys or REG.TABLE_MAPPINGS[table].key)
-        latest = latest_version(self.log(table), keys, VERSION_ORDER)
-        # a key whose newest version is a tombstone is gone (B6 apply_deletes)
-        return latest.filter(~F.coalesce(F.col("_deleted"), F.lit(False)))
+        log = self.log(table)
+        deleted = F.coalesce(F.col("_deleted"), F.lit(False))
+        latest = latest_version(log.filter(~deleted), keys, VERSION_ORDER)
+        # B6 apply_deletes: a tombstone carries only the source primary key; it
+        # removes every version of that key that is older than the tombstone
+        pk = primary_key(table)
+        version = F.struct(*[F.col(c) for c in VERSION_ORDER])
+        tombs = log.filter(deleted).groupBy(pk).agg(F.max(version).alias("_tomb"))
+        return latest.join(tombs, pk, "left").filter(
+            F.col("_tomb").isNull() | (version > F.col("_tomb"))).drop("_tomb")
 
     def orders(self) -> DataFrame:
         return self.latest("orders").select("order_id", "order_date", "user_id", "status")

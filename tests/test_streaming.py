@@ -108,3 +108,14 @@ def test_dedup_within_watermark(spark, scratch):
         .queryName("dedup_test").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.offset for r in spark.sql("SELECT offset FROM dedup_test").collect()) == [0, 1, 2]
+
+
+def test_report_date_filter_reaches_versioned_scan(spark, scratch):
+    out = f"{scratch}/out"
+    o = "postgres.public.orders"
+    rows = [(o, 0, 1, _env("c", {"id": 1, "user_id": 7, "status": "created", "created_at": "2001-07-15T00:00:00Z"}))]
+    df = spark.createDataFrame(rows, "topic string, partition int, offset long, value string")
+    P.CdcJob(out, tables=["orders"]).process(df, 0)
+    plan = P.R.window_orders(VersionedStar(spark, f"{out}/tables"), "rolling", dt.datetime(2001, 8, 1)) \
+        ._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(order_date,2001-07-01)" in plan
