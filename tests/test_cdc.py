@@ -84,3 +84,19 @@ def test_merge_latest(spark):
     changes = spark.createDataFrame([(1, "new", 2)], "k long, v string, ver int")
     out = {r.k: r.v for r in V.merge_latest(base, changes, ["k"], ["ver"]).collect()}
     assert out == {1: "new", 2: "keep"}
+
+
+def test_golden_latest_event_per_user(spark):
+    from marketlake.sources.testdata import Star
+    from conftest import SF01
+    ev = Star(spark, SF01).raw("events").select("user_id", "event_id", "ts", "event_type")
+    out = V.latest_version(ev, ["user_id"], ["ts", "event_id"])
+    rows = {r.user_id: r for r in out.collect()}
+    assert len(rows) == 150 and rows[0].event_id == 9907 and rows[0].event_type == "purchase"
+
+
+def test_topic_set_algebra(spark):
+    from marketlake.sources import stream as ST
+    mk = lambda xs: spark.createDataFrame([(x,) for x in xs], "topic string")
+    got = ST.new_topics(mk(["a", "b", "c"]), mk(["b", "c", "d"]), mk(["c"])).collect()
+    assert [r.topic for r in got] == ["b"]
