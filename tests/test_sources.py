@@ -38,3 +38,42 @@ def test_schemas_parse(spark):
         assert schemas.struct(ddl).fields
     df = schemas.conform(spark.range(2).withColumnRenamed("id", "order_id"), schemas.ANALYTICS_TABLES["orders"])
     assert df.columns[:2] == ["order_id", "order_date"]
+
+
+def test_upsert_documents_keeps_latest(spark, scratch):
+    import datetime as dt
+    docs = spark.createDataFrame([(1, "old", dt.datetime(2024, 1, 1)), (1, "new", dt.datetime(2024, 1, 2)),
+                                  (2, "only", dt.datetime(2024, 1, 1))], "id long, name string, etl_updated_at timestamp")
+    FS.upsert_documents(docs, f"{scratch}/docs")
+    got = {r.id: r.name for r in spark.read.parquet(f"{scratch}/docs").collect()}
+    assert got == {1: "new", 2: "only"}
+
+
+def test_second_precision(spark):
+    import datetime as dt
+    from marketlake.functions import dates as D
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 2, 3, 4, 5, 999999),)], "t timestamp_ntz")
+    assert df.select(D.second_precision("t")).first()[0] == dt.datetime(2024, 1, 2, 3, 4, 5)
+
+
+def test_transform_registry_accepts_pandas_udf(spark):
+    import json
+
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from marketlake.functions import registry as REG
+    from marketlake.operators import cdc as CDC
+
+    @F.pandas_udf("string")
+    def title(s: pd.Series) -> pd.Series:
+        return s.str.title()
+
+    rows = [("postgres.public.products", 0, 0, json.dumps({"op": "c", "after": {"id": 1, "product_name": "blue bolt"}}))]
+    df = spark.createDataFrame(rows, "topic string, partition int, offset long, value string")
+    REG.register_transform("products", "product_name", title)
+    try:
+        out = CDC.to_table(CDC.decode(df), "products", F.current_timestamp()).first()
+    finally:
+        REG.reset_transforms()
+    assert out.product_name == "Blue Bolt" and out.external_price == 0
