@@ -44,10 +44,10 @@ def customer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def media_after_pair_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Delete (product, media) pairs of products whose size is a multiple of 3."""
+    """Delete the (product, media) pairs of archived products."""
     c = Catalog(Star(spark, sf_dir))
     media = c.media()
-    pairs = media.join(c.products().filter(F.pmod("size", F.lit(3)) == 0).select("product_id"), "product_id",
+    pairs = media.join(c.products().filter(F.col("status") == "archived").select("product_id"), "product_id",
                        "left_semi").select("product_id", "media_id")
     return L.pair_delete(media, pairs, ["product_id", "media_id"]).select("media_id", "product_id", "src")
 
@@ -100,7 +100,8 @@ SELECT e.event_id, e.user_id, c.c_name AS first_name, c.c_custkey IS NOT NULL AS
 FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id""",
     "media_after_pair_delete": f"""WITH {ORACLE_CATALOG_CTES}
 SELECT media_id, product_id, src FROM cmed
-WHERE product_id NOT IN (SELECT product_id FROM cp WHERE size % 3 = 0)""",
+WHERE (product_id, media_id) NOT IN (SELECT (cmed.product_id, cmed.media_id) FROM cmed
+                                     JOIN cp USING (product_id) WHERE cp.status = 'archived')""",
     "topic_plan": """
 SELECT 'postgres.public.' || t AS topic, n AS messages FROM (
   SELECT 'orders' AS t, count(*) AS n FROM orders
