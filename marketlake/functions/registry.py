@@ -35,6 +35,7 @@ class TableMapping:
     table: str
     fields: list[FieldSpec] = field(default_factory=list)
     key: tuple[str, ...] = ()  # merge key in the analytics table (W1/U1)
+    alt_key: tuple[str, ...] = ()  # natural key used when the (single) key column is null
 
     @property
     def targets(self) -> list[str]:
@@ -85,7 +86,7 @@ TABLE_MAPPINGS: dict[str, TableMapping] = {
         FieldSpec("product_id", "product_id", "bigint"),
         FieldSpec("seller_id", "seller_id", "bigint"),
         FieldSpec("quantity", "quantity", "bigint"),
-    ], key=("order_id", "product_id", "seller_id")),
+    ], key=("order_item_id",), alt_key=("order_id", "product_id", "seller_id")),
     "payments": TableMapping("payments", [
         FieldSpec("id", "payment_id", "bigint"),
         FieldSpec("order_id", "order_id", "bigint"),
@@ -94,7 +95,7 @@ TABLE_MAPPINGS: dict[str, TableMapping] = {
         FieldSpec("status", "status", "string"),
         FieldSpec("payment_method", "payment_method", "string"),
         FieldSpec("created_at", "created_at", "timestamp"),
-    ], key=("payment_id",)),
+    ], key=("payment_id",), alt_key=("order_id",)),
     "orders": TableMapping("orders", [
         FieldSpec("id", "order_id", "bigint"),
         FieldSpec("user_id", "user_id", "bigint"),

@@ -65,9 +65,10 @@ def snapshot_messages(star, table: str) -> DataFrame:
         return o.select(*_message(table, F.col("order_id"), r, after, None, F.col("order_id")))
     if table == "order_items":
         li = spread(star.raw("lineitem"))
-        # Source rows have no single id; the line key hashed gives a stable offset.
-        key = F.xxhash64("l_orderkey", "l_partkey", "l_suppkey")
-        after = _as_map(order_id=F.col("l_orderkey"), product_id=F.col("l_partkey"),
+        # Line items have no single-column key (even order/line/part/supplier
+        # repeats), so the line id - and the message offset - hash the whole row.
+        key = F.xxhash64(*li.columns)
+        after = _as_map(id=key, order_id=F.col("l_orderkey"), product_id=F.col("l_partkey"),
                         seller_id=F.col("l_suppkey"), quantity=F.col("l_quantity").cast("int"))
         return li.select(*_message(table, F.col("l_orderkey"), r, after, None, key))
     if table == "products":

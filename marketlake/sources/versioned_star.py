@@ -37,9 +37,19 @@ class VersionedStar:
         return read_table(self.spark, f"{self.dir}/{table}", ddl).withColumnRenamed("batch_id", "_batch")
 
     def latest(self, table: str) -> DataFrame:
-        keys = REG.COMPAT_KEYS.get(table) if self.compat and table in REG.COMPAT_KEYS else None
-        keys = list(keys or REG.TABLE_MAPPINGS[table].key)
+        m = REG.TABLE_MAPPINGS[table]
         log = self.log(table)
+        if self.compat and table in REG.COMPAT_KEYS:
+            keys = list(REG.COMPAT_KEYS[table])
+        elif m.alt_key:
+            # primary key when the message carried one, else the natural key
+            pk = F.col(m.key[0])
+            nk = F.concat_ws("|", *[F.col(c).cast("string") for c in m.alt_key])
+            log = log.withColumn("_merge_key", F.when(pk.isNotNull(), F.concat(F.lit("#"), pk.cast("string")))
+                                 .otherwise(nk))
+            keys = ["_merge_key"]
+        else:
+            keys = list(m.key)
         deleted = F.coalesce(F.col("_deleted"), F.lit(False))
         latest = latest_version(log.filter(~deleted), keys, VERSION_ORDER)
         # B6 apply_deletes: a tombstone carries only the source primary key; it
@@ -47,8 +57,9 @@ class VersionedStar:
         pk = primary_key(table)
         version = F.struct(*[F.col(c) for c in VERSION_ORDER])
         tombs = log.filter(deleted).groupBy(pk).agg(F.max(version).alias("_tomb"))
-        return latest.join(tombs, pk, "left").filter(
+        out = latest.join(tombs, pk, "left").filter(
             F.col("_tomb").isNull() | (version > F.col("_tomb"))).drop("_tomb")
+        return out.drop("_merge_key") if "_merge_key" in out.columns else out
 
     def orders(self) -> DataFrame:
         return self.latest("orders").select("order_id", "order_date", "user_id", "status")
