@@ -100,3 +100,10 @@ def test_topic_set_algebra(spark):
     mk = lambda xs: spark.createDataFrame([(x,) for x in xs], "topic string")
     got = ST.new_topics(mk(["a", "b", "c"]), mk(["b", "c", "d"]), mk(["c"])).collect()
     assert [r.topic for r in got] == ["b"]
+
+
+def test_compact_rewrites_latest_snapshot(spark, scratch):
+    log = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1)], "k long, v string, ver int")
+    V.compact(log, ["k"], ["ver"], f"{scratch}/snap")
+    got = {r.k: r.v for r in spark.read.parquet(f"{scratch}/snap").collect()}
+    assert got == {1: "b", 2: "c"}
