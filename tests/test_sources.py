@@ -77,3 +77,14 @@ def test_transform_registry_accepts_pandas_udf(spark):
     finally:
         REG.reset_transforms()
     assert out.product_name == "Blue Bolt" and out.external_price == 0
+
+
+def test_jdbc_read_options():
+    import pytest as _pytest
+    from marketlake.sources import jdbc as J
+    o = J.read_options("jdbc:postgresql://db/shop", "orders", partition_column="id", lower=1, upper=1000,
+                       num_partitions=8, where="status <> 'cancelled'")
+    assert o["numPartitions"] == "8" and o["partitionColumn"] == "id"
+    assert o["dbtable"].startswith("(SELECT * FROM orders WHERE status")
+    with _pytest.raises(ValueError):
+        J.read_options("jdbc:x", "orders", partition_column="id")
