@@ -125,3 +125,24 @@ def test_running_demand_matches_global_window(spark):
     a = sorted((r.id, r.demand) for r in two_level.collect())
     b = sorted((r.id, r.demand) for r in direct.collect())
     assert a == b
+
+
+def test_invariant_accepted_quantity_within_stock(spark):
+    from conftest import SF01
+    from marketlake.plans import order_queries as OQ
+    from marketlake.sources.testdata import Star
+    v = OQ._validated(spark, SF01)
+    lines, _ = ORD.price_orders(v)
+    star = Star(spark, SF01)
+    left = ORD.decrement_stock(star.variants(), lines)
+    assert left.filter(F.col("stock") < 0).count() == 0  # cumulative mode never oversells
+    assert lines.count() > 0
+
+
+def test_invariant_latest_version_unique(spark):
+    from conftest import SF01
+    from marketlake.operators import versioned as V
+    from marketlake.sources.testdata import Star
+    ev = Star(spark, SF01).raw("events")
+    out = V.latest_version(ev, ["user_id"], ["ts", "event_id"])
+    assert out.count() == out.select("user_id").distinct().count() == ev.select("user_id").distinct().count()
