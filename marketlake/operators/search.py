@@ -129,6 +129,8 @@ def search(docs: DataFrame, queries: DataFrame, id_col: str = "id",
     queries: ``query_id``, ``query`` (texts shorter than 2 chars are rejected).
     Filters (P13): a falsy ``category``/``min_rating`` means no filter.
     """
+    if min_rating is not None and not 0 <= min_rating <= 5:
+        raise ValueError("min_rating must be within 0..5")
     docs = spread(docs)
     q = queries.filter(F.length(F.trim("query")) >= MIN_QUERY_LEN)
     qt = query_terms(q)

@@ -64,3 +64,10 @@ def test_filters_do_not_change_scores(spark):
 def test_tokenize_keeps_accents(spark):
     df = spark.createDataFrame([("Été déjà-vu 42x",)], "t string")
     assert df.select(S.tokenize("t")).first()[0] == ["été", "déjà", "vu", "42x"]
+
+
+def test_min_rating_bounds(spark):
+    docs = spark.createDataFrame(DOCS, "id long, name string, description string, category string, rating double")
+    q = spark.createDataFrame([(1, "bolt")], "query_id long, query string")
+    with pytest.raises(ValueError):
+        S.search(docs, q, "id", min_rating=6)
