@@ -3,7 +3,7 @@
     python -m marketlake list
     python -m marketlake run NAME --sf-dir DIR [--out PATH] [--show N]
     python -m marketlake cdc --messages DIR --out DIR --checkpoint DIR [--trigger 1s|available-now]
-        [--refresh-reports] [--rollups] [--apply-deletes] [--as-of DATE] [--kafka HOST:PORT]
+        [--refresh-reports] [--rollups] [--apply-deletes] [--as-of DATE] [--compact-every N] [--kafka HOST:PORT]
 
 On a cluster, submit with spark-submit; the session settings (AQE, skew join,
 checkpoint folder) come from ``marketlake.session``.
@@ -42,6 +42,7 @@ def main(argv=None) -> int:
     c.add_argument("--rollups", action="store_true")
     c.add_argument("--apply-deletes", action="store_true")
     c.add_argument("--as-of", help="report clock (ISO date/time); default: now")
+    c.add_argument("--compact-every", type=int, help="compact the table logs every N batches")
     c.add_argument("--master")
     a = ap.parse_args(argv)
 
@@ -73,7 +74,7 @@ def main(argv=None) -> int:
 
         as_of = dt.datetime.fromisoformat(a.as_of) if a.as_of else None
         job = P.CdcJob(a.out, reports=dict(R.REPORTS) if a.refresh_reports else None, as_of=as_of,
-                       rollups=a.rollups, apply_deletes=a.apply_deletes)
+                       rollups=a.rollups, apply_deletes=a.apply_deletes, compact_every=a.compact_every)
         trig = {"availableNow": True} if a.trigger == "available-now" else {"processingTime": a.trigger}
         q = P.start(msgs, job, a.checkpoint, trig)
         q.awaitTermination()

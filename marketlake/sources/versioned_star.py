@@ -25,20 +25,75 @@ def primary_key(table: str) -> str:
     return next((f.target for f in m.fields if f.source == "id"), m.key[0])
 
 
+def _log_ddl(table: str) -> str:
+    return (schemas.ANALYTICS_TABLES[table]
+            + ", _topic string, _partition int, _offset bigint, _deleted boolean, batch_id bigint")
+
+
+def newest_snapshot(spark: SparkSession, snap_dir: str) -> int | None:
+    """Highest ``upto=N`` folder under ``snap_dir`` (a file-system listing, no scan)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(snap_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    best = None
+    for st in fs.listStatus(path):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("upto=") and fs.exists(
+                jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            n = int(name.split("=", 1)[1])
+            best = n if best is None or n > best else best
+    return best
+
+
 class VersionedStar:
-    def __init__(self, spark: SparkSession, tables_dir: str, compat_keys: bool = False):
+    """Latest-per-key view of the CDC output.
+
+    With ``snapshots_dir`` (written by :meth:`CdcJob.compact`), a table is read
+    as its newest compacted snapshot plus only the log batches after it
+    (partition-pruned on ``batch_id``), so readers never re-aggregate every
+    historical version.
+    """
+
+    def __init__(self, spark: SparkSession, tables_dir: str, compat_keys: bool = False,
+                 snapshots_dir: str | None = None):
         self.spark = spark
         self.dir = tables_dir.rstrip("/")
         self.compat = compat_keys
+        self.snap = snapshots_dir.rstrip("/") if snapshots_dir else None
+
+    def raw_log(self, table: str, after_batch: int | None = None, upto_batch: int | None = None) -> DataFrame:
+        log = read_table(self.spark, f"{self.dir}/{table}", _log_ddl(table))
+        if after_batch is not None:
+            log = log.filter(F.col("batch_id") > F.lit(after_batch))
+        if upto_batch is not None:
+            log = log.filter(F.col("batch_id") <= F.lit(upto_batch))
+        return log.withColumnRenamed("batch_id", "_batch")
 
     def log(self, table: str) -> DataFrame:
-        ddl = (schemas.ANALYTICS_TABLES[table]
-               + ", _topic string, _partition int, _offset bigint, _deleted boolean, batch_id bigint")
-        return read_table(self.spark, f"{self.dir}/{table}", ddl).withColumnRenamed("batch_id", "_batch")
+        upto = newest_snapshot(self.spark, f"{self.snap}/{table}") if self.snap else None
+        if upto is None:
+            return self.raw_log(table)
+        snap = read_table(self.spark, f"{self.snap}/{table}/upto={upto}",
+                          _log_ddl(table).replace(", batch_id bigint", ", _batch bigint"))
+        return snap.unionByName(self.raw_log(table, after_batch=upto))
 
     def latest(self, table: str) -> DataFrame:
+        return self._latest(self.log(table), table)
+
+    def latest_rows(self, table: str, upto_batch: int) -> DataFrame:
+        """Latest live row per key over everything up to ``upto_batch`` (for compaction)."""
+        prev = newest_snapshot(self.spark, f"{self.snap}/{table}") if self.snap else None
+        log = self.raw_log(table, after_batch=prev, upto_batch=upto_batch)
+        if prev is not None:
+            snap = read_table(self.spark, f"{self.snap}/{table}/upto={prev}",
+                              _log_ddl(table).replace(", batch_id bigint", ", _batch bigint"))
+            log = snap.unionByName(log)
+        return self._latest(log, table)
+
+    def _latest(self, log: DataFrame, table: str) -> DataFrame:
         m = REG.TABLE_MAPPINGS[table]
-        log = self.log(table)
         if self.compat and table in REG.COMPAT_KEYS:
             keys = list(REG.COMPAT_KEYS[table])
         elif m.alt_key:

@@ -29,7 +29,7 @@ from ..functions import registry as REG
 from ..operators import cdc as CDC
 from ..plans import reports as R
 from ..sources.files import read_table, write_batch
-from ..sources.versioned_star import VersionedStar
+from ..sources.versioned_star import VersionedStar, newest_snapshot
 
 # Above this many topic partitions in one batch the ledger probe uses a join.
 MAX_LITERAL_RANGES = 256
@@ -48,7 +48,7 @@ class CdcJob:
 
     def __init__(self, out_dir: str, tables=None, etl_ts: Column | None = None,
                  reports: dict[str, Callable] | None = None, as_of=None, rollups: bool = False,
-                 apply_deletes: bool = False):
+                 apply_deletes: bool = False, compact_every: int | None = None):
         self.out = out_dir.rstrip("/")
         self.tables = list(tables or REG.TABLE_MAPPINGS.keys())
         self.etl_ts = etl_ts
@@ -56,6 +56,7 @@ class CdcJob:
         self.as_of = as_of
         self.rollups = rollups
         self.apply_deletes = apply_deletes
+        self.compact_every = compact_every
 
     # paths
     def table_path(self, t: str) -> str:
@@ -110,6 +111,8 @@ class CdcJob:
             write_batch(CDC.status_counts(decoded), f"{self.out}/metrics", batch_id)
             # the ledger is written last: a batch that fails earlier is redone whole
             write_batch(CDC.ledger_rows(new, etl), self.ledger_path, batch_id)
+            if self.compact_every and (batch_id + 1) % self.compact_every == 0:
+                self.compact(spark, batch_id)
             if self.reports:
                 self.refresh_reports(spark)
             if self.rollups:
@@ -118,9 +121,29 @@ class CdcJob:
             decoded.unpersist()
             new.unpersist()
 
+    # R5 --------------------------------------------------------------------
+    def versioned(self, spark: SparkSession) -> VersionedStar:
+        return VersionedStar(spark, f"{self.out}/tables", snapshots_dir=f"{self.out}/snapshots")
+
+    def compact(self, spark: SparkSession, batch_id: int) -> None:
+        """Incremental compaction - newest snapshot + log batches up to
+        ``batch_id`` -> latest row per key, written to ``upto=batch_id``.
+
+        Reads only the previous snapshot and the batches after it; written to a
+        new folder (readers switch once ``_SUCCESS`` exists), so a failure mid-
+        way leaves the previous snapshot in use.
+        """
+        star = self.versioned(spark)
+        for t in self.tables:
+            prev = newest_snapshot(spark, f"{self.out}/snapshots/{t}")
+            if prev is not None and prev >= batch_id:
+                continue
+            rows = star.latest_rows(t, upto_batch=batch_id)
+            rows.write.mode("overwrite").parquet(f"{self.out}/snapshots/{t}/upto={batch_id}")
+
     # R4 --------------------------------------------------------------------
     def refresh_reports(self, spark: SparkSession) -> None:
-        star = VersionedStar(spark, f"{self.out}/tables")
+        star = self.versioned(spark)
         for name, fn in self.reports.items():
             fn(star, as_of=self.as_of).write.mode("overwrite").parquet(f"{self.out}/reports/{name}")
 
@@ -129,7 +152,7 @@ class CdcJob:
         """Recompute the month roll-ups only for months touched by this batch."""
         touched = CDC.to_table(decoded, "orders", F.current_timestamp()).select(
             F.trunc("order_date", "month").alias("month")).where(F.col("month").isNotNull()).distinct()
-        star = _MonthStar(VersionedStar(spark, f"{self.out}/tables"), touched)
+        star = _MonthStar(self.versioned(spark), touched)
         for name, fn in ROLLUPS.items():
             fn(star, as_of=self.as_of).write.mode("overwrite").option(
                 "partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{self.out}/rollups/{name}")

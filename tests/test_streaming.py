@@ -119,3 +119,26 @@ def test_report_date_filter_reaches_versioned_scan(spark, scratch):
     plan = P.R.window_orders(VersionedStar(spark, f"{out}/tables"), "rolling", dt.datetime(2001, 8, 1)) \
         ._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(order_date,2001-07-01)" in plan
+
+
+def test_compaction_snapshots_keep_results(spark, scratch):
+    o = "postgres.public.orders"
+
+    def batch(rows):
+        return spark.createDataFrame(rows, "topic string, partition int, offset long, value string")
+
+    def order(off, oid, status):
+        return (o, 0, off, _env("u", {"id": oid, "user_id": 7, "status": status,
+                                      "created_at": "2024-01-15T10:30:00Z"}))
+
+    job = P.CdcJob(f"{scratch}/out", tables=["orders"], compact_every=2)
+    job.process(batch([order(0, 1, "created"), order(1, 2, "created")]), 0)
+    job.process(batch([order(2, 1, "paid")]), 1)          # compaction -> snapshots/orders/upto=1
+    job.process(batch([order(3, 2, "cancelled")]), 2)     # after the snapshot
+    snap = spark.read.parquet(f"{scratch}/out/snapshots/orders/upto=1")
+    assert sorted((r.order_id, r.status) for r in snap.collect()) == [(1, "paid"), (2, "created")]
+    with_snap = job.versioned(spark).orders()
+    plain = VersionedStar(spark, f"{scratch}/out/tables").orders()
+    expect = [(1, "paid"), (2, "cancelled")]
+    assert sorted((r.order_id, r.status) for r in with_snap.collect()) == expect
+    assert sorted((r.order_id, r.status) for r in plain.collect()) == expect
