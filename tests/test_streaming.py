@@ -142,3 +142,15 @@ def test_compaction_snapshots_keep_results(spark, scratch):
     expect = [(1, "paid"), (2, "cancelled")]
     assert sorted((r.order_id, r.status) for r in with_snap.collect()) == expect
     assert sorted((r.order_id, r.status) for r in plain.collect()) == expect
+
+
+def test_orders_snapshot_prunes_by_date(spark, scratch):
+    o = "postgres.public.orders"
+    rows = [(o, 0, i, _env("c", {"id": i, "user_id": 7, "status": "created",
+                                 "created_at": f"2001-0{6 + i % 2}-15T00:00:00Z"})) for i in range(4)]
+    job = P.CdcJob(f"{scratch}/out", tables=["orders"], compact_every=1)
+    job.process(spark.createDataFrame(rows, "topic string, partition int, offset long, value string"), 0)
+    df = P.R.window_orders(job.versioned(spark), "rolling", dt.datetime(2001, 8, 1))
+    assert sorted(r.order_id for r in df.collect()) == [1, 3]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(order_date" in plan and "(order_date#" in plan
