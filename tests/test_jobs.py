@@ -146,3 +146,26 @@ def test_invariant_latest_version_unique(spark):
     ev = Star(spark, SF01).raw("events")
     out = V.latest_version(ev, ["user_id"], ["ts", "event_id"])
     assert out.count() == out.select("user_id").distinct().count() == ev.select("user_id").distinct().count()
+
+
+def test_search_document_constants_switch(spark):
+    import datetime as dt
+    products = spark.createDataFrame([(1, "bolt", None, "active", dt.datetime(2024, 1, 1), 4.2, "HW")],
+                                     "product_id long, product_name string, description string, status string, "
+                                     "created_at timestamp_ntz, external_ratings double, main_category string")
+    variants = spark.createDataFrame([(1, 10, Decimal("9.50"), 3), (1, 11, Decimal("8.00"), 1)],
+                                     "product_id long, variant_id long, price decimal(12,2), stock int")
+    media = spark.createDataFrame([(1, 5, "b.jpg"), (1, 4, "a.jpg")], "product_id long, media_id long, src string")
+    a = CAT.search_document(products, variants, media, constants=True).first()
+    b = CAT.search_document(products, variants, media, constants=False).first()
+    assert (a.rating, a.category, a.price, a.stock, a.image_url, a.description) == (4.5, "general", 9.5, 3, "a.jpg", "")
+    assert (b.rating, b.category) == (4.2, "HW")
+    assert a.created_at == "2024-01-01T00:00:00"
+
+
+def test_visible_products_parameter(spark):
+    df = spark.createDataFrame([(1, "active", 7), (2, "published", 7), (3, "active", 8)],
+                               "product_id long, status string, seller_id long")
+    assert sorted(r.product_id for r in CAT.visible_products(df).collect()) == [1, 3]
+    assert [r.product_id for r in CAT.visible_products(df, seller_id=8).collect()] == [3]
+    assert [r.product_id for r in CAT.visible_products(df, visible_status="published").collect()] == [2]
