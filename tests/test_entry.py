@@ -34,3 +34,12 @@ def test_query_matches_oracle(spark, name):
         assert df.count() >= 0
         return
     assert OC.compare(name, df, OC.duck_conn(SF001), sql, verbose=False)
+
+
+def test_cli_lists_every_query(capsys):
+    from marketlake.__main__ import main
+    import __spark_entry__ as E
+
+    assert main(["list"]) == 0
+    out = capsys.readouterr().out
+    assert all(name in out for name in E.queries())
