@@ -2,6 +2,7 @@
 
     python -m marketlake list
     python -m marketlake run NAME --sf-dir DIR [--out PATH] [--show N]
+    python -m marketlake reports (--sf-dir DIR | --tables DIR [--snapshots DIR]) --out DIR [--as-of DATE]
     python -m marketlake cdc --messages DIR --out DIR --checkpoint DIR [--trigger 1s|available-now]
         [--refresh-reports] [--rollups] [--apply-deletes] [--as-of DATE] [--compact-every N] [--kafka HOST:PORT]
 
@@ -32,6 +33,14 @@ def main(argv=None) -> int:
     r.add_argument("--out")
     r.add_argument("--show", type=int, default=20)
     r.add_argument("--master")
+    rp = sub.add_parser("reports", help="write all named reports (one dashboard refresh)")
+    src = rp.add_mutually_exclusive_group(required=True)
+    src.add_argument("--sf-dir", help="TESTDATA folder (star adapter)")
+    src.add_argument("--tables", help="CDC output folder (versioned tables)")
+    rp.add_argument("--snapshots", help="compacted snapshots folder of the CDC output")
+    rp.add_argument("--out", required=True)
+    rp.add_argument("--as-of", help="report clock (ISO date/time); default: now")
+    rp.add_argument("--master")
     c = sub.add_parser("cdc")
     c.add_argument("--messages", help="folder of JSON message files")
     c.add_argument("--kafka", help="bootstrap servers (needs the Kafka connector)")
@@ -63,6 +72,20 @@ def main(argv=None) -> int:
         else:
             df.show(a.show, truncate=False)
         return 0
+    if a.cmd == "reports":
+        import datetime as dt
+
+        from .plans import reports as R
+        from .sources.testdata import Star
+        from .sources.versioned_star import VersionedStar
+
+        spark = _spark(a.master)
+        star = Star(spark, a.sf_dir) if a.sf_dir else VersionedStar(spark, a.tables, snapshots_dir=a.snapshots)
+        as_of = dt.datetime.fromisoformat(a.as_of) if a.as_of else None
+        for name, fn in R.REPORTS.items():
+            fn(star, as_of=as_of).write.mode("overwrite").parquet(f"{a.out.rstrip('/')}/{name}")
+            print(name)
+        return 0
     if a.cmd == "cdc":
         from .plans import reports as R
         from .sources import stream as ST
