@@ -154,3 +154,21 @@ def test_orders_snapshot_prunes_by_date(spark, scratch):
     assert sorted(r.order_id for r in df.collect()) == [1, 3]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(order_date" in plan and "(order_date#" in plan
+
+
+def test_delete_compact_recreate(spark, scratch):
+    o = "postgres.public.orders"
+
+    def b(rows):
+        return spark.createDataFrame(rows, "topic string, partition int, offset long, value string")
+
+    created = _env("c", {"id": 1, "user_id": 7, "status": "created", "created_at": "2024-01-15T10:30:00Z"})
+    job = P.CdcJob(f"{scratch}/out", tables=["orders"], apply_deletes=True, compact_every=2)
+    job.process(b([(o, 0, 0, created), (o, 0, 1, _env("c", {"id": 2, "user_id": 8, "status": "created",
+                                                            "created_at": "2024-01-15T10:30:00Z"}))]), 0)
+    job.process(b([(o, 0, 2, json.dumps({"op": "d", "before": {"id": 1}, "after": None}))]), 1)  # + compaction
+    assert sorted(r.order_id for r in job.versioned(spark).orders().collect()) == [2]
+    snap = spark.read.parquet(f"{scratch}/out/snapshots/orders/upto=1")
+    assert sorted(r.order_id for r in snap.collect()) == [2]
+    job.process(b([(o, 0, 3, created)]), 2)  # the key comes back after the delete
+    assert sorted(r.order_id for r in job.versioned(spark).orders().collect()) == [1, 2]
