@@ -33,6 +33,19 @@ def search_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "id", "name", "category", "price", "score", "rank")
 
 
+# The filtered product search of the registered query.
+FILTERED_QUERY, FILTERED_CATEGORY, FILTERED_MIN_RATING = "small gear", "MEDIUM", 2.5
+
+
+def search_products_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Real rating and category, category + rating filters."""
+    c = Catalog(Star(spark, sf_dir))
+    docs = CAT.search_document(c.products(), c.variants(), c.media(), constants=False)
+    q = spark.range(1).select(F.lit(1).cast("bigint").alias("query_id"), F.lit(FILTERED_QUERY).alias("query"))
+    hits = S.search(docs, q, "id", category=FILTERED_CATEGORY, min_rating=FILTERED_MIN_RATING)
+    return hits.select("query_id", "id", "name", "category", "rating", "score", "rank")
+
+
 def corpus_docs(star: Star) -> DataFrame:
     d = spread(star.raw("documents"))
     return d.select(
@@ -59,6 +72,7 @@ def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SEARCH_QUERIES = {
     "search_products": search_products,
+    "search_products_filtered": search_products_filtered,
     "search_corpus": search_corpus,
     "term_statistics": term_statistics,
 }
@@ -115,6 +129,11 @@ _PRODUCT_DOCS = f"""{ORACLE_CATALOG_CTES.rstrip()},
                  USING (product_id)),
   docs AS (SELECT * FROM docs0)"""
 
+_PRODUCT_DOCS_REAL = f"""{ORACLE_CATALOG_CTES.rstrip()},
+  docs AS (SELECT cp.product_id AS id, cp.product_name AS name, cp.description,
+                  CAST(cp.external_ratings AS DOUBLE) AS rating, cp.main_category AS category
+           FROM cp)"""
+
 _CORPUS_DOCS = """docs AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS name, text AS description,
                    source AS category FROM documents)"""
 
@@ -122,6 +141,10 @@ SEARCH_SQL = {
     "search_products": f"""SELECT query_id, id, name, category, price, score, rank FROM (
 {_bm25_sql(_PRODUCT_DOCS, "q AS (SELECT CAST(1 AS BIGINT) AS query_id, '" + PRODUCT_QUERY + "' AS query)",
            ["name", "description"], ["category"], S.TOP_HITS, f"docs.rating >= {PRODUCT_MIN_RATING}")})""",
+    "search_products_filtered": f"""SELECT query_id, id, name, category, rating, score, rank FROM (
+{_bm25_sql(_PRODUCT_DOCS_REAL, "q AS (SELECT CAST(1 AS BIGINT) AS query_id, '" + FILTERED_QUERY + "' AS query)",
+           ["name", "description"], ["category"], S.TOP_HITS,
+           f"docs.category = '{FILTERED_CATEGORY}' AND docs.rating >= {FILTERED_MIN_RATING}")})""",
     "search_corpus": f"""SELECT query_id, id, category, score, rank FROM (
 {_bm25_sql(_CORPUS_DOCS, "q AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE length(trim(text)) >= 2)",
            ["name", "description"], ["category"], S.TOP_HITS)})""",
