@@ -6,6 +6,7 @@ so extra or clashing columns of the input never reach its plan.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -59,6 +60,16 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that a scratch table has replaced.
+
+    Its cleaner follows the garbage collector, which a driver that holds only
+    plans may not run for a long time.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_or_empty(col: Column) -> Column:
     """The text, null as empty, in whatever type the column came."""
     return F.coalesce(col.cast("string"), F.lit(""))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .near_jaccard import jaccard_components
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(length(text), 0) AS n,
@@ -71,12 +76,41 @@ SELECT doc_id, size, source_size, target,
 FROM running
 """
 
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [list_aggregate(words, 'string_agg', ' ')]
+      ELSE list_transform(range(1, len(words) - 3), lambda i: list_aggregate(words[i:i + 4], 'string_agg', ' ')) END) AS s
+    FROM w)
+), n AS (
+  SELECT w.doc_id, count(sh.s) AS n_shingles FROM w LEFT JOIN sh USING (doc_id) GROUP BY w.doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * c >= 75 * (x.n_shingles + y.n_shingles - c)
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM n
+  UNION
+  SELECT link.b, reach.other FROM reach JOIN link ON link.a = reach.doc_id
+)
+SELECT doc_id, n_shingles, least(doc_id, min(other)) AS component_id
+FROM n JOIN reach USING (doc_id) GROUP BY doc_id, n_shingles
+"""
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op6_mix_sources": op6_mix_sources,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL = {
     "op1_exact_dedup": OP1_SQL,
     "op6_mix_sources": OP6_SQL,
+    "op10_jaccard_join": OP10_SQL,
 }
