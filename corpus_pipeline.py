@@ -8,11 +8,25 @@ last return the columns of ``documents`` (and any further ones that came in).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketlake.llm.common import durable, table
+from marketlake.llm.common import durable, fold, table
 from marketlake.llm.exact_dedup import keep_first_of_equal
 from marketlake.llm.mixing import write_mix
+from marketlake.llm.near_jaccard import keep_one_per_component
+from marketlake.llm.packing import pack_documents
+from marketlake.llm.quality import fit_quality, score_quality
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: documents the classifier scores under 0.5 go.
+
+    Learns from labelled rows of these documents outside the evaluation fold.
+    """
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
+    scored = score_quality(docs, model, out="__kq_score")
+    return scored.where(F.col("__kq_score") >= 0.5).drop("__kq_score")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +39,22 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return write_mix(docs)
 
 
+def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: of each group of near duplicates one document stays."""
+    return keep_one_per_component(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: the pieces of the packed sequences."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 STAGES = [
+    ("quality", keep_quality),
     ("exact_dedup", drop_copies),
+    ("near_dedup", keep_one_of_near),
     ("mix_sources", mix),
+    ("packing", pack),
 ]
 
 # The classifier, and packing by a trained tokenizer's ids, are beyond SQL.

@@ -5,12 +5,16 @@ Each query applies its operator, with production parameters, to its whole table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import fold, table
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .near_jaccard import jaccard_components
+from .packing import pack_documents
+from .quality import fit_quality, score_quality
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +22,35 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_vector_packing(spark: SparkSession, sf_dir: str,
+                       vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+    return pack_documents(
+        table(spark, sf_dir, "documents"),
+        vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        pattern or public_tokenizers.PATTERN)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
+    return score_toxicity(docs.select("doc_id", "text"), model).select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
+    return score_quality(docs.select("doc_id", "text"), model).select(
+        "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -105,7 +133,10 @@ FROM n JOIN reach USING (doc_id) GROUP BY doc_id, n_shingles
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_vector_packing": op3_vector_packing,
+    "op4_toxicity": op4_toxicity,
     "op6_mix_sources": op6_mix_sources,
+    "op7_quality_nbsvm": op7_quality_nbsvm,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
