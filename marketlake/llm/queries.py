@@ -15,6 +15,7 @@ from .near_jaccard import jaccard_components
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
 from .toxicity import fit_toxicity, score_toxicity
+from .vector_tree import nearest
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +52,10 @@ def op7_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -137,6 +142,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op6_mix_sources": op6_mix_sources,
     "op7_quality_nbsvm": op7_quality_nbsvm,
+    "op9_vector_tree": op9_vector_tree,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
