@@ -14,8 +14,10 @@ from .mixing import mix_sources
 from .near_jaccard import jaccard_components
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
+from .sharding import shard_documents
 from .toxicity import fit_toxicity, score_toxicity
 from .vector_tree import nearest
+from .word_pieces import count_pieces, sentencepiece_vocabulary
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +25,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_vector_packing(spark: SparkSession, sf_dir: str,
                        vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     return pack_documents(
@@ -52,6 +58,11 @@ def op7_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_word_pieces(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    begin, go_on = sentencepiece_vocabulary(vocabulary or public_tokenizers.path("piece_bpe_32k.model"))
+    return count_pieces(table(spark, sf_dir, "documents"), begin, go_on)
+
+
 def op9_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
@@ -138,10 +149,12 @@ FROM n JOIN reach USING (doc_id) GROUP BY doc_id, n_shingles
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_label_propagation": op2_label_propagation,
     "op3_vector_packing": op3_vector_packing,
     "op4_toxicity": op4_toxicity,
     "op6_mix_sources": op6_mix_sources,
     "op7_quality_nbsvm": op7_quality_nbsvm,
+    "op8_word_pieces": op8_word_pieces,
     "op9_vector_tree": op9_vector_tree,
     "op10_jaccard_join": op10_jaccard_join,
 }
