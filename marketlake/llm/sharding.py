@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import durable, text_or_empty
 
 SHARDS = 40
-ROUNDS = 6
-SLACK = 0.02
+ROUNDS = 8
+SLACK = 0.2
 BUCKET_ROWS = 2048
 
 
