@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import fold, table
 from .exact_dedup import exact_dedup
+from .line_dedup import dropped_lines
 from .mixing import mix_sources
 from .near_jaccard import jaccard_components
 from .packing import pack_documents
@@ -45,6 +46,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dropped_lines(table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -152,6 +157,7 @@ QUERIES = {
     "op2_label_propagation": op2_label_propagation,
     "op3_vector_packing": op3_vector_packing,
     "op4_toxicity": op4_toxicity,
+    "op5_line_dedup": op5_line_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_quality_nbsvm": op7_quality_nbsvm,
     "op8_word_pieces": op8_word_pieces,
