@@ -13,14 +13,16 @@ shingles. Then |A ^ B| <= d = floor((|A| + |B|) / 7).
    A document emits l = 1 + slack such keys.
 3. A key held by more than ``HOT`` classes is hot. A document with no more hot keys
    than its slack shares another key with each partner, so its hot keys add
-   nothing; only the others (members of large near-copy groups, documents made of
-   boilerplate) keep them.
+   nothing. The heavy others (members of large near-copy groups, texts full of common
+   passages) only still need each other: they are keyed again, by the rarest d + 1 of
+   all their words, counted among the heavy ones.
 4. Links are found in two rounds, for the result needs connectedness, not all
-   pairs of a group. First each member against its bucket's smallest member; then,
-   in the buckets that still hold several components, the pairs across components:
-   joined directly where the bucket is small, in blocks of sketches where it is hot.
-5. A candidate pair must pass the bit sketch's lower bound (Hamming distance <= d)
-   before its sets are moved, and is then verified exactly on the sets.
+   pairs of a group. First each member against its bucket's most central member; then,
+   in the buckets that still hold several components, the pairs across components,
+   by an equi-join that evaluates a 512-bit sketch's bound inside itself.
+5. A candidate pair must pass its full sketch's lower bound (Hamming distance <= d,
+   at four bits or more a member) before its sets are moved, and is then verified
+   exactly on the sets.
 
 No cap drops a candidate. Links are exact up to equal 64-bit shingle hashes, and
 the prefix argument needs d + 1 occupied parts, which the number of parts leaves a
@@ -39,15 +41,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import durable, release, text_or_empty
 from .components import connected_components
 from .shingles import fingerprint, fold_to, parity_sketch, parity_words, shingle_set, signed
 
 HOT = 8
-BLOCK = 256
 WORDS = 5
+SHORT = [f"s{i}" for i in range(8)]  # a 512-bit sketch as eight numbers
 FLUSH_ROWS = 200_000
 
 
@@ -76,55 +78,77 @@ def bands(n: int) -> list[int]:
 
 
 def sketch_bits(n: int) -> int:
-    return max(64, 1 << math.ceil(math.log2(4 * max(1, n))))
+    return max(64 * len(SHORT), 1 << math.ceil(math.log2(4 * max(1, n))))
 
 
 def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        out = []
-        for text in pdf["text"]:
+        out, short = [], np.zeros((len(pdf), len(SHORT)), dtype=np.int64)
+        for i, text in enumerate(pdf["text"]):
             s = shingle_set(text, WORDS)
-            f, g = fingerprint(s)
-            out.append((len(s), f, g, parity_sketch(s, sketch_bits(len(s))).tobytes()))
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [r[0] for r in out],
-                            "class": [r[1] for r in out], "check": [r[2] for r in out],
-                            "sketch": [r[3] for r in out]})
+            sketch = parity_sketch(s, sketch_bits(len(s)))
+            short[i] = fold_to(sketch, 8 * len(SHORT)).view("<i8")
+            out.append((len(s), *fingerprint(s), sketch.tobytes()))
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [r[0] for r in out], "class": [r[1] for r in out],
+                            "check": [r[2] for r in out], "sketch": [r[3] for r in out]}
+                           | {k: short[:, i] for i, k in enumerate(SHORT)})
+
+
+class _Keys:
+    """Collects key rows and hands them out in frames of bounded size."""
+
+    def __init__(self, first_only: bool):
+        self.first_only = first_only
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys: list[np.ndarray] = []
+        self.about: list[tuple[int, int, int, int]] = []
+        self.rows = 0
+
+    def add(self, c: int, s: np.ndarray) -> None:
+        for parts in bands(len(s)):
+            k = parity_words(s, parts, prefix_length(len(s)) if self.first_only else len(s))
+            self.keys.append(k)
+            self.about.append((c, len(s), parts.bit_length() - 1, len(k)))
+            self.rows += len(k)
+
+    def frame(self) -> pd.DataFrame:
+        about = np.array(self.about, dtype=np.int64).reshape(-1, 4)
+        out = {"key": np.concatenate(self.keys).view(np.int64) if self.keys else np.zeros(0, np.int64),
+               "class": np.repeat(about[:, 0], about[:, 3])}
+        if self.first_only:  # size and band share a column: this is the widest shuffle
+            out["tag"] = np.repeat((about[:, 1] * 64 + about[:, 2]).astype(np.int32), about[:, 3])
+        else:
+            out |= {k: np.repeat(about[:, i].astype(np.int32), about[:, 3])
+                    for k, i in (("n", 1), ("band", 2), ("occupied", 3))}
+        self.clear()
+        return pd.DataFrame(out)
 
 
 def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    keys: list[np.ndarray] = []
-    cls: list[int] = []
-    sizes: list[int] = []
-    seen: set[int] = set()
-    rows = 0
-
-    def flush() -> pd.DataFrame:
-        lengths = [len(k) for k in keys]
-        return pd.DataFrame({
-            "key": np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64),
-            "class": np.repeat(np.array(cls, dtype=np.int64), lengths),
-            "n": np.repeat(np.array(sizes, dtype=np.int32), lengths)})
-
+    keys, seen = _Keys(first_only=True), set()
     for pdf in batches:
         for text in pdf["text"]:
             s = shingle_set(text, WORDS)
-            n = len(s)
-            if not n:
-                continue
             c = fingerprint(s)[0]
-            if c in seen:  # a copy of a class this task has keyed just now
-                continue
-            seen.add(c)
-            k = np.concatenate([parity_words(s, p, prefix_length(n)) for p in bands(n)])
-            keys.append(k)
-            cls.append(c)
-            sizes.append(n)
-            rows += len(k)
-            if rows >= FLUSH_ROWS:
-                yield flush()
-                keys, cls, sizes, seen, rows = [], [], [], set(), 0
-    if rows:
-        yield flush()
+            if len(s) and c not in seen:  # a copy of a class this task has just keyed adds nothing
+                seen.add(c)
+                keys.add(c, s)
+            if keys.rows >= FLUSH_ROWS:
+                yield keys.frame()
+                seen = set()
+    yield keys.frame()
+
+
+def _all_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    keys = _Keys(first_only=False)
+    for pdf in batches:
+        for c, text in zip(pdf["class"], pdf["text"]):
+            keys.add(c, shingle_set(text, WORDS))
+            if keys.rows >= FLUSH_ROWS:
+                yield keys.frame()
+    yield keys.frame()
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,35 +182,6 @@ def fits(a: Column, b: Column) -> Column:
     return (F.least(a, b) * 4 >= F.greatest(a, b) * 3)
 
 
-def _compare_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs across components of one pair of blocks that pass the sketch bound."""
-    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-    pdf = pdf.sort_values("class")
-    left = pdf[pdf["block"] == i]
-    right = pdf[pdf["block"] == j]
-    out_a, out_b = [], []
-    widths: dict[int, np.ndarray] = {}
-    size = right["sketch"].map(len).to_numpy()
-    n_r, comp_r, c_r = (right[k].to_numpy() for k in ("n", "comp", "class"))
-    for x, n, comp, c in zip(left["sketch"], left["n"], left["comp"], left["class"]):
-        p = np.frombuffer(x, np.uint8)
-        ok = (comp_r != comp) & (4 * np.minimum(n_r, n) >= 3 * np.maximum(n_r, n))
-        if i == j:
-            ok &= c_r > c
-        for w in set(size[ok].tolist()):
-            width = min(w, len(p))
-            at = np.flatnonzero(ok & (size == w))
-            if (w, width) not in widths:
-                widths[(w, width)] = {k: fold_to(np.frombuffer(s, np.uint8), width)
-                                      for k, s in enumerate(right["sketch"]) if len(s) == w}
-            rows = np.stack([widths[(w, width)][k] for k in at])
-            far = np.bitwise_count(rows ^ fold_to(p, width)).sum(axis=1)
-            hit = at[far <= (n + n_r[at]) // 7]
-            out_a += [min(c, o) for o in c_r[hit].tolist()]
-            out_b += [max(c, o) for o in c_r[hit].tolist()]
-    return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
-
-
 class JaccardJoin:
     """The join's stages over one input; see the module's text."""
 
@@ -195,63 +190,90 @@ class JaccardJoin:
                                 text_or_empty(F.col(text_col)).cast("binary").alias("text"))
         id_type = self.docs.schema["doc_id"].dataType.simpleString()
         self.rows = durable(self.docs.mapInPandas(
-            _described, f"doc_id {id_type}, n long, class long, check long, sketch binary"))
+            _described, f"doc_id {id_type}, n long, class long, check long, sketch binary, "
+            + ", ".join(f"{k} long" for k in SHORT)))
         self.classes = self.rows.where("n > 0").groupBy("class").agg(
             F.min("doc_id").alias("first_id"), F.first("n").alias("n"))
 
     def buckets(self) -> DataFrame:
-        """``(key, class, n, size, hot_here)`` of every key that several classes hold."""
-        from pyspark.sql import Window
-
-        keyed = self.docs.select("text").mapInPandas(_keyed, "key long, class long, n int")
+        """``(key, class, n, band, size)`` of every key that several classes hold."""
+        keyed = self.docs.select("text").mapInPandas(_keyed, "key long, class long, tag int")
         of = Window.partitionBy("key").orderBy("class")
         rows = keyed.repartition("key").withColumn("before", F.lag("class").over(of))
         rows = rows.where(F.col("before").isNull() | (F.col("before") != F.col("class")))
         rows = rows.withColumn("size", F.count("*").over(Window.partitionBy("key")))
-        return durable(rows.where("size > 1").select("key", "class", "n", "size"))
+        n = F.floor(F.col("tag") / 64).cast("int")
+        return durable(rows.where("size > 1").select("key", "class", n.alias("n"), (F.col("tag") % 64).alias("band"), "size"))
+
+    def texts_of(self, classes: DataFrame) -> DataFrame:
+        """``(class, text)`` of the given classes."""
+        ids = classes.join(self.classes, "class").select("class", F.col("first_id").alias("id"))
+        return self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id"))).select("class", "text")
+
+    def rare_buckets(self, heavy: DataFrame) -> DataFrame:
+        """Buckets of the heavy classes among themselves, by their rarest words.
+
+        Two of them share all but d of their occupied parts' words. With the words in
+        order of how many heavy classes hold them, the d + 1 rarest of both have one
+        in common; words that one class holds alone are the rarest and pair nothing.
+        """
+        keys = durable(self.texts_of(heavy).mapInPandas(
+            _all_keys, "key long, class long, n int, band int, occupied int").distinct())
+        release(keys.sparkSession)
+        sizes = durable(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+        own = Window.partitionBy("class", "band")
+        rows = keys.join(sizes, "key").withColumns({
+            "place": F.row_number().over(own.orderBy("size", "key")), "shared": F.count("*").over(own)})
+        d = F.floor((F.col("n") + F.floor(F.col("n") * 4 / 3)) / 7)
+        rows = rows.where(F.col("place") <= d + 1 - (F.col("occupied") - F.col("shared")))
+        return rows.select("key", "class", "n", "size")
 
     def useful(self, buckets: DataFrame) -> DataFrame:
-        """Without the hot keys of documents whose slack covers them all."""
+        """``(key, class, n, weight)``: the small buckets, and the heavy classes' rare ones.
+
+        ``weight`` says how common a class's words are: the centre of a group of near
+        copies has the largest.
+        """
         least = F.floor(F.floor(F.col("n") * 3 / 4) * 2 / 25)
-        hot = buckets.where(F.col("size") > HOT)
-        heavy = hot.groupBy("class").agg(F.count("*").alias("hot"), F.first("n").alias("n"))
-        heavy = heavy.where(F.col("hot") > least).select("class")
-        kept = hot.join(heavy, "class", "left_semi")
-        return durable(buckets.where(F.col("size") <= HOT).select("key", "class", "n", F.lit(False).alias("hot"))
-                       .union(kept.select("key", "class", "n", F.lit(True).alias("hot"))))
+        hot = buckets.where(F.col("size") > HOT).groupBy("class", "band").agg(
+            F.count("*").alias("hot"), F.first("n").alias("n"))
+        heavy = durable(hot.where(F.col("hot") > least).select("class").distinct())
+        weight = buckets.groupBy("class").agg((F.sum("size") / F.first("n")).alias("weight"))
+        small = buckets.where(F.col("size") <= HOT).select("key", "class", "n", "size")
+        rows = small.union(self.rare_buckets(heavy)).join(weight, "class")
+        return durable(rows.select("key", "class", "n", "weight"))
 
     def first_pairs(self, buckets: DataFrame) -> DataFrame:
-        """Each member with the smallest member of its bucket and size neighbourhood."""
-        lead = buckets.groupBy("key").agg(F.min(F.struct("class", "n")).alias("lead"))
+        """Each member with the most central member of its bucket."""
+        lead = buckets.groupBy("key").agg(F.max(F.struct("weight", "class", "n")).alias("lead"))
         pairs = buckets.join(lead, "key").where(
             (F.col("class") != F.col("lead.class")) & fits(F.col("n"), F.col("lead.n")))
-        return pairs.select(F.col("lead.class").alias("a"), F.col("class").alias("b")).distinct()
+        return pairs.select(F.least("lead.class", "class").alias("a"),
+                            F.greatest("lead.class", "class").alias("b")).distinct()
 
     def rest_pairs(self, buckets: DataFrame, labels: DataFrame) -> DataFrame:
-        """The pairs across components, of the buckets that hold several."""
+        """The pairs across components, of the buckets that hold several, within the short sketch's bound.
+
+        A bucket's largest component is not compared inside itself: one side of each
+        pair comes from the other components. The bound is part of the join, so it
+        emits near pairs only.
+        """
         lab = labels.select(F.col("node").alias("class"), "label")
         rows = buckets.join(lab, "class", "left").select(
-            "key", "class", "n", "hot", F.coalesce("label", "class").alias("comp"))
-        mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                        F.count("*").alias("size")).where("lo < hi").select("key", "size")
-        rows = durable(rows.join(mixed, "key"))
-        small = rows.where(~F.col("hot"))
-        x, y = small.alias("x"), small.alias("y")
-        direct = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class"))
-                        & (F.col("x.comp") != F.col("y.comp")) & fits(F.col("x.n"), F.col("y.n")))
-        direct = direct.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
-
-        blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-        large = rows.where("hot").withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
-        large = large.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        large = large.join(self.sketches(), "class").select(
-            "key", "class", "n", "comp", "block", "sketch",
-            F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        far = large.groupBy("key", "i", "j").applyInPandas(_compare_blocks, "a long, b long")
-        return direct.union(far).distinct()
-
-    def sketches(self) -> DataFrame:
-        return self.rows.where("n > 0").groupBy("class").agg(F.first("sketch").alias("sketch"))
+            "key", "class", "n", F.coalesce("label", "class").alias("comp"))
+        parts = rows.groupBy("key", "comp").agg(F.count("*").alias("m"))
+        mixed = parts.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"),
+                                         F.count("*").alias("comps")).where("comps > 1")
+        rows = rows.join(mixed.select("key", F.col("top.comp").alias("top")), "key")
+        short = self.rows.where("n > 0").dropDuplicates(["class"]).select("class", *SHORT)
+        rows = durable(rows.join(short, "class"))
+        x, y = rows.where("comp <> top").alias("x"), rows.alias("y")
+        far = sum((F.bit_count(F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}"))) for k in SHORT), F.lit(0))
+        found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
+                       & fits(F.col("x.n"), F.col("y.n"))
+                       & (far * 7 <= F.col("x.n") + F.col("y.n")))
+        return found.select(F.least("x.class", "y.class").alias("a"),
+                            F.greatest("x.class", "y.class").alias("b")).distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are linked: sketch bound first, then the exact sets."""
@@ -267,15 +289,12 @@ class JaccardJoin:
         release(kept.sparkSession)
 
         wanted = kept.select(F.col("a").alias("class")).union(kept.select("b")).distinct()
-        ids = wanted.join(self.classes, "class").select("class", F.col("first_id").alias("id"))
-        texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id"))).select("class", "text")
-        sets = durable(self.matching(texts))
+        sets = self.texts_of(wanted).mapInPandas(_sets, "class long, members binary")
+        sets = durable(sets)
+        release(kept.sparkSession)
         found = kept.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
         return durable(found.where(linked("set_a", "set_b")).select("a", "b"))
 
-    def matching(self, texts: DataFrame) -> DataFrame:
-        return texts.mapInPandas(_sets, "class long, members binary")
-
     def components(self) -> DataFrame:
         """``(node, label)`` of every class that has a link."""
         spark = self.docs.sparkSession
