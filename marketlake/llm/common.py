@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DataType
 
 # The six ASCII white-space characters of the contracts: U+0020, U+0009-U+000D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -70,6 +71,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def with_text_id(docs: DataFrame, id_col: str, text: Column) -> tuple[DataFrame, DataType]:
+    """``(doc_id, text)`` with the id as a string, and the id's type to cast back to.
+
+    A null would turn a column of whole numbers into floats in pandas.
+    """
+    kind = docs.select(F.col(id_col)).schema[0].dataType
+    return docs.select(F.col(id_col).cast("string").alias("doc_id"), text.alias("text")), kind
+
+
 def text_or_empty(col: Column) -> Column:
     """The text, null as empty, in whatever type the column came."""
     return F.coalesce(col.cast("string"), F.lit(""))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import ASCII_SPACE, durable, release, text_or_empty
+from .common import ASCII_SPACE, durable, release, text_or_empty, with_text_id
 from .components import connected_components
 
 MAX_EDITS = 2
@@ -161,7 +161,7 @@ def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     cols = list(zip(*rows)) if rows else [()] * len(names)
-    return pd.DataFrame({n: pd.Series(c, dtype=object) if n == "doc_id" else c for n, c in zip(names, cols)})
+    return pd.DataFrame({n: pd.Series(c, dtype=object if n in ("doc_id", "words") else None) for n, c in zip(names, cols)})
 
 
 def _new_lines(pdf: pd.DataFrame, seen: set[int], least: int) -> Iterator[tuple[int, str]]:
@@ -265,9 +265,9 @@ def dropped_lines(docs: DataFrame, t: int = MAX_EDITS, least: int = MIN_LENGTH,
     ``dropped`` holds the numbers of the document's lines that go (from 0, as split at
     line ends), ``n_near`` how many of them are no exact copy of the line that stays.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    placed = durable(docs.mapInPandas(_placed, f"doc_id {kind}, row long, at int, line long, check long"))
+    docs, kind = with_text_id(docs, id_col, text_or_empty(F.col(text_col)))
+    placed = docs.mapInPandas(_placed, "doc_id string, row long, at int, line long, check long")
+    placed = durable(placed.withColumn("doc_id", F.col("doc_id").cast(kind)))
     release(docs.sparkSession)
     labels = connected_components(line_links(docs, t, least))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "at", "line")

@@ -43,7 +43,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import durable, release, text_or_empty
+from .common import durable, release, text_or_empty, with_text_id
 from .components import connected_components
 from .shingles import fingerprint, fold_to, parity_sketch, parity_words, shingle_set, signed
 
@@ -186,12 +186,12 @@ class JaccardJoin:
     """The join's stages over one input; see the module's text."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-        self.docs = docs.select(F.col(id_col).alias("doc_id"),
-                                text_or_empty(F.col(text_col)).cast("binary").alias("text"))
-        id_type = self.docs.schema["doc_id"].dataType.simpleString()
-        self.rows = durable(self.docs.mapInPandas(
-            _described, f"doc_id {id_type}, n long, class long, check long, sketch binary, "
-            + ", ".join(f"{k} long" for k in SHORT)))
+        text = text_or_empty(F.col(text_col)).cast("binary")
+        as_text, kind = with_text_id(docs, id_col, text)
+        self.docs = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+        rows = as_text.mapInPandas(_described, "doc_id string, n long, class long, check long, sketch binary, "
+                                   + ", ".join(f"{k} long" for k in SHORT))
+        self.rows = durable(rows.withColumn("doc_id", F.col("doc_id").cast(kind)))
         self.classes = self.rows.where("n > 0").groupBy("class").agg(
             F.min("doc_id").alias("first_id"), F.first("n").alias("n"))
 

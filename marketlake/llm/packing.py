@@ -33,13 +33,13 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, with_text_id
 
 CAPACITY = 1024
 MAX_SEGMENTS = 64
 MIN_PIECE = 16
 BLOCK = 2048
-PIECES = ("doc_id {0}, start long, length long, ids_crc32 long, doc_tokens long, "
+PIECES = ("doc_id string, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long, loss_tokens long")
 
 
@@ -203,9 +203,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, capacity: int
         packer.pack(rests)
         yield flush()
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(packed, PIECES.format(kind))
+    rows, kind = with_text_id(docs, id_col, text_or_empty(F.col(text_col)))
+    return rows.mapInPandas(packed, PIECES).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def pack_examples(examples: DataFrame, limits: dict[str, int], id_col: str = "id",
@@ -223,12 +222,12 @@ def pack_examples(examples: DataFrame, limits: dict[str, int], id_col: str = "id
             for at in range(0, len(pdf), block):
                 part = pdf.iloc[at:at + block]
                 bins = pack_vectors(part[names].to_numpy(dtype=np.int64), most)
-                ids = part["id"].to_numpy()
+                ids = part["id"].to_numpy(dtype=object)
                 yield pd.DataFrame({"id": ids[[i for b in bins for i in b]],
                                     "sequence_id": [first + done + k for k, b in enumerate(bins) for _ in b]})
                 done += len(bins)
 
-    rows = examples.select(F.col(id_col).alias("id"),
+    kind = examples.select(F.col(id_col)).schema[0].dataType
+    rows = examples.select(F.col(id_col).cast("string").alias("id"),
                            *[F.coalesce(F.col(n).cast("long"), F.lit(0)).alias(n) for n in names])
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(packed, f"id {kind}, sequence_id long")
+    return rows.mapInPandas(packed, "id string, sequence_id long").withColumn("id", F.col("id").cast(kind))

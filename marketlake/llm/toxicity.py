@@ -208,7 +208,8 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     word.append(w)
                     context.append(f"{before} {after}")
                     label.append(y)
-        yield pd.DataFrame({"word": word, "context": context, "label": label})
+        yield pd.DataFrame({"word": pd.Series(word, dtype=object), "context": pd.Series(context, dtype=object),
+                            "label": pd.Series(label, dtype="int32")})
 
 
 def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
@@ -255,7 +256,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, label_col: str = "to
             for text, y in zip(pdf["text"], pdf["label"]):
                 if y == 0:
                     forms.update({plain(t) for t in set(text.split()) if (h := scorer.hit(t)) and h[1]})
-            yield pd.DataFrame({"form": list(forms)})
+            yield pd.DataFrame({"form": pd.Series(list(forms), dtype=object)})
 
     forms = sample.mapInPandas(near_terms, "form string").distinct().orderBy("form").limit(max_labelled)
     clean = frozenset(r["form"] for r in forms.collect())

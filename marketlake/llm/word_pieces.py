@@ -24,7 +24,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, with_text_id
 
 MEMO = 500_000
 SLICE = 1 << 20
@@ -162,6 +162,6 @@ def count_pieces(docs: DataFrame, begin: list[str], go_on: list[str], id_col: st
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": [o[0] for o in out],
                                 "n_pieces": [o[1] for o in out], "n_unknown": [o[2] for o in out]})
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col)).cast("binary").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(counted, f"doc_id {kind}, n_words long, n_pieces long, n_unknown long")
+    rows, kind = with_text_id(docs, id_col, text_or_empty(F.col(text_col)).cast("binary"))
+    out = rows.mapInPandas(counted, "doc_id string, n_words long, n_pieces long, n_unknown long")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -1,10 +1,5 @@
-import os
-import sys
-
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, "
           "size long, kept boolean, key string, label int, line string, score double, n int")
 

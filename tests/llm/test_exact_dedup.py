@@ -2,10 +2,11 @@ import hashlib
 import random
 import re
 
-from conftest_llm import sentence
 from marketlake.llm import exact_dedup as X
 from pyspark.sql import functions as F
 
+from .texts import sentence
+
 
 def expected(rows):
     groups = {}

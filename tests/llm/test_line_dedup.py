@@ -1,10 +1,11 @@
 import random
 
-from conftest_llm import sentence
 from hypothesis import given, settings, strategies as st
 from marketlake.llm import line_dedup as L
 from pyspark.sql import functions as F
 
+from .texts import sentence
+
 
 def distance(a, b):
     p = list(range(len(b) + 1))

@@ -2,11 +2,12 @@ import random
 
 import numpy as np
 import pytest
-from conftest_llm import sentence
 from hypothesis import given, settings, strategies as st
 from marketlake.llm import near_jaccard as J
 from marketlake.llm import shingles as S
 
+from .texts import sentence
+
 
 def word_sets(rows):
     out = []
