@@ -44,6 +44,8 @@ def main(argv=None) -> int:
     c = sub.add_parser("cdc")
     c.add_argument("--messages", help="folder of JSON message files")
     c.add_argument("--kafka", help="bootstrap servers (needs the Kafka connector)")
+    c.add_argument("--max-per-trigger", type=int, help="most Kafka messages of one batch")
+    c.add_argument("--accept-lost-offsets", action="store_true", help="go on where the broker has aged out offsets")
     c.add_argument("--out", required=True)
     c.add_argument("--checkpoint", required=True)
     c.add_argument("--trigger", default="available-now")
@@ -92,7 +94,7 @@ def main(argv=None) -> int:
         from .streaming import cdc_pipeline as P
 
         spark = _spark(a.master)
-        msgs = ST.kafka_messages(spark, a.kafka) if a.kafka else ST.file_messages(spark, a.messages)
+        msgs = ST.kafka_messages(spark, a.kafka, a.max_per_trigger, a.accept_lost_offsets) if a.kafka else ST.file_messages(spark, a.messages)
         import datetime as dt
 
         as_of = dt.datetime.fromisoformat(a.as_of) if a.as_of else None

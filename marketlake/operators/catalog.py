@@ -34,7 +34,8 @@ def expand_variants(products: DataFrame, options: DataFrame, items: DataFrame) -
     products: product_id (+ any columns, e.g. price and stock, carried over);
     options:  option_id, product_id (option position = option_id order);
     items:    item_id, option_id (item position = item_id order).
-    A product without options gets one default variant (all options null).
+    A product without options gets one default variant (all options null); one
+    with more than three is left out here and listed by :func:`option_rejects`.
     Output: product columns, option1..option3 (item ids) and ``combo``, the
     combination's ordinal (0-based, first option varies slowest).
     """
@@ -43,7 +44,7 @@ def expand_variants(products: DataFrame, options: DataFrame, items: DataFrame) -
     opts = options.join(per_option, "option_id", "inner").groupBy("product_id").agg(
         F.sort_array(F.collect_list(F.struct("option_id", "ids"))).alias("opts")
     )
-    j = products.join(opts, "product_id", "left")
+    j = products.join(opts, "product_id", "left").where(F.col("opts").isNull() | (F.size("opts") <= MAX_OPTIONS))
     combo = F.lit(0)
     for i in range(MAX_OPTIONS):
         arr = F.when(F.size("opts") > i, F.col("opts")[i]["ids"])
@@ -54,6 +55,12 @@ def expand_variants(products: DataFrame, options: DataFrame, items: DataFrame) -
     return j.drop("opts", *[f"_pos{i}" for i in range(MAX_OPTIONS)])
 
 
+def option_rejects(options: DataFrame) -> DataFrame:
+    """Products with more options than the rule allows, which have no variants."""
+    n = options.groupBy("product_id").agg(F.countDistinct("option_id").alias("n_options"))
+    return n.where(F.col("n_options") > MAX_OPTIONS).withColumn("reason", F.lit("more than three options"))
+
+
 # --------------------------------------------------------------- U4 / U5 ---
 def cascade_delete(deleted: DataFrame, children: dict[str, DataFrame], key: str = "product_id"
                    ) -> dict[str, DataFrame]:
@@ -86,7 +93,8 @@ def seller_product_ids(products: DataFrame, sellers: DataFrame, chunk: int = 1 <
     Arrays are built per (seller, id range of width ``chunk``) so no single
     array - and no single task - holds an unbounded group, even for a seller
     owning a third of the catalog; a seller with several ranges gets several
-    rows (``id_range``), which concatenated in range order give the full list.
+    rows. ``id_range`` is part of the result's key at every size; the rows of a
+    seller, concatenated in range order, give the full list.
     """
     pairs = seller_product_pairs(products).withColumn("id_range", F.floor(F.col("product_id") / chunk))
     arrays = pairs.groupBy("seller_id", "id_range").agg(
@@ -219,6 +227,8 @@ def product_card(products: DataFrame, variants: DataFrame, media: DataFrame, bas
 def price_range_semi(products: DataFrame, variants: DataFrame, min_price=None, max_price=None) -> DataFrame:
     """Products whose variants all lie in [min, max] (defaults 0, inf).
 
+    ``max_price`` 0 means no upper bound, as in the source.
+
     No range given -> no filter. With a range, products without variants drop.
     """
     if min_price is None and max_price is None:
@@ -226,7 +236,7 @@ def price_range_semi(products: DataFrame, variants: DataFrame, min_price=None, m
     lo = min_price or 0
     g = variants.groupBy("product_id").agg(F.min("price").alias("_lo"), F.max("price").alias("_hi"))
     g = g.filter(F.col("_lo") >= F.lit(lo))
-    if max_price is not None:
+    if max_price:
         g = g.filter(F.col("_hi") <= F.lit(max_price))
     return products.join(g.select("product_id"), "product_id", "left_semi")
 

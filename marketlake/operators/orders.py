@@ -5,6 +5,7 @@ whole batch of order requests is processed at once:
 
     lookup_lines      J8  line -> variant -> product -> seller, first failing reason
     running_demand    W4  cumulative quantity per variant in arrival order
+    allocate          W4  who gets stock, decided in rounds over whole batches
     validate_orders   U9  per-line checks, one bad line rejects its whole order
     price_orders      U8  captured price per line + order totals (A13, N17)
     decrement_stock   U10 stock minus accepted quantity
@@ -12,9 +13,9 @@ whole batch of order requests is processed at once:
     order_detail      U12 owner-restricted order with its item rows (J10, N18)
 
 Order-level flags use a grouped aggregate joined back (not a window over the
-order), and the running demand is a two-level prefix sum (per variant and
-day bucket, then within the bucket), so a variant holding a third of all
-lines is still split over many tasks.
+order), and running sums are two-level prefix sums (per variant and bucket of
+arrivals, then within the bucket), so a variant holding a third of all lines
+is still split over many tasks.
 """
 
 from __future__ import annotations
@@ -75,55 +76,100 @@ def running_demand(lines: DataFrame, key: str, order: Sequence[str], qty: str, b
     ).drop("_bucket", "_before", "_run")
 
 
+def _decide(state: DataFrame, bucket_bits: int) -> DataFrame:
+    """One round of :func:`allocate`: refused orders leave, accepted ones are marked."""
+    qty_in = F.when(F.col("_in"), F.col("qty")).otherwise(F.lit(0))
+    b = state.withColumn("_bucket", F.struct(F.col("ts"), F.shiftright("request_id", bucket_bits).alias("part")))
+    b = b.withColumn("_a", qty_in).withColumn("_u", F.col("qty") - F.col("_a"))
+    sums = b.groupBy("variant_id", "_bucket").agg(F.sum("_a").alias("sa"), F.sum("_u").alias("su"))
+    earlier = Window.partitionBy("variant_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("variant_id", "_bucket", F.coalesce(F.sum("sa").over(earlier), F.lit(0)).alias("sa"),
+                       F.coalesce(F.sum("su").over(earlier), F.lit(0)).alias("su"))
+    inside = Window.partitionBy("variant_id", "_bucket").orderBy("request_id").rowsBetween(
+        Window.unboundedPreceding, -1)
+    b = b.withColumn("_ra", F.coalesce(F.sum("_a").over(inside), F.lit(0)))
+    b = b.withColumn("_ru", F.coalesce(F.sum("_u").over(inside), F.lit(0)))
+    b = b.join(sums, ["variant_id", "_bucket"])
+    taken = F.col("qty") + F.col("sa") + F.col("_ra")
+    b = b.withColumn("_over", taken > F.col("stock"))
+    b = b.withColumn("_fits", taken + F.col("su") + F.col("_ru") <= F.col("stock"))
+    orders = b.where(~F.col("_in")).groupBy("request_id").agg(
+        F.bool_or("_over").alias("_refuse"), F.bool_and("_fits").alias("_accept"))
+    out = b.join(orders, "request_id", "left").where(~F.coalesce(F.col("_refuse"), F.lit(False)))
+    return out.select("request_id", "variant_id", "qty", "stock", "ts",
+                      (F.col("_in") | F.coalesce(F.col("_accept"), F.lit(False))).alias("_in"))
+
+
+def allocate(demand: DataFrame, bucket_bits: int = 12, rounds_per_cut: int = 2) -> DataFrame:
+    """Orders (``request_id``) that get stock when they are served in order of arrival.
+
+    demand: request_id, variant_id, qty, stock, ts; one row per order and variant,
+    served by (ts, request_id). An order takes stock only if all its rows fit, and a
+    refused order takes none. Decided in rounds over whole batches: an order is
+    accepted once its rows fit even if every earlier undecided order were accepted,
+    and refused once they do not fit after the accepted earlier ones. The
+    earliest undecided order is always decided, so the rounds end; they are as many as the
+    longest chain of decisions that hang on each other, not as many as orders.
+
+    Sums ahead of a row are built in two levels, per variant and bucket (arrival time
+    and a run of 2**bucket_bits request ids), then inside the bucket, so a variant that
+    holds a third of all rows, even of one day, is many tasks.
+    """
+    state = durable_cut(demand.withColumn("_in", F.lit(False)))
+    while not state.where(~F.col("_in")).isEmpty():
+        for _ in range(rounds_per_cut):
+            state = _decide(state, bucket_bits)
+        state = durable_cut(state)
+    return state.select("request_id").distinct()
+
+
 def validate_orders(lines: DataFrame, variants: DataFrame, products: DataFrame, sellers: DataFrame,
                     order_cols: Sequence[str] = ("order_ts", "request_id", "line_no"),
-                    cumulative: bool = True, bucket: Column | None = None,
-                    materialize: bool = True) -> DataFrame:
+                    cumulative: bool = True) -> DataFrame:
     """Per line ``line_error`` and per order ``accepted`` / ``order_error``.
 
-    Checks, first failing wins: lookup (J8), quantity in 1..100, stock.
-    ``cumulative=True`` compares the running demand on the variant with its
-    stock (W4); ``False`` reproduces the per-line check (defect B13).
-    In cumulative mode an order failing lookup/quantity adds no demand; an
-    order rejected for stock still counts toward later orders' demand (the
-    set-based form cannot release it without replaying orders one by one).
-
-    The looked-up lines feed four branches (order flags, bucket totals,
-    running sums, first error); with ``materialize`` they are written once
-    to the session's checkpoint folder (a reliable checkpoint that survives
-    executor loss) instead of re-running the lookup joins per branch.
+    Checks: lookup (J8), quantity in 1..100, stock. One bad line rejects its order,
+    and the first line that fails lookup or quantity names the reason, else stock does.
+    ``cumulative=True`` serves orders in order of arrival (W4, :func:`allocate`): a
+    line lacks stock when the order's quantity of its variant exceeds what the
+    accepted earlier orders left. ``False`` reproduces the per-line check (defect B13).
+
+    The looked-up lines feed several branches, so they are written once to the
+    session's checkpoint folder.
     """
     j = lookup_lines(lines, variants, products, sellers)
     static = (
         F.when(F.col("lookup_error").isNotNull(), F.col("lookup_error"))
         .when(~F.col("quantity").between(MIN_QTY, MAX_QTY), F.lit("quantity out of range"))
     )
-    j = j.withColumn("_static", static)
-    if materialize:
-        j = durable_cut(j)
-    if cumulative:
-        # orders already failing a static check never reach the stock step,
-        # so their lines add no demand for later orders
-        ok = j.groupBy("request_id").agg((F.count_if(F.col("_static").isNotNull()) == 0).alias("_static_ok"))
-        j = j.join(ok, "request_id", "inner").withColumn(
-            "_eff_qty", F.when(F.col("_static_ok"), F.col("quantity")).otherwise(F.lit(0)))
-        bkt = bucket if bucket is not None else F.to_date(F.col(order_cols[0]))
-        j = running_demand(j, "variant_id", list(order_cols), "_eff_qty", bkt).drop("_static_ok", "_eff_qty")
-        short = F.col("demand") > F.col("stock")
+    j = durable_cut(j.withColumn("_static", static))
+    first_static = F.min_by("_static", F.when(F.col("_static").isNotNull(), F.struct(*order_cols[1:])))
+    if not cumulative:
+        short = F.col("_static").isNull() & (F.col("stock") < F.col("quantity"))
+        j = j.withColumn("_short", short)
+        per_order = j.groupBy("request_id").agg(first_static.alias("_why"), F.bool_or("_short").alias("_no_stock"))
     else:
-        short = F.col("stock") < F.col("quantity")
-    err = F.when(F.col("_static").isNotNull(), F.col("_static")).when(short, F.lit("insufficient stock"))
-    j = j.withColumn("line_error", err).drop("_static")
-    # first failing line of each order, by line order (min_by = partial aggregate)
-    per_order = j.groupBy("request_id").agg(
-        F.min_by(F.col("line_error"), F.when(F.col("line_error").isNotNull(), F.struct(*order_cols[1:])))
-        .alias("order_error"),
-        F.count_if(F.col("line_error").isNotNull()).alias("_bad"),
-    )
-    per_order = per_order.select(
-        "request_id", (F.col("_bad") == 0).alias("accepted"),
-        F.when(F.col("_bad") > 0, F.col("order_error")).alias("order_error"),
-    )
+        checked = j.groupBy("request_id").agg(first_static.alias("_why"))
+        ok = checked.where(F.col("_why").isNull()).select("request_id")
+        demand = j.join(ok, "request_id", "left_semi").groupBy("request_id", "variant_id").agg(
+            F.sum("quantity").alias("qty"), F.first("stock").alias("stock"), F.min(order_cols[0]).alias("ts"))
+        demand = durable_cut(demand)
+        served = allocate(demand).withColumn("_ok", F.lit(True))
+        taken = demand.join(served, "request_id", "left").withColumn(
+            "_taken", F.when(F.col("_ok"), F.col("qty")).otherwise(F.lit(0)))
+        taken = running_demand(taken, "variant_id", ["ts", "request_id"], "_taken",
+                               F.struct(F.col("ts"), F.shiftright("request_id", 12).alias("part")))
+        # the running sum holds the order's own share when it was accepted
+        short = F.col("demand") - F.col("_taken") + F.col("qty") > F.col("stock")
+        short = taken.select("request_id", "variant_id", short.alias("_short"))
+        per_order = checked.join(served, "request_id", "left").select(
+            "request_id", "_why", F.col("_ok").isNull().alias("_no_stock"))
+        j = j.join(short, ["request_id", "variant_id"], "left")
+    j = j.withColumn("line_error", F.coalesce(F.col("_static"), F.when(
+        F.col("_short"), F.lit("insufficient stock")))).drop("_static", "_short")
+    bad = F.col("_why").isNotNull() | F.col("_no_stock")
+    per_order = per_order.select("request_id", (~bad).alias("accepted"), F.when(
+        bad, F.coalesce(F.col("_why"), F.lit("insufficient stock"))).alias("order_error"))
     return j.join(per_order, "request_id", "inner")
 
 

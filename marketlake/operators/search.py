@@ -28,7 +28,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..partitioning import spread
 
 # BM25 parameters of the engine's default similarity.
 K1, B = 1.2, 0.75
@@ -131,7 +130,6 @@ def search(docs: DataFrame, queries: DataFrame, id_col: str = "id",
     """
     if min_rating is not None and not 0 <= min_rating <= 5:
         raise ValueError("min_rating must be within 0..5")
-    docs = spread(docs)
     q = queries.filter(F.length(F.trim("query")) >= MIN_QUERY_LEN)
     qt = query_terms(q)
     # statistics (N, avgdl, df) come from the whole index; filters only

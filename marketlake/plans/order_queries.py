@@ -113,14 +113,28 @@ _BASE = """
          FROM j),
   so AS (SELECT request_id, count(*) FILTER (WHERE static_error IS NOT NULL) = 0 AS static_ok FROM e0
          GROUP BY request_id),
-  d AS (SELECT e0.*, sum(CASE WHEN so.static_ok THEN quantity ELSE 0 END) OVER (PARTITION BY variant_id
-                    ORDER BY order_ts, request_id, line_no, variant_id, line_key
-                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS demand
-        FROM e0 JOIN so USING (request_id)),
-  e AS (SELECT *, coalesce(static_error, CASE WHEN demand > stock THEN 'insufficient stock' END) AS line_error
-        FROM d),
-  ord AS (SELECT request_id, count(*) FILTER (WHERE line_error IS NOT NULL) = 0 AS accepted FROM e
-          GROUP BY request_id),
+  why AS (SELECT request_id, arg_min(static_error, (line_no, variant_id, line_key)) FILTER (WHERE static_error IS NOT NULL)
+                 AS static_error FROM e0 GROUP BY request_id),
+  need AS (SELECT request_id, variant_id, sum(quantity) AS q, min(stock) AS stock, min(order_ts) AS ts
+           FROM e0 JOIN so USING (request_id) WHERE so.static_ok GROUP BY 1, 2),
+  -- replay in order of arrival; an order that exceeds a whole stock by itself can be left out beforehand
+  able AS (SELECT request_id, min(ts) AS ts FROM need GROUP BY 1 HAVING bool_and(q <= stock)),
+  slots AS (SELECT variant_id, stock, row_number() OVER (ORDER BY variant_id) AS slot
+            FROM (SELECT DISTINCT variant_id, stock FROM need)),
+  queue AS (SELECT row_number() OVER (ORDER BY a.ts, request_id) AS i, request_id,
+                   list(slot) AS at, map(list(slot), list(CAST(q AS BIGINT))) AS want
+            FROM able a JOIN need USING (request_id) JOIN slots USING (variant_id) GROUP BY request_id, a.ts),
+  served(i, request_id, given, rest) AS (
+    SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), FALSE, (SELECT list(CAST(stock AS BIGINT) ORDER BY slot) FROM slots)
+    UNION ALL
+    SELECT i, request_id, given,
+           CASE WHEN given THEN list_transform(rest, lambda x, k: x - coalesce(want[k], 0)) ELSE rest END
+    FROM (SELECT o.i, o.request_id, o.want, s.rest,
+                 list_bool_and(list_transform(o.at, lambda k: s.rest[k] >= o.want[k])) AS given
+          FROM served s JOIN queue o ON o.i = s.i + 1)),
+  ord AS (SELECT why.request_id, why.static_error, coalesce(s.given, FALSE) AS accepted
+          FROM why LEFT JOIN served s ON s.request_id = why.request_id),
+  e AS (SELECT * FROM e0),
   acc AS (SELECT e.* FROM e JOIN ord USING (request_id) WHERE ord.accepted),
   tot AS (SELECT request_id AS order_id, CAST(sum(quantity * price) AS DECIMAL(12,2)) AS total_amount,
                  count(*) AS n_items, CAST(sum(quantity) AS BIGINT) AS n_units
@@ -128,20 +142,18 @@ _BASE = """
 """
 
 ORDER_SQL = {
-    "validate_orders": f"""WITH {_BASE}
+    "validate_orders": f"""WITH RECURSIVE {_BASE}
 SELECT order_id, accepted, order_error, count(*) AS n_lines FROM (
   SELECT e.request_id AS order_id, ord.accepted,
-         CASE WHEN NOT ord.accepted THEN first_err.order_error END AS order_error
-  FROM e JOIN ord USING (request_id)
-  LEFT JOIN (SELECT request_id, arg_min(line_error, (line_no, variant_id, line_key)) AS order_error
-             FROM e WHERE line_error IS NOT NULL GROUP BY request_id) first_err USING (request_id))
+         CASE WHEN NOT ord.accepted THEN coalesce(ord.static_error, 'insufficient stock') END AS order_error
+  FROM e JOIN ord USING (request_id))
 GROUP BY order_id, accepted, order_error""",
-    "priced_orders": f"""WITH {_BASE}
+    "priced_orders": f"""WITH RECURSIVE {_BASE}
 SELECT order_id, CAST(total_amount AS DOUBLE) AS total_amount, n_items, n_units, 'created' AS status FROM tot""",
-    "stock_after_orders": f"""WITH {_BASE}
+    "stock_after_orders": f"""WITH RECURSIVE {_BASE}
 SELECT v.variant_id, CAST(v.stock - coalesce(t.q, 0) AS INTEGER) AS stock
 FROM v LEFT JOIN (SELECT variant_id, sum(quantity) AS q FROM acc GROUP BY 1) t USING (variant_id)""",
-    "apply_payments": f"""WITH {_BASE},
+    "apply_payments": f"""WITH RECURSIVE {_BASE},
   pay AS (SELECT o.o_orderkey AS order_id, o.o_custkey AS user_id, tot.total_amount,
                  tot.order_id IS NULL AS missing,
                  tot.order_id IS NOT NULL AND o.o_orderkey % 3 <> 2 AS ok

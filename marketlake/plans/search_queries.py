@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ..operators import catalog as CAT
 from ..operators import search as S
 from ..sources.catalog import ORACLE_CATALOG_CTES, Catalog
-from ..partitioning import spread
 from ..sources.testdata import Star
 
 # The product search request of the registered query.
@@ -47,7 +46,7 @@ def search_products_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_docs(star: Star) -> DataFrame:
-    d = spread(star.raw("documents"))
+    d = star.raw("documents").repartition("doc_id")
     return d.select(
         F.col("doc_id").alias("id"),
         F.substring_index(F.col("text"), "\n", 1).alias("name"),

@@ -9,8 +9,8 @@ the settings below are what the plans are designed around:
   a hot key is split (skew join), tiny shuffle partitions are coalesced.
 * The runtime bloom filter lets a selective ``orders`` filter prune the
   ``order_items`` side before it is shuffled.
-* ``spark.checkpoint.dir`` is read from the cluster; only when it is unset
-  (tests, laptop) do we point it at a scratch folder.
+* ``spark.checkpoint.dir`` is read from the cluster; only a local master, whose
+  tasks share the driver's disk, gets a scratch folder when it is unset.
 """
 
 from __future__ import annotations
@@ -57,7 +57,6 @@ def build_session(
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -65,7 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/object store)
-    folder and is left alone. Tests and laptops get a fresh scratch folder.
+    folder and is left alone; without it, only a local master gets a scratch
+    folder, any other is an error, for executors could not share the driver's disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -73,6 +73,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="marketlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
@@ -84,12 +86,5 @@ def durable_cut(df, spark: SparkSession | None = None):
     Survives executor loss (unlike a local checkpoint, whose blocks live on
     the executors that computed them).
     """
-    spark = spark or df.sparkSession
-    try:
-        ensure_checkpoint_dir(spark)
-        return df.checkpoint(eager=True)
-    except Exception as e:  # e.g. a client session without RDD checkpoints
-        import warnings
-
-        warnings.warn(f"checkpoint unavailable ({type(e).__name__}); keeping the lineage")
-        return df
+    ensure_checkpoint_dir(spark or df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import TOPIC_PREFIX
-from ..partitioning import spread
 
 # Event type -> change operation on the users topic.
 EVENT_OPS = {"signup": "c", "purchase": "u", "view": "u", "click": "u", "error": "d"}
@@ -64,7 +63,7 @@ def snapshot_messages(star, table: str) -> DataFrame:
                         created_at=iso_text(F.col("order_date")))
         return o.select(*_message(table, F.col("order_id"), r, after, None, F.col("order_id")))
     if table == "order_items":
-        li = spread(star.raw("lineitem"))
+        li = star.raw("lineitem").repartition("l_orderkey")  # JSON encoding is CPU-bound
         # Line items have no single-column key (even order/line/part/supplier
         # repeats), so the line id - and the message offset - hash the whole row.
         key = F.xxhash64(*li.columns)
@@ -97,7 +96,7 @@ def snapshot_messages(star, table: str) -> DataFrame:
 
 def event_messages(events: DataFrame) -> DataFrame:
     """``events`` as a change stream of ``users`` (offset = event id)."""
-    events = spread(events)
+    events = events.repartition("event_id")  # JSON encoding is CPU-bound
     op = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in EVENT_OPS.items()],
                     F.lit("u"))
     ts = iso_text(F.col("ts"))

@@ -113,19 +113,54 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={int(batch_id)}")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path exists, asked of its own file system; other errors are raised."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest complete snapshot of a document collection, None before the first."""
+    newest = newest_version(spark, path)
+    return None if newest is None else spark.read.parquet(f"{path.rstrip('/')}/version={newest}")
+
+
+def newest_version(spark: SparkSession, path: str, prefix: str = "version=") -> int | None:
+    """Highest ``<prefix>N`` folder that was written to its end (a listing, no scan)."""
+    sc = spark.sparkContext
+    hadoop = sc._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return None
+    found = [int(st.getPath().getName()[len(prefix):]) for st in fs.listStatus(root)
+             if st.isDirectory() and st.getPath().getName().startswith(prefix)
+             and fs.exists(hadoop.Path(st.getPath(), "_SUCCESS"))]
+    return max(found, default=None)
+
+
 def upsert_documents(docs: DataFrame, path: str, key: str = "id", order=("etl_updated_at",)) -> None:
-    """One document per key (latest wins), written as a new snapshot."""
+    """Merge a batch into a collection: one document per key, the latest wins.
+
+    Documents that are not in the batch stay. The merged collection is a new
+    ``version=N`` folder, so a failed write leaves the previous one in use.
+    """
     from ..operators.versioned import latest_version
 
-    latest_version(docs, [key], list(order)).write.mode("overwrite").parquet(path)
+    spark = docs.sparkSession
+    stored = read_documents(spark, path)
+    rows = docs if stored is None else stored.unionByName(docs, allowMissingColumns=True)
+    number = 0 if stored is None else newest_version(spark, path) + 1
+    latest_version(rows, [key], list(order)).write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={number}")
 
 
-def is_empty_table(spark: SparkSession, path: str) -> bool:
-    """True when the table at ``path`` is missing or has no rows."""
-    try:
-        return spark.read.parquet(path).limit(1).isEmpty()
-    except Exception:  # missing path
-        return True
+def is_empty_table(spark: SparkSession, path: str, fmt: str = "parquet") -> bool:
+    """True when nothing exists at ``path`` or the table there has no rows.
+
+    A target that exists and cannot be read is an error, never "empty".
+    """
+    return not path_exists(spark, path) or spark.read.format(fmt).load(path).limit(1).isEmpty()
 
 
 def bootstrap(spark: SparkSession, df: DataFrame, path: str) -> bool:
@@ -137,8 +172,7 @@ def bootstrap(spark: SparkSession, df: DataFrame, path: str) -> bool:
 
 
 def read_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """Read a table with its fixed schema (empty frame when missing)."""
-    try:
-        return spark.read.schema(schemas.struct(ddl)).parquet(path)
-    except Exception:
+    """Read a table with its fixed schema; an empty frame only when it was never written."""
+    if not path_exists(spark, path):
         return schemas.empty(spark, ddl)
+    return spark.read.schema(schemas.struct(ddl)).parquet(path)

@@ -20,27 +20,35 @@ from .. import schemas
 from ..functions import registry as REG
 from ..functions import text as TX
 
-# The source consumer's batch size and poll interval.
-MAX_MESSAGES_PER_BATCH = 100
+# The source consumer's batch size and poll interval (for runs that mirror it).
+SOURCE_BATCH_SIZE = 100
 POLL_INTERVAL = "1 second"
 
 
-def kafka_options(bootstrap: str, max_per_trigger: int = MAX_MESSAGES_PER_BATCH,
-                  pattern: str = TX.TOPIC_SUBSCRIBE_PATTERN) -> dict[str, str]:
-    """Reader options of the capture-topic subscription."""
-    return {
+def kafka_options(bootstrap: str, max_per_trigger: int | None = None,
+                  pattern: str = TX.TOPIC_SUBSCRIBE_PATTERN, accept_lost_offsets: bool = False) -> dict[str, str]:
+    """Reader options of the capture-topic subscription.
+
+    A batch takes what has arrived unless ``max_per_trigger`` bounds it. Offsets
+    that the broker has aged out stop the stream; ``accept_lost_offsets`` is the
+    explicit way to go on without them.
+    """
+    options = {
         "kafka.bootstrap.servers": bootstrap,
         "subscribePattern": pattern,
         "startingOffsets": "earliest",
-        "maxOffsetsPerTrigger": str(max_per_trigger),
-        "failOnDataLoss": "false",
+        "failOnDataLoss": "false" if accept_lost_offsets else "true",
     }
+    if max_per_trigger is not None:
+        options["maxOffsetsPerTrigger"] = str(max_per_trigger)
+    return options
 
 
-def kafka_messages(spark: SparkSession, bootstrap: str, max_per_trigger: int = MAX_MESSAGES_PER_BATCH) -> DataFrame:
+def kafka_messages(spark: SparkSession, bootstrap: str, max_per_trigger: int | None = None,
+                   accept_lost_offsets: bool = False) -> DataFrame:
     """Streaming messages from Kafka (needs the Kafka connector)."""
     r = spark.readStream.format("kafka")
-    for k, v in kafka_options(bootstrap, max_per_trigger).items():
+    for k, v in kafka_options(bootstrap, max_per_trigger, accept_lost_offsets=accept_lost_offsets).items():
         r = r.option(k, v)
     return r.load().select(
         "topic", F.col("partition").cast("int").alias("partition"), F.col("offset").cast("bigint").alias("offset"),

@@ -19,6 +19,7 @@ shared folders given by the caller (never a machine-local path on a cluster).
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,8 +34,6 @@ from ..sources.versioned_star import VersionedStar, newest_snapshot
 
 # Snapshot layout: orders by day, so report time windows prune partitions.
 SNAPSHOT_PARTITIONS = {"orders": ("order_date",)}
-# Above this many topic partitions in one batch the ledger probe uses a join.
-MAX_LITERAL_RANGES = 256
 
 ROLLUPS = {
     "mv_top_sellers_month": R.mv_top_sellers_month,
@@ -71,32 +70,19 @@ class CdcJob:
     def _seen(self, spark: SparkSession, msgs: DataFrame, batch_id: int) -> DataFrame:
         """Ledger rows in the offset range of this batch (other batch ids only).
 
-        The batch's (topic, partition) offset bounds - one row per topic
-        partition, so bounded by the topic layout, not the data - become a
-        literal predicate that Parquet pushes down (row groups outside the
-        ranges are skipped), so the growing ledger is not scanned in full.
+        The batch's offset bounds, one row per topic partition, join the ledger
+        (Spark broadcasts them while they are small), so only ledger rows inside
+        the ranges reach the anti-join.
         """
         ledger = read_table(spark, self.ledger_path, schemas.LEDGER + ", batch_id bigint")
         ledger = ledger.filter(F.col("batch_id") != F.lit(batch_id))
         bounds = msgs.groupBy("topic", "partition").agg(F.min("offset").alias("lo"), F.max("offset").alias("hi"))
-        rows = bounds.limit(MAX_LITERAL_RANGES + 1).collect()
-        if not rows:
-            return ledger.limit(0)
-        if len(rows) <= MAX_LITERAL_RANGES:
-            pred = None
-            for r in rows:
-                p = ((F.col("topic") == r.topic) & (F.col("partition") == r.partition)
-                     & F.col("offset").between(r.lo, r.hi))
-                pred = p if pred is None else pred | p
-            return ledger.filter(pred)
-        # very many topic partitions: a broadcast join on the (bounded) bounds
-        return ledger.join(F.broadcast(bounds), ["topic", "partition"], "inner").filter(
-            F.col("offset").between(F.col("lo"), F.col("hi"))
-        )
+        return ledger.join(bounds, ["topic", "partition"]).where(
+            F.col("offset").between(F.col("lo"), F.col("hi")))
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        msgs = CDC.dedup_replays(batch.select("topic", "partition", "offset", "value"))
+        msgs = CDC.dedup_replays(batch.select("topic", "partition", "offset", "value")).persist()
         new = CDC.unseen(msgs, self._seen(spark, msgs, batch_id)).persist()
         decoded = CDC.decode(new, self.tables).persist()
         try:
@@ -122,6 +108,7 @@ class CdcJob:
         finally:
             decoded.unpersist()
             new.unpersist()
+            msgs.unpersist()
 
     # R5 --------------------------------------------------------------------
     def versioned(self, spark: SparkSession) -> VersionedStar:
@@ -155,14 +142,41 @@ class CdcJob:
     # R6 --------------------------------------------------------------------
     def rebuild_months(self, spark: SparkSession, decoded: DataFrame) -> None:
         """Recompute the month roll-ups only for months touched by this batch."""
-        touched = CDC.to_table(decoded, "orders", F.current_timestamp()).select(
-            F.trunc("order_date", "month").alias("month")).where(F.col("month").isNotNull()).distinct()
-        star = _MonthStar(self.versioned(spark), touched)
+        versioned = self.versioned(spark)
+        star = _MonthStar(versioned, self.touched_months(versioned, decoded))
         for name, fn in ROLLUPS.items():
             fn(star, as_of=self.as_of).write.mode("overwrite").option(
                 "partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{self.out}/rollups/{name}")
 
 
+    def touched_months(self, star: VersionedStar, decoded: DataFrame) -> DataFrame:
+        """Months whose roll-ups this batch can change.
+
+        Changed orders name their month; changed items, products, sellers and users
+        reach the months of the orders they belong to, however old these are.
+        """
+        changed = {t: CDC.to_table(decoded, t, F.current_timestamp()) for t in self.tables}
+        dates = []
+        if "orders" in changed:
+            dates.append(changed["orders"].select("order_date"))
+        orders, items = star.orders(), star.order_items()
+        touched = []
+        if "order_items" in changed:
+            touched.append(changed["order_items"].select("order_id"))
+        for t, key in (("products", "product_id"), ("sellers", "seller_id")):
+            if t in changed:
+                touched.append(items.join(changed[t].select(key).distinct(), key, "left_semi").select("order_id"))
+        if "users" in changed:
+            touched.append(orders.join(changed["users"].select("user_id").distinct(), "user_id", "left_semi")
+                           .select("order_id"))
+        for ids in touched:
+            dates.append(orders.join(ids.distinct(), "order_id", "left_semi").select("order_date"))
+        if not dates:
+            return orders.limit(0).select(F.trunc("order_date", "month").alias("month"))
+        days = functools.reduce(DataFrame.unionAll, dates)
+        return days.select(F.trunc("order_date", "month").alias("month")).where("month is not null").distinct()
+
+
 class _MonthStar:
     """Star whose orders are restricted to the given months (all history)."""
 
@@ -174,7 +188,7 @@ class _MonthStar:
 
     def orders(self) -> DataFrame:
         o = self._star.orders()
-        m = F.broadcast(self._months)  # one row per touched month: bounded by the calendar
+        m = self._months
         return o.join(m, F.trunc(F.col("order_date"), "month") == m["month"], "left_semi")
 
 
