@@ -9,6 +9,8 @@ is ASCII, Python's is Unicode); non-ASCII digits are removed.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -137,33 +139,40 @@ def description_default(c, name=None) -> Column:
 def connect_decimal(c, scale: int, precision: int = 38) -> Column:
     """Decode a base64 big-endian two's-complement unscaled integer.
 
-    ``AYaf`` scale 2 -> 999.99; ``/w==`` scale 0 -> -1. Works for values up
-    to 8 bytes wide (the connector's NUMERIC(10/12, 2) columns).
+    ``AYaf`` scale 2 -> 999.99; ``/w==`` scale 0 -> -1. Values of up to 8 bytes
+    (the connector's NUMERIC(10/12, 2) columns); null for a wider one.
     """
     raw = F.unbase64(_c(c))
     nbytes = F.octet_length(raw)
     unsigned = F.conv(F.hex(raw), 16, 10).cast("decimal(38,0)")
     negative = (F.conv(F.substring(F.hex(raw), 1, 1), 16, 10).cast("int") >= 8)
     # two's complement: subtract 2^(8*n) when the top bit is set
-    span = F.pow(F.lit(2.0), nbytes * 8).cast("decimal(38,0)")
+    span = F.get(F.array(*[F.lit(Decimal(1 << 8 * n)).cast("decimal(38,0)") for n in range(9)]), nbytes)
     signed = F.when(negative, unsigned - span).otherwise(unsigned)
-    return (signed / F.pow(F.lit(10), F.lit(scale)).cast("decimal(38,0)")).cast(
-        f"decimal({precision},{scale})"
-    )
+    value = (signed / F.pow(F.lit(10), F.lit(scale)).cast("decimal(38,0)")).try_cast(f"decimal({precision},{scale})")
+    return F.when(nbytes.between(1, 8), value)
 
 
-# Fixed value: text shape of a base64 value (length a multiple of 4).
+# Text shapes of a base64 value (length a multiple of 4) and of a plain number.
 BASE64_TEXT = r"^[A-Za-z0-9+/]+={0,2}$"
+PLAIN_NUMBER = r"^\s*[+-]?[0-9]+(\.[0-9]*)?\s*$"
 
 
 def money_from_connector(c, scale: int = 2, precision: int = 10) -> Column:
     """Numeric columns arrive base64-encoded under the connector's
-    default decimal mode; decode those (N23) and fall back to N1 for plain
-    numeric text (e.g. a connector configured with string decimals).
+    default decimal mode; decode those (N23) and read plain numbers by N1 (e.g.
+    a connector configured with string decimals). Null or '' is 0; anything else is
+    null, see :func:`money_from_connector_reject`.
     """
     c = _c(c).cast("string")
-    is_b64 = c.rlike(BASE64_TEXT) & (F.length(c) % 4 == 0) & ~c.rlike(r"^[0-9]+$")
-    return F.when(is_b64, connect_decimal(c, scale, precision)).otherwise(clean_money_digits(c, precision, scale))
+    plain = _blank(c) | c.rlike(PLAIN_NUMBER)
+    is_b64 = c.rlike(BASE64_TEXT) & (F.length(c) % 4 == 0)
+    return F.when(plain, clean_money_digits(c, precision, scale)).when(is_b64, connect_decimal(c, scale, precision))
+
+
+def money_from_connector_reject(c, scale: int = 2, precision: int = 10) -> Column:
+    c = _c(c).cast("string")
+    return ~_blank(c) & money_from_connector(c, scale, precision).isNull()
 
 
 # N24 ------------------------------------------------------------------------

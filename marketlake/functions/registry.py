@@ -90,7 +90,7 @@ TABLE_MAPPINGS: dict[str, TableMapping] = {
     "payments": TableMapping("payments", [
         FieldSpec("id", "payment_id", "bigint"),
         FieldSpec("order_id", "order_id", "bigint"),
-        FieldSpec("amount", "amount", "decimal(10,2)", C.clean_money_digits, C.clean_money_digits_reject),
+        FieldSpec("amount", "amount", "decimal(10,2)", C.money_from_connector, C.money_from_connector_reject),
         FieldSpec("currency", "currency", "string", C.normalize_currency),
         FieldSpec("status", "status", "string"),
         FieldSpec("payment_method", "payment_method", "string"),
@@ -122,12 +122,13 @@ def register_transform(table: str, source: str, transform: Transform,
 NUMERIC_SOURCE_FIELDS = {("payments", "amount"): 2}
 
 
-def use_connector_decimals() -> None:
-    """Decode base64 NUMERIC values (N23) in the mapped numeric fields,
-    keeping N1 for plain text."""
-    for (table, source), scale in NUMERIC_SOURCE_FIELDS.items():
-        register_transform(table, source, lambda c, s=scale: C.money_from_connector(c, s),
-                           lambda c, s=scale: c.isNotNull() & (c != "") & C.money_from_connector(c, s).isNull())
+def use_plain_decimals() -> None:
+    """For a connector that sends NUMERIC as text: clean every value with N1 and decode none.
+
+    By default the mapped NUMERIC fields decode the connector's base64 (N23).
+    """
+    for table, source in NUMERIC_SOURCE_FIELDS:
+        register_transform(table, source, C.clean_money_digits, C.clean_money_digits_reject)
 
 
 def reset_transforms() -> None:

@@ -18,11 +18,12 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as TX
+from ..session import durable_cut
 
 MAX_OPTIONS = 3  # fixed value: a product has at most three options
 
@@ -302,6 +303,24 @@ def visible_products(products: DataFrame, status: str | None = None, seller_id=N
 
 
 # --------------------------------------------------------------- T4 / T5 ---
+def numbered_pages(df: DataFrame, limit: int = 12, order: Sequence[str] = ("product_id",)) -> DataFrame:
+    """T4 in batch: every row with its ``page_no``, in one pass over the sorted table.
+
+    Rows are dealt by range of the order, so each task numbers its own range; the
+    rows ahead of a range are a sum over one count per range. For deep pages, where
+    :func:`paginate` would gather page x limit rows.
+    """
+    ranged = durable_cut(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    ranged = ranged.withColumn("_range", F.spark_partition_id())
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    rows = ranged.withColumn("_place", place).join(counts, "_range")
+    page = F.floor((F.col("_ahead") + F.col("_place")) / F.lit(limit)) + 1
+    return rows.withColumn("page_no", page.cast("bigint")).drop("_range", "_place", "_ahead")
+
+
 def paginate(df: DataFrame, page: int = 1, limit: int = 12, order: Sequence[str] = ("product_id",),
              max_limit: int = 100) -> DataFrame:
     """T4: one page (stable order) with total, page, limit and pages columns.

@@ -9,8 +9,24 @@ from ..operators import quality as Q
 from ..sources.catalog import ORACLE_CATALOG_CTES, Catalog
 from ..sources.testdata import Star
 
-# Raw TPC-style order status letters accepted by the adapter.
-RAW_ORDER_STATUS = ("F", "O", "P")
+# The driver's tables are clean, so the checks run over tables in which a rule's rows
+# are damaged by key: every n-th key breaks it, for these n.
+N_ORDER, N_PART, N_SUPPLIER, N_CUSTOMER, N_EVENT, N_LABEL = 97, 89, 13, 83, 79, 7
+AWAY = 1_000_000_000  # added to a key, it has no parent
+
+
+def _hit(key: str, n: int):
+    return F.pmod(F.col(key), F.lit(n)) == 0
+
+
+def _orphaned(df: DataFrame, **every: int) -> DataFrame:
+    """Each n-th value of the given key columns points nowhere."""
+    return df.withColumns({c: F.when(_hit(c, n), F.col(c) + AWAY).otherwise(F.col(c)) for c, n in every.items()})
+
+
+def _blanked(df: DataFrame, key: str, n: int, *cols: str) -> DataFrame:
+    """Rows of each n-th key miss the given values."""
+    return df.withColumns({c: F.when(~_hit(key, n), F.col(c)) for c in cols})
 
 
 def duplicate_line_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,14 +38,17 @@ def duplicate_line_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def foreign_key_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2: orphan counts for every reference of the star."""
     s = Star(spark, sf_dir)
-    li, o = s.raw("lineitem"), s.raw("orders")
+    li = _orphaned(s.raw("lineitem"), l_orderkey=N_ORDER, l_partkey=N_PART, l_suppkey=N_SUPPLIER)
+    o = _orphaned(s.raw("orders"), o_custkey=N_CUSTOMER)
     return Q.count_by_rule({
         "order_items.order_id": Q.foreign_key(li, ["l_orderkey"], o, ["o_orderkey"]),
         "order_items.product_id": Q.foreign_key(li, ["l_partkey"], s.raw("part"), ["p_partkey"]),
         "order_items.seller_id": Q.foreign_key(li, ["l_suppkey"], s.raw("supplier"), ["s_suppkey"]),
         "orders.user_id": Q.foreign_key(o, ["o_custkey"], s.raw("customer"), ["c_custkey"]),
-        "events.user_id": Q.foreign_key(s.raw("events"), ["user_id"], s.raw("customer"), ["c_custkey"]),
-        "labels.doc_id": Q.foreign_key(s.raw("labels"), ["doc_id"], s.raw("documents"), ["doc_id"]),
+        "events.user_id": Q.foreign_key(_orphaned(s.raw("events"), user_id=N_EVENT), ["user_id"],
+                                        s.raw("customer"), ["c_custkey"]),
+        "labels.doc_id": Q.foreign_key(_orphaned(s.raw("labels"), doc_id=N_LABEL), ["doc_id"],
+                                       s.raw("documents"), ["doc_id"]),
     })
 
 
@@ -37,50 +56,84 @@ def not_null_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3: rows missing a mandatory value, per table."""
     s = Star(spark, sf_dir)
     return Q.count_by_rule({
-        "orders": Q.not_null(s.raw("orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"]),
-        "order_items": Q.not_null(s.raw("lineitem"), ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity"]),
-        "products": Q.not_null(s.raw("part"), ["p_partkey", "p_name", "p_retailprice"]),
-        "events": Q.not_null(s.raw("events"), ["event_id", "ts", "user_id", "event_type"]),
+        "orders": Q.not_null(_blanked(s.raw("orders"), "o_orderkey", N_ORDER, "o_custkey", "o_orderdate"),
+                             ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"]),
+        "order_items": Q.not_null(_blanked(s.raw("lineitem"), "l_orderkey", N_ORDER, "l_quantity"),
+                                  ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity"]),
+        "products": Q.not_null(_blanked(s.raw("part"), "p_partkey", N_PART, "p_name"),
+                               ["p_partkey", "p_name", "p_retailprice"]),
+        "events": Q.not_null(_blanked(s.raw("events"), "event_id", N_EVENT, "event_type"),
+                             ["event_id", "ts", "user_id", "event_type"]),
     })
 
 
 def domain_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K4: values outside their vocabularies."""
+    """K4: values outside their vocabularies (orders by the model's own status words)."""
     s = Star(spark, sf_dir)
+    status = F.when(_hit("order_id", N_ORDER), F.upper("status")).otherwise(F.col("status"))
+    action = F.when(_hit("event_id", N_EVENT), F.lit("hover")).otherwise(F.col("event_type"))
+    listed = F.when(_hit("product_id", N_PART), F.lit("published")).otherwise(F.col("status"))
     return Q.count_by_rule({
-        "orders.status": Q.domain_check(s.raw("orders"), "o_orderstatus", RAW_ORDER_STATUS),
-        "events.action": Q.domain_check(s.raw("events"), "event_type", Q.DOMAINS["activity_action"]),
-        "catalog.status": Q.domain_check(Catalog(s).products(), "status", Q.DOMAINS["product_status"]),
+        "orders.status": Q.domain_check(s.orders().withColumn("status", status), "status", Q.DOMAINS["order_status"]),
+        "events.action": Q.domain_check(s.raw("events").withColumn("event_type", action), "event_type",
+                                        Q.DOMAINS["activity_action"]),
+        "catalog.status": Q.domain_check(Catalog(s).products().withColumn("status", listed), "status",
+                                         Q.DOMAINS["product_status"]),
     })
 
 
 def range_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K5: bounds of quantities, prices, stock, names and ratings."""
     s = Star(spark, sf_dir)
-    items = Q.range_check(s.raw("lineitem"), Q.standard_ranges(quantity="l_quantity", price="l_extendedprice"))
-    prods = Q.range_check(Catalog(s).products(),
-                          Q.standard_ranges(price="price", name="product_name", rating="external_ratings"))
-    stock = Q.range_check(s.variants(), Q.standard_ranges(stock="stock", price="price"))
+    li = s.raw("lineitem").withColumn("l_quantity", F.when(_hit("l_orderkey", N_ORDER), F.col("l_quantity") + 100)
+                                      .otherwise(F.col("l_quantity")))
+    items = Q.range_check(li, Q.standard_ranges(quantity="l_quantity", price="l_extendedprice"))
+    catalog = Catalog(s).products().withColumn("external_ratings", F.when(
+        _hit("product_id", N_PART), F.lit(5.5)).otherwise(F.col("external_ratings").cast("double")))
+    prods = Q.range_check(catalog, Q.standard_ranges(price="price", name="product_name", rating="external_ratings"))
+    variants = s.variants().withColumn("stock", F.when(_hit("variant_id", N_PART), -F.col("stock"))
+                                       .otherwise(F.col("stock")))
+    stock = Q.range_check(variants, Q.standard_ranges(stock="stock", price="price"))
     return Q.count_by_rule({"order_items": items, "products": prods, "product_variants": stock})
 
 
 def option_rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K6: option rules over the whole catalog, counted per rule."""
+    """K6: option rules over the whole catalog, counted per rule.
+
+    Of the products with options, every 89th gets its own options a second time
+    (names twice, four options) and every 13th loses the items of one option.
+    """
     c = Catalog(Star(spark, sf_dir))
-    v = Q.option_rules(c.options(), c.items())
+    o, i = c.options(), c.items()
+    again = o.where(_hit("product_id", N_PART)).withColumn("option_id", F.col("option_id") + AWAY)
+    again_items = i.join(again.select((F.col("option_id") - AWAY).alias("option_id")), "option_id", "left_semi").select(
+        (F.col("item_id") + AWAY).alias("item_id"), (F.col("option_id") + AWAY).alias("option_id"), "item_name")
+    emptied = o.where(_hit("product_id", N_SUPPLIER)).groupBy("product_id").agg(F.min("option_id").alias("option_id"))
+    i = i.join(emptied.select("option_id"), "option_id", "left_anti").select("item_id", "option_id", "item_name")
+    v = Q.option_rules(o.unionByName(again), i.unionByName(again_items))
     return v.groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))
 
 
 def reconcile_order_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K7: orders whose total differs from the sum of its charged lines."""
+    """K7: orders whose total differs from the sum of its charged lines or of its payments.
+
+    Totals are the charged lines' sums, but for every 97th order one more; payments
+    pay the total, but every 89th order is unpaid and every 83rd half paid.
+    """
     s = Star(spark, sf_dir)
-    o = s.raw("orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("total_amount"))
     li = s.raw("lineitem").select(
         F.col("l_orderkey").alias("order_id"),
         (F.col("l_extendedprice") * (F.lit(1) + F.col("l_tax")) * (F.lit(1) - F.col("l_discount"))).alias("line_total"),
     )
-    r = Q.reconcile_totals(o, li)
-    return r.select("order_id", F.coalesce(F.col("n_lines"), F.lit(0)).alias("n_lines"))
+    total = li.groupBy("order_id").agg(F.round(F.sum("line_total"), 2).alias("total"))
+    o = s.raw("orders").select(F.col("o_orderkey").alias("order_id")).join(total, "order_id", "left").select(
+        "order_id", (F.coalesce("total", F.lit(0.0)) + F.when(_hit("order_id", N_ORDER), 1.0).otherwise(0.0))
+        .alias("total_amount"))
+    pay = o.where(~_hit("order_id", N_PART)).select("order_id", (
+        F.col("total_amount") * F.when(_hit("order_id", N_CUSTOMER), 0.5).otherwise(1.0)).alias("amount"))
+    r = Q.reconcile_totals(o, li, pay)
+    return r.select("order_id", F.coalesce(F.col("n_lines"), F.lit(0)).alias("n_lines"),
+                    F.col("paid_total").isNull().alias("unpaid"))
 
 
 QUALITY_QUERIES = {
@@ -97,56 +150,51 @@ QUALITY_SQL = {
     "duplicate_line_keys": """
 SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""",
     "foreign_key_violations": """
-SELECT 'order_items.order_id' AS rule, count(*) AS violations FROM lineitem
-  WHERE l_orderkey IS NOT NULL AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey IS NOT NULL)
-UNION ALL SELECT 'order_items.product_id', count(*) FROM lineitem
-  WHERE l_partkey IS NOT NULL AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey IS NOT NULL)
-UNION ALL SELECT 'order_items.seller_id', count(*) FROM lineitem
-  WHERE l_suppkey IS NOT NULL AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey IS NOT NULL)
+WITH li AS (SELECT CASE WHEN l_orderkey % 97 = 0 THEN NULL ELSE l_orderkey END AS o,
+                   CASE WHEN l_partkey % 89 = 0 THEN NULL ELSE l_partkey END AS p,
+                   CASE WHEN l_suppkey % 13 = 0 THEN NULL ELSE l_suppkey END AS s FROM lineitem)
+SELECT 'order_items.order_id' AS rule, (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM li SEMI JOIN orders ON o = o_orderkey) AS violations
+UNION ALL SELECT 'order_items.product_id', (SELECT count(*) FROM li) - (SELECT count(*) FROM li SEMI JOIN part ON p = p_partkey)
+UNION ALL SELECT 'order_items.seller_id', (SELECT count(*) FROM li) - (SELECT count(*) FROM li SEMI JOIN supplier ON s = s_suppkey)
 UNION ALL SELECT 'orders.user_id', count(*) FROM orders
-  WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey IS NOT NULL)
+  WHERE o_custkey % 83 = 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer)
 UNION ALL SELECT 'events.user_id', count(*) FROM events
-  WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey IS NOT NULL)
+  WHERE user_id % 79 = 0 OR user_id NOT IN (SELECT c_custkey FROM customer)
 UNION ALL SELECT 'labels.doc_id', count(*) FROM labels
-  WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL)""",
+  WHERE doc_id % 7 = 0 OR doc_id NOT IN (SELECT doc_id FROM documents)""",
     "not_null_violations": """
-SELECT 'orders' AS rule, count(*) AS violations FROM orders
-  WHERE o_orderkey IS NULL OR o_custkey IS NULL OR o_orderstatus IS NULL OR o_orderdate IS NULL
-UNION ALL SELECT 'order_items', count(*) FROM lineitem
-  WHERE l_orderkey IS NULL OR l_partkey IS NULL OR l_suppkey IS NULL OR l_quantity IS NULL
-UNION ALL SELECT 'products', count(*) FROM part WHERE p_partkey IS NULL OR p_name IS NULL OR p_retailprice IS NULL
-UNION ALL SELECT 'events', count(*) FROM events
-  WHERE event_id IS NULL OR ts IS NULL OR user_id IS NULL OR event_type IS NULL""",
+SELECT 'orders' AS rule, count(*) AS violations FROM orders WHERE o_orderkey % 97 = 0 OR o_orderstatus IS NULL
+UNION ALL SELECT 'order_items', count(*) FROM lineitem WHERE l_orderkey % 97 = 0 OR l_partkey IS NULL OR l_suppkey IS NULL
+UNION ALL SELECT 'products', count(*) FROM part WHERE p_partkey % 89 = 0 OR p_retailprice IS NULL
+UNION ALL SELECT 'events', count(*) FROM events WHERE event_id % 79 = 0 OR ts IS NULL OR user_id IS NULL""",
     "domain_violations": f"""WITH {ORACLE_CATALOG_CTES}
-SELECT 'orders.status' AS rule, count(*) AS violations FROM orders
-  WHERE o_orderstatus IS NOT NULL AND o_orderstatus NOT IN ('F', 'O', 'P')
+SELECT 'orders.status' AS rule, count(*) AS violations FROM orders WHERE o_orderkey % 97 = 0
 UNION ALL SELECT 'events.action', count(*) FROM events
-  WHERE event_type IS NOT NULL AND event_type NOT IN ('view', 'click', 'purchase', 'signup', 'error')
+  WHERE event_id % 79 = 0 OR event_type NOT IN ('view', 'click', 'purchase', 'signup', 'error')
 UNION ALL SELECT 'catalog.status', count(*) FROM cp
-  WHERE status IS NOT NULL AND status NOT IN ('active', 'archived', 'draft')""",
+  WHERE product_id % 89 = 0 OR status NOT IN ('active', 'archived', 'draft')""",
     "range_violations": f"""WITH {ORACLE_CATALOG_CTES}
 SELECT 'order_items' AS rule, count(*) AS violations FROM lineitem
-  WHERE l_quantity NOT BETWEEN 1 AND 100 OR l_extendedprice < 0
+  WHERE l_quantity + CASE WHEN l_orderkey % 97 = 0 THEN 100 ELSE 0 END NOT BETWEEN 1 AND 100 OR l_extendedprice < 0
 UNION ALL SELECT 'products', count(*) FROM cp
-  WHERE price < 0 OR length(product_name) NOT BETWEEN 1 AND 255 OR external_ratings NOT BETWEEN 0 AND 5
-UNION ALL SELECT 'product_variants', count(*) FROM part WHERE p_size < 0 OR p_retailprice < 0""",
+  WHERE product_id % 89 = 0 OR price < 0 OR length(product_name) NOT BETWEEN 1 AND 255 OR external_ratings NOT BETWEEN 0 AND 5
+UNION ALL SELECT 'product_variants', count(*) FROM part
+  WHERE (p_partkey % 89 = 0 AND p_size > 0) OR p_size < 0 OR p_retailprice < 0""",
     "option_rule_violations": f"""WITH {ORACLE_CATALOG_CTES},
-  v AS (SELECT product_id, 'too_many_options' AS rule FROM copt GROUP BY product_id HAVING count(*) > 3
-        UNION ALL
-        SELECT product_id, 'duplicate_option_name' FROM copt GROUP BY product_id
-          HAVING count(DISTINCT option_name) < count(*)
-        UNION ALL
-        SELECT DISTINCT product_id, 'duplicate_item_name' FROM (
-          SELECT copt.product_id, item_name FROM citem JOIN copt USING (option_id)
-          GROUP BY 1, 2 HAVING count(*) > 1)
-        UNION ALL
-        SELECT DISTINCT product_id, 'option_without_items' FROM copt
-          WHERE option_id NOT IN (SELECT option_id FROM citem))
-SELECT rule, count(*) AS violations FROM v GROUP BY rule""",
+  n AS (SELECT product_id, count(*) AS k, min(option_id) AS lowest FROM copt GROUP BY 1),
+  left_items AS (SELECT copt.product_id, item_name FROM citem JOIN copt USING (option_id) JOIN n USING (product_id)
+                 WHERE NOT (copt.product_id % 13 = 0 AND option_id = lowest)
+                 UNION ALL SELECT copt.product_id, item_name FROM citem JOIN copt USING (option_id)
+                 WHERE copt.product_id % 89 = 0)
+SELECT * FROM (
+SELECT 'too_many_options' AS rule, count(*) AS violations FROM n WHERE k * CASE WHEN product_id % 89 = 0 THEN 2 ELSE 1 END > 3
+UNION ALL SELECT 'duplicate_option_name', count(*) FROM n WHERE product_id % 89 = 0
+UNION ALL SELECT 'duplicate_item_name', count(DISTINCT product_id) FROM (
+  SELECT product_id FROM left_items GROUP BY product_id, item_name HAVING count(*) > 1)
+UNION ALL SELECT 'option_without_items', count(*) FROM n WHERE product_id % 13 = 0) WHERE violations > 0""",
     "reconcile_order_totals": """
-SELECT o.o_orderkey AS order_id, coalesce(l.n_lines, 0) AS n_lines
-FROM orders o LEFT JOIN (
-  SELECT l_orderkey, sum(l_extendedprice * (1 + l_tax) * (1 - l_discount)) AS lines_total, count(*) AS n_lines
-  FROM lineitem GROUP BY 1) l ON l.l_orderkey = o.o_orderkey
-WHERE abs(o.o_totalprice - coalesce(l.lines_total, 0)) > 0.01""",
+SELECT o_orderkey AS order_id, coalesce(n, 0) AS n_lines, o_orderkey % 89 = 0 AS unpaid
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(l_extendedprice * (1 + l_tax) * (1 - l_discount)) AS t
+                       FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
+WHERE o_orderkey % 97 = 0 OR (coalesce(t, 0) > 0.02 AND (o_orderkey % 89 = 0 OR o_orderkey % 83 = 0))""",
 }

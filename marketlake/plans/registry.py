@@ -21,6 +21,7 @@ from .oracle_reports import REPORT_SQL
 from .order_queries import ORDER_QUERIES, ORDER_SQL
 from .quality_queries import QUALITY_QUERIES, QUALITY_SQL
 from .search_queries import SEARCH_QUERIES, SEARCH_SQL
+from .survey_queries import SURVEY_QUERIES, SURVEY_SQL
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +44,7 @@ def queries() -> dict[str, QueryFn]:
     q.update(QUALITY_QUERIES)
     q.update(LOOKUP_QUERIES)
     q.update(EXTRA_QUERIES)
+    q.update(SURVEY_QUERIES)
     return q
 
 
@@ -55,4 +57,5 @@ def oracle_sql() -> dict[str, str]:
     sql.update(QUALITY_SQL)
     sql.update(LOOKUP_SQL)
     sql.update(EXTRA_SQL)
+    sql.update(SURVEY_SQL)
     return sql

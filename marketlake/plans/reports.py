@@ -89,6 +89,12 @@ def per_product(star, orders: DataFrame, product_cols=(), keys=()) -> DataFrame:
     )
 
 
+def totals(star, orders: DataFrame, *keys: str) -> DataFrame:
+    """``n``, ``qty`` and ``rev`` per keys; lines meet products only once summed per product."""
+    return per_product(star, orders, keys=keys).groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("qty").alias("qty"), F.sum("rev").alias("rev"))
+
+
 def _dbl(c) -> Column:
     return F.col(c).cast("double") if isinstance(c, str) else c.cast("double")
 
@@ -136,9 +142,7 @@ def per_user(star, orders: DataFrame, keys=()) -> DataFrame:
 # --------------------------------------------------------------- Q1 - Q8 ---
 def top_sellers(star, as_of=None, k: int = 10) -> DataFrame:
     """Q1: sellers (merged by name) ranked by revenue, top k."""
-    by_seller = priced_lines(star, window_orders(star, "rolling", as_of)).groupBy("seller_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("qty"), F.sum("revenue").alias("rev")
-    )
+    by_seller = totals(star, window_orders(star, "rolling", as_of), "seller_id")
     named = by_seller.join(star.sellers(), "seller_id", "inner")
     agg = named.groupBy("first_name", "last_name").agg(
         F.sum("n").alias("total_orders"),
@@ -178,18 +182,15 @@ def customer_demographics(star, as_of=None) -> DataFrame:
     )
 
 
-def _daily_lines(star, orders: DataFrame, time_col: str = "time") -> DataFrame:
-    return priced_lines(star, orders).withColumn(time_col, D.day_trunc("order_date"))
+def _daily_totals(star, orders: DataFrame) -> DataFrame:
+    return totals(star, orders.withColumn("time", D.day_trunc("order_date")), "time")
 
 
 def sales_metrics(star, as_of=None) -> DataFrame:
     """Q4: per day: item rows, quantity, revenue, mean line value."""
-    d = _daily_lines(star, window_orders(star, "rolling", as_of))
-    agg = d.groupBy("time").agg(
-        F.count(F.lit(1)).alias("total_orders"),
-        F.sum("quantity").cast("bigint").alias("total_items_sold"),
-        F.sum("revenue").alias("_rev"),
-    )
+    agg = _daily_totals(star, window_orders(star, "rolling", as_of)).select(
+        "time", F.col("n").alias("total_orders"), F.col("qty").cast("bigint").alias("total_items_sold"),
+        F.col("rev").alias("_rev"))
     return agg.orderBy("time").select(
         "time", "total_orders", "total_items_sold", _dbl("_rev").alias("total_revenue"),
         _ratio(F.col("_rev"), F.col("total_orders")).alias("average_order_value"),
@@ -214,12 +215,9 @@ def product_performance(star, as_of=None, k: int = 10) -> DataFrame:
 
 def daily_sales_trend(star, as_of=None) -> DataFrame:
     """Q6: per day: revenue, item rows, quantity."""
-    d = _daily_lines(star, window_orders(star, "rolling", as_of))
-    agg = d.groupBy("time").agg(
-        F.sum("revenue").alias("_rev"),
-        F.count(F.lit(1)).alias("daily_orders"),
-        F.sum("quantity").cast("bigint").alias("daily_items_sold"),
-    )
+    agg = _daily_totals(star, window_orders(star, "rolling", as_of)).select(
+        "time", F.col("rev").alias("_rev"), F.col("n").alias("daily_orders"),
+        F.col("qty").cast("bigint").alias("daily_items_sold"))
     return agg.orderBy("time").select(
         "time", _dbl("_rev").alias("daily_revenue"), "daily_orders", "daily_items_sold"
     )
@@ -262,8 +260,8 @@ def customer_age_distribution(star, as_of=None) -> DataFrame:
 # ---------------------------------------------------- Q9 - Q16 (panels) ----
 def panel_daily_revenue(star, frm=None, to=None, as_of=None) -> DataFrame:
     """Q9: revenue per day inside [frm, to]."""
-    d = _daily_lines(star, window_orders(star, "range", as_of, frm, to))
-    return d.groupBy("time").agg(_dbl(F.sum("revenue")).alias("daily_revenue")).orderBy("time")
+    d = _daily_totals(star, window_orders(star, "range", as_of, frm, to))
+    return d.select("time", _dbl("rev").alias("daily_revenue")).orderBy("time")
 
 
 def panel_revenue_by_category(star, frm=None, to=None, as_of=None) -> DataFrame:
@@ -295,15 +293,9 @@ def panel_daily_average_age(star, frm=None, to=None, as_of=None) -> DataFrame:
     )
 
 
-def _seller_totals(star, orders: DataFrame) -> DataFrame:
-    return priced_lines(star, orders).groupBy("seller_id").agg(
-        F.sum("revenue").alias("rev"), F.sum("quantity").alias("qty")
-    )
-
-
 def panel_revenue_by_seller(star, frm=None, to=None, as_of=None) -> DataFrame:
     """Q13: revenue per seller id (named first last), desc."""
-    t = _seller_totals(star, window_orders(star, "range", as_of, frm, to))
+    t = totals(star, window_orders(star, "range", as_of, frm, to), "seller_id")
     named = t.join(star.sellers(), "seller_id", "inner")
     return named.orderBy(F.desc("rev"), "seller_id").select(
         F.concat_ws(" ", "first_name", "last_name").alias("seller_name"),
@@ -361,9 +353,19 @@ def _roll_metrics() -> list[Column]:
     ]
 
 
+def _monthly_totals(star, as_of, *keys: str) -> DataFrame:
+    """The roll-up metrics per month and keys, from lines summed per user and product first."""
+    o = window_orders(star, "calendar", as_of).withColumn("month", D.month_trunc("order_date"))
+    keys = ("month", *keys)
+    per = per_product(star, o.select("order_id", "user_id", "month"), keys=(*keys, "user_id"))
+    return per.groupBy(*keys).agg(
+        F.sum("n").alias("total_orders"), F.sum("qty").cast("bigint").alias("_qty"),
+        F.count_distinct("user_id").alias("unique_customers"), F.sum("rev").alias("_rev"))
+
+
 def mv_top_sellers_month(star, as_of=None) -> DataFrame:
     """Q17: per month and seller: rows, items, customers, revenue, mean."""
-    agg = _monthly_lines(star, as_of).groupBy("month", "seller_id").agg(*_roll_metrics())
+    agg = _monthly_totals(star, as_of, "seller_id")
     named = agg.join(star.sellers(), "seller_id", "inner")
     return named.select(
         "month", "seller_id",
@@ -408,7 +410,7 @@ def mv_customer_demographics_month(star, as_of=None) -> DataFrame:
 
 def mv_sales_metrics_month(star, as_of=None) -> DataFrame:
     """Q20: per month: rows, items, customers, revenue, means."""
-    agg = _monthly_lines(star, as_of).groupBy("month").agg(*_roll_metrics())
+    agg = _monthly_totals(star, as_of)
     return agg.select(
         "month", "total_orders", F.col("_qty").alias("total_items_sold"), "unique_customers",
         _dbl("_rev").alias("total_revenue"),

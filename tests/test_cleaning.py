@@ -125,14 +125,17 @@ def test_connector_decimals_in_registry(spark):
     import json
 
     rows = [("postgres.public.payments", 0, i, json.dumps({"op": "c", "after": {"id": i, "order_id": 1, "amount": a}}))
-            for i, a in enumerate(["AYaf", "12.50", "N/A"])]
+            for i, a in enumerate(["AYaf", "12.50", "N/A", "AQAAAAAAAAAAAA==", "nA=="])]
     df = spark.createDataFrame(rows, "topic string, partition int, offset long, value string")
-    REG.use_connector_decimals()
+    read = lambda: {r.payment_id: (r.amount, r.reject_reason)
+                    for r in CDC.to_table(CDC.decode(df), "payments", F.current_timestamp()).collect()}
+    REG.use_plain_decimals()
     try:
-        out = {r.payment_id: (r.amount, r.reject_reason)
-               for r in CDC.to_table(CDC.decode(df), "payments", F.current_timestamp()).collect()}
+        assert read()[1] == (Decimal("12.50"), None)
     finally:
         REG.reset_transforms()
+    out = read()
+    assert out[3] == (None, "bad amount") and out[4] == (Decimal("-1.00"), None)
     assert out[0] == (Decimal("999.99"), None)
     assert out[1] == (Decimal("12.50"), None)
     assert out[2][0] is None and out[2][1] == "bad amount"
