@@ -13,8 +13,8 @@ in place of the CSV rows:
   stock = (size item id + color item id) x 10 (the seeder's rule);
 * one image per product except sizes that are multiples of 10 (no media).
 
-All derived with projections and ``explode`` over fixed lists (no joins
-against generated tables), so the catalog scales with ``part``.
+All derived with projections, ``explode`` over fixed lists and equi-joins on the
+product and option keys, so the catalog scales with ``part``.
 """
 
 from __future__ import annotations
@@ -86,7 +86,7 @@ class Catalog:
         n_combos = 1
         for _, items in OPTIONS:
             n_combos *= len(items)
-        stock = F.coalesce((F.col("option1") + F.col("option2")) * 10, F.lit(0)).cast("int")
+        stock = F.coalesce((F.col("option1") + F.col("option2")) * 10, F.lit(0)).cast("bigint")
         return v.select(
             (F.col("product_id") * n_combos + F.col("combo")).alias("variant_id"),
             "product_id", "price", stock.alias("stock"), "option1", "option2", "option3",
@@ -124,7 +124,7 @@ ORACLE_CATALOG_CTES = """
                                    ('Color', 3, 'White')) i(option_name, pos, item_name)
                  ON i.option_name = copt.option_name),
   cvar AS (SELECT cp.product_id * 16 + s.pos * 4 + c.pos AS variant_id, cp.product_id, cp.price,
-                  CAST((s.item_id + c.item_id) * 10 AS INTEGER) AS stock,
+                  CAST((s.item_id + c.item_id) * 10 AS BIGINT) AS stock,
                   s.item_id AS option1, c.item_id AS option2, CAST(NULL AS BIGINT) AS option3
            FROM cp
            JOIN (SELECT citem.*, copt.product_id, citem.item_id % 4 AS pos FROM citem JOIN copt USING (option_id)

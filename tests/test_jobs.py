@@ -90,6 +90,61 @@ def test_order_validation_modes(spark):
     assert not any(r.accepted for r in cum) and cum[0].order_error == "insufficient stock"
 
 
+def test_a_refused_order_leaves_its_stock(spark):
+    import datetime as dt
+    t = dt.datetime(2024, 1, 1)
+    hours = [t + dt.timedelta(hours=h) for h in range(6)]
+    # stock 5: too large; takes 3; does not fit; takes 2; nothing left; repeats one variant in an order
+    df, v, p, s = _order_fixture(spark, [(1, 1, 1, 9, hours[0]), (2, 1, 1, 3, hours[1]), (3, 1, 1, 3, hours[2]),
+                                         (4, 1, 1, 1, hours[3]), (4, 2, 1, 1, hours[3]), (5, 1, 1, 1, hours[4])])
+    res = {r.request_id: (r.accepted, r.order_error) for r in ORD.validate_orders(df, v, p, s).collect()}
+    no = (False, "insufficient stock")
+    assert res == {1: no, 2: (True, None), 3: no, 4: (True, None), 5: no}
+
+
+def test_allocation_equals_a_replay(spark):
+    import datetime as dt
+    import random
+    rng = random.Random(5)
+    stock = {v: rng.randrange(0, 40) for v in range(12)}
+    rows = []
+    for r in range(300):
+        ts = dt.datetime(2024, 1, 1 + rng.randrange(3))
+        for v in rng.sample(range(12), rng.randrange(1, 4)):
+            v = 0 if rng.random() < 0.3 else v  # a hot variant
+            rows.append((r, v, rng.randrange(1, 9), ts))
+    merged = {}
+    first = {}
+    for r, v, q, ts in rows:
+        merged[(r, v)] = merged.get((r, v), 0) + q
+        first[r] = ts
+    left, given = dict(stock), set()
+    for r in sorted(first, key=lambda r: (first[r], r)):
+        want = {v: q for (o, v), q in merged.items() if o == r}
+        if all(left[v] >= q for v, q in want.items()):
+            given.add(r)
+            for v, q in want.items():
+                left[v] -= q
+    demand = spark.createDataFrame([(r, v, q, stock[v], first[r]) for (r, v), q in merged.items()],
+                                   "request_id long, variant_id long, qty long, stock long, ts timestamp")
+    assert {x.request_id for x in ORD.allocate(demand, bucket_bits=4).collect()} == given
+
+
+def test_too_many_options_are_rejected_not_cut(spark):
+    products = spark.createDataFrame([(1,), (2,)], "product_id long")
+    options = spark.createDataFrame([(i, 1 if i < 4 else 2) for i in range(8)], "option_id long, product_id long")
+    items = spark.createDataFrame([(i, i) for i in range(8)], "item_id long, option_id long")
+    few = options.where("option_id <> 3")
+    assert {r.product_id for r in CAT.expand_variants(products, few, items).collect()} == {1}
+    assert [(r.product_id, r.n_options) for r in CAT.option_rejects(few).collect()] == [(2, 4)]
+
+
+def test_zero_max_price_is_no_bound(spark):
+    products = spark.createDataFrame([(1,), (2,)], "product_id long")
+    variants = spark.createDataFrame([(1, 5.0), (2, 9.0)], "product_id long, price double")
+    assert CAT.price_range_semi(products, variants, 6, 0).collect()[0].product_id == 2
+
+
 def test_order_rejections(spark):
     import datetime as dt
     t = dt.datetime(2024, 1, 1)

@@ -45,8 +45,41 @@ def test_upsert_documents_keeps_latest(spark, scratch):
     docs = spark.createDataFrame([(1, "old", dt.datetime(2024, 1, 1)), (1, "new", dt.datetime(2024, 1, 2)),
                                   (2, "only", dt.datetime(2024, 1, 1))], "id long, name string, etl_updated_at timestamp")
     FS.upsert_documents(docs, f"{scratch}/docs")
-    got = {r.id: r.name for r in spark.read.parquet(f"{scratch}/docs").collect()}
+    got = {r.id: r.name for r in FS.read_documents(spark, f"{scratch}/docs").collect()}
     assert got == {1: "new", 2: "only"}
+    later = spark.createDataFrame([(2, "changed", dt.datetime(2024, 1, 3)), (3, "added", dt.datetime(2024, 1, 1)),
+                                   (1, "stale", dt.datetime(2023, 1, 1))], docs.schema)
+    FS.upsert_documents(later, f"{scratch}/docs")
+    got = {r.id: r.name for r in FS.read_documents(spark, f"{scratch}/docs").collect()}
+    assert got == {1: "new", 2: "changed", 3: "added"}  # documents outside the batch stay
+
+
+def test_an_unreadable_target_is_an_error(spark, scratch):
+    import pytest
+    seed = spark.range(5).withColumnRenamed("id", "order_id")
+    seed.write.orc(f"{scratch}/orc")
+    with pytest.raises(Exception):
+        FS.bootstrap(spark, seed, f"{scratch}/orc")
+    assert spark.read.orc(f"{scratch}/orc").count() == 5
+    with pytest.raises(Exception):
+        FS.read_table(spark, f"{scratch}/orc", "order_id bigint").collect()
+    assert FS.read_table(spark, f"{scratch}/never", "order_id bigint").count() == 0
+
+
+def test_kafka_options_never_skip_lost_offsets_by_default():
+    from marketlake.sources import stream as ST
+    o = ST.kafka_options("h:1")
+    assert o["failOnDataLoss"] == "true" and "maxOffsetsPerTrigger" not in o
+    assert ST.kafka_options("h:1", 7, accept_lost_offsets=True)["failOnDataLoss"] == "false"
+
+
+def test_no_machine_local_checkpoint_on_a_cluster():
+    import pytest
+    from types import SimpleNamespace
+    from marketlake.session import ensure_checkpoint_dir
+    sc = SimpleNamespace(master="yarn", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None)))
 
 
 def test_second_precision(spark):

@@ -80,6 +80,27 @@ def test_live_reports_and_rollups(spark, scratch):
     assert len(roll) == 1 and roll[0].total_revenue == 10.0
 
 
+def test_late_items_and_prices_refresh_old_months(spark, scratch):
+    out = f"{scratch}/out"
+    o, it, p = "postgres.public.orders", "postgres.public.order_items", "postgres.public.products"
+    price = lambda v: _env("u", {"id": 10, "product_name": "bolt", "main_category": "HW", "sub_category": "s",
+                                 "external_price": v})
+    item = lambda i, q: _env("c", {"id": i, "order_id": 1, "product_id": 10, "seller_id": 3, "quantity": q})
+    batches = [
+        [(p, 0, 0, price("2.50")), (it, 0, 2, item(1, 4)),
+         (o, 0, 1, _env("c", {"id": 1, "user_id": 7, "status": "created", "created_at": "2001-07-15T00:00:00Z"}))],
+        [(it, 0, 3, item(2, 6))],
+        [(p, 0, 4, price("3.00"))],
+    ]
+    job = P.CdcJob(out, as_of=dt.datetime(2001, 8, 1), rollups=True)
+    seen = []
+    for n, rows in enumerate(batches):
+        job.process(spark.createDataFrame(rows, "topic string, partition int, offset long, value string"), n)
+        r = spark.read.parquet(f"{out}/rollups/mv_top_categories_month").collect()
+        seen.append([(x.total_orders, x.total_revenue) for x in r])
+    assert seen == [[(1, 10.0)], [(2, 25.0)], [(2, 30.0)]]
+
+
 def test_deletes_ignored_by_default_applied_on_request(spark, scratch):
     o = "postgres.public.orders"
     rows = [
