@@ -15,9 +15,11 @@ DataFrames and a *batch* of queries is scored at once:
 Keyword fields (category) match the whole query text exactly; their score is
 idf only (no length norm), like an untokenized keyword field.
 
-Scale: postings are joined with the query terms on ``term`` (a hot term is a
-skewed join key that AQE splits); document frequencies are counted only for
-query terms; the top-k per query uses ``row_number <= k``, which Spark turns
+Scale: a document's term counts are worked out inside its row, so postings need
+no shuffle; they meet the query terms in a join on ``term`` whose both sides come
+straight from their exchange, so AQE can split a hot term; document frequencies are
+counted only for query terms. Index statistics are scalar subqueries: building a
+search runs no job. The top-k per query uses ``row_number <= k``, which Spark turns
 into a partial per-partition limit before the shuffle (WindowGroupLimit).
 """
 
@@ -48,14 +50,18 @@ def tokenize(c) -> Column:
 def postings(docs: DataFrame, id_col: str, field: str, terms: DataFrame | None = None) -> DataFrame:
     """(id, term, tf, dl) for one text field.
 
-    With ``terms`` (one ``term`` column) only those terms are kept, and they
-    are filtered right after the explode - before the (doc, term) shuffle.
+    Counted in the row: in the sorted tokens a term is a run, and its tf the
+    distance to the next run. With ``terms`` (one ``term`` column) only those are kept.
     """
-    toks = docs.select(F.col(id_col).alias("doc_id"), tokenize(field).alias("toks"))
-    toks = toks.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-    if terms is not None:
-        toks = toks.join(terms, "term", "left_semi")
-    return toks.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    toks = docs.select(F.col(id_col).alias("doc_id"), F.sort_array(tokenize(field)).alias("toks"))
+    toks = toks.withColumn("dl", F.size("toks")).where("dl > 0")
+    at = F.sequence(F.lit(0), F.col("dl") - 1)
+    toks = toks.withColumn("runs", F.filter(at, lambda i: (i == 0) | (
+        F.get("toks", i) != F.get("toks", F.greatest(i - 1, F.lit(0))))))
+    runs = F.transform("runs", lambda s, k: F.struct(F.get("toks", s).alias("term"), (
+        F.coalesce(F.get("runs", k + 1), F.col("dl")) - s).cast("bigint").alias("tf")))
+    post = toks.select("doc_id", "dl", F.explode(runs).alias("p")).select("doc_id", "p.term", "p.tf", "dl")
+    return post if terms is None else post.join(terms, "term", "left_semi")
 
 
 def query_terms(queries: DataFrame, qid: str = "query_id", text: str = "query") -> DataFrame:
@@ -69,21 +75,20 @@ def _idf(n: Column, df: Column) -> Column:
 
 
 def index_stats(docs: DataFrame, text_fields: Sequence[str]) -> dict:
-    """N and average field length of each text field, in one aggregate job.
+    """N and average field length of each text field, as scalar subqueries.
 
-    Returns a handful of numbers to the driver (like an index's statistics),
-    so the scoring plan carries them as literals instead of re-running
-    scalar subqueries over the documents.
+    They share one aggregate over the documents (Spark merges them), run with the search.
     """
-    aggs = [F.count(F.lit(1)).alias("n")] + [
-        F.sum(F.size(tokenize(f))).alias(f"len_{i}") for i, f in enumerate(text_fields)]
-    row = docs.select(*aggs).first()
-    n = row["n"] or 0
-    return {"n": n, "avgdl": {f: ((row[f"len_{i}"] or 0) / n if n else 0.0) for i, f in enumerate(text_fields)}}
+    n = F.count(F.lit(1))
+    stats = docs.select(n.alias("n"), *[F.coalesce(F.try_divide(
+        F.sum(F.size(tokenize(f))).cast("double"), n.cast("double")), F.lit(0.0)).alias(f"avg_{i}")
+        for i, f in enumerate(text_fields)])
+    return {"n": stats.select("n").scalar(),
+            "avgdl": {f: stats.select(f"avg_{i}").scalar() for i, f in enumerate(text_fields)}}
 
 
 def bm25_text_field(docs: DataFrame, id_col: str, field: str, qterms: DataFrame,
-                    n_docs: int, avgdl: float, k1: float = K1, b: float = B) -> DataFrame:
+                    n_docs: Column, avgdl: Column, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, score) for one tokenized field.
 
     Postings are built only for documents' terms that occur in some query
@@ -93,12 +98,12 @@ def bm25_text_field(docs: DataFrame, id_col: str, field: str, qterms: DataFrame,
     post_q = postings(docs, id_col, field, wanted)
     df = post_q.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     m = qterms.join(df, "term", "inner").join(post_q, "term", "inner")
-    norm = F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl))
-    part = F.col("qtf") * _idf(F.lit(n_docs), F.col("df")) * F.col("tf") * F.lit(k1 + 1) / norm
+    norm = F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / avgdl)
+    part = F.col("qtf") * _idf(n_docs, F.col("df")) * F.col("tf") * F.lit(k1 + 1) / norm
     return m.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
-def keyword_field(docs: DataFrame, id_col: str, field: str, queries: DataFrame, n_docs: int,
+def keyword_field(docs: DataFrame, id_col: str, field: str, queries: DataFrame, n_docs: Column,
                   qid: str = "query_id", text: str = "query") -> DataFrame:
     """Exact whole-value match on a keyword field, scored by idf."""
     vals = docs.select(F.col(id_col).alias("doc_id"), F.col(field).alias("value"))
@@ -106,7 +111,7 @@ def keyword_field(docs: DataFrame, id_col: str, field: str, queries: DataFrame,
     qv = q.select("value").distinct()
     df = vals.join(qv, "value", "left_semi").groupBy("value").agg(F.count(F.lit(1)).alias("df"))
     m = q.join(df, "value", "inner").join(vals, "value", "inner")
-    return m.select("query_id", "doc_id", _idf(F.lit(n_docs), F.col("df")).alias("score"))
+    return m.select("query_id", "doc_id", _idf(n_docs, F.col("df")).alias("score"))
 
 
 def best_fields(field_scores: dict[str, DataFrame], boosts: dict[str, float] = FIELD_BOOSTS) -> DataFrame:

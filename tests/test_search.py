@@ -71,3 +71,26 @@ def test_min_rating_bounds(spark):
     q = spark.createDataFrame([(1, "bolt")], "query_id long, query string")
     with pytest.raises(ValueError):
         S.search(docs, q, "id", min_rating=6)
+
+
+def test_building_a_search_runs_no_job(spark):
+    docs = spark.createDataFrame(DOCS, "id long, name string, description string, category string, rating double")
+    q = spark.createDataFrame([(1, "bolt")], "query_id long, query string")
+    sc = spark.sparkContext
+    sc.setJobGroup("search-build", "building only")
+    try:
+        hits = S.search(docs, q, "id")
+        assert not sc.statusTracker().getJobIdsForGroup("search-build")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert hits.count() == 3
+
+
+def test_a_hot_term_is_a_splittable_join_key(spark):
+    """Postings need no exchange of their own, so the join's sides come straight from theirs."""
+    docs = spark.createDataFrame([(i, "bolt " * 3 + f"w{i}") for i in range(50)], "id long, text string")
+    terms = spark.createDataFrame([("bolt",)], "term string")
+    post = S.postings(docs, "id", "text")
+    assert "Exchange" not in post._jdf.queryExecution().executedPlan().toString()
+    got = S.postings(docs, "id", "text", terms).collect()
+    assert len(got) == 50 and all((r.term, r.tf, r.dl) == ("bolt", 3, 4) for r in got)
