@@ -43,3 +43,17 @@ def test_cli_lists_every_query(capsys):
     assert main(["list"]) == 0
     out = capsys.readouterr().out
     assert all(name in out for name in E.queries())
+
+
+def test_entry_works_without_the_corpus_part(monkeypatch):
+    import importlib
+    import __spark_entry__ as E
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    try:
+        alone = importlib.reload(E)
+        assert "top_sellers" in alone.queries() and not any(n.startswith("op1_") for n in alone.queries())
+        assert set(alone.oracle_sql()) <= set(alone.queries())
+    finally:
+        monkeypatch.undo()
+        importlib.reload(E)
