@@ -3,7 +3,7 @@
 Two documents link when 100 |A n B| >= 75 |A u B| for their sets of five-word
 shingles. Then |A ^ B| <= d = floor((|A| + |B|) / 7).
 
-1. Sets with equal members are one class (two 64-bit fingerprints and the size).
+1. Sets with equal members are one class, named by a 64-bit fingerprint of the set.
 2. Pigeonhole join of parity sketches per size band. A band has its own number of
    parts; a set is dealt to the parts by hash, and a part's 64-bit word is the XOR
    of its members, so at most d words of a linked pair differ. With the occupied
@@ -24,7 +24,7 @@ shingles. Then |A ^ B| <= d = floor((|A| + |B|) / 7).
    at four bits or more a member) before its sets are moved, and is then verified
    exactly on the sets.
 
-No cap drops a candidate. Links are exact up to equal 64-bit shingle hashes, and
+No cap drops a candidate. Links are exact up to equal 64-bit hashes of shingles and sets, and
 the prefix argument needs d + 1 occupied parts, which the number of parts leaves a
 wide margin for.
 
@@ -145,7 +145,9 @@ def _all_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     keys = _Keys(first_only=False)
     for pdf in batches:
         for c, text in zip(pdf["class"], pdf["text"]):
-            keys.add(c, shingle_set(text, WORDS))
+            s = shingle_set(text, WORDS)
+            if fingerprint(s)[0] == c:  # another text may share the document's id
+                keys.add(c, s)
             if keys.rows >= FLUSH_ROWS:
                 yield keys.frame()
     yield keys.frame()
@@ -153,8 +155,10 @@ def _all_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"class": pdf["class"],
-                            "members": [shingle_set(t, WORDS).tobytes() for t in pdf["text"]]})
+        sets = [shingle_set(t, WORDS) for t in pdf["text"]]
+        own = [fingerprint(s)[0] == c for s, c in zip(sets, pdf["class"])]  # another text may share the document's id
+        yield pd.DataFrame({"class": pdf["class"][own], "members": pd.Series(
+            [s.tobytes() for s, ok in zip(sets, own) if ok], dtype=object, index=pdf.index[own])})
 
 
 def _near_sketches(a: pd.Series, b: pd.Series, limit: pd.Series) -> pd.Series:
@@ -290,7 +294,7 @@ class JaccardJoin:
 
         wanted = kept.select(F.col("a").alias("class")).union(kept.select("b")).distinct()
         sets = self.texts_of(wanted).mapInPandas(_sets, "class long, members binary")
-        sets = durable(sets)
+        sets = durable(sets.dropDuplicates(["class"]))
         release(kept.sparkSession)
         found = kept.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
         return durable(found.where(linked("set_a", "set_b")).select("a", "b"))

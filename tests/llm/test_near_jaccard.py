@@ -57,6 +57,9 @@ def corpus():
     base = sentence(rng, 150, 5000)
     rows += [((n := n + 1), edited(rng, base, 0.006 * (k % 6))) for k in range(80)]  # a hot group of near copies
     long = sentence(rng, 20_000, 10**6)
+    pair = [sentence(rng, 50, 5000) for _ in range(3)]  # texts that share an id, or have none
+    rows += [(9000, pair[0]), (9000, pair[1]), (9001, pair[0] + " x"), (9002, pair[1] + " x"), (None, pair[2]),
+             (None, pair[2] + " x"), (None, sentence(rng, 50, 5000))]
     return rows + [(n + 1, long), (n + 2, edited(rng, long, 0.004)), (n + 2, edited(rng, long, 0.001))]
 
 
