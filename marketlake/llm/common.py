@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -67,8 +68,10 @@ def release(spark: SparkSession) -> None:
     Its cleaner follows the garbage collector, which a driver that holds only
     plans may not run for a long time.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the second pass finds what the first one's finalisers let go
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def with_text_id(docs: DataFrame, id_col: str, text: Column) -> tuple[DataFrame, DataType]:

@@ -17,8 +17,8 @@ number), all others are dropped.
    only pairs across components are left to compare. Both are equi-joins that
    evaluate the sketch inside the join, so a key that many lines hold emits only near pairs, and adaptive
    execution may split it.
-4. What is left is verified by banded bit-parallel edit distance on the texts, which
-   move once, and only those of candidate lines.
+4. What is left is verified by banded bit-parallel edit distance on the texts. Only
+   lines whose hash is in a bitmap of fixed size (2 MB) of the candidates' move.
 
 Defined results: null and blank texts have no lines; lines shorter than
 ``MIN_LENGTH`` are compared for equality only; repeated rows are later places of the
@@ -43,6 +43,7 @@ MAX_EDITS = 2
 MIN_LENGTH = 24
 FLUSH_ROWS = 200_000
 MEMO = 300_000
+WANTED_BITS = 24  # 2 MB
 
 
 def lines_of(text: str) -> Iterator[tuple[int, str]]:
@@ -200,14 +201,32 @@ def _keyed(t: int, least: int):
     return keyed
 
 
-def _texts(least: int):
+def _texts(least: int, bits: np.ndarray):
+    last = (len(bits) << 6) - 1
+
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
+        words = bits.tolist()
         for pdf in batches:
-            yield _frame(list(_new_lines(pdf, seen, least)), ["line", "words"])
+            out = [(h, line) for h, line in _new_lines(pdf, seen, least)
+                   if words[(h & last) >> 6] >> (h & 63) & 1]
+            yield _frame(out, ["line", "words"])
     return texts
 
 
+def hash_bits(lines: DataFrame, size: int = WANTED_BITS) -> np.ndarray:
+    """A bit for each hash of ``line`` modulo 2**size: of fixed size, whatever the input.
+
+    Tells tasks which lines surely are not wanted; an exact join follows.
+    """
+    at = lines.select(F.col("line").bitwiseAND(F.lit((1 << size) - 1)).alias("at"))
+    found = at.groupBy(F.shiftright("at", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
+    out = np.zeros(1 << (size - 6), dtype=np.int64)
+    out[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
+    return out
+
+
 def near(x: str, y: str, t: int) -> Column:
     """Length and sketch of two key rows allow t edits."""
     return ((F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= t)
@@ -247,7 +266,8 @@ def verified(docs: DataFrame, candidates: DataFrame, t: int, least: int) -> Data
     a, b = F.least("x.line", "y.line"), F.greatest("x.line", "y.line")
     pairs = durable(candidates.select(a.alias("a"), b.alias("b")).distinct())
     wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
-    texts = docs.select("text").mapInPandas(_texts(least), "line long, words string")
+    wanted = durable(wanted)
+    texts = docs.select("text").mapInPandas(_texts(least, hash_bits(wanted)), "line long, words string")
     texts = durable(texts.join(wanted, "line").groupBy("line").agg(F.first("words").alias("words")))
 
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:

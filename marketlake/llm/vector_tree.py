@@ -42,6 +42,7 @@ CALIBRATION = 200
 TARGET = 0.97
 BLOCK = 2048
 MAX_QUERIES = 512
+CHUNK = 256
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -212,18 +213,23 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
         part = part.sort_values("vec_id", kind="stable")
         ids, v = part["vec_id"].to_numpy(), np.array(part["v"].tolist())
         q_ids, chosen, values = [], [], []
-        for q_id, q in zip(queries["query_id"], queries["q"]):
-            s = scores(np.asarray(q), v)
-            s[ids == q_id] = -np.inf
-            if len(s) > 2 * k:  # all rows at least as near as the k-th, then exact order
-                at = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
-            else:
-                at = np.arange(len(s))
-            at = at[np.argsort(-s[at], kind="stable")][:k]
-            at = at[s[at] > -np.inf]
-            q_ids += [q_id] * len(at)
-            chosen.append(ids[at])
-            values.append(s[at])
+        longest = np.sqrt((v ** 2).sum(axis=1).max())
+        for at in range(0, len(queries), CHUNK):
+            some = queries.iloc[at:at + CHUNK]
+            q = np.array(some["q"].tolist())
+            rough = q @ v.T
+            # all rows that rounding may put among the k nearest, then the exact sums and order
+            least = np.partition(rough, -(k + 1), axis=1)[:, -(k + 1)] if len(v) > k + 1 else np.full(len(q), -np.inf)
+            slack = 1e-12 * len(q[0]) * longest * np.sqrt((q ** 2).sum(axis=1))
+            near = rough >= (least - slack)[:, None]
+            for q_id, x, hit in zip(some["query_id"], q, near):
+                rows = np.flatnonzero(hit)
+                rows = rows[ids[rows] != q_id]
+                s = scores(x, v[rows])
+                best = np.argsort(-s, kind="stable")[:k]
+                q_ids += [q_id] * len(best)
+                chosen.append(ids[rows[best]])
+                values.append(s[best])
         return pd.DataFrame({"query_id": q_ids, "vec_id": np.concatenate(chosen), "score": np.concatenate(values)})
 
     found = asked.select("leaf", "block", "part", "query_id", "q").groupBy("leaf", "block", "part").cogroup(
