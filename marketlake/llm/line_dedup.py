@@ -3,25 +3,33 @@
 A line is a text between line ends, without ASCII white space around it; blank lines
 are no lines. Two lines link when they are equal, or when both have at least
 ``MIN_LENGTH`` code points and their edit distance is at most ``MAX_EDITS`` (t).
-Of each connected group of lines the first place stays (smallest doc_id, then line
+With ``share`` (the registered query) the allowance follows the shorter line's length
+n: 1 edit from ``LEAST_NEAR`` code points, t from ``MIN_LENGTH`` and n // share where
+that is more, without an upper bound. Of each connected group of lines the first place stays (smallest doc_id, then line
 number), all others are dropped.
 
 1. Equal lines meet in a partial aggregate: everything below sees distinct lines.
 2. A line of length l is split into t + 1 segments; of a line within t edits at least
    one is a substring. A line probes, for the lengths l - t to l, the substrings that
    the multi-match-aware windows leave (12 for t = 2); its own segments are among
-   them, marked as index. A key is length, segment number and content.
+   them, marked as index. A key is length, segment number and content. From the length
+   on at which n // share exceeds t, a line has keys of another kind, whose number does not grow
+   with the allowance: two lines within it share a run of (n - t) / (t + 1) code points, and
+   the smallest hash of every ``w`` neighbouring grams of ``GRAM`` code points is a key, so
+   a run of w + ``GRAM`` - 1 has one in both, shifted by the allowance at most.
 3. Pairs of an index and a probing line under one key must agree in length and in
    the parity sketch of their letters (an edit flips at most two of its 64 bits). First
    every prober meets the key's smallest index line; once these links are joined up,
    only pairs across components are left to compare. Both are equi-joins that
    evaluate the sketch inside the join, so a key that many lines hold emits only near pairs, and adaptive
    execution may split it.
-4. What is left is verified by banded bit-parallel edit distance on the texts. Only
+4. What is left is verified by edit distance on the texts: banded bit-parallel, or for more
+   than ``BAND_EDITS`` by the furthest points of each diagonal, after gram counts. Only
    lines whose hash is in a bitmap of fixed size (2 MB) of the candidates' move.
 
 Defined results: null and blank texts have no lines; lines shorter than
-``MIN_LENGTH`` are compared for equality only; repeated rows are later places of the
+``MIN_LENGTH`` (with ``share``: ``LEAST_NEAR``, of which an edit is half or
+more) are compared for equality only; repeated rows are later places of the
 same lines; a null doc_id comes after all others; an empty table gives an empty
 result; other columns are ignored.
 """
@@ -29,6 +37,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -41,6 +50,11 @@ from .components import connected_components
 
 MAX_EDITS = 2
 MIN_LENGTH = 24
+SHARE = 40
+LEAST_NEAR = 3
+GRAM = 16
+BAND_EDITS = 4
+CHUNK_LETTERS = 1 << 20
 FLUSH_ROWS = 200_000
 MEMO = 300_000
 WANTED_BITS = 24  # 2 MB
@@ -73,19 +87,106 @@ def segments(n: int, t: int) -> list[tuple[int, int]]:
 
 def probes(n: int, t: int) -> list[tuple[int, int, int, int, bool]]:
     """``(indexed length, segment, start, size, own)`` a line of length n looks up."""
-    out = []
-    for length in range(max(t + 1, n - t), n + 1):
-        delta = n - length
-        for i, (p, size) in enumerate(segments(length, t), start=1):
-            lo = max(p - (i - 1), p + delta - (t + 1 - i), 0)
-            hi = min(p + (i - 1), p + delta + (t + 1 - i), n - size)
-            out += [(length, i, at, size, delta == 0 and at == p) for at in range(lo, hi + 1)]
+    return [p for length in range(max(t + 1, n - t), n + 1) for p in probes_at(n, length, t)]
+
+
+def probes_at(n: int, length: int, t: int) -> list[tuple[int, int, int, int, bool]]:
+    """Those for one indexed length, whose lines are split for t edits."""
+    out, delta = [], n - length
+    for i, (p, size) in enumerate(segments(length, t), start=1):
+        lo = max(p - (i - 1), p + delta - (t + 1 - i), 0)
+        hi = min(p + (i - 1), p + delta + (t + 1 - i), n - size)
+        out += [(length, i, at, size, delta == 0 and at == p) for at in range(lo, hi + 1)]
     return out
 
 
+@dataclass(frozen=True)
+class Allowance:
+    """The edits within which two lines link, by the length of the shorter one."""
+
+    t: int
+    least: int
+    share: int | None = None
+
+    def __post_init__(self):
+        if self.share and self.window < 1:
+            raise ValueError(f"a share of 1 in {self.share} leaves no common run of {GRAM} code points")
+
+    @property
+    def shortest(self) -> int:
+        return min(LEAST_NEAR, self.least) if self.share else self.least
+
+    @property
+    def long(self) -> int:
+        """The length from which lines have grams, not segments, as keys."""
+        return max(self.least, self.share * (self.t + 1)) if self.share else 1 << 31
+
+    @property
+    def window(self) -> int:
+        """Neighbouring grams inside the run that long lines within the allowance share."""
+        return -(-(self.share - 1) * (self.t + 1) // (self.t + 2)) - GRAM + 1
+
+    def edits(self, n: int) -> int:
+        if n < self.least:
+            return 1 if n >= self.shortest else 0
+        return max(self.t, n // self.share) if self.share else self.t
+
+    def column(self, n: Column) -> Column:
+        if not self.share:
+            return F.lit(self.t)
+        return F.when(n < self.least, 1).otherwise(F.greatest(F.lit(self.t), F.floor(n / self.share)))
+
+    def probes(self, n: int) -> list[tuple[int, int, int, int, bool]]:
+        most = max(1, self.t)
+        out = []
+        for length in range(max(self.shortest, n - most), min(n + 1, self.long)):
+            t = self.edits(length)
+            if n - length <= t < length:
+                out += probes_at(n, length, t)
+        return out
+
+
+def letters(line: str) -> np.ndarray:
+    return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
+def grams(c: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the ``size`` (a power of two) code points from each place on."""
+    h = (c.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    step = 1
+    while step < size:
+        h = h[:-step] * np.uint64(0xBF58476D1CE4E5B9 + 2 * step) + h[step:]
+        h ^= h >> np.uint64(32)
+        step *= 2
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def smallest_grams(lines: list[str], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(line number, key, first place, last place)``: the leftmost smallest gram of every window.
+
+    Every line has at least ``GRAM + window - 1`` code points.
+    """
+    sizes = np.array([len(l) for l in lines])
+    starts = np.cumsum(sizes) - sizes
+    h = grams(letters("".join(lines)), GRAM)
+    of = np.repeat(np.arange(len(lines)), sizes)
+    inside = of[:len(h) - window + 1] == of[GRAM + window - 2:]
+    at = np.flatnonzero(inside)
+    at = at + np.lib.stride_tricks.sliding_window_view(h, window)[at].argmin(axis=1)
+    at = at[np.append(True, at[1:] != at[:-1])]
+    line, key, place = of[at], h[at], at - starts[of[at]]
+    order = np.lexsort((place, key, line))
+    line, key, place = line[order], key[order], place[order]
+    new = np.append(True, (line[1:] != line[:-1]) | (key[1:] != key[:-1]))
+    last = np.append(np.flatnonzero(new)[1:], len(new)) - 1
+    return line[new], key[new].view(np.int64), place[new], place[last]
+
+
 def parity(line: str) -> int:
     """64 bits: the parity of the letters hashed to each. An edit flips two at most."""
-    c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    c = letters(line)
     at = (c * np.uint32(0x9E3779B1)) >> np.uint32(26)
     odd = (np.bincount(at, minlength=64) & 1).astype(np.uint8)
     return int(np.packbits(odd, bitorder="little").view("<i8")[0])
@@ -145,6 +246,56 @@ def within(a: str, b: str, t: int) -> bool:
     return any(r >> j & 1 for r in rows)
 
 
+def grams_allow(a: str, b: str, t: int, size: int = 4) -> bool:
+    """The counts of hashed grams allow t edits: an edit replaces ``size`` of them at most."""
+    shift = np.uint64(64 - min(20, max(10, len(a).bit_length() + 1)))
+    x, y = ((grams(letters(s), size) >> shift).astype(np.int64) for s in (a, b))
+    most = 1 << (64 - int(shift))
+    return int(np.abs(np.bincount(x, minlength=most) - np.bincount(y, minlength=most)).sum()) <= 2 * size * t
+
+
+def common_run(a: str, i: int, b: str, j: int) -> int:
+    """How many code points are equal from ``a[i]`` and ``b[j]`` on."""
+    most, n, step = min(len(a) - i, len(b) - j), 0, 8
+    while n < most and a[i + n:i + n + step] == b[j + n:j + n + step]:
+        n += step
+        step *= 2
+    if n >= most:
+        return most
+    hi = min(most, n + step)
+    while n < hi:  # equal up to n, not up to hi + 1
+        mid = (n + hi + 1) // 2
+        if a[i + n:i + mid] == b[j + n:j + mid]:
+            n = mid
+        else:
+            hi = mid - 1
+    return n
+
+
+def within_far(a: str, b: str, t: int) -> bool:
+    """Edit distance at most t by the furthest points of the diagonals: work grows with the distance squared."""
+    end = len(b) - len(a)
+    if abs(end) > t or min(len(a), len(b)) >= 8 and not grams_allow(a, b, t):
+        return False
+    reach = {0: common_run(a, 0, b, 0)}  # diagonal j - i: the furthest i
+    for e in range(t + 1):
+        if e:
+            old, reach = reach, {}
+            for k in range(max(-e, end - (t - e)), min(e, end + (t - e)) + 1):
+                i = max(old.get(k - 1, -1), old.get(k, -2) + 1, old.get(k + 1, -2) + 1)
+                i = min(i, len(a), len(b) - k)
+                if i >= 0 and i + k >= 0:
+                    reach[k] = i + common_run(a, i, b, i + k)
+        if reach.get(end, -1) >= len(a):
+            return True
+    return False
+
+
+def linked(a: str, b: str, allowed: Allowance) -> bool:
+    t = allowed.edits(min(len(a), len(b)))
+    return within(a, b, t) if t <= BAND_EDITS else within_far(a, b, t)
+
+
 def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     row = TaskContext.get().partitionId() << 33
     for pdf in batches:
@@ -177,27 +328,52 @@ def _new_lines(pdf: pd.DataFrame, seen: set[int], least: int) -> Iterator[tuple[
                     yield h, line
 
 
-def _keyed(t: int, least: int):
+KEY_NAMES = ["key", "line", "n", "first", "last", "own", "sketch"]
+KEY_ROWS = "key long, line long, n int, first int, last int, own boolean, sketch long"
+
+
+def _gram_keys(lines: list[tuple[int, str]], allowed: Allowance) -> pd.DataFrame:
+    hashes = np.array([h for h, _ in lines], dtype=np.int64)
+    sizes = np.array([len(l) for _, l in lines])
+    bits = np.uint64(1) << ((letters("".join(l for _, l in lines)) * np.uint32(0x9E3779B1)) >> np.uint32(26)).astype(np.uint64)
+    sketches = np.bitwise_xor.reduceat(bits, np.cumsum(sizes) - sizes).view(np.int64)  # parity() of each
+    of, key, first, last = smallest_grams([l for _, l in lines], allowed.window)
+    return pd.DataFrame(dict(zip(KEY_NAMES, (key, hashes[of], sizes[of], first, last,
+                                             np.ones(len(of), dtype=bool), sketches[of]))))
+
+
+def _keyed(allowed: Allowance):
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         plans: dict[int, list] = {}
         out: list[tuple] = []
-        names = ["key", "line", "n", "own", "sketch"]
+        long: list[tuple[int, str]] = []
+        waiting = 0
         for pdf in batches:
-            for h, line in _new_lines(pdf, seen, least):
+            for h, line in _new_lines(pdf, seen, allowed.shortest):
                 n = len(line)
+                if n >= allowed.long:
+                    long.append((h, line))
+                    waiting += n
+                    if waiting > CHUNK_LETTERS:
+                        yield _gram_keys(long, allowed)
+                        long, waiting = [], 0
+                    if n > allowed.long + allowed.t:  # no shorter kind of line is near
+                        continue
                 if n not in plans:
-                    plans[n] = probes(n, t)
+                    plans[n] = allowed.probes(n)
                 sketch, found = parity(line), {}
                 for length, i, at, size, own in plans[n]:
                     k = xxhash.xxh3_64_intdigest(line[at:at + size].encode("utf-8", "surrogatepass"),
                                                  seed=length * 16 + i)
                     found[k] = found.get(k, False) or own
-                out += [(k - (1 << 64) if k >> 63 else k, h, n, own, sketch) for k, own in found.items()]
+                out += [(k - (1 << 64) if k >> 63 else k, h, n, 0, 0, own, sketch) for k, own in found.items()]
                 if len(out) > FLUSH_ROWS:
-                    yield _frame(out, names)
+                    yield _frame(out, KEY_NAMES)
                     out = []
-        yield _frame(out, names)
+        if long:
+            yield _gram_keys(long, allowed)
+        yield _frame(out, KEY_NAMES)
     return keyed
 
 
@@ -227,59 +403,63 @@ def hash_bits(lines: DataFrame, size: int = WANTED_BITS) -> np.ndarray:
     return out
 
 
-def near(x: str, y: str, t: int) -> Column:
-    """Length and sketch of two key rows allow t edits."""
+def near(x: str, y: str, allowed: Allowance) -> Column:
+    """Lengths, places and sketches of two key rows allow the edits."""
+    t = allowed.column(F.least(f"{x}.n", f"{y}.n"))
     return ((F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= t)
+            & (F.col(f"{x}.first") - F.col(f"{y}.last") <= t) & (F.col(f"{y}.first") - F.col(f"{x}.last") <= t)
             & (F.bit_count(F.col(f"{x}.sketch").bitwiseXOR(F.col(f"{y}.sketch"))) <= 2 * t))
 
 
-def line_links(docs: DataFrame, t: int = MAX_EDITS, least: int = MIN_LENGTH) -> DataFrame:
+def line_links(docs: DataFrame, t: int = MAX_EDITS, least: int = MIN_LENGTH, share: int | None = None) -> DataFrame:
     """``(a, b)``: links of distinct lines that connect every linked pair. ``docs``: doc_id, text."""
     spark = docs.sparkSession
-    keyed = docs.select("text").mapInPandas(_keyed(t, least), "key long, line long, n int, own boolean, sketch long")
-    of = Window.partitionBy("key").orderBy("line")
+    allowed = Allowance(t, least, share)
+    keyed = docs.select("text").mapInPandas(_keyed(allowed), KEY_ROWS)
+    of = Window.partitionBy("key").orderBy("line", F.desc("own"))
     whole = Window.partitionBy("key")
     rows = keyed.repartition("key").withColumn("before", F.lag("line").over(of))
     rows = rows.where(F.col("before").isNull() | (F.col("before") != F.col("line")))
     rows = rows.withColumns({"size": F.count("*").over(whole), "indexed": F.max("own").over(whole)})
-    rows = durable(rows.where("size > 1 and indexed").select("key", "line", "n", "own", "sketch"))
+    rows = durable(rows.where("size > 1 and indexed").select(*KEY_NAMES))
     release(spark)
 
-    lead = rows.where("own").groupBy("key").agg(F.min(F.struct("line", "n", "sketch")).alias("lead"))
+    lead = rows.where("own").groupBy("key").agg(F.min(F.struct("line", "n", "first", "last", "sketch")).alias("lead"))
     lead = lead.select("key", "lead.*")
     first = rows.alias("x").join(lead.alias("y"), (F.col("x.key") == F.col("y.key"))
-                                 & (F.col("x.line") != F.col("y.line")) & near("x", "y", t))
-    links = verified(docs, first, t, least)
+                                 & (F.col("x.line") != F.col("y.line")) & near("x", "y", allowed))
+    links = verified(docs, first, allowed)
     labels = connected_components(links)
     lab = labels.select(F.col("node").alias("line"), "label")
     rows = durable(rows.join(lab, "line", "left").withColumn("comp", F.coalesce("label", "line")).drop("label"))
     rest = rows.alias("x").join(rows.where("own").alias("y"), (F.col("x.key") == F.col("y.key"))
-                                & (F.col("x.line") != F.col("y.line")) & (F.col("x.comp") != F.col("y.comp"))
-                                & near("x", "y", t))
-    more = verified(docs, rest, t, least)
+                                & (F.col("x.line") != F.col("y.line"))
+                                & (~F.col("x.own") | (F.col("x.line") < F.col("y.line"))) & (F.col("x.comp") != F.col("y.comp"))
+                                & near("x", "y", allowed))
+    more = verified(docs, rest, allowed)
     release(spark)
     return links.union(more)
 
 
-def verified(docs: DataFrame, candidates: DataFrame, t: int, least: int) -> DataFrame:
-    """The candidate pairs (of aliases x and y) whose lines are within t edits."""
+def verified(docs: DataFrame, candidates: DataFrame, allowed: Allowance) -> DataFrame:
+    """The candidate pairs (of aliases x and y) whose lines are within the allowed edits."""
     a, b = F.least("x.line", "y.line"), F.greatest("x.line", "y.line")
     pairs = durable(candidates.select(a.alias("a"), b.alias("b")).distinct())
     wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
     wanted = durable(wanted)
-    texts = docs.select("text").mapInPandas(_texts(least, hash_bits(wanted)), "line long, words string")
+    texts = docs.select("text").mapInPandas(_texts(allowed.shortest, hash_bits(wanted)), "line long, words string")
     texts = durable(texts.join(wanted, "line").groupBy("line").agg(F.first("words").alias("words")))
 
-    def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([within(p, q, t) for p, q in zip(x, y)], dtype=bool)
+    def near_enough(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([linked(p, q, allowed) for p, q in zip(x, y)], dtype=bool)
 
-    check = F.pandas_udf(linked, "boolean")
+    check = F.pandas_udf(near_enough, "boolean")
     found = pairs.join(texts.toDF("a", "words_a"), "a").join(texts.toDF("b", "words_b"), "b")
     return durable(found.where(check("words_a", "words_b")).select("a", "b"))
 
 
 def dropped_lines(docs: DataFrame, t: int = MAX_EDITS, least: int = MIN_LENGTH, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
+                  text_col: str = "text", share: int | None = None) -> DataFrame:
     """``(doc_id, n_lines, n_dropped, n_near, dropped)``, one row per input row.
 
     ``dropped`` holds the numbers of the document's lines that go (from 0, as split at
@@ -289,7 +469,7 @@ def dropped_lines(docs: DataFrame, t: int = MAX_EDITS, least: int = MIN_LENGTH,
     placed = docs.mapInPandas(_placed, "doc_id string, row long, at int, line long, check long")
     placed = durable(placed.withColumn("doc_id", F.col("doc_id").cast(kind)))
     release(docs.sparkSession)
-    labels = connected_components(line_links(docs, t, least))
+    labels = connected_components(line_links(docs, t, least, share))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "at", "line")
     lines = placed.where("at >= 0").groupBy("line").agg(F.min(place).alias("place"))
     lines = lines.join(labels, F.col("line") == F.col("node"), "left").select(

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import fold, table
 from .exact_dedup import exact_dedup
-from .line_dedup import dropped_lines
+from .line_dedup import SHARE, dropped_lines
 from .mixing import mix_sources
 from .near_jaccard import jaccard_components
 from .packing import pack_documents
@@ -47,7 +47,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dropped_lines(table(spark, sf_dir, "documents"))
+    return dropped_lines(table(spark, sf_dir, "documents"), share=SHARE)
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,3 +83,74 @@ def test_texts_without_the_lines(docs):
     frame = docs(rows).select("doc_id", "text")
     out = frame.join(L.dropped_lines(frame), "doc_id").select("doc_id", L.without_lines(F.col("text"), F.col("dropped")).alias("t"))
     assert {r["doc_id"]: r["t"] for r in out.collect()} == {1: "a\n\nb", 2: "c", 3: ""}
+
+
+@given(st.text("ab ", min_size=1, max_size=60), st.integers(0, 9), st.randoms(use_true_random=False))
+@settings(max_examples=300, deadline=None)
+def test_far_distance(a, edits, rng):
+    b = a
+    for _ in range(edits):
+        k = rng.randrange(len(b) + 1)
+        b = b[:k] + rng.choice(["", "a", "c", b[k:k + 1] + "b"]) + b[k + 1:]
+    for t in (1, 3, 6, 9):
+        assert L.within_far(a, b, t) == (distance(a, b) <= t)
+
+
+def graded_rows():
+    rng = random.Random(6)
+    allowed = L.Allowance(L.MAX_EDITS, L.MIN_LENGTH, L.SHARE)
+
+    def changed(s, n):
+        for _ in range(n):
+            k = rng.randrange(len(s))
+            s = s[:k] + rng.choice(["", "z", s[k] + "q"]) + s[k + 1:]
+        return s
+    lines = ["a", "b", "ab", "ac", "abc", "abd", "all rights reserved", "all rights reservd", "All Rights Reserved",
+             "y" * 400, "y" * 388, "y" * 370]
+    for words in (3, 5, 16, 17, 18, 19, 35):
+        for _ in range(2):
+            base = sentence(rng, words, 10**6)
+            n = allowed.edits(len(base))
+            lines += [base, changed(base, n), changed(base, max(1, n - 1)), changed(base, n + 3)]
+            at = len(base) // 2
+            lines += [base[:at] + "x" * n + base[at + n:], "t" * n + base]
+    long = sentence(rng, 43, 10**6)
+    lines += [long, long.replace(long.split()[20], "other77")]
+    keys = L._gram_keys([(1, long), (2, long[1:])], allowed)
+    assert set(keys["sketch"]) == {L.parity(long), L.parity(long[1:])}
+    # the same long passage in many lines that are not near otherwise
+    passage = sentence(rng, 20, 10**6)
+    lines += [f"{sentence(rng, 30, 10**6)} {passage} {sentence(rng, 30, 10**6)}" for _ in range(20)]
+    rng.shuffle(lines)
+    return [(i, l) for i, l in enumerate(lines)]
+
+
+def test_allowance_grows_with_the_line(docs):
+    rows = graded_rows()
+    allowed = L.Allowance(L.MAX_EDITS, L.MIN_LENGTH, L.SHARE)
+    label = {l: l for _, l in rows}
+    texts = sorted(label)
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            t = allowed.edits(min(len(a), len(b)))
+            if abs(len(a) - len(b)) <= t and label[a] != label[b] and distance(a, b) <= t:
+                old, new = label[a], label[b]
+                label = {l: new if c == old else c for l, c in label.items()}
+    seen, expect = set(), {}
+    for i, l in rows:
+        expect[i] = [0] if label[l] in seen else []
+        seen.add(label[l])
+    got = L.dropped_lines(docs(rows), share=L.SHARE).select("doc_id", "dropped").collect()
+    assert {r["doc_id"]: r["dropped"] for r in got} == expect
+    assert len(seen) < len(texts)
+
+
+def test_query_links_short_lines_and_swapped_words(spark, tmp_path):
+    from marketlake.llm.queries import op5_line_dedup
+    rng = random.Random(7)
+    long = sentence(rng, 50, 10**5)
+    swapped = long.replace(long.split()[25], "another")
+    rows = [(1, long), (2, swapped), (3, "all rights reserved"), (4, "all rights reservd")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op5_line_dedup(spark, str(tmp_path)).select("doc_id", "n_near").collect()
+    assert dict(map(tuple, got)) == {1: 0, 2: 1, 3: 0, 4: 1}
