@@ -15,7 +15,7 @@ from marketlake.llm.common import durable, fold, table
 from marketlake.llm.exact_dedup import keep_first_of_equal
 from marketlake.llm.mixing import write_mix
 from marketlake.llm.near_jaccard import keep_one_per_component
-from marketlake.llm.packing import pack_documents
+from marketlake.llm.packing import added_tokens, pack_documents
 from marketlake.llm.quality import fit_quality, score_quality
 
 
@@ -46,7 +46,8 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: the pieces of the packed sequences."""
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+                          added=added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 STAGES = [

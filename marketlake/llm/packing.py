@@ -24,6 +24,7 @@ sequence of its own; an empty table gives an empty result; other columns are ign
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -46,22 +47,36 @@ PIECES = ("doc_id string, start long, length long, ids_crc32 long, doc_tokens lo
 class Ids:
     """Token ids of whole texts by a byte-level vocabulary (ranks file and split pattern).
 
-    Strings that look like special tokens are ordinary text. A long text is encoded
-    in slices: the pre-tokeniser always starts a new piece at a single space between
+    ``added`` maps added tokens to their ids: as ``tokenizers`` does, they are cut out of the
+    text first (the leftmost, of several there the longest) and what is between them is
+    encoded stretch by stretch. Other strings that look like special tokens are
+    ordinary text. A long stretch is encoded in slices: the pre-tokeniser always starts a new piece at a single space between
     two characters that are not white space, so cutting there changes no id.
     """
 
     SLICE = 1 << 20
     _safe = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: dict[str, int] | None = None):
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.added = added or {}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self._added = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if self.added else None
 
     def of(self, text: str) -> np.ndarray:
+        if not self._added:
+            return self._stretch(text)
+        stretches = self._added.split(text)  # every second one is an added token
+        if len(stretches) == 1:
+            return self._stretch(text)
+        return np.concatenate([np.array([self.added[s]], "<u4") if i % 2 else self._stretch(s)
+                               for i, s in enumerate(stretches)])
+
+    def _stretch(self, text: str) -> np.ndarray:
         parts, at = [], 0
         while at < len(text):
             cut = self._safe.search(text, at + self.SLICE) if len(text) - at > 2 * self.SLICE else None
@@ -71,6 +86,16 @@ class Ids:
         return np.concatenate(parts).astype("<u4") if parts else np.zeros(0, "<u4")
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a ``tokenizers`` file, which it matches inside texts whatever ``add_special_tokens`` is."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    for token in found:
+        if token["single_word"] or token["lstrip"] or token["rstrip"]:
+            raise ValueError(f"matching by white space or word borders is not supported: {token}")
+    return {token["content"]: token["id"] for token in found}
+
+
 def choose(room: np.ndarray, demands: np.ndarray, waiting: np.ndarray, limits: np.ndarray) -> int:
     """The kind of example to place next, or -1. ``demands``: one row a kind."""
     ok = (waiting > 0) & (demands <= room).all(axis=1)
@@ -167,12 +192,13 @@ class Packer:
 
 def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACITY,
                    max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, end_id: int = 0,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece; see ``PIECES``. ``vocabulary`` and ``pattern`` name the tokenizer."""
+                   id_col: str = "doc_id", text_col: str = "text",
+                   added: dict[str, int] | None = None) -> DataFrame:
+    """One row per piece; see ``PIECES``. ``vocabulary``, ``pattern`` and ``added`` tokens name the tokenizer."""
     most = capacity if max_loss is None else max_loss
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = Ids(vocabulary, pattern)
+        tokenizer = Ids(vocabulary, pattern, added)
         packer = Packer(capacity, max_segments, most)
         first = TaskContext.get().partitionId() << 33
         full = min(capacity, most)

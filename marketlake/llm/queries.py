@@ -13,7 +13,7 @@ from .exact_dedup import exact_dedup
 from .line_dedup import SHARE, dropped_lines
 from .mixing import mix_sources
 from .near_jaccard import jaccard_components
-from .packing import pack_documents
+from .packing import added_tokens, pack_documents
 from .quality import fit_quality, score_quality
 from .sharding import shard_documents
 from .toxicity import fit_toxicity, score_toxicity
@@ -31,11 +31,14 @@ def op2_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_vector_packing(spark: SparkSession, sf_dir: str,
-                       vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+                       vocabulary: str | None = None, pattern: str | None = None,
+                       added: dict[str, int] | None = None) -> DataFrame:
+    if added is None and vocabulary is None:
+        added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
     return pack_documents(
         table(spark, sf_dir, "documents"),
         vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"),
-        pattern or public_tokenizers.PATTERN)
+        pattern or public_tokenizers.PATTERN, added=added)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

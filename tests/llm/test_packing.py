@@ -89,3 +89,32 @@ def test_uncut_vectors(spark):
 
 def test_empty_table(docs):
     assert P.pack_documents(docs([]), VOCABULARY, PATTERN).count() == 0
+
+
+SPECIAL = "<|endoftext|>"
+
+
+def test_added_tokens_as_the_tokenizer_itself():
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = P.Ids(VOCABULARY, PATTERN, P.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
+    texts = ["", SPECIAL, f"{SPECIAL}{SPECIAL}", f"a {SPECIAL} b", f"a  {SPECIAL}\n\nb", f"<|endof{SPECIAL}text|>",
+             f"x{SPECIAL}", f"  {SPECIAL}  ", "<|endoftext|", "no such token", f"don{SPECIAL}'t é {SPECIAL}中",
+             f"a b {SPECIAL} c d{SPECIAL} " * 100]
+    for cut in (ids.SLICE, 8):
+        ids.SLICE = cut
+        for t in texts:
+            assert ids.of(t).tolist() == reference.encode(t, add_special_tokens=False).ids
+
+
+def test_query_and_pipeline_ids_hold_added_tokens(spark, docs, tmp_path):
+    import corpus_pipeline
+    from marketlake.llm.queries import op3_vector_packing
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(1, f"one {SPECIAL} two"), (2, "plain text"), (3, None)]
+    docs(rows).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    expect = {}
+    for doc, t in rows:
+        own = np.array([*reference.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        expect[doc] = (len(own), zlib.crc32(own.tobytes()))
+    for got in (op3_vector_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs(rows), "")):
+        assert {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in got.collect()} == expect
