@@ -136,6 +136,18 @@ def reconcile_order_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("paid_total").isNull().alias("unpaid"))
 
 
+def reconcile_stored_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7 on the tables as they are: orders whose stored total differs from the sum of their charged lines."""
+    s = Star(spark, sf_dir)
+    li = s.raw("lineitem").select(
+        F.col("l_orderkey").alias("order_id"),
+        (F.col("l_extendedprice") * (F.lit(1) + F.col("l_tax")) * (F.lit(1) - F.col("l_discount"))).alias("line_total"),
+    )
+    o = s.raw("orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("total_amount"))
+    return Q.reconcile_totals(o, li).select("order_id", F.coalesce(F.col("n_lines"), F.lit(0)).alias("n_lines"),
+                                            F.col("total_amount").alias("stored_total"))
+
+
 QUALITY_QUERIES = {
     "duplicate_line_keys": duplicate_line_keys,
     "foreign_key_violations": foreign_key_violations,
@@ -144,6 +156,7 @@ QUALITY_QUERIES = {
     "range_violations": range_violations,
     "option_rule_violations": option_rule_violations,
     "reconcile_order_totals": reconcile_order_totals,
+    "reconcile_stored_totals": reconcile_stored_totals,
 }
 
 QUALITY_SQL = {
@@ -197,4 +210,9 @@ SELECT o_orderkey AS order_id, coalesce(n, 0) AS n_lines, o_orderkey % 89 = 0 AS
 FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(l_extendedprice * (1 + l_tax) * (1 - l_discount)) AS t
                        FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
 WHERE o_orderkey % 97 = 0 OR (coalesce(t, 0) > 0.02 AND (o_orderkey % 89 = 0 OR o_orderkey % 83 = 0))""",
+    "reconcile_stored_totals": """
+SELECT o_orderkey AS order_id, coalesce(n, 0) AS n_lines, o_totalprice AS stored_total
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(l_extendedprice * (1 + l_tax) * (1 - l_discount)) AS t
+                       FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
+WHERE abs(o_totalprice - coalesce(t, 0)) > 0.01""",
 }

@@ -37,3 +37,15 @@ def test_reconcile(spark):
     pays = spark.createDataFrame([(1, 10.0)], "order_id long, amount double")
     assert [r.order_id for r in Q.reconcile_totals(orders, lines).collect()] == [2]
     assert [r.order_id for r in Q.reconcile_totals(orders, lines, pays).collect()] == [2]
+
+
+def test_stored_totals_are_reconciled(spark, tmp_path):
+    from marketlake.plans import registry
+
+    spark.createDataFrame([(1, 106.0), (2, 50.0), (3, 0.0), (4, 7.0)], "o_orderkey long, o_totalprice double") \
+        .write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 100.0, 0.06, 0.0), (2, 40.0, 0.0, 0.0), (2, 20.0, 0.0, 0.5), (2, 1.0, 0.0, 0.0)],
+                          "l_orderkey long, l_extendedprice double, l_tax double, l_discount double") \
+        .write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.queries()["reconcile_stored_totals"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(2, 3, 50.0), (4, 0, 7.0)]
