@@ -43,7 +43,6 @@ from .common import text_or_empty
 from .quality import labelled_sample
 
 MAX_LABELLED = 8000
-MAX_TERMS = 2000
 MIN_SUPPORT = 5
 MIN_RATIO = 25.0
 SURE_RATIO = 200.0
@@ -212,8 +211,8 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             "label": pd.Series(label, dtype="int32")})
 
 
-def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
-    """``(word, support, ratio)``: the terms, at most ``max_terms``, best supported first."""
+def learn_lexicon(sample: DataFrame) -> DataFrame:
+    """``(word, support, ratio)``: all terms of the sample, which bounds them."""
     seen = sample.mapInPandas(_contexts, "word string, context string, label int")
     per = seen.groupBy("word", "context").agg(F.max("label").alias("toxic"), F.min("label").alias("lo"))
     per = per.groupBy("word").agg(F.sum("toxic").alias("support"), F.sum(1 - F.col("lo")).alias("clean"))
@@ -221,8 +220,7 @@ def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
     share = ((total["n0"] or 0) + 1) / ((total["n1"] or 0) + 1)
     ratio = (F.col("support") + 0.5) / (F.col("clean") + 0.5) * F.lit(float(share))
     return per.select("word", "support", ratio.alias("ratio")).where(
-        (F.col("support") >= MIN_SUPPORT) & (F.col("ratio") >= MIN_RATIO)).orderBy(
-        F.desc("support"), "word").limit(max_terms)
+        (F.col("support") >= MIN_SUPPORT) & (F.col("ratio") >= MIN_RATIO))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -258,7 +256,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, label_col: str = "to
                     forms.update({plain(t) for t in set(text.split()) if (h := scorer.hit(t)) and h[1]})
             yield pd.DataFrame({"form": pd.Series(list(forms), dtype=object)})
 
-    forms = sample.mapInPandas(near_terms, "form string").distinct().orderBy("form").limit(max_labelled)
+    forms = sample.mapInPandas(near_terms, "form string").distinct()
     clean = frozenset(r["form"] for r in forms.collect())
 
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

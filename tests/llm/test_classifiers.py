@@ -107,3 +107,20 @@ def test_copies_do_not_make_terms(spark):
     varied = [(f"{c * 3}q vileword {c * 2}z", 1) for c in "abcdefghijklmnoprstuvwxy"]
     sample = spark.createDataFrame(copies + varied, "text string, label int")
     assert [r["word"] for r in T.learn_lexicon(sample).collect()] == ["vileword"]
+
+
+def test_no_term_or_clean_form_is_left_out(spark):
+    parts = [a + b for a in "bdfglmnprst" for b in "aeiou"]
+    terms = [a + b + c for a in parts[:14] for b in parts[14:28] for c in parts[28:40]][:2100]
+    rows = [(" ".join(f"{t} {'kwzhv'[k % 5]}{'yj'[k // 5]}x" for t in terms), 1) for k in range(6)]
+    rows += [("nothing wrong here", 0)] * 20
+    found = T.learn_lexicon(spark.createDataFrame(rows, "text string, label int")).collect()
+    assert set(terms) <= {r["word"] for r in found}
+
+    label = [(i, text, y) for i, (text, y) in enumerate(
+        [(f"you {w} vile{w} hatefulword {w}", 1) for w in terms[:6]]
+        + [("hatefulwora fine", 0), ("hatefulworb fine", 0), ("hatefulworc fine", 0), ("hatefulwore fine", 0)]
+        + [(f"all is well {w}", 0) for w in terms[100:116]])]
+    docs = spark.createDataFrame(label, "doc_id long, text string, toxic int")
+    model = T.fit_toxicity(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), docs["doc_id"] >= 0)
+    assert {"hatefulwora", "hatefulworb", "hatefulworc", "hatefulwore"} <= model["clean"]
