@@ -16,6 +16,7 @@ from .near_jaccard import jaccard_components
 from .packing import added_tokens, pack_documents
 from .quality import fit_quality, score_quality
 from .sharding import shard_documents
+from .spelling import spelling_variants, word_counts
 from .toxicity import fit_toxicity, score_toxicity
 from .vector_tree import nearest
 from .word_pieces import count_pieces, sentencepiece_vocabulary
@@ -79,6 +80,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents"), typo_every=97))
+
+
 OP1_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(length(text), 0) AS n,
@@ -155,6 +160,49 @@ SELECT doc_id, n_shingles, least(doc_id, min(other)) AS component_id
 FROM n JOIN reach USING (doc_id) GROUP BY doc_id, n_shingles
 """
 
+# crc32 bit by bit from its table; near words share a pattern with one place left out.
+OP13_SQL = r"""
+WITH RECURSIVE k0 AS (
+  SELECT list_transform(range(256), lambda c: list_reduce(range(8), lambda x, y:
+         CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, c::BIGINT)) AS crc
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run
+  FROM documents
+), seen AS (
+  SELECT doc_id, run, count(*) AS c, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x
+  FROM runs GROUP BY doc_id, run
+), summed AS (
+  SELECT run, c, xor(list_reduce(range(0, len(x) // 2), lambda h, i:
+         xor(h >> 8, k0.crc[xor(h & 255, CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT)) + 1]), 4294967295::BIGINT),
+         4294967295) AS h
+  FROM seen, k0
+), spelt AS (
+  SELECT CASE WHEN h % 97 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, c FROM summed
+), w AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM spelt WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3
+), gaps AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w
+), cut AS (
+  SELECT word, n, i, word[1:i - 1] AS l, word[i + 1:] AS r FROM gaps
+), near AS (
+  SELECT a.word AS word, b.word AS other, b.n AS m
+  FROM cut a JOIN cut b ON a.l = b.l AND a.r = b.r AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN w b ON b.word = a.l || a.r
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN w b ON b.word = a.l || a.r
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word
+), f AS (
+  SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN other END AS form,
+         CASE WHEN m >= 2 * n THEN m END AS form_n
+  FROM w LEFT JOIN best USING (word)
+), walk(word, here, up) AS (
+  SELECT word, word, form FROM f
+  UNION ALL SELECT walk.word, walk.up, f.form FROM walk JOIN f ON f.word = walk.up
+)
+SELECT f.word, f.form, walk.here AS root, n, n_near, form_n FROM f JOIN walk ON walk.word = f.word AND walk.up IS NULL
+"""
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_label_propagation": op2_label_propagation,
@@ -166,10 +214,12 @@ QUERIES = {
     "op8_word_pieces": op8_word_pieces,
     "op9_vector_tree": op9_vector_tree,
     "op10_jaccard_join": op10_jaccard_join,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL = {
     "op1_exact_dedup": OP1_SQL,
     "op6_mix_sources": OP6_SQL,
     "op10_jaccard_join": OP10_SQL,
+    "op13_spelling_variants": OP13_SQL,
 }
