@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import fold, table
+from .collocations import collocations
 from .exact_dedup import exact_dedup
 from .line_dedup import SHARE, dropped_lines
 from .mixing import mix_sources
@@ -80,6 +81,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents")).select(
+        "lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(word_counts(table(spark, sf_dir, "documents"), typo_every=97))
 
@@ -160,6 +166,43 @@ SELECT doc_id, n_shingles, least(doc_id, min(other)) AS component_id
 FROM n JOIN reach USING (doc_id) GROUP BY doc_id, n_shingles
 """
 
+OP11_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p
+), total AS (
+  SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM (
+    SELECT lang, k, unnest(list_transform(range(1, len(words) - k + 2), lambda i: list_aggregate(words[i:i + k - 1], 'string_agg', ' '))) AS phrase
+    FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(words) >= k)
+  GROUP BY lang, k, phrase HAVING count(*) >= 30
+), c AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE k > 1
+), cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, cut, x.f AS l, y.f AS r,
+         CAST((2000000 * CAST(c.a AS HUGEINT)) // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:c.cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[c.cut + 1:], ' ')
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), held AS (
+  SELECT lang, phrase, max(a) AS most FROM (
+    SELECT c.lang, a, array_to_string(words[i:i + m - 1], ' ') AS phrase
+    FROM (SELECT *, unnest(range(2, k)) AS m FROM c) c, (SELECT unnest([1, 2, 3]) AS i) WHERE i + m - 1 <= k)
+  GROUP BY lang, phrase
+), ranked AS (
+  SELECT lang, phrase, a, l, r, score,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM lowest LEFT JOIN held USING (lang, phrase) WHERE most IS NULL OR 100 * CAST(most AS HUGEINT) < 80 * CAST(a AS HUGEINT)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
 # crc32 bit by bit from its table; near words share a pattern with one place left out.
 OP13_SQL = r"""
 WITH RECURSIVE k0 AS (
@@ -214,6 +257,7 @@ QUERIES = {
     "op8_word_pieces": op8_word_pieces,
     "op9_vector_tree": op9_vector_tree,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_collocations": op11_collocations,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
@@ -221,5 +265,6 @@ ORACLE_SQL = {
     "op1_exact_dedup": OP1_SQL,
     "op6_mix_sources": OP6_SQL,
     "op10_jaccard_join": OP10_SQL,
+    "op11_collocations": OP11_SQL,
     "op13_spelling_variants": OP13_SQL,
 }

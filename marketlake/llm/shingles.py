@@ -59,6 +59,14 @@ def word_hashes(data: bytes) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+def run_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """One 64-bit hash for each given run of bytes, A-Z as a-z; further seeds give further hashes."""
+    up, down = _power_tables(len(b) + 1)
+    sums = np.zeros(len(b) + 1, dtype=_U)
+    np.cumsum(mix(_TABLE + _U(seed))[b] * up[:len(b)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
 def shingle_set(data: bytes, words: int = 5) -> np.ndarray:
     """The sorted distinct hashes of all runs of ``words`` words.
 
