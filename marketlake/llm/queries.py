@@ -19,9 +19,14 @@ from .quality import fit_quality, score_quality
 from .sharding import shard_documents
 from .spelling import spelling_variants, word_counts
 from .toxicity import fit_toxicity, score_toxicity
+from .url_filter import judge_urls
 from .vector_tree import nearest
 from .word_pieces import count_pieces, sentencepiece_vocabulary
 
+# Fixed values of the contract.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
+             ("block", "net/es/"), ("block", "net/fr/")]
+
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select(
@@ -86,6 +91,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(word_counts(table(spark, sf_dir, "documents"), typo_every=97))
 
@@ -258,6 +267,7 @@ QUERIES = {
     "op9_vector_tree": op9_vector_tree,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_collocations": op11_collocations,
+    "op12_url_filter": op12_url_filter,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
