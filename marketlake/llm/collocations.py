@@ -42,9 +42,9 @@ LONGEST = 4
 TOP = 2000
 KEPT_SHARE = 80
 SCALE = 2_000_000
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 HELD_WORDS = 200_000
-HELD_KEYS = 1 << 20
+HELD_KEYS = 1 << 19
 SHARD_WORDS = 1 << 21
 BITMAP_BITS = 26
 
