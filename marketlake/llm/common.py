@@ -7,10 +7,12 @@ so extra or clashing columns of the input never reach its plan.
 from __future__ import annotations
 
 import gc
+import pickle
 import tempfile
 import time
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DataType
 
@@ -74,6 +76,19 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def sent(spark: SparkSession, model):
+    """Broadcast a model of this package by value: the tasks need no copy of the package.
+
+    A broadcast's own pickling names classes by their module. Read it with ``received``.
+    """
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def received(model):
+    """What ``sent`` broadcast."""
+    return pickle.loads(model.value)
+
+
 def with_text_id(docs: DataFrame, id_col: str, text: Column) -> tuple[DataFrame, DataType]:
     """``(doc_id, text)`` with the id as a string, and the id's type to cast back to.
 

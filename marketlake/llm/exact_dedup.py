@@ -9,9 +9,10 @@ recipe only; text crosses the network once, as distinct chunks of bounded size,
 to verify that no identifier stands for two different chunks. Should one ever,
 the recipes are compared together with the SHA-256 of the whole text.
 
-Skew: equal recipes collapse in the map-side aggregate, and the join that hands
-the group's result back to its members is an inner-side-unique equi-join that
-adaptive execution may split at a hot group.
+Skew: equal recipes collapse in the map-side aggregate. The groups are written before
+they are joined back to their members, so both sides of that join are plain exchanges
+and adaptive execution splits a hot group (with the aggregate in the join's own
+stage it could not).
 
 Defined results: a null text counts as empty and all empty texts are one group;
 a null ``doc_id`` sorts after every other; rows that repeat a doc_id with an
@@ -92,9 +93,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     first = F.struct((-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"),
                      F.col("doc_id").alias("c"))
-    groups = (known.groupBy("recipe", "tie")
-              .agg(F.count("*").alias("group_size"), F.min_by("doc_id", first).alias("keep_id"))
-              .where("group_size > 1"))
+    groups = durable(known.groupBy("recipe", "tie")
+                     .agg(F.count("*").alias("group_size"), F.min_by("doc_id", first).alias("keep_id"))
+                     .where("group_size > 1"))
     return known.join(groups, ["recipe", "tie"], "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))

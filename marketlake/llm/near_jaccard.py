@@ -3,7 +3,9 @@
 Two documents link when 100 |A n B| >= 75 |A u B| for their sets of five-word
 shingles. Then |A ^ B| <= d = floor((|A| + |B|) / 7).
 
-1. Sets with equal members are one class, named by a 64-bit fingerprint of the set.
+1. Sets with equal members are one class, named by a 64-bit fingerprint of the set; a second
+   one tells whether two sets ever share a name. A class's text is that of its first row, by id
+   and text, so ids that repeat or are missing move no text twice.
 2. Pigeonhole join of parity sketches per size band. A band has its own number of
    parts; a set is dealt to the parts by hash, and a part's 64-bit word is the XOR
    of its members, so at most d words of a linked pair differ. With the occupied
@@ -25,8 +27,8 @@ shingles. Then |A ^ B| <= d = floor((|A| + |B|) / 7).
    exactly on the sets.
 
 No cap drops a candidate. Links are exact up to equal 64-bit hashes of shingles and sets, and
-the prefix argument needs d + 1 occupied parts, which the number of parts leaves a
-wide margin for.
+the prefix argument needs d + 1 occupied parts: sets of up to ``FEW`` shingles have a part for each
+member, larger ones so many parts that fewer than d + 1 of them do not occur.
 
 Defined results: null or wordless text has an empty set, is linked with nothing
 and is its own component; fewer than five words make one shingle; rows that repeat
@@ -49,6 +51,7 @@ from .shingles import fingerprint, fold_to, parity_sketch, parity_words, shingle
 
 HOT = 8
 WORDS = 5
+FEW = 24
 SHORT = [f"s{i}" for i in range(8)]  # a 512-bit sketch as eight numbers
 FLUSH_ROWS = 200_000
 
@@ -67,14 +70,17 @@ def prefix_length(n: int) -> int:
 
 def parts_for(n: int) -> int:
     """The number of parts of a pair whose smaller set has ``n`` members."""
+    if n <= FEW:  # every member in a part of its own: a few members may fall into one of a few parts
+        return 1 << 24
     least = n if n < 200 else 0.6 * n
     return max(64, 1 << math.ceil(math.log2(max(1.0, least))))
 
 
 def bands(n: int) -> list[int]:
     """The parts a set of ``n`` is keyed with: for smaller and for larger partners."""
-    return sorted({parts_for(m) for m in (-(-3 * n // 4), n)} | {
-        p for p in (parts_for(199), parts_for(200)) if -(-3 * n // 4) <= 200 <= n})
+    least = -(-3 * n // 4)
+    return sorted({parts_for(m) for m in (least, n)} | {
+        parts_for(m) for m in (FEW, FEW + 1, 199, 200) if least <= m <= n})
 
 
 def sketch_bits(n: int) -> int:
@@ -82,6 +88,7 @@ def sketch_bits(n: int) -> int:
 
 
 def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The class, sketches and size of each text; ``text_hash`` passes through."""
     for pdf in batches:
         out, short = [], np.zeros((len(pdf), len(SHORT)), dtype=np.int64)
         for i, text in enumerate(pdf["text"]):
@@ -89,7 +96,8 @@ def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sketch = parity_sketch(s, sketch_bits(len(s)))
             short[i] = fold_to(sketch, 8 * len(SHORT)).view("<i8")
             out.append((len(s), *fingerprint(s), sketch.tobytes()))
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [r[0] for r in out], "class": [r[1] for r in out],
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_hash": pdf["text_hash"],
+                            "n": [r[0] for r in out], "class": [r[1] for r in out],
                             "check": [r[2] for r in out], "sketch": [r[3] for r in out]}
                            | {k: short[:, i] for i, k in enumerate(SHORT)})
 
@@ -181,6 +189,11 @@ def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
+def first_row() -> Column:
+    """Orders rows by id, those without one last, then by text."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+
+
 def fits(a: Column, b: Column) -> Column:
     """The sizes allow a similarity of 0.75."""
     return (F.least(a, b) * 4 >= F.greatest(a, b) * 3)
@@ -193,11 +206,16 @@ class JaccardJoin:
         text = text_or_empty(F.col(text_col)).cast("binary")
         as_text, kind = with_text_id(docs, id_col, text)
         self.docs = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-        rows = as_text.mapInPandas(_described, "doc_id string, n long, class long, check long, sketch binary, "
+        as_text = as_text.withColumn("text_hash", F.xxhash64("text"))
+        rows = as_text.mapInPandas(_described, "doc_id string, text_hash long, n long, class long, check long, sketch binary, "
                                    + ", ".join(f"{k} long" for k in SHORT))
         self.rows = durable(rows.withColumn("doc_id", F.col("doc_id").cast(kind)))
-        self.classes = self.rows.where("n > 0").groupBy("class").agg(
-            F.min("doc_id").alias("first_id"), F.first("n").alias("n"))
+        self.classes = durable(self.rows.where("n > 0").groupBy("class").agg(
+            F.min(first_row()).alias("rep"), F.first("n").alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+            .select("class", F.col("rep.doc_id").alias("first_id"), F.col("rep.text_hash").alias("first_hash"), "n", "lo", "hi"))
+        clash = self.classes.where("lo <> hi").select("class").first()
+        if clash:  # two halves of 64 bits: never seen, and never passed over
+            raise ValueError(f"two different sets share the fingerprint {clash[0]}")
 
     def buckets(self) -> DataFrame:
         """``(key, class, n, band, size)`` of every key that several classes hold."""
@@ -211,8 +229,10 @@ class JaccardJoin:
 
     def texts_of(self, classes: DataFrame) -> DataFrame:
         """``(class, text)`` of the given classes."""
-        ids = classes.join(self.classes, "class").select("class", F.col("first_id").alias("id"))
-        return self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id"))).select("class", "text")
+        ids = classes.join(self.classes, "class").select("class", F.col("first_id").alias("id"), "first_hash")
+        keyed = self.docs.withColumn("text_hash", F.xxhash64("text"))
+        return keyed.join(ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("first_hash"))
+                          ).select("class", "text")
 
     def rare_buckets(self, heavy: DataFrame) -> DataFrame:
         """Buckets of the heavy classes among themselves, by their rarest words.
@@ -316,19 +336,42 @@ class JaccardJoin:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row per input row."""
     join = JaccardJoin(docs, id_col, text_col)
-    labels = join.components()
-    named = join.classes.join(labels, F.col("class") == F.col("node"), "left").select(
-        "class", "first_id", F.coalesce("label", "class").alias("comp"))
-    first = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    named = named.join(first, "comp").select(F.col("class").alias("of"), "component_id")
-    rows = join.rows.withColumn("of", F.when(F.col("n") > 0, F.col("class")))
-    return rows.join(named, "of", "left").select(
+    named = with_components(join)
+    return join.rows.withColumn("of", F.when(F.col("n") > 0, F.col("class"))).join(named, "of", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when(F.col("n") > 0, F.col("rep.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def with_components(join: JaccardJoin) -> DataFrame:
+    """``(of, rep)``: every class with its component's first row."""
+    named = join.classes.join(join.components(), F.col("class") == F.col("node"), "left").select(
+        "class", F.struct(F.col("first_id").isNull().alias("no_id"), F.col("first_id").alias("doc_id"),
+                          F.col("first_hash").alias("text_hash")).alias("own"),
+        F.coalesce("label", "class").alias("comp"))
+    first = durable(named.groupBy("comp").agg(F.min("own").alias("rep")))
+    return named.join(first, "comp").select(F.col("class").alias("of"), "rep")
 
 
 def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is their component's smallest; rows without words or id stay."""
-    drop = jaccard_components(docs, id_col, text_col).where("component_id <> doc_id").select(
-        F.col("doc_id").alias("__nj_id")).distinct()
-    return docs.join(drop, F.col(id_col) == F.col("__nj_id"), "left_anti")
+    """Of each component's rows the first stays, by id (none comes last), then text; rows without words stay.
+
+    A row goes by its id and text together, so others that share its id, or have none either, stay.
+    Of rows that repeat the id and text that stays, one stays.
+    """
+    join = JaccardJoin(docs, id_col, text_col)
+    rows = join.rows.where("n > 0").join(with_components(join), F.col("class") == F.col("of"))
+    rows = rows.groupBy("doc_id", "text_hash", "rep").agg(F.count("*").alias("m"))
+    is_rep = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("text_hash") == F.col("rep.text_hash"))
+    rows = durable(rows.select("doc_id", "text_hash", is_rep.alias("stays"), "m").where("m > 1 or not stays"))
+    key = ["__nj_id", "__nj_hash"]
+    keyed = docs.withColumns({key[0]: F.col(id_col), key[1]: F.xxhash64(text_or_empty(F.col(text_col)).cast("binary"))})
+
+    def of(some: DataFrame, how: str) -> DataFrame:
+        x = some.select(F.col("doc_id").alias("__nj_x"), F.col("text_hash").alias("__nj_y"))
+        return keyed.join(x, F.col(key[0]).eqNullSafe(F.col("__nj_x")) & (F.col(key[1]) == F.col("__nj_y")), how)
+
+    out = of(rows, "left_anti")
+    again = rows.where("stays")
+    if again.limit(1).count():
+        out = out.unionByName(of(again, "left_semi").dropDuplicates(key))
+    return out.drop(*key)

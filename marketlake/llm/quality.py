@@ -166,7 +166,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, learn, b
     """At most ``bound`` labelled texts, either class up to half: ``doc_id, text, label, draw``.
 
     ``learn`` is a condition on the labels table's ``doc_id``. Ids and labels are
-    drawn first; the broadcast side has at most ``bound`` rows of three numbers.
+    drawn first; the broadcast side has at most ``bound`` rows of three numbers. Of rows that
+    share a drawn id one is taken (smallest text hash), so the bound holds for rows.
     """
     known = labels.where(F.col("doc_id").isNotNull() & learn & F.col(label_col).isin(0, 1))
     known = known.groupBy("doc_id").agg(F.min(label_col).alias("lo"), F.max(label_col).alias("hi"))
@@ -178,7 +179,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, learn, b
         known.where("label = 1").orderBy("draw", "labelled").limit(half))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
     found = rows.join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled"))
-    return found.select("doc_id", "text", "label", "draw")
+    one = F.min_by("text", F.struct(F.xxhash64("text"), F.char_length("text"))).alias("text")
+    return found.groupBy("doc_id", "label", "draw").agg(one).select("doc_id", "text", "label", "draw")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learn, label_col: str = "quality",

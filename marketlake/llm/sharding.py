@@ -6,7 +6,9 @@ shard by partial aggregation) and asks to move to the commonest. A seeded half o
 documents may ask in a round, which breaks the swapping of pairs. Between two shards
 as many may move one way as the other; beyond that only the room that the target's
 quota (the even share plus ``slack``) leaves is dealt out, in proportion, to seeded
-shares of those who ask. Cut links fall while sizes stay near even.
+shares of those who ask. Cut links fall while sizes stay near even. It ends when nobody
+has moved for ``IDLE`` rounds (everybody has been asked by then, but for one in eight), after ``ROUNDS`` at
+the latest.
 
 At the end sizes are made exactly even (counts at most one apart): documents are
 numbered in the order of shard, then group, and the numbers are cut into equal runs,
@@ -30,14 +32,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import durable, text_or_empty
 
 SHARDS = 40
-ROUNDS = 8
+ROUNDS = 60
+IDLE = 3
 SLACK = 0.2
 BUCKET_ROWS = 2048
 
 
 def group_links(nodes: DataFrame, key: list[str]) -> DataFrame:
     """Links of a star: each member of a group with the group's smallest node, not all pairs."""
-    hubs = nodes.groupBy(*key).agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
+    hubs = durable(nodes.groupBy(*key).agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1"))
     return nodes.join(hubs, key).where("node <> b").select(F.col("node").alias("a"), "b")
 
 
@@ -65,6 +68,7 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
     labels = durable(nodes.select("node", F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(shards)).cast("int").alias("label")))
     total = labels.count()
     most = total / shards * (1 + slack)
+    idle = 0
     for r in range(rounds):
         votes = both.join(labels, both.v == labels.node).groupBy("u", "label").agg(F.count("*").alias("votes"))
         tie = F.xxhash64(F.lit(r), "label")
@@ -79,12 +83,18 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
                          .select("node", "own", F.col("best.label").alias("to")))
         moves = [tuple(m) for m in asking.groupBy("own", "to").count().collect()]
         if not moves:
-            break
+            idle += 1
+            if idle == IDLE:
+                break
+            continue
         sizes = {m["label"]: m["count"] for m in labels.groupBy("label").count().collect()}
         allowed = spark.createDataFrame(quotas(moves, sizes, most), "own int, to int, share double")
         draw = F.pmod(F.xxhash64(F.lit(200 + r), "node"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        moved = asking.join(allowed, ["own", "to"]).where(draw < F.col("share")).select(
-            F.col("node").alias("mover"), "to")
+        moved = durable(asking.join(allowed, ["own", "to"]).where(draw < F.col("share")).select(
+            F.col("node").alias("mover"), "to"))
+        idle = 0 if moved.limit(1).count() else idle + 1
+        if idle == IDLE:
+            break
         labels = durable(labels.join(moved, labels.node == moved.mover, "left").select(
             "node", F.coalesce("to", "label").alias("label")))
     return labels

@@ -9,8 +9,10 @@ Index: the tree is fitted on at most ``sample_rows`` vectors, drawn by a seeded
 ``leaf_sample`` sample vectors; every vector of the table is then assigned to a leaf.
 Search: a query walks the tree with a priority queue of nodes by distance to their
 centre, and visits the leaves in the order they leave the queue. How many leaves it
-visits is calibrated: on ``calibration`` sample queries, brute force over the sample
-gives the true neighbours, and visits widen until the mean recall reaches ``target``.
+visits is calibrated: on ``calibration`` distinct sample queries (half of them of large norm), brute force over the sample
+gives the true neighbours, and visits widen until the mean recall reaches ``target`` and nearly all queries
+``LEAST_RECALL``. Whatever the calibration says, a query goes on until its leaves hold
+more than k rows, so it gets k neighbours wherever there are as many candidates.
 
 On the cluster: leaves are split into blocks of at most about ``block`` rows by hash,
 so a leaf (or one vector) that holds a third of the rows is many tasks; each (query, leaf)
@@ -33,13 +35,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import durable
+from .common import durable, received, sent
 
 SAMPLE_ROWS = 20_000
 LEAF_SAMPLE = 48
 BRANCH = 12
 CALIBRATION = 200
 TARGET = 0.97
+LEAST_RECALL = 0.9
+SURE_SHARE = 0.95
 BLOCK = 2048
 MAX_QUERIES = 512
 CHUNK = 256
@@ -107,14 +111,15 @@ class Tree:
             todo += [(kids[j], rows[near == j]) for j in range(len(kids)) if (near == j).any()]
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves, best bin first."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+    def visits(self, q: np.ndarray, most: int, rows: np.ndarray | None = None, enough: int = 0) -> list[int]:
+        """The first ``most`` leaves, best bin first, and further ones until they hold ``enough`` of the ``rows`` a leaf has."""
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or rows is not None and held < enough):
             _, node = heapq.heappop(queue)
             kids = self.children[node]
             if not kids:
                 out.append(self.leaf[node])
+                held += 0 if rows is None else int(rows[self.leaf[node]])
                 continue
             far = ((self.centres_[kids] - q) ** 2).sum(axis=1)
             for d, kid in zip(far.tolist(), kids):
@@ -137,9 +142,18 @@ def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def calibrated_visits(tree: Tree, x: np.ndarray, lift: np.ndarray, k: int, target: float, queries: int) -> int:
-    """The least number of visits (in steps of a fifth) whose recall on the sample reaches ``target``."""
+    """The least number of visits (in steps of a fifth) with which the sample's queries reach ``target``.
+
+    Half of the queries come from all vectors, half from those of the largest norms, which many look for. Either
+    half must reach it in the mean, and ``SURE_SHARE`` of its queries ``LEAST_RECALL``, so that those whose
+    neighbours are easy to find do not speak for the others. ``x`` has distinct vectors: copies of a query would
+    all be found at once.
+    """
     leaves = tree.assign(lift)
-    picks = np.linspace(0, len(x) - 1, min(queries, len(x))).astype(int)
+    half = max(1, queries // 2)
+    large = np.argsort((x ** 2).sum(axis=1), kind="stable")[-max(half, len(x) // 20):]
+    spread = lambda n: np.linspace(0, n - 1, min(half, n)).astype(int)
+    picks = np.concatenate([spread(len(x)), large[spread(len(large))]])
     zero = np.zeros(1)
     need = []
     for i in picks:
@@ -150,8 +164,8 @@ def calibrated_visits(tree: Tree, x: np.ndarray, lift: np.ndarray, k: int, targe
         need.append(sorted(order[v] + 1 for v in leaves[top]))
     n = 1
     while n < tree.n_leaves:
-        found = sum(sum(1 for v in one if v <= n) for one in need)
-        if found >= target * sum(map(len, need)):
+        found = np.array([sum(1 for v in one if v <= n) / max(1, len(one)) for one in need])
+        if all(part.mean() >= target and (part >= LEAST_RECALL).mean() >= SURE_SHARE for part in np.split(found, [len(spread(len(x)))])):
             break
         n = n + max(1, n // 5)
     return min(n, tree.n_leaves)
@@ -169,32 +183,35 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     if not seen["n"]:
         return spark.createDataFrame([], shape)
     drawn = rows.orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(sample_rows).select("v").collect()
-    x = np.array([r["v"] for r in drawn])
+    x = np.unique(np.array([r["v"] for r in drawn]), axis=0)
     norm = float(seen["norm"])
     lift = lifted(x, norm)
     tree = Tree(lift, BRANCH, LEAF_SAMPLE)
     # a leaf of the table holds more near rows than one of the sample, so the sample's count errs on the wide side
     n_visits = calibrated_visits(tree, x, lift, k, target, CALIBRATION)
-    sent = spark.sparkContext.broadcast((tree, norm, n_visits))
+    model = sent(spark, (tree, norm, n_visits))
 
     def assigned(batches):
-        tree, norm, _ = sent.value
+        tree, norm, _ = received(model)
         for pdf in batches:
             if len(pdf):
                 yield pdf.assign(leaf=tree.assign(lifted(np.array(pdf["v"].tolist()), norm)))
 
     def walked(batches):
-        tree, _, n_visits = sent.value
+        tree, _, n_visits = received(model)
         for pdf in batches:
-            leaves = [tree.visits(np.append(v, 0.0), n_visits) for v in pdf["v"]]
+            leaves = [tree.visits(np.append(v, 0.0), n_visits, held, k + 1) for v in pdf["v"]]
             size = [len(x) for x in leaves]
             yield pd.DataFrame({"query_id": pdf["vec_id"].repeat(size).to_numpy(),
                                 "q": pdf["v"].repeat(size).to_numpy(),
                                 "leaf": [y for x in leaves for y in x]})
 
     index = durable(rows.mapInPandas(assigned, f"vec_id {id_type}, v array<double>, leaf long"))
-    sizes = index.groupBy("leaf").agg(F.count("*").alias("n")).select(
-        "leaf", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    counts = durable(index.groupBy("leaf").agg(F.count("*").alias("n")))
+    held = np.zeros(tree.n_leaves, dtype=np.int64)
+    for r in counts.collect():  # a row a leaf of the bounded tree
+        held[r["leaf"]] = r["n"]
+    sizes = counts.select("leaf", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
     index = index.join(sizes, "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     asked = rows.where(is_query(F.col("vec_id"))).mapInPandas(walked, f"query_id {id_type}, q array<double>, leaf long")
     # a leaf's visitors in parts of bounded expected size: no more than the rows over MAX_QUERIES
@@ -245,14 +262,14 @@ def brute_force(vectors: DataFrame, query_ids: list, k: int, id_col: str = "vec_
     """The true neighbours of a bounded list of queries, for measuring recall."""
     rows = usable(vectors, id_col, vec_col)
     asked = rows.where(F.col("vec_id").isin(query_ids)).collect()
-    sent = rows.sparkSession.sparkContext.broadcast([(r["vec_id"], np.array(r["v"])) for r in asked])
+    known = rows.sparkSession.sparkContext.broadcast([(r["vec_id"], np.array(r["v"])) for r in asked])
     id_type = rows.schema["vec_id"].dataType.simpleString()
 
     def near(batches):
         for pdf in batches:
             ids = pdf["vec_id"].to_numpy()
             v = np.array(pdf["v"].tolist()) if len(pdf) else None
-            for q_id, q in sent.value if len(pdf) else ():
+            for q_id, q in known.value if len(pdf) else ():
                 s = scores(q, v)
                 at = np.lexsort((ids, -s))
                 at = at[ids[at] != q_id][:k]

@@ -6,6 +6,7 @@ where the rest of the word stands after the longest pieces so far are popped, an
 precomputed number how many pieces that pops. A word is read once, letter by letter,
 and only numbers are added: no piece is built and no letter is read twice.
 
+A word that no piece begins takes the bare begin mark, if the vocabulary has it, as its first piece.
 A word that the vocabulary cannot cover is one unknown piece. Words are runs outside
 the six ASCII white-space characters. The automaton is built once on the driver from
 the vocabulary (a parameter, a few ten thousand strings) and sent to the tasks;
@@ -19,12 +20,12 @@ count alike; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_or_empty, with_text_id
+from .common import received, sent, text_or_empty, with_text_id
 
 MEMO = 500_000
 SLICE = 1 << 20
@@ -36,7 +37,7 @@ class LongestMatch:
 
     BEGIN, GO_ON = 0, 1
 
-    def __init__(self, begin: Iterable[str], go_on: Iterable[str]):
+    def __init__(self, begin: Collection[str], go_on: Iterable[str]):
         self.next: dict[tuple[int, str], int] = {}
         is_piece = [False, False]
         kids: list[list[tuple[str, int]]] = [[], []]
@@ -55,6 +56,8 @@ class LongestMatch:
                     is_piece[at] = True
         self.fail = [-1] * len(is_piece)
         self.popped = [0] * len(is_piece)
+        if "" in begin:  # the bare begin mark: where no piece begins the word, it is one and the word goes on
+            self.fail[self.BEGIN], self.popped[self.BEGIN] = self.GO_ON, 1
         queue = deque([self.BEGIN, self.GO_ON])
         while queue:  # by depth, so shorter strings' links are known
             u = queue.popleft()
@@ -127,7 +130,7 @@ def slices(data: bytes, size: int = SLICE) -> Iterator[bytes]:
 
 
 def sentencepiece_vocabulary(path: str) -> tuple[list[str], list[str]]:
-    """Pieces that begin a word (without their mark) and pieces that continue one."""
+    """Pieces that begin a word (without their mark; empty: the bare mark) and pieces that continue one."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -140,16 +143,16 @@ def sentencepiece_vocabulary(path: str) -> tuple[list[str], list[str]]:
             begin.append(piece[1:])
         else:
             go_on.append(piece)
-    return [p for p in begin if p], go_on
+    return begin, go_on
 
 
 def count_pieces(docs: DataFrame, begin: list[str], go_on: list[str], id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """``(doc_id, n_words, n_pieces, n_unknown)``, one row per input row."""
-    sent = docs.sparkSession.sparkContext.broadcast(LongestMatch(begin, go_on))
+    automaton = sent(docs.sparkSession, LongestMatch(begin, go_on))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Counts(sent.value)
+        known = Counts(received(automaton))
         for pdf in batches:
             out = []
             for data in pdf["text"]:

@@ -71,3 +71,20 @@ def test_kept_documents_and_empty_table(docs):
     got = kept.select("doc_id", "text").collect()
     assert len(got) == len(want) and {r["doc_id"] for r in got} == {w[0] for w in want}
     assert X.exact_dedup(docs([])).count() == 0 and X.keep_first_of_equal(docs([])).count() == 0
+
+
+def test_a_hot_group_is_split(spark):
+    """A third of the rows equal: the join that hands the group's result back is split in the final plan."""
+    keep = {k: spark.conf.get(k, None) for k in (
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    for k, v in zip(keep, ("4k", "4k", "1.5", "-1", "40")):
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(20_000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'the same text' ELSE concat('text ', id % 9000) END AS text")
+        out = X.exact_dedup(df.repartition(30))
+        rows = out.collect()
+        assert sum(r.group_size > 6000 for r in rows) > 6000 and "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in keep.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -77,6 +77,37 @@ def test_one_document_of_each_group_stays(docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, _, c in expected(rows) if d == c)
 
 
+def test_shared_and_missing_ids_lose_no_clean_document(docs):
+    rng = random.Random(5)
+    base, other = sentence(rng, 80, 5000), sentence(rng, 80, 5000)
+    lone = [sentence(rng, 30, 5000) for _ in range(40)]
+    rows = [(1, base), (2, base + " x"), (2, other), (None, other + " y"), (None, base + " z"), (7, None), (7, " "), (None, "")]
+    rows += [(None, t) for t in lone] + [(9, t + " w") for t in [sentence(rng, 30, 5000) for _ in range(40)]]
+    rows += [(3, lone[0]), (11, "a b c d e f g"), (11, "a b c d e f g"), (11, "a b c d e f g")]
+    kept = sorted(((r.doc_id, r.text) for r in J.keep_one_per_component(docs(rows)).collect()), key=str)
+    want = [(1, base), (2, other), (7, None), (7, " "), (None, ""), (3, lone[0]), (11, "a b c d e f g")]
+    want += [(None, t) for t in lone[1:]] + [r for r in rows if r[0] == 9]
+    assert kept == sorted(want, key=str)
+
+
+def test_missing_ids_move_each_text_once(spark, docs):
+    rng = random.Random(6)
+    frame = docs([(None, sentence(rng, 12, 5000)) for _ in range(300)])
+    join = J.JaccardJoin(frame)
+    assert join.texts_of(join.classes.select("class")).count() == 300
+
+
+def test_few_members_share_a_key():
+    rng = random.Random(7)
+    for _ in range(300):  # three of four members in common: one part for all three would hide the link
+        b = np.sort(np.array([rng.getrandbits(64) for _ in range(4)], dtype=np.uint64))
+        a = b[:3]
+        keys = [{(p, int(k)) for p in J.bands(len(s)) for k in S.parity_words(s, p, J.prefix_length(len(s)))} for s in (a, b)]
+        assert keys[0] & keys[1]
+    for n in range(1, 300):
+        assert set(J.bands(n)) >= {J.parts_for(m) for m in range(-(-3 * n // 4), n + 1)}
+
+
 def test_empty_table(docs):
     assert J.jaccard_components(docs([])).count() == 0
 

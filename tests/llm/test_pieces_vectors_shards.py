@@ -33,6 +33,7 @@ def test_automaton_counts_what_longest_match_gives():
 
 def test_whole_texts(spark, docs):
     begin, go_on = W.sentencepiece_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    begin = [p for p in begin if p]  # the library's tokenizer knows no bare begin mark
     own = reference(begin, go_on)
     rows = [(1, None), (2, ""), (3, " \t"), (4, "hello  world\x0bagain"), (None, "x"), (5, "rep rep"), (5, "rep rep"),
             (6, "語\U0001F600  wide space"), (7, sentence(random.Random(2), 30_000)), (8, "unbreakable" * 40)]
@@ -45,6 +46,34 @@ def test_whole_texts(spark, docs):
     assert W.count_pieces(docs([]), begin, go_on).count() == 0
 
 
+def greedy(word, begin, go_on):
+    """Longest match by trying every length; the bare mark only where nothing else begins the word."""
+    n, at, pieces = 0, 0, begin
+    while at < len(word) or pieces is begin:
+        size = next((k for k in range(len(word) - at, 0, -1) if word[at:at + k] in pieces), 0)
+        if not size and not (pieces is begin and "" in begin):
+            return -1
+        n, at, pieces = n + 1, at + size, go_on
+    return n
+
+
+def test_bare_begin_mark_begins_a_word():
+    begin, go_on = map(set, W.sentencepiece_vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    assert "" in begin
+    automaton = W.LongestMatch(begin, go_on)
+    for word in ["ñta", "ç", "ß", "ñandú", "the", "ñ😀", "語", "Éa"]:
+        assert automaton.count(word) == greedy(word, begin, go_on), word
+    assert automaton.count("ñta") > 1
+    rng = random.Random(3)
+    for _ in range(60):
+        make = lambda n: {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) for _ in range(n)}
+        begin, go_on = make(5) | {""}, make(6)
+        automaton = W.LongestMatch(begin, go_on)
+        for _ in range(100):
+            word = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 12)))
+            assert automaton.count(word) == greedy(word, begin, go_on)
+
+
 @pytest.mark.parametrize("size", [1, 7, 64])
 def test_slices_keep_words(size):
     data = b"  one two\nthree " + b"x" * 200 + b" four  "
@@ -57,6 +86,48 @@ def vectors(spark, rows):
                                  "vec_id long, embedding array<float>, score double, leaf int")
 
 
+def unit(rng, n, d=16):
+    v = rng.normal(size=(n, d))
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def by_query(spark, groups, wanted):
+    """Recall of the queries of each group against brute force, in which equally near rows count."""
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate(groups))]
+    at = np.cumsum([0] + [len(g) for g in groups])
+    asked = [int(i) for a, b in zip(at, at[1:]) for i in range(a, b, max(1, (b - a) // wanted))]
+    found = V.nearest(vectors(spark, rows), lambda i: i.isin(asked), sample_rows=2000)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    x = np.array([v for _, v in rows], dtype=np.float32).astype(np.float64)
+    out = {}
+    for q in asked:
+        near = np.sort(np.delete(x @ x[q], q))[::-1][:20]
+        assert len(got[q]) == 20, q
+        group = int(np.searchsorted(at, q, side="right")) - 1
+        out.setdefault(group, []).append(sum(s >= near[-1] - 1e-9 for s in got[q]) / 20)
+    return {g: float(np.mean(v)) for g, v in out.items()}
+
+
+def test_copies_do_not_speak_for_small_groups(spark):
+    rng = np.random.default_rng(9)
+    copies = [np.repeat(unit(rng, 1), 150, axis=0) for _ in range(20)]
+    small = []
+    for _ in range(12):
+        v = unit(rng, 1) + rng.normal(scale=0.02, size=(5, 16))
+        small.append(v / np.linalg.norm(v, axis=1, keepdims=True))
+    found = by_query(spark, copies + small, 2)
+    assert np.mean([found[g] for g in range(20, 32)]) >= 0.9 and np.mean(list(found.values())) >= 0.9
+
+
+def test_scattered_vectors_of_larger_norm(spark):
+    rng = np.random.default_rng(10)
+    tight = [unit(rng, 1) + rng.normal(scale=0.01, size=(100, 16)) for _ in range(20)]
+    found = by_query(spark, [*tight, 1.5 * unit(rng, 60)], 3)
+    assert found[20] >= 0.9 and np.mean(list(found.values())) >= 0.9
+
+
 def test_neighbours_against_brute_force(spark):
     e = table(spark, SF01, "embeddings")
     found = V.nearest(e, lambda c: c % 20 == 0).cache()
