@@ -77,11 +77,16 @@ def default_range(as_of) -> tuple[dt.datetime, dt.datetime]:
 
 def calendar_month_filter(df: DataFrame, col: str, as_of, months: int = 1) -> DataFrame:
     """Since the start of the month ``months`` before the as-of month."""
-    ts = _as_datetime(as_of)
-    start = add_months(dt.datetime(ts.year, ts.month, 1), -months)
+    start = calendar_month_start(as_of, months)
     return df.filter(F.col(col) >= typed_literal(df.schema[col].dataType, start))
 
 
+def calendar_month_start(as_of, months: int = 1) -> dt.datetime:
+    """The first day of the month ``months`` before the as-of month."""
+    ts = _as_datetime(as_of)
+    return add_months(dt.datetime(ts.year, ts.month, 1), -months)
+
+
 def day_trunc(c) -> Column:
     """Start of day as a DATE."""
     return F.to_date(c)

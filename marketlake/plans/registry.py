@@ -15,6 +15,7 @@ from ..sources.testdata import Star
 from . import reports as R
 from .catalog_queries import CATALOG_QUERIES, CATALOG_SQL
 from .cdc_queries import CDC_QUERIES, CDC_SQL
+from .delta_queries import DELTA_QUERIES, DELTA_SQL
 from .extra_queries import EXTRA_QUERIES, EXTRA_SQL
 from .lookup_queries import LOOKUP_QUERIES, LOOKUP_SQL
 from .oracle_reports import REPORT_SQL
@@ -45,6 +46,7 @@ def queries() -> dict[str, QueryFn]:
     q.update(LOOKUP_QUERIES)
     q.update(EXTRA_QUERIES)
     q.update(SURVEY_QUERIES)
+    q.update(DELTA_QUERIES)
     return q
 
 
@@ -58,4 +60,5 @@ def oracle_sql() -> dict[str, str]:
     sql.update(LOOKUP_SQL)
     sql.update(EXTRA_SQL)
     sql.update(SURVEY_SQL)
+    sql.update(DELTA_SQL)
     return sql

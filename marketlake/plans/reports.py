@@ -365,9 +365,12 @@ def _monthly_totals(star, as_of, *keys: str) -> DataFrame:
 
 def mv_top_sellers_month(star, as_of=None) -> DataFrame:
     """Q17: per month and seller: rows, items, customers, revenue, mean."""
-    agg = _monthly_totals(star, as_of, "seller_id")
-    named = agg.join(star.sellers(), "seller_id", "inner")
-    return named.select(
+    return top_sellers_month_of(_monthly_totals(star, as_of, "seller_id"), star)
+
+
+def top_sellers_month_of(totals: DataFrame, star) -> DataFrame:
+    """Q17's columns from the totals per month and seller."""
+    return totals.join(star.sellers(), "seller_id", "inner").select(
         "month", "seller_id",
         F.col("first_name").alias("seller_first_name"),
         F.col("last_name").alias("seller_last_name"),
@@ -382,7 +385,12 @@ def mv_top_categories_month(star, as_of=None) -> DataFrame:
     agg = _monthly_lines(star, as_of, ["main_category"]).groupBy("month", "main_category").agg(
         *_roll_metrics()
     )
-    return agg.select(
+    return top_categories_month_of(agg)
+
+
+def top_categories_month_of(totals: DataFrame) -> DataFrame:
+    """Q18's columns from the totals per month and main category."""
+    return totals.select(
         "month", "main_category", "total_orders", F.col("_qty").alias("total_quantity_sold"),
         "unique_customers", _dbl("_rev").alias("total_revenue"),
         _ratio(F.col("_rev"), F.col("total_orders")).alias("average_order_value"),
@@ -392,9 +400,13 @@ def mv_top_categories_month(star, as_of=None) -> DataFrame:
 def mv_customer_demographics_month(star, as_of=None) -> DataFrame:
     """Q19: Q3's metrics per month, plus revenue."""
     o = window_orders(star, "calendar", as_of).withColumn("month", D.month_trunc("order_date"))
-    pu = per_user(star, o.select("order_id", "user_id", "month"), keys=["month"])
+    return customer_demographics_month_of(per_user(star, o.select("order_id", "user_id", "month"), keys=["month"]))
+
+
+def customer_demographics_month_of(spend: DataFrame) -> DataFrame:
+    """Q19's columns from one row per month and user: ``n``, ``rev``, ``user_age``."""
     age = F.col("user_age")
-    agg = pu.groupBy("month").agg(
+    agg = spend.groupBy("month").agg(
         _ratio(F.sum(age * F.col("n")), F.sum("n")).alias("average_customer_age"),
         F.count(F.lit(1)).alias("total_customers"),
         F.sum("rev").alias("_rev"),
@@ -410,8 +422,12 @@ def mv_customer_demographics_month(star, as_of=None) -> DataFrame:
 
 def mv_sales_metrics_month(star, as_of=None) -> DataFrame:
     """Q20: per month: rows, items, customers, revenue, means."""
-    agg = _monthly_totals(star, as_of)
-    return agg.select(
+    return sales_metrics_month_of(_monthly_totals(star, as_of))
+
+
+def sales_metrics_month_of(totals: DataFrame) -> DataFrame:
+    """Q20's columns from the totals per month."""
+    return totals.select(
         "month", "total_orders", F.col("_qty").alias("total_items_sold"), "unique_customers",
         _dbl("_rev").alias("total_revenue"),
         _ratio(F.col("_rev"), F.col("total_orders")).alias("average_order_value"),
@@ -423,9 +439,13 @@ def mv_sales_metrics_month(star, as_of=None) -> DataFrame:
 def mv_product_performance_month(star, as_of=None) -> DataFrame:
     """Q21: per month and product id (with name and categories)."""
     lines = _monthly_lines(star, as_of)
-    agg = lines.groupBy("month", "product_id").agg(*_roll_metrics())
+    return product_performance_month_of(lines.groupBy("month", "product_id").agg(*_roll_metrics()), star)
+
+
+def product_performance_month_of(totals: DataFrame, star) -> DataFrame:
+    """Q21's columns from the totals per month and product."""
     p = star.products().select("product_id", "product_name", "main_category", "sub_category")
-    return agg.join(p, "product_id", "inner").select(
+    return totals.join(p, "product_id", "inner").select(
         "month", "product_id", "product_name", "main_category", "sub_category",
         "total_orders", F.col("_qty").alias("total_quantity_sold"), "unique_customers",
         _dbl("_rev").alias("total_revenue"),

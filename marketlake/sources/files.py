@@ -126,8 +126,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame | None:
     return None if newest is None else spark.read.parquet(f"{path.rstrip('/')}/version={newest}")
 
 
-def newest_version(spark: SparkSession, path: str, prefix: str = "version=") -> int | None:
-    """Highest ``<prefix>N`` folder that was written to its end (a listing, no scan)."""
+def newest_version(spark: SparkSession, path: str, prefix: str = "version=", before: int | None = None) -> int | None:
+    """Highest ``<prefix>N`` folder (N under ``before``) that was written to its end (a listing, no scan)."""
     sc = spark.sparkContext
     hadoop = sc._jvm.org.apache.hadoop.fs
     root = hadoop.Path(path)
@@ -137,7 +137,14 @@ def newest_version(spark: SparkSession, path: str, prefix: str = "version=") ->
     found = [int(st.getPath().getName()[len(prefix):]) for st in fs.listStatus(root)
              if st.isDirectory() and st.getPath().getName().startswith(prefix)
              and fs.exists(hadoop.Path(st.getPath(), "_SUCCESS"))]
-    return max(found, default=None)
+    return max((n for n in found if before is None or n < before), default=None)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file through its own file system; nothing happens when it is not there."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def upsert_documents(docs: DataFrame, path: str, key: str = "id", order=("etl_updated_at",)) -> None:

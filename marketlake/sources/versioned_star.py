@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import registry as REG
 from ..operators.versioned import latest_version
-from .files import read_table
+from .files import newest_version, read_table
 
 VERSION_ORDER = ["etl_updated_at", "_batch", "_offset"]
 
@@ -30,21 +30,19 @@ def _log_ddl(table: str) -> str:
             + ", _topic string, _partition int, _offset bigint, _deleted boolean, batch_id bigint")
 
 
-def newest_snapshot(spark: SparkSession, snap_dir: str) -> int | None:
-    """Highest ``upto=N`` folder under ``snap_dir`` (a file-system listing, no scan)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(snap_dir)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    best = None
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("upto=") and fs.exists(
-                jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            n = int(name.split("=", 1)[1])
-            best = n if best is None or n > best else best
-    return best
+def newest_snapshot(spark: SparkSession, snap_dir: str, most: int | None = None) -> int | None:
+    """Highest ``upto=N`` folder (N up to ``most``) under ``snap_dir`` (a file-system listing, no scan)."""
+    return newest_version(spark, snap_dir, "upto=", None if most is None else most + 1)
+
+
+def merge_key(table: str):
+    """The column that tells rows of one key: the primary key when the message carried one, else the natural key."""
+    m = REG.TABLE_MAPPINGS[table]
+    pk = F.col(primary_key(table))
+    known = F.concat(F.lit("#"), pk.cast("string"))
+    if not m.alt_key:
+        return known
+    return F.when(pk.isNotNull(), known).otherwise(F.concat_ws("|", *[F.col(c).cast("string") for c in m.alt_key]))
 
 
 class VersionedStar:
@@ -82,26 +80,48 @@ class VersionedStar:
     def latest(self, table: str) -> DataFrame:
         return self._latest(self.log(table), table)
 
+    def log_upto(self, table: str, upto_batch: int) -> DataFrame:
+        """The newest snapshot up to ``upto_batch`` and the log batches after it."""
+        prev = newest_snapshot(self.spark, f"{self.snap}/{table}", upto_batch) if self.snap else None
+        log = self.raw_log(table, after_batch=prev, upto_batch=upto_batch)
+        if prev is None:
+            return log
+        snap = read_table(self.spark, f"{self.snap}/{table}/upto={prev}",
+                          _log_ddl(table).replace(", batch_id bigint", ", _batch bigint"))
+        return snap.unionByName(log)
+
     def latest_rows(self, table: str, upto_batch: int) -> DataFrame:
         """Latest live row per key over everything up to ``upto_batch`` (for compaction)."""
-        prev = newest_snapshot(self.spark, f"{self.snap}/{table}") if self.snap else None
-        log = self.raw_log(table, after_batch=prev, upto_batch=upto_batch)
-        if prev is not None:
-            snap = read_table(self.spark, f"{self.snap}/{table}/upto={prev}",
-                              _log_ddl(table).replace(", batch_id bigint", ", _batch bigint"))
-            log = snap.unionByName(log)
-        return self._latest(log, table)
+        return self._latest(self.log_upto(table, upto_batch), table)
+
+    # keys one batch touched, and the live rows of some keys only
+    def touched(self, table: str, batch_id: int) -> DataFrame:
+        """The keys that batch ``batch_id`` changed or deleted: ``_key`` and the primary key."""
+        log = self.raw_log(table, after_batch=batch_id - 1, upto_batch=batch_id)
+        return log.select(merge_key(table).alias("_key"), primary_key(table)).distinct()
+
+    def live_of(self, table: str, keys: DataFrame, upto_batch: int) -> DataFrame:
+        """The live rows after ``upto_batch`` whose key is in ``keys`` (``_key``)."""
+        log = self.log_upto(table, upto_batch).withColumn("_key", merge_key(table))
+        return self._latest(log.join(keys.select("_key").distinct(), "_key", "left_semi").drop("_key"), table)
+
+    def orders_of(self, order_ids: DataFrame, upto_batch: int) -> DataFrame:
+        """The live orders of the given ids."""
+        return self.live_of("orders", order_ids.select(merge_key("orders").alias("_key")), upto_batch)
+
+    def items_of_orders(self, order_ids: DataFrame, upto_batch: int) -> DataFrame:
+        """The live items of the given orders; an item that has since moved away is not among them."""
+        ids = order_ids.select("order_id").distinct()
+        once = self.log_upto("order_items", upto_batch).join(ids, "order_id", "left_semi")
+        live = self.live_of("order_items", once.select(merge_key("order_items").alias("_key")), upto_batch)
+        return live.join(ids, "order_id", "left_semi")
 
     def _latest(self, log: DataFrame, table: str) -> DataFrame:
         m = REG.TABLE_MAPPINGS[table]
         if self.compat and table in REG.COMPAT_KEYS:
             keys = list(REG.COMPAT_KEYS[table])
         elif m.alt_key:
-            # primary key when the message carried one, else the natural key
-            pk = F.col(m.key[0])
-            nk = F.concat_ws("|", *[F.col(c).cast("string") for c in m.alt_key])
-            log = log.withColumn("_merge_key", F.when(pk.isNotNull(), F.concat(F.lit("#"), pk.cast("string")))
-                                 .otherwise(nk))
+            log = log.withColumn("_merge_key", merge_key(table))
             keys = ["_merge_key"]
         else:
             keys = list(m.key)

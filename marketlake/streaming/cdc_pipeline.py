@@ -6,7 +6,7 @@
            decode+route   P4/N21/N22 (per message, JVM side)
            per table      P1/F1 clean + type, P3 stamp, R3 split rejects
            write          S4 table logs, S14 quarantine, counters, S11 ledger
-           refresh        R4 live reports, R6 affected month roll-ups
+           refresh        R6 month roll-ups by signed deltas, R4 live reports
 
 Exactly-once effect without a transactional sink: every write of a batch
 goes to ``.../batch_id=N`` with overwrite, so when Spark re-runs a batch
@@ -19,7 +19,6 @@ shared folders given by the caller (never a machine-local path on a cluster).
 from __future__ import annotations
 
 import datetime as dt
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,22 +27,14 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import registry as REG
 from ..operators import cdc as CDC
-from ..plans import reports as R
+from ..plans import reports as R  # noqa: F401  (the reports a job may refresh)
 from ..sources.files import read_table, write_batch
 from ..sources.versioned_star import VersionedStar, newest_snapshot
+from .month_rollups import MonthRollups
 
 # Snapshot layout: orders by day, so report time windows prune partitions.
 SNAPSHOT_PARTITIONS = {"orders": ("order_date",)}
 
-ROLLUPS = {
-    "mv_top_sellers_month": R.mv_top_sellers_month,
-    "mv_top_categories_month": R.mv_top_categories_month,
-    "mv_customer_demographics_month": R.mv_customer_demographics_month,
-    "mv_sales_metrics_month": R.mv_sales_metrics_month,
-    "mv_product_performance_month": R.mv_product_performance_month,
-}
-
-
 class CdcJob:
     """The per-micro-batch work of the CDC stream (usable in batch too)."""
 
@@ -99,12 +90,12 @@ class CdcJob:
             write_batch(CDC.status_counts(decoded), f"{self.out}/metrics", batch_id)
             # the ledger is written last: a batch that fails earlier is redone whole
             write_batch(CDC.ledger_rows(new, etl), self.ledger_path, batch_id)
+            if self.rollups:  # before compaction, which a run-again of this batch may already find done
+                self.update_rollups(spark, batch_id)
             if self.compact_every and (batch_id + 1) % self.compact_every == 0:
                 self.compact(spark, batch_id)
             if self.reports:
                 self.refresh_reports(spark)
-            if self.rollups:
-                self.rebuild_months(spark, decoded)
         finally:
             decoded.unpersist()
             new.unpersist()
@@ -132,6 +123,8 @@ class CdcJob:
             if t in SNAPSHOT_PARTITIONS:  # report date filters prune these directories
                 w = w.partitionBy(*SNAPSHOT_PARTITIONS[t])
             w.parquet(f"{self.out}/snapshots/{t}/upto={batch_id}")
+        if self.rollups:
+            self.month_rollups(spark).compact(batch_id)
 
     # R4 --------------------------------------------------------------------
     def refresh_reports(self, spark: SparkSession) -> None:
@@ -140,56 +133,14 @@ class CdcJob:
             fn(star, as_of=self.as_of).write.mode("overwrite").parquet(f"{self.out}/reports/{name}")
 
     # R6 --------------------------------------------------------------------
-    def rebuild_months(self, spark: SparkSession, decoded: DataFrame) -> None:
-        """Recompute the month roll-ups only for months touched by this batch."""
-        versioned = self.versioned(spark)
-        star = _MonthStar(versioned, self.touched_months(versioned, decoded))
-        for name, fn in ROLLUPS.items():
-            fn(star, as_of=self.as_of).write.mode("overwrite").option(
-                "partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{self.out}/rollups/{name}")
-
+    def month_rollups(self, spark: SparkSession) -> MonthRollups:
+        return MonthRollups(spark, self.out, self.versioned(spark), self.as_of)
 
-    def touched_months(self, star: VersionedStar, decoded: DataFrame) -> DataFrame:
-        """Months whose roll-ups this batch can change.
-
-        Changed orders name their month; changed items, products, sellers and users
-        reach the months of the orders they belong to, however old these are.
-        """
-        changed = {t: CDC.to_table(decoded, t, F.current_timestamp()) for t in self.tables}
-        dates = []
-        if "orders" in changed:
-            dates.append(changed["orders"].select("order_date"))
-        orders, items = star.orders(), star.order_items()
-        touched = []
-        if "order_items" in changed:
-            touched.append(changed["order_items"].select("order_id"))
-        for t, key in (("products", "product_id"), ("sellers", "seller_id")):
-            if t in changed:
-                touched.append(items.join(changed[t].select(key).distinct(), key, "left_semi").select("order_id"))
-        if "users" in changed:
-            touched.append(orders.join(changed["users"].select("user_id").distinct(), "user_id", "left_semi")
-                           .select("order_id"))
-        for ids in touched:
-            dates.append(orders.join(ids.distinct(), "order_id", "left_semi").select("order_date"))
-        if not dates:
-            return orders.limit(0).select(F.trunc("order_date", "month").alias("month"))
-        days = functools.reduce(DataFrame.unionAll, dates)
-        return days.select(F.trunc("order_date", "month").alias("month")).where("month is not null").distinct()
-
-
-class _MonthStar:
-    """Star whose orders are restricted to the given months (all history)."""
-
-    def __init__(self, star, months: DataFrame):
-        self._star, self._months = star, months
-
-    def __getattr__(self, name):
-        return getattr(self._star, name)
-
-    def orders(self) -> DataFrame:
-        o = self._star.orders()
-        m = self._months
-        return o.join(m, F.trunc(F.col("order_date"), "month") == m["month"], "left_semi")
+    def update_rollups(self, spark: SparkSession, batch_id: int) -> None:
+        """Bring the month roll-ups up to this batch by signed deltas of the rows it touched."""
+        star = self.versioned(spark)
+        touched = {t: star.touched(t, batch_id) for t in ("orders", "order_items", "products", "sellers", "users")}
+        self.month_rollups(spark).apply(batch_id, touched)
 
 
 def start(messages: DataFrame, job: CdcJob, checkpoint: str, trigger: dict | None = None,
