@@ -10,11 +10,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog as CAT
+from ..operators import postings as P
 from ..operators import search as S
+from ..session import ensure_checkpoint_dir
 from ..sources.catalog import ORACLE_CATALOG_CTES, Catalog
 from ..sources.testdata import Star
 
@@ -63,6 +67,33 @@ def search_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "id", "category", "score", "rank")
 
 
+def _stored_index(docs: DataFrame, **fields) -> P.PostingIndex:
+    """The documents' postings with block maxima, written to the shared folder."""
+    path = f"{ensure_checkpoint_dir(docs.sparkSession).rstrip('/')}/postings-{uuid.uuid4().hex}"
+    return P.build(docs, path, "id", **fields)
+
+
+def search_corpus_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``search_corpus`` from stored postings, skipping blocks under the current k-th score."""
+    star = Star(spark, sf_dir)
+    docs = corpus_docs(star)
+    q = star.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    hits = _stored_index(docs).search(q)
+    return hits.join(docs.select(F.col("id").alias("doc_id"), "category"), "doc_id").select(
+        "query_id", F.col("doc_id").alias("id"), "category", "score", "rank")
+
+
+def search_products_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``search_products_filtered`` from stored postings; the filters hold for the threshold too."""
+    c = Catalog(Star(spark, sf_dir))
+    docs = CAT.search_document(c.products(), c.variants(), c.media(), constants=False)
+    q = spark.range(1).select(F.lit(1).cast("bigint").alias("query_id"), F.lit(FILTERED_QUERY).alias("query"))
+    keep = docs.where((F.col("category") == FILTERED_CATEGORY) & (F.col("rating") >= FILTERED_MIN_RATING))
+    hits = _stored_index(docs).search(q, keep=keep.select(F.col("id").alias("doc_id")))
+    return hits.join(docs.select(F.col("id").alias("doc_id"), "name", "category", "rating"), "doc_id").select(
+        "query_id", F.col("doc_id").alias("id"), "name", "category", "rating", "score", "rank")
+
+
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency and collection frequency of every text term."""
     post = S.postings(corpus_docs(Star(spark, sf_dir)), "id", "description")
@@ -74,6 +105,8 @@ SEARCH_QUERIES = {
     "search_products_filtered": search_products_filtered,
     "search_corpus": search_corpus,
     "term_statistics": term_statistics,
+    "search_corpus_blocks": search_corpus_blocks,
+    "search_products_blocks": search_products_blocks,
 }
 
 _TOK = r"list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
@@ -152,3 +185,6 @@ SEARCH_SQL = {
     SELECT doc_id, unnest({_TOK.format(c='text')}) AS term FROM documents) GROUP BY 1, 2)
 GROUP BY term""",
 }
+
+SEARCH_SQL["search_corpus_blocks"] = SEARCH_SQL["search_corpus"]  # the exhaustive search finds the same hits
+SEARCH_SQL["search_products_blocks"] = SEARCH_SQL["search_products_filtered"]
