@@ -17,6 +17,7 @@ from .catalog_queries import CATALOG_QUERIES, CATALOG_SQL
 from .cdc_queries import CDC_QUERIES, CDC_SQL
 from .delta_queries import DELTA_QUERIES, DELTA_SQL
 from .extra_queries import EXTRA_QUERIES, EXTRA_SQL
+from .history_queries import HISTORY_QUERIES, HISTORY_SQL
 from .lookup_queries import LOOKUP_QUERIES, LOOKUP_SQL
 from .oracle_reports import REPORT_SQL
 from .order_queries import ORDER_QUERIES, ORDER_SQL
@@ -47,6 +48,7 @@ def queries() -> dict[str, QueryFn]:
     q.update(EXTRA_QUERIES)
     q.update(SURVEY_QUERIES)
     q.update(DELTA_QUERIES)
+    q.update(HISTORY_QUERIES)
     return q
 
 
@@ -61,4 +63,5 @@ def oracle_sql() -> dict[str, str]:
     sql.update(EXTRA_SQL)
     sql.update(SURVEY_SQL)
     sql.update(DELTA_SQL)
+    sql.update(HISTORY_SQL)
     return sql
