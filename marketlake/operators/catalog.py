@@ -131,10 +131,38 @@ def first_child(children: DataFrame, key: str, order: str, cols: Sequence[str])
 
 
 def round_robin_assign(df: DataFrame, key: str, n: Column | int) -> Column:
-    """Slot ``key mod n`` (the distributed form of "i-th item -> seller i mod n")."""
+    """Slot ``key mod n``: W5 where the keys are dense and begin at zero."""
     return F.pmod(F.col(key), n if isinstance(n, Column) else F.lit(n))
 
 
+def numbered(df: DataFrame, key: str, out: str = "number", parts: int = 64) -> DataFrame:
+    """Adds the place (from 0) of each row in the order of the unique ``key``.
+
+    In two levels: counts per range of keys, then places inside a range, so no task holds all rows. The
+    ranges are even shares of the span from the smallest key to the largest.
+    """
+    k = F.col(key).cast("double")
+    ends = df.agg(F.min(k).alias("lo"), F.max(k).alias("hi"))
+    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
+    share = F.coalesce(F.try_divide(k - lo, hi - lo), F.lit(0.0))
+    rows = df.withColumn("_part", F.least(F.floor(share * F.lit(parts)), F.lit(parts - 1)))
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_part", F.coalesce(upto, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    return rows.withColumn("_in", inside).join(counts, "_part").withColumn(
+        out, (F.col("_before") + F.col("_in")).cast("bigint")).drop("_part", "_in", "_before")
+
+
+def round_robin(items: DataFrame, item_key: str, sellers: DataFrame, seller_key: str) -> DataFrame:
+    """The i-th item (by key) goes to seller number i mod n of the seller list (by key), whatever the keys are."""
+    listed = numbered(sellers.select(F.col(seller_key).alias("_seller")), "_seller", "_number")
+    n = sellers.agg(F.count(F.lit(1)).alias("n")).scalar()
+    placed = numbered(items, item_key, "_place").withColumn("_slot", F.pmod("_place", F.nullif(n, F.lit(0))))
+    return placed.join(listed, F.col("_slot") == F.col("_number"), "left").select(
+        *items.columns, F.col("_seller").alias(seller_key))
+
+
 # --------------------------------------------------------- U13 / A14 / J5 --
 def product_document(products: DataFrame, options: DataFrame, items: DataFrame,
                      variants: DataFrame, media: DataFrame) -> DataFrame:

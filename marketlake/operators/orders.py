@@ -76,51 +76,59 @@ def running_demand(lines: DataFrame, key: str, order: Sequence[str], qty: str, b
     ).drop("_bucket", "_before", "_run")
 
 
-def _decide(state: DataFrame, bucket_bits: int) -> DataFrame:
-    """One round of :func:`allocate`: refused orders leave, accepted ones are marked."""
-    qty_in = F.when(F.col("_in"), F.col("qty")).otherwise(F.lit(0))
-    b = state.withColumn("_bucket", F.struct(F.col("ts"), F.shiftright("request_id", bucket_bits).alias("part")))
-    b = b.withColumn("_a", qty_in).withColumn("_u", F.col("qty") - F.col("_a"))
-    sums = b.groupBy("variant_id", "_bucket").agg(F.sum("_a").alias("sa"), F.sum("_u").alias("su"))
+def _ahead(rows: DataFrame, bucket_bits: int) -> DataFrame:
+    """Adds ``_ahead``: the units of the variant that undecided earlier orders ask for.
+
+    Built in two levels, per variant and bucket (arrival time and a run of 2**bucket_bits request
+    ids), then inside the bucket, so a variant that holds a third of all rows, even of one day, is many tasks.
+    """
+    b = rows.withColumn("_bucket", F.struct(F.col("ts"), F.shiftright("request_id", bucket_bits).alias("part")))
     earlier = Window.partitionBy("variant_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("variant_id", "_bucket", F.coalesce(F.sum("sa").over(earlier), F.lit(0)).alias("sa"),
-                       F.coalesce(F.sum("su").over(earlier), F.lit(0)).alias("su"))
+    sums = b.groupBy("variant_id", "_bucket").agg(F.sum("qty").alias("_sum"))
+    sums = sums.select("variant_id", "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("variant_id", "_bucket").orderBy("request_id").rowsBetween(
         Window.unboundedPreceding, -1)
-    b = b.withColumn("_ra", F.coalesce(F.sum("_a").over(inside), F.lit(0)))
-    b = b.withColumn("_ru", F.coalesce(F.sum("_u").over(inside), F.lit(0)))
-    b = b.join(sums, ["variant_id", "_bucket"])
-    taken = F.col("qty") + F.col("sa") + F.col("_ra")
-    b = b.withColumn("_over", taken > F.col("stock"))
-    b = b.withColumn("_fits", taken + F.col("su") + F.col("_ru") <= F.col("stock"))
-    orders = b.where(~F.col("_in")).groupBy("request_id").agg(
-        F.bool_or("_over").alias("_refuse"), F.bool_and("_fits").alias("_accept"))
-    out = b.join(orders, "request_id", "left").where(~F.coalesce(F.col("_refuse"), F.lit(False)))
-    return out.select("request_id", "variant_id", "qty", "stock", "ts",
-                      (F.col("_in") | F.coalesce(F.col("_accept"), F.lit(False))).alias("_in"))
-
-
-def allocate(demand: DataFrame, bucket_bits: int = 12, rounds_per_cut: int = 2) -> DataFrame:
+    b = b.withColumn("_run", F.coalesce(F.sum("qty").over(inside), F.lit(0)))
+    return b.join(sums, ["variant_id", "_bucket"]).withColumn("_ahead", F.col("_before") + F.col("_run")).drop(
+        "_bucket", "_before", "_run")
+
+
+def allocate(demand: DataFrame, bucket_bits: int = 12) -> DataFrame:
     """Orders (``request_id``) that get stock when they are served in order of arrival.
 
     demand: request_id, variant_id, qty, stock, ts; one row per order and variant,
     served by (ts, request_id). An order takes stock only if all its rows fit, and a
-    refused order takes none. Decided in rounds over whole batches: an order is
-    accepted once its rows fit even if every earlier undecided order were accepted,
-    and refused once they do not fit after the accepted earlier ones. The
-    earliest undecided order is always decided, so the rounds end; they are as many as the
-    longest chain of decisions that hang on each other, not as many as orders.
-
-    Sums ahead of a row are built in two levels, per variant and bucket (arrival time
-    and a run of 2**bucket_bits request ids), then inside the bucket, so a variant that
-    holds a third of all rows, even of one day, is many tasks.
+    refused order takes none. Decided in rounds over what is still contested:
+
+    * a variant whose whole undecided demand fits its stock is contested no more, and its rows leave;
+    * an order is accepted once its rows fit even if every earlier undecided order is accepted, and
+      refused once one of them exceeds the stock that the accepted ones left;
+    * decided orders leave, and what the accepted ones take is subtracted from the stock.
+
+    An order accepted before an earlier, undecided one left enough for it, so subtracting at once is
+    the same as serving in order. The earliest undecided order is always decided, so the rounds end; they
+    are as many as the longest chain of decisions that hang on each other, over ever fewer rows.
     """
-    state = durable_cut(demand.withColumn("_in", F.lit(False)))
-    while not state.where(~F.col("_in")).isEmpty():
-        for _ in range(rounds_per_cut):
-            state = _decide(state, bucket_bits)
-        state = durable_cut(state)
-    return state.select("request_id").distinct()
+    state, accepted = demand.select("request_id", "variant_id", "qty", "stock", "ts"), None
+    while True:
+        total = state.groupBy("variant_id").agg(F.sum("qty").alias("_all"))
+        rows = state.join(total, "variant_id").withColumn("_open", F.col("_all") > F.col("stock")).drop("_all")
+        contested = _ahead(rows.where("_open"), bucket_bits).select(
+            "request_id", (F.col("qty") > F.col("stock")).alias("_over"),
+            (F.col("qty") + F.col("_ahead") <= F.col("stock")).alias("_fits"))
+        free = rows.where(~F.col("_open")).select("request_id", F.lit(False).alias("_over"), F.lit(True).alias("_fits"))
+        orders = durable_cut(contested.unionByName(free).groupBy("request_id").agg(
+            F.bool_or("_over").alias("_refuse"), F.bool_and("_fits").alias("_accept")))
+        given = orders.where("_accept AND NOT _refuse").select("request_id")
+        accepted = given if accepted is None else accepted.unionByName(given)
+        undecided = orders.where("NOT _accept AND NOT _refuse").select("request_id")
+        taken = rows.where("_open").join(given, "request_id", "left_semi").groupBy("variant_id").agg(
+            F.sum("qty").alias("_taken"))
+        left = rows.where("_open").join(undecided, "request_id", "left_semi").join(taken, "variant_id", "left")
+        state = durable_cut(left.select("request_id", "variant_id", "qty",
+                                        (F.col("stock") - F.coalesce("_taken", F.lit(0))).alias("stock"), "ts"))
+        if state.isEmpty():
+            return accepted
 
 
 def validate_orders(lines: DataFrame, variants: DataFrame, products: DataFrame, sellers: DataFrame,

@@ -22,6 +22,7 @@ from .lookup_queries import LOOKUP_QUERIES, LOOKUP_SQL
 from .oracle_reports import REPORT_SQL
 from .order_queries import ORDER_QUERIES, ORDER_SQL
 from .quality_queries import QUALITY_QUERIES, QUALITY_SQL
+from .refusal_queries import REFUSAL_QUERIES, REFUSAL_SQL
 from .search_queries import SEARCH_QUERIES, SEARCH_SQL
 from .survey_queries import SURVEY_QUERIES, SURVEY_SQL
 
@@ -49,6 +50,7 @@ def queries() -> dict[str, QueryFn]:
     q.update(SURVEY_QUERIES)
     q.update(DELTA_QUERIES)
     q.update(HISTORY_QUERIES)
+    q.update(REFUSAL_QUERIES)
     return q
 
 
@@ -64,4 +66,5 @@ def oracle_sql() -> dict[str, str]:
     sql.update(SURVEY_SQL)
     sql.update(DELTA_SQL)
     sql.update(HISTORY_SQL)
+    sql.update(REFUSAL_SQL)
     return sql
