@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..operators import asof as A
 from ..operators import ledger as L
+from ..operators import versioned as V
+from ..session import ensure_checkpoint_dir
 from ..sources import changes as CH
+from ..sources.buckets import BucketedTable
 from ..sources.testdata import Star
+from .cdc_queries import CDC_SQL
 
 # Fixed rules: messages of these event ids (mod 97) were lost on the way, or not yet processed.
 NOT_PROCESSED = (3, 4, 50)
@@ -61,7 +67,20 @@ def revenue_at_valid_price(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.col("quantity") * F.col("price_cents")).alias("revenue_cents"))
 
 
+def bucketed_latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest event per user, merged in four batches into a table of key buckets."""
+    ev = Star(spark, sf_dir).raw("events").select("user_id", "event_id", "ts", "event_type", "value")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/latest-events-{uuid.uuid4().hex}"
+    table = BucketedTable(spark, path, F.col("user_id").cast("string"), 16)
+    for n in range(4):
+        table.merge(ev.where(F.pmod("event_id", F.lit(4)) == n), lambda stored, new: V.latest_version(
+            new if stored is None else stored.unionByName(new), ["user_id"], ["ts", "event_id"]))
+    table.vacuum()
+    return table.read(ev.schema)
+
+
 HISTORY_QUERIES = {
+    "bucketed_latest_events": bucketed_latest_events,
     "ledger_intervals": ledger_intervals,
     "unprocessed_messages": unprocessed_messages,
     "price_validity": price_validity,
@@ -75,6 +94,7 @@ _VERSIONS = """versions AS (
 _MESSAGES = """m AS (SELECT 'postgres.public.users' AS topic, CAST(user_id % 4 AS INTEGER) AS partition, event_id AS "offset" FROM events)"""
 
 HISTORY_SQL = {
+    "bucketed_latest_events": CDC_SQL["latest_event_per_user"],
     "ledger_intervals": f"""WITH {_MESSAGES},
   done AS (SELECT DISTINCT * FROM m WHERE "offset" % 97 NOT IN (3, 4, 50)),
   island AS (SELECT *, "offset" - row_number() OVER (PARTITION BY topic, partition ORDER BY "offset") AS i FROM done)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import registry as REG
 from ..operators.versioned import latest_version
+from .buckets import BucketedTable
 from .files import newest_version, read_table
 
 VERSION_ORDER = ["etl_updated_at", "_batch", "_offset"]
@@ -71,18 +72,44 @@ class VersionedStar:
 
     def log(self, table: str) -> DataFrame:
         upto = newest_snapshot(self.spark, f"{self.snap}/{table}") if self.snap else None
+        held = self.buckets(table).newest() if self.snap else None
+        if held is not None and (upto is None or held >= upto):
+            return self._bucketed(table, held).unionByName(self.raw_log(table, after_batch=held))
         if upto is None:
             return self.raw_log(table)
         snap = read_table(self.spark, f"{self.snap}/{table}/upto={upto}",
                           _log_ddl(table).replace(", batch_id bigint", ", _batch bigint"))
         return snap.unionByName(self.raw_log(table, after_batch=upto))
 
+    def buckets(self, table: str) -> BucketedTable:
+        """The table's bucketed snapshot; its version is the last batch merged into it."""
+        return BucketedTable(self.spark, f"{self.snap}/{table}.buckets", merge_key(table))
+
+    def _bucketed(self, table: str, version: int) -> DataFrame:
+        schema = schemas.struct(_log_ddl(table).replace(", batch_id bigint", ", _batch bigint"))
+        return self.buckets(table).read(schema, version)
+
+    def merge_buckets(self, table: str, upto_batch: int) -> list[int]:
+        """Bring the log up to ``upto_batch`` into the bucketed snapshot; only changed buckets are rewritten."""
+        held = self.buckets(table)
+        prev = held.newest()
+        if prev is not None and prev >= upto_batch:
+            return []
+        changes = self.raw_log(table, after_batch=prev, upto_batch=upto_batch)
+        done = held.merge(changes, lambda stored, new: self._latest(
+            new if stored is None else stored.unionByName(new), table), upto_batch)
+        held.vacuum()
+        return done
+
     def latest(self, table: str) -> DataFrame:
         return self._latest(self.log(table), table)
 
     def log_upto(self, table: str, upto_batch: int) -> DataFrame:
         """The newest snapshot up to ``upto_batch`` and the log batches after it."""
         prev = newest_snapshot(self.spark, f"{self.snap}/{table}", upto_batch) if self.snap else None
+        held = self.buckets(table).newest(upto_batch + 1) if self.snap else None
+        if held is not None and (prev is None or held >= prev):
+            return self._bucketed(table, held).unionByName(self.raw_log(table, held, upto_batch))
         log = self.raw_log(table, after_batch=prev, upto_batch=upto_batch)
         if prev is None:
             return log

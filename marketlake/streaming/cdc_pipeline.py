@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import registry as REG
 from ..operators import cdc as CDC
+from ..operators import ledger as L
 from ..plans import reports as R  # noqa: F401  (the reports a job may refresh)
-from ..sources.files import read_table, write_batch
+from ..sources.files import newest_version, read_table, remove_path, write_batch
 from ..sources.versioned_star import VersionedStar, newest_snapshot
 from .month_rollups import MonthRollups
 
@@ -40,7 +41,8 @@ class CdcJob:
 
     def __init__(self, out_dir: str, tables=None, etl_ts: Column | None = None,
                  reports: dict[str, Callable] | None = None, as_of=None, rollups: bool = False,
-                 apply_deletes: bool = False, compact_every: int | None = None):
+                 apply_deletes: bool = False, compact_every: int | None = None, bucketed: bool = False,
+                 ledger_ranges: bool = False):
         self.out = out_dir.rstrip("/")
         self.tables = list(tables or REG.TABLE_MAPPINGS.keys())
         self.etl_ts = etl_ts
@@ -49,6 +51,8 @@ class CdcJob:
         self.rollups = rollups
         self.apply_deletes = apply_deletes
         self.compact_every = compact_every
+        self.bucketed = bucketed  # snapshots in key buckets, of which a compaction rewrites the changed ones
+        self.ledger_ranges = ledger_ranges  # the ledger as disjoint offset ranges, not a row a message
 
     # paths
     def table_path(self, t: str) -> str:
@@ -71,10 +75,32 @@ class CdcJob:
         return ledger.join(bounds, ["topic", "partition"]).where(
             F.col("offset").between(F.col("lo"), F.col("hi")))
 
+    @property
+    def ranges_path(self) -> str:
+        return f"{self.out}/ledger_ranges"
+
+    def known_ranges(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """The offset ranges processed before this batch."""
+        known = newest_version(spark, self.ranges_path, "upto=", batch_id)
+        if known is None:
+            return schemas.empty(spark, L.RANGES)
+        return read_table(spark, f"{self.ranges_path}/upto={known}", L.RANGES)
+
+    def extend_ranges(self, spark: SparkSession, new: DataFrame, batch_id: int) -> None:
+        """The ranges after this batch: as many rows as the history has gaps. The last two states are kept."""
+        ranges = L.merged(self.known_ranges(spark, batch_id).unionByName(L.intervals(new)))
+        ranges.coalesce(1).write.mode("overwrite").parquet(f"{self.ranges_path}/upto={batch_id}")
+        last = newest_version(spark, self.ranges_path, "upto=", batch_id)
+        while last is not None and (old := newest_version(spark, self.ranges_path, "upto=", last)) is not None:
+            remove_path(spark, f"{self.ranges_path}/upto={old}")
+
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         msgs = CDC.dedup_replays(batch.select("topic", "partition", "offset", "value")).persist()
-        new = CDC.unseen(msgs, self._seen(spark, msgs, batch_id)).persist()
+        if self.ledger_ranges:
+            new = L.unprocessed(msgs, self.known_ranges(spark, batch_id)).persist()
+        else:
+            new = CDC.unseen(msgs, self._seen(spark, msgs, batch_id)).persist()
         decoded = CDC.decode(new, self.tables).persist()
         try:
             etl = self.etl_ts if self.etl_ts is not None else F.lit(dt.datetime.now(dt.timezone.utc).replace(
@@ -89,7 +115,10 @@ class CdcJob:
             write_batch(CDC.dead_letters(decoded), f"{self.out}/quarantine/_messages", batch_id)
             write_batch(CDC.status_counts(decoded), f"{self.out}/metrics", batch_id)
             # the ledger is written last: a batch that fails earlier is redone whole
-            write_batch(CDC.ledger_rows(new, etl), self.ledger_path, batch_id)
+            if self.ledger_ranges:
+                self.extend_ranges(spark, new, batch_id)
+            else:
+                write_batch(CDC.ledger_rows(new, etl), self.ledger_path, batch_id)
             if self.rollups:  # before compaction, which a run-again of this batch may already find done
                 self.update_rollups(spark, batch_id)
             if self.compact_every and (batch_id + 1) % self.compact_every == 0:
@@ -114,7 +143,9 @@ class CdcJob:
         way leaves the previous snapshot in use.
         """
         star = self.versioned(spark)
-        for t in self.tables:
+        for t in self.tables if self.bucketed else ():
+            star.merge_buckets(t, batch_id)
+        for t in () if self.bucketed else self.tables:
             prev = newest_snapshot(spark, f"{self.out}/snapshots/{t}")
             if prev is not None and prev >= batch_id:
                 continue
