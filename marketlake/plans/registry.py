@@ -18,6 +18,7 @@ from .cdc_queries import CDC_QUERIES, CDC_SQL
 from .delta_queries import DELTA_QUERIES, DELTA_SQL
 from .extra_queries import EXTRA_QUERIES, EXTRA_SQL
 from .history_queries import HISTORY_QUERIES, HISTORY_SQL
+from .layout_queries import LAYOUT_QUERIES, LAYOUT_SQL
 from .lookup_queries import LOOKUP_QUERIES, LOOKUP_SQL
 from .oracle_reports import REPORT_SQL
 from .order_queries import ORDER_QUERIES, ORDER_SQL
@@ -51,6 +52,7 @@ def queries() -> dict[str, QueryFn]:
     q.update(DELTA_QUERIES)
     q.update(HISTORY_QUERIES)
     q.update(REFUSAL_QUERIES)
+    q.update(LAYOUT_QUERIES)
     return q
 
 
@@ -67,4 +69,5 @@ def oracle_sql() -> dict[str, str]:
     sql.update(DELTA_SQL)
     sql.update(HISTORY_SQL)
     sql.update(REFUSAL_SQL)
+    sql.update(LAYOUT_SQL)
     return sql
