@@ -26,6 +26,7 @@ from .quality_queries import QUALITY_QUERIES, QUALITY_SQL
 from .refusal_queries import REFUSAL_QUERIES, REFUSAL_SQL
 from .search_queries import SEARCH_QUERIES, SEARCH_SQL
 from .survey_queries import SURVEY_QUERIES, SURVEY_SQL
+from .violation_queries import VIOLATION_QUERIES, VIOLATION_SQL
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +54,7 @@ def queries() -> dict[str, QueryFn]:
     q.update(HISTORY_QUERIES)
     q.update(REFUSAL_QUERIES)
     q.update(LAYOUT_QUERIES)
+    q.update(VIOLATION_QUERIES)
     return q
 
 
@@ -70,4 +72,5 @@ def oracle_sql() -> dict[str, str]:
     sql.update(HISTORY_SQL)
     sql.update(REFUSAL_SQL)
     sql.update(LAYOUT_SQL)
+    sql.update(VIOLATION_SQL)
     return sql
