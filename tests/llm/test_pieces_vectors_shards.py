@@ -1,9 +1,11 @@
 import random
+import struct
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from conftest import SF01
 from marketlake.llm import queries, sharding as S, vector_tree as V, word_pieces as W
 from marketlake.llm.common import table
@@ -187,6 +189,49 @@ def test_odd_documents_are_sharded(docs):
     assert S.shard_documents(docs([])).count() == 0
 
 
+def spark_hash(salt, value, code):
+    """xxhash64 of a whole-number column after another, as Spark chains them."""
+    h = xxhash.xxh64_intdigest(struct.pack("<i", salt), seed=42)
+    h = xxhash.xxh64_intdigest(struct.pack(code, value), seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def replayed(nodes, links, shards, rounds, slack):
+    """Label propagation one round after the other, in plain Python."""
+    label = {n: spark_hash(1, n, "<q") % shards for n in nodes}
+    near = {}
+    for a, b in links:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    idle = 0
+    for r in range(rounds):
+        asking = {}
+        for u, others in near.items():
+            votes = Counter(label[v] for v in others)
+            n, _, to = max((n, spark_hash(r, x, "<i"), x) for x, n in votes.items())
+            if to != label[u] and spark_hash(100 + r, u, "<q") % 2 == 0 and n > votes.get(label[u], 0):
+                asking[u] = to
+        moves = Counter((label[u], to) for u, to in asking.items())
+        share = {(a, b): x for a, b, x in S.quotas([(*k, n) for k, n in moves.items()], Counter(label.values()),
+                                                   len(nodes) / shards * (1 + slack))}
+        movers = {u: to for u, to in asking.items() if spark_hash(200 + r, u, "<q") % (1 << 30) / (1 << 30) < share[label[u], to]}
+        label |= movers
+        idle = 0 if movers else idle + 1
+        if idle == S.IDLE:
+            break
+    return label, r + 1
+
+
+def test_propagation_replayed(spark):
+    rng = random.Random(2)
+    nodes = list(range(0, 900, 3))
+    links = [(nodes[i], nodes[i - 1 - rng.randrange(3)]) for i in range(5, 200)] + [(nodes[200], n) for n in nodes[201:260]]
+    want, rounds = replayed(nodes, links, 5, S.ROUNDS, 0.2)
+    assert 3 < rounds < S.ROUNDS
+    got = S.propagate(spark.createDataFrame([(n,) for n in nodes], "node long"), spark.createDataFrame(links, "a long, b long"), 5, S.ROUNDS, 0.2)
+    assert {r.node: r.label for r in got.collect()} == want
+
+
 def test_propagation_lowers_the_cut(spark):
     nodes = spark.range(400).select(F.col("id").alias("node"))
     links = spark.createDataFrame([(i, i - i % 10) for i in range(400) if i % 10], "a long, b long")
