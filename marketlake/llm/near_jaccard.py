@@ -5,7 +5,8 @@ shingles. Then |A ^ B| <= d = floor((|A| + |B|) / 7).
 
 1. Sets with equal members are one class, named by a 64-bit fingerprint of the set; a second
    one tells whether two sets ever share a name. A class's text is that of its first row, by id
-   and text, so ids that repeat or are missing move no text twice.
+   and text, so ids that repeat or are missing move no text twice. Copies are not keyed: a bitmap of fixed
+   size (2 MB) of the first rows tells tasks so; what it wrongly lets through is a repeated key.
 2. Pigeonhole join of parity sketches per size band. A band has its own number of
    parts; a set is dealt to the parts by hash, and a part's 64-bit word is the XOR
    of its members, so at most d words of a linked pair differ. With the occupied
@@ -47,6 +48,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import durable, release, text_or_empty, with_text_id
 from .components import connected_components
+from .line_dedup import hash_bits
 from .shingles import fingerprint, fold_to, parity_sketch, parity_words, shingle_set, signed
 
 HOT = 8
@@ -134,19 +136,25 @@ class _Keys:
         return pd.DataFrame(out)
 
 
-def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    keys, seen = _Keys(first_only=True), set()
-    for pdf in batches:
-        for text in pdf["text"]:
-            s = shingle_set(text, WORDS)
-            c = fingerprint(s)[0]
-            if len(s) and c not in seen:  # a copy of a class this task has just keyed adds nothing
-                seen.add(c)
-                keys.add(c, s)
-            if keys.rows >= FLUSH_ROWS:
-                yield keys.frame()
-                seen = set()
-    yield keys.frame()
+def _keyed(firsts):
+    """Keys of the texts whose row may be its class's first; ``firsts`` broadcasts a bit for each first row's hash."""
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, seen = _Keys(first_only=True), set()
+        bits = firsts.value.view(np.uint64)
+        for pdf in batches:
+            at = pdf["row_hash"].to_numpy(dtype=np.int64).view(np.uint64) & np.uint64(64 * len(bits) - 1)
+            first = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            for text in pdf["text"].to_numpy()[first]:
+                s = shingle_set(text, WORDS)
+                c = fingerprint(s)[0]
+                if len(s) and c not in seen:  # a copy of a class this task has just keyed adds nothing
+                    seen.add(c)
+                    keys.add(c, s)
+                if keys.rows >= FLUSH_ROWS:
+                    yield keys.frame()
+                    seen = set()
+        yield keys.frame()
+    return keyed
 
 
 def _all_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,6 +197,10 @@ def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
+def row_hash(doc_id: str, text_hash: Column | str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), text_hash)
+
+
 def first_row() -> Column:
     """Orders rows by id, those without one last, then by text."""
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
@@ -219,7 +231,10 @@ class JaccardJoin:
 
     def buckets(self) -> DataFrame:
         """``(key, class, n, band, size)`` of every key that several classes hold."""
-        keyed = self.docs.select("text").mapInPandas(_keyed, "key long, class long, tag int")
+        firsts = self.docs.sparkSession.sparkContext.broadcast(hash_bits(
+            self.classes.select(row_hash("first_id", "first_hash").alias("line"))))
+        rows = self.docs.select("text", row_hash("doc_id", F.xxhash64("text")).alias("row_hash"))
+        keyed = rows.mapInPandas(_keyed(firsts), "key long, class long, tag int")
         of = Window.partitionBy("key").orderBy("class")
         rows = keyed.repartition("key").withColumn("before", F.lag("class").over(of))
         rows = rows.where(F.col("before").isNull() | (F.col("before") != F.col("class")))
