@@ -28,6 +28,15 @@ from ..session import durable_cut
 MAX_OPTIONS = 3  # fixed value: a product has at most three options
 
 
+def by_key(df: DataFrame) -> DataFrame:
+    """``df``, to be joined by its key with both sides shuffled.
+
+    Spark estimates exploded and collected children by the few bytes of their parents' columns, and would
+    broadcast millions of them through the driver into every task.
+    """
+    return df.hint("merge")
+
+
 # ------------------------------------------------------------------- U6 ----
 def expand_variants(products: DataFrame, options: DataFrame, items: DataFrame) -> DataFrame:
     """One variant per combination of option items, padded with null to 3.
@@ -42,10 +51,10 @@ def expand_variants(products: DataFrame, options: DataFrame, items: DataFrame) -
     """
     # items per option (bounded by the catalog rules), options per product (<= 3)
     per_option = items.groupBy("option_id").agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
-    opts = options.join(per_option, "option_id", "inner").groupBy("product_id").agg(
+    opts = options.join(by_key(per_option), "option_id", "inner").groupBy("product_id").agg(
         F.sort_array(F.collect_list(F.struct("option_id", "ids"))).alias("opts")
     )
-    j = products.join(opts, "product_id", "left").where(F.col("opts").isNull() | (F.size("opts") <= MAX_OPTIONS))
+    j = products.join(by_key(opts), "product_id", "left").where(F.col("opts").isNull() | (F.size("opts") <= MAX_OPTIONS))
     combo = F.lit(0)
     for i in range(MAX_OPTIONS):
         arr = F.when(F.size("opts") > i, F.col("opts")[i]["ids"])
@@ -67,18 +76,24 @@ def cascade_delete(deleted: DataFrame, children: dict[str, DataFrame], key: str
                    ) -> dict[str, DataFrame]:
     """U4: remove every child row of the deleted parents (left_anti per table)."""
     gone = deleted.select(key)
-    return {name: df.join(gone, key, "left_anti") for name, df in children.items()}
+    return {name: df.join(by_key(gone), key, "left_anti") for name, df in children.items()}
 
 
 def fk_set_null(df: DataFrame, fk_cols: Sequence[str], parent: DataFrame, parent_key: str) -> DataFrame:
-    """ON DELETE SET NULL - foreign keys whose parent is gone become null."""
+    """ON DELETE SET NULL - foreign keys whose parent is gone become null.
+
+    Rows without a key are dealt by a hash of the row, so that they do not meet in one task.
+    """
+    # always 0, but no literal: Spark would drop a literal from the join's keys
+    zero = F.pmod(F.xxhash64("_k"), F.lit(1))
     alive = parent.select(F.col(parent_key).alias("_k")).distinct()
     out = df
     for c in fk_cols:
-        flag = alive.select(F.col("_k").alias(c), F.lit(True).alias(f"_ok_{c}"))
-        out = out.join(flag, c, "left").withColumn(
+        flag = alive.select(F.col("_k").alias(c), zero.alias("_dealt"), F.lit(True).alias(f"_ok_{c}"))
+        dealt = F.when(F.col(c).isNull(), F.xxhash64(*df.columns)).otherwise(F.lit(0))
+        out = out.withColumn("_dealt", dealt).join(by_key(flag), [c, "_dealt"], "left").withColumn(
             c, F.when(F.col(f"_ok_{c}").isNotNull(), F.col(c))
-        ).drop(f"_ok_{c}")
+        ).drop(f"_ok_{c}", "_dealt")
     return out.select(*df.columns)
 
 
@@ -118,7 +133,7 @@ def remove_value(arr: Column, value: Column) -> Column:
 def items_by_option(options: DataFrame, items: DataFrame, product_id=None) -> DataFrame:
     """option_id -> sorted item ids, optionally for one product."""
     o = options if product_id is None else options.filter(F.col("product_id") == product_id)
-    j = items.join(o.select("option_id", "product_id"), "option_id", "inner")
+    j = items.join(by_key(o.select("option_id", "product_id")), "option_id", "inner")
     return j.groupBy("product_id", "option_id").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"))
 
 
@@ -174,7 +189,7 @@ def product_document(products: DataFrame, options: DataFrame, items: DataFrame,
     it = items.groupBy("option_id").agg(
         F.sort_array(F.collect_list(F.struct("item_id", "item_name"))).alias("items")
     )
-    op = options.join(it, "option_id", "left").groupBy("product_id").agg(
+    op = options.join(by_key(it), "option_id", "left").groupBy("product_id").agg(
         F.sort_array(F.collect_list(F.struct("option_id", "option_name", "items"))).alias("options")
     )
     va = variants.groupBy("product_id").agg(
@@ -189,7 +204,9 @@ def product_document(products: DataFrame, options: DataFrame, items: DataFrame,
         D.format_datetime(F.col("created_at")).alias("created_at"),
         D.format_datetime(F.col("updated_at")).alias("updated_at"),
     )
-    return base.join(op, "product_id", "left").join(va, "product_id", "left").join(me, "product_id", "left")
+    for children in (op, va, me):
+        base = base.join(by_key(children), "product_id", "left")
+    return base
 
 
 def document_summary(doc: DataFrame) -> DataFrame:
@@ -220,7 +237,7 @@ def search_document(products: DataFrame, variants: DataFrame, media: DataFrame,
     fv = first_child(variants, "product_id", "variant_id", ["price", "stock"]).withColumnsRenamed(
         {"price": "_v_price", "stock": "_v_stock"})
     fm = first_child(media, "product_id", "media_id", ["src"])
-    j = products.join(fv, "product_id", "left").join(fm, "product_id", "left")
+    j = products.join(by_key(fv), "product_id", "left").join(by_key(fm), "product_id", "left")
     rating = F.lit(4.5) if constants else F.col("external_ratings").cast("double")
     category = F.lit("general") if constants else F.col("main_category")
     return j.select(
@@ -242,7 +259,7 @@ def product_card(products: DataFrame, variants: DataFrame, media: DataFrame, bas
     """Compact row: main variant price (else 0), main image URL, seller."""
     fv = first_child(variants, "product_id", "variant_id", ["price"]).withColumnRenamed("price", "_v_price")
     fm = first_child(media, "product_id", "media_id", ["src"])
-    j = products.join(fv, "product_id", "left").join(fm, "product_id", "left")
+    j = products.join(by_key(fv), "product_id", "left").join(by_key(fm), "product_id", "left")
     return j.select(
         F.col("product_id").alias("id"), "product_name", "description", "status",
         F.coalesce(F.col("_v_price").cast("double"), F.lit(0.0)).alias("price"),
@@ -267,7 +284,7 @@ def price_range_semi(products: DataFrame, variants: DataFrame, min_price=None, m
     g = g.filter(F.col("_lo") >= F.lit(lo))
     if max_price:
         g = g.filter(F.col("_hi") <= F.lit(max_price))
-    return products.join(g.select("product_id"), "product_id", "left_semi")
+    return products.join(by_key(g.select("product_id")), "product_id", "left_semi")
 
 
 def variant_price_join(products: DataFrame, variants: DataFrame, min_price=None, max_price=None,
@@ -282,8 +299,8 @@ def variant_price_join(products: DataFrame, variants: DataFrame, min_price=None,
     if max_price is not None:
         v = v.filter(F.col("price") <= F.lit(max_price))
     if dedupe:
-        return products.join(v.select("product_id"), "product_id", "left_semi")
-    return products.join(v.select("product_id", "variant_id", F.col("price").alias("variant_price")),
+        return products.join(by_key(v.select("product_id")), "product_id", "left_semi")
+    return products.join(by_key(v.select("product_id", "variant_id", F.col("price").alias("variant_price"))),
                          "product_id", "inner")
 
 

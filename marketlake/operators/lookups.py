@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as TX
+from .catalog import by_key
 
 
 def point_lookup(requests: DataFrame, table: DataFrame, key: str, cols: Sequence[str] = ()) -> DataFrame:
@@ -70,7 +71,8 @@ def flat_catalog(products: DataFrame, media: DataFrame, variants: DataFrame) ->
     """Product left-join media left-join variant, one flat row per pair."""
     m = media.select("product_id", "media_id", F.col("src").alias("image"))
     v = variants.select("product_id", "variant_id", F.col("price").alias("variant_price"), "stock")
-    j = products.select("product_id", "product_name").join(m, "product_id", "left").join(v, "product_id", "left")
+    j = products.select("product_id", "product_name").join(by_key(m), "product_id", "left").join(
+        by_key(v), "product_id", "left")
     return j.select(
         "product_id", "product_name", "media_id", F.coalesce("image", F.lit("")).alias("image"),
         "variant_id", F.coalesce(F.col("variant_price").cast("double"), F.lit(0.0)).alias("price"),
