@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .catalog import by_key
+
 # Value domains of the source schema and services.
 DOMAINS = {
     "user_role": ("user", "seller", "admin"),
@@ -91,10 +93,10 @@ def option_rules(options: DataFrame, items: DataFrame) -> DataFrame:
     too_many = per_product.filter(F.col("n_opts") > MAX_OPTIONS).select("product_id", F.lit("too_many_options").alias("rule"))
     dup_opt = per_product.filter(F.col("n_names") < F.col("n_opts")).select(
         "product_id", F.lit("duplicate_option_name").alias("rule"))
-    oi = items.join(options.select("option_id", "product_id"), "option_id", "inner")
+    oi = items.join(by_key(options.select("option_id", "product_id")), "option_id", "inner")
     dup_item = oi.groupBy("product_id", "item_name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1) \
         .select("product_id", F.lit("duplicate_item_name").alias("rule")).distinct()
-    empty = options.join(items.select("option_id").distinct(), "option_id", "left_anti").select(
+    empty = options.join(by_key(items.select("option_id").distinct()), "option_id", "left_anti").select(
         "product_id", F.lit("option_without_items").alias("rule")).distinct()
     return too_many.unionByName(dup_opt).unionByName(dup_item).unionByName(empty)
 
