@@ -26,8 +26,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
-from ..session import durable_cut
+from ..session import durable_cut, stored_cut
 from ..functions import text as TX
+from .catalog import by_key
 
 # Request bounds and vocabularies of the order API.
 MIN_QTY, MAX_QTY = 1, 100
@@ -93,6 +94,12 @@ def _ahead(rows: DataFrame, bucket_bits: int) -> DataFrame:
         "_bucket", "_before", "_run")
 
 
+def _without_refused(state: DataFrame) -> DataFrame:
+    """The rows of undecided orders, without orders that ask for more of a variant than its stock: they get none."""
+    over = state.where(F.col("qty") > F.col("stock")).select("request_id").distinct()
+    return durable_cut(state.join(over, "request_id", "left_anti"))
+
+
 def allocate(demand: DataFrame, bucket_bits: int = 12) -> DataFrame:
     """Orders (``request_id``) that get stock when they are served in order of arrival.
 
@@ -100,33 +107,33 @@ def allocate(demand: DataFrame, bucket_bits: int = 12) -> DataFrame:
     served by (ts, request_id). An order takes stock only if all its rows fit, and a
     refused order takes none. Decided in rounds over what is still contested:
 
+    * an order is refused once one of its rows exceeds the stock that the accepted ones left; refused
+      orders leave before anything is summed, which in the first round is most of them;
     * a variant whose whole undecided demand fits its stock is contested no more, and its rows leave;
-    * an order is accepted once its rows fit even if every earlier undecided order is accepted, and
-      refused once one of them exceeds the stock that the accepted ones left;
+    * an order is accepted once its rows fit even if every earlier undecided order is accepted;
     * decided orders leave, and what the accepted ones take is subtracted from the stock.
 
     An order accepted before an earlier, undecided one left enough for it, so subtracting at once is
     the same as serving in order. The earliest undecided order is always decided, so the rounds end; they
     are as many as the longest chain of decisions that hang on each other, over ever fewer rows.
     """
-    state, accepted = demand.select("request_id", "variant_id", "qty", "stock", "ts"), None
+    state = _without_refused(demand.select("request_id", "variant_id", "qty", "stock", "ts"))
+    accepted = None
     while True:
         total = state.groupBy("variant_id").agg(F.sum("qty").alias("_all"))
         rows = state.join(total, "variant_id").withColumn("_open", F.col("_all") > F.col("stock")).drop("_all")
         contested = _ahead(rows.where("_open"), bucket_bits).select(
-            "request_id", (F.col("qty") > F.col("stock")).alias("_over"),
-            (F.col("qty") + F.col("_ahead") <= F.col("stock")).alias("_fits"))
-        free = rows.where(~F.col("_open")).select("request_id", F.lit(False).alias("_over"), F.lit(True).alias("_fits"))
-        orders = durable_cut(contested.unionByName(free).groupBy("request_id").agg(
-            F.bool_or("_over").alias("_refuse"), F.bool_and("_fits").alias("_accept")))
-        given = orders.where("_accept AND NOT _refuse").select("request_id")
+            "request_id", (F.col("qty") + F.col("_ahead") <= F.col("stock")).alias("_fits"))
+        free = rows.where(~F.col("_open")).select("request_id", F.lit(True).alias("_fits"))
+        orders = durable_cut(contested.unionByName(free).groupBy("request_id").agg(F.bool_and("_fits").alias("_accept")))
+        given = orders.where("_accept").select("request_id")
         accepted = given if accepted is None else accepted.unionByName(given)
-        undecided = orders.where("NOT _accept AND NOT _refuse").select("request_id")
+        undecided = orders.where("NOT _accept").select("request_id")
         taken = rows.where("_open").join(given, "request_id", "left_semi").groupBy("variant_id").agg(
             F.sum("qty").alias("_taken"))
         left = rows.where("_open").join(undecided, "request_id", "left_semi").join(taken, "variant_id", "left")
-        state = durable_cut(left.select("request_id", "variant_id", "qty",
-                                        (F.col("stock") - F.coalesce("_taken", F.lit(0))).alias("stock"), "ts"))
+        state = _without_refused(left.select("request_id", "variant_id", "qty",
+                                             (F.col("stock") - F.coalesce("_taken", F.lit(0))).alias("stock"), "ts"))
         if state.isEmpty():
             return accepted
 
@@ -143,36 +150,40 @@ def validate_orders(lines: DataFrame, variants: DataFrame, products: DataFrame,
     accepted earlier orders left. ``False`` reproduces the per-line check (defect B13).
 
     The looked-up lines feed several branches, so they are written once to the
-    session's checkpoint folder.
+    session's checkpoint folder, as Parquet, since each branch reads a few columns.
     """
     j = lookup_lines(lines, variants, products, sellers)
     static = (
         F.when(F.col("lookup_error").isNotNull(), F.col("lookup_error"))
         .when(~F.col("quantity").between(MIN_QTY, MAX_QTY), F.lit("quantity out of range"))
     )
-    j = durable_cut(j.withColumn("_static", static))
+    j = stored_cut(j.withColumn("_static", static))
     first_static = F.min_by("_static", F.when(F.col("_static").isNotNull(), F.struct(*order_cols[1:])))
     if not cumulative:
         short = F.col("_static").isNull() & (F.col("stock") < F.col("quantity"))
         j = j.withColumn("_short", short)
         per_order = j.groupBy("request_id").agg(first_static.alias("_why"), F.bool_or("_short").alias("_no_stock"))
     else:
-        checked = j.groupBy("request_id").agg(first_static.alias("_why"))
-        ok = checked.where(F.col("_why").isNull()).select("request_id")
-        demand = j.join(ok, "request_id", "left_semi").groupBy("request_id", "variant_id").agg(
+        # only lines that fail are sorted for their order's first reason
+        failing = j.where(F.col("_static").isNotNull()).groupBy("request_id").agg(first_static.alias("_why"))
+        checked = j.select("request_id").distinct().join(failing, "request_id", "left")
+        demand = j.join(failing.select("request_id"), "request_id", "left_anti").groupBy("request_id", "variant_id").agg(
             F.sum("quantity").alias("qty"), F.first("stock").alias("stock"), F.min(order_cols[0]).alias("ts"))
-        demand = durable_cut(demand)
+        demand = stored_cut(demand)
         served = allocate(demand).withColumn("_ok", F.lit(True))
-        taken = demand.join(served, "request_id", "left").withColumn(
+        # a row that exceeds the whole stock is short whatever others took, and its order took nothing
+        beyond = F.col("qty") > F.col("stock")
+        taken = demand.where(~beyond).join(served, "request_id", "left").withColumn(
             "_taken", F.when(F.col("_ok"), F.col("qty")).otherwise(F.lit(0)))
         taken = running_demand(taken, "variant_id", ["ts", "request_id"], "_taken",
                                F.struct(F.col("ts"), F.shiftright("request_id", 12).alias("part")))
         # the running sum holds the order's own share when it was accepted
         short = F.col("demand") - F.col("_taken") + F.col("qty") > F.col("stock")
-        short = taken.select("request_id", "variant_id", short.alias("_short"))
+        short = taken.select("request_id", "variant_id", short.alias("_short")).unionByName(
+            demand.where(beyond).select("request_id", "variant_id", F.lit(True).alias("_short")))
         per_order = checked.join(served, "request_id", "left").select(
             "request_id", "_why", F.col("_ok").isNull().alias("_no_stock"))
-        j = j.join(short, ["request_id", "variant_id"], "left")
+        j = j.join(by_key(short), ["request_id", "variant_id"], "left")
     j = j.withColumn("line_error", F.coalesce(F.col("_static"), F.when(
         F.col("_short"), F.lit("insufficient stock")))).drop("_static", "_short")
     bad = F.col("_why").isNotNull() | F.col("_no_stock")

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -88,3 +89,11 @@ def durable_cut(df, spark: SparkSession | None = None):
     """
     ensure_checkpoint_dir(spark or df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored_cut(df):
+    """As :func:`durable_cut`, in Parquet: for large frames of which later steps read a few columns each."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -31,3 +31,18 @@ def test_rows_without_a_key_are_dealt_over_tasks(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(held) == 4 and max(held) < 200
+
+
+def test_orders_beyond_the_stock_leave_before_demand_is_summed(spark, monkeypatch):
+    from marketlake.operators import orders as ORD
+    summed, ahead = [], ORD._ahead
+
+    def watched(rows, bits):
+        summed.extend(r[0] for r in rows.select("request_id").collect())
+        return ahead(rows, bits)
+
+    monkeypatch.setattr(ORD, "_ahead", watched)
+    demand = spark.createDataFrame([(1, 7, 9, 5, 1), (1, 8, 1, 5, 1), (2, 7, 3, 5, 2), (3, 7, 3, 5, 3), (4, 8, 5, 5, 4)],
+                                   "request_id long, variant_id long, qty long, stock int, ts long")
+    assert sorted(r[0] for r in ORD.allocate(demand).collect()) == [2, 4]
+    assert 1 not in summed and {2, 3} <= set(summed)
