@@ -56,7 +56,7 @@ def mapped_search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = CAT.search_document(c.products(), c.variants(), c.media(), constants=False)
     more = c.products().select(F.col("product_id").alias("id"), "seller_id", F.array(*[
         F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in ("main_category", "sub_category")]).alias("attributes"))
-    out = schemas.conform(docs.join(more, "id"), schemas.SEARCH_DOCUMENT)
+    out = schemas.conform(docs.join(CAT.by_key(more), "id"), schemas.SEARCH_DOCUMENT)
     return out.select("id", "name", "category", F.col("price").cast("double").alias("price"), "seller_id", "stock",
                       F.size("attributes").alias("n_attributes"), F.col("attributes")[1]["value"].alias("second_attribute"))
 

@@ -14,7 +14,7 @@ def _final_plan(df) -> str:
 
 
 # a small catalog is under Spark's broadcast limit, as a large one is by Spark's estimate
-@pytest.mark.parametrize("name", ["flat_catalog", "product_document_summary", "variants_after_item_delete", "product_cards", "option_rule_violations"])
+@pytest.mark.parametrize("name", ["flat_catalog", "product_document_summary", "variants_after_item_delete", "product_cards", "option_rule_violations", "mapped_search_documents", "search_documents"])
 def test_children_are_not_broadcast(spark, name):
     plan = _final_plan(registry.queries()[name](spark, SF001))
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
