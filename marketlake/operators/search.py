@@ -16,9 +16,9 @@ Keyword fields (category) match the whole query text exactly; their score is
 idf only (no length norm), like an untokenized keyword field.
 
 Scale: a document's term counts are worked out inside its row, so postings need
-no shuffle; they meet the query terms in a join on ``term`` whose both sides come
-straight from their exchange, so AQE can split a hot term; document frequencies are
-counted only for query terms. Index statistics are scalar subqueries: building a
+no shuffle; the batch's query terms with their document frequencies are broadcast to them (a
+batch's texts must fit a task; the index may be any size), so a hot term is spread as its documents are, and
+a document's parts are summed where it is; document frequencies are counted only for query terms. Index statistics are scalar subqueries: building a
 search runs no job. The top-k per query uses ``row_number <= k``, which Spark turns
 into a partial per-partition limit before the shuffle (WindowGroupLimit).
 """
@@ -92,12 +92,13 @@ def bm25_text_field(docs: DataFrame, id_col: str, field: str, qterms: DataFrame,
     """(query_id, doc_id, score) for one tokenized field.
 
     Postings are built only for documents' terms that occur in some query
-    (semi-join on the query terms before the per-term aggregation).
+    (semi-join on the query terms before the per-term aggregation). The query terms go to
+    the postings, which stay with their documents: no posting is shuffled.
     """
-    wanted = qterms.select("term").distinct()
+    wanted = F.broadcast(qterms.select("term").distinct())
     post_q = postings(docs, id_col, field, wanted)
     df = post_q.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    m = qterms.join(df, "term", "inner").join(post_q, "term", "inner")
+    m = post_q.join(F.broadcast(qterms.join(df, "term", "inner")), "term", "inner")
     norm = F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / avgdl)
     part = F.col("qtf") * _idf(n_docs, F.col("df")) * F.col("tf") * F.lit(k1 + 1) / norm
     return m.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))

@@ -50,7 +50,9 @@ def search_products_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_docs(star: Star) -> DataFrame:
-    d = star.raw("documents").repartition("doc_id")
+    # a number of partitions of its own, so that none are merged: a document's score rows are many times its text
+    d = star.raw("documents")
+    d = d.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     return d.select(
         F.col("doc_id").alias("id"),
         F.substring_index(F.col("text"), "\n", 1).alias("name"),

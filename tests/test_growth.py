@@ -46,3 +46,13 @@ def test_orders_beyond_the_stock_leave_before_demand_is_summed(spark, monkeypatc
                                    "request_id long, variant_id long, qty long, stock int, ts long")
     assert sorted(r[0] for r in ORD.allocate(demand).collect()) == [2, 4]
     assert 1 not in summed and {2, 3} <= set(summed)
+
+
+def test_postings_are_not_shuffled_by_term(spark):
+    from marketlake.operators import search as S
+    docs = spark.createDataFrame([(i, "bolt nut") for i in range(9)], "id long, name string")
+    terms = S.query_terms(spark.createDataFrame([(1, "bolt")], "query_id long, query string"))
+    found = S.bm25_text_field(docs, "id", "name", terms, F.lit(9), F.lit(2.0))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan.split("BroadcastExchange")[0]
+    assert found.count() == 9
