@@ -47,20 +47,27 @@ def tokenize(c) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), TOKEN_SPLIT), lambda t: t != "")
 
 
-def postings(docs: DataFrame, id_col: str, field: str, terms: DataFrame | None = None) -> DataFrame:
-    """(id, term, tf, dl) for one text field.
+def term_counts(docs: DataFrame, field: str, tag: str = "") -> tuple[DataFrame, Column, Column]:
+    """``docs`` with the sorted tokens of one text field beside them; its (term, tf) pairs; its length.
 
     Counted in the row: in the sorted tokens a term is a run, and its tf the
-    distance to the next run. With ``terms`` (one ``term`` column) only those are kept.
+    distance to the next run. The pairs are an expression to be exploded as it is: Spark would push
+    its own filter on an exploded column below the tokens, and split the text again for each of them.
     """
-    toks = docs.select(F.col(id_col).alias("doc_id"), F.sort_array(tokenize(field)).alias("toks"))
-    toks = toks.withColumn("dl", F.size("toks")).where("dl > 0")
-    at = F.sequence(F.lit(0), F.col("dl") - 1)
-    toks = toks.withColumn("runs", F.filter(at, lambda i: (i == 0) | (
-        F.get("toks", i) != F.get("toks", F.greatest(i - 1, F.lit(0))))))
-    runs = F.transform("runs", lambda s, k: F.struct(F.get("toks", s).alias("term"), (
-        F.coalesce(F.get("runs", k + 1), F.col("dl")) - s).cast("bigint").alias("tf")))
-    post = toks.select("doc_id", "dl", F.explode(runs).alias("p")).select("doc_id", "p.term", "p.tf", "dl")
+    toks, dl, runs = f"_toks{tag}", f"_dl{tag}", f"_runs{tag}"
+    rows = docs.withColumn(toks, F.sort_array(tokenize(field))).withColumn(dl, F.size(toks))
+    at = F.sequence(F.lit(0), F.greatest(F.col(dl) - 1, F.lit(0)))
+    rows = rows.withColumn(runs, F.filter(at, lambda i: (i < F.col(dl)) & ((i == 0) | (
+        F.get(toks, i) != F.get(toks, F.greatest(i - 1, F.lit(0)))))))
+    counts = F.transform(runs, lambda s, k: F.struct(F.get(toks, s).alias("term"), (
+        F.coalesce(F.get(runs, k + 1), F.col(dl)) - s).cast("bigint").alias("tf")))
+    return rows, counts, F.col(dl)
+
+
+def postings(docs: DataFrame, id_col: str, field: str, terms: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, dl) for one text field. With ``terms`` (one ``term`` column) only those are kept."""
+    rows, counts, dl = term_counts(docs.select(F.col(id_col).alias("doc_id"), F.col(field).alias("_text")), "_text")
+    post = rows.select("doc_id", dl.alias("dl"), F.explode(counts).alias("p")).select("doc_id", "p.term", "p.tf", "dl")
     return post if terms is None else post.join(terms, "term", "left_semi")
 
 

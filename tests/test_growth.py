@@ -56,3 +56,25 @@ def test_postings_are_not_shuffled_by_term(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan.split("BroadcastExchange")[0]
     assert found.count() == 9
+
+
+def test_blocks_are_scored_without_a_shuffle_of_matches(spark, scratch):
+    from marketlake.operators import postings as P
+    docs = spark.range(60).selectExpr("id", "concat('bolt w', id) AS name", "concat('bolt nut w', id % 7) AS description", "'c' AS category")
+    index = P.build(docs, f"{scratch}/index", slot_docs=8)
+    terms = index.query_terms(spark.createDataFrame([(1, "bolt w3"), (2, "nut")], "query_id long, query string"), {"name": 3.0, "description": 1.0, "category": 2.0})
+    wanted = index.bounds(terms).where("slot < 3")
+    plan = index.scored(terms, wanted)._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert not [line for line in shuffled if "query_id" in line and "doc_id" in line]
+    assert [line for line in shuffled if "hashpartitioning(slot" in line and "REPARTITION_BY_NUM" in line]
+    # the postings of a slot lie in one file
+    held = spark.read.parquet(f"{scratch}/index/postings").select("slot", F.input_file_name().alias("file")).distinct()
+    assert held.groupBy("slot").count().where("count > 1").isEmpty()
+
+
+def test_texts_are_split_once_a_row(spark):
+    from marketlake.operators import postings as P
+    docs = spark.range(3).selectExpr("id AS doc_id", "id AS slot", "repeat('a b c d ', 20000) AS name")
+    assert sorted((r.term, r.tf, r.dl) for r in P._entries(docs, ["name"], []).where("doc_id = 1").collect()) == [
+        (t, 20000, 80000) for t in "abcd"]
