@@ -13,9 +13,10 @@ from ..session import durable_cut
 from ..sources.testdata import Star
 
 
-def _items(star: Star) -> DataFrame:
+def _items(star: Star, parts: int) -> DataFrame:
     """Items with a key of their own, some with impossible quantities, without a seller, or twice in their order."""
-    li = star.raw("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+    li = star.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    li = li.repartition(parts, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_partkey").alias("product_id"), F.min("l_suppkey").alias("seller_id"),
         F.min(F.col("l_quantity").cast("int")).alias("quantity"))
     odd = F.col("product_id")
@@ -30,8 +31,9 @@ def violations_after_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1-K5 kept by changed keys: orders go, quantities are repaired, items move; then orders come back, sellers go, items go."""
     star = Star(spark, sf_dir)
     orders, sellers = star.orders().select("order_id"), star.sellers().select("seller_id")
-    items = durable_cut(_items(star))
-    kept = durable_cut(V.check(items, orders, sellers))
+    parts = V.tasks(spark, star.raw("lineitem").count())  # a count from the files' footers
+    items = durable_cut(_items(star, parts))
+    kept = durable_cut(V.check(items, orders, sellers, parts))
 
     gone = "order_id % 17 = 5"
     old = items.where("(product_id % 41 = 0 AND order_id % 2 = 0) OR product_id % 37 = 1")
@@ -39,14 +41,14 @@ def violations_after_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
                            "order_id": F.when(F.expr("product_id % 37 = 1"), F.col("order_id") + 1).otherwise(F.col("order_id"))})
     items_1 = durable_cut(items.join(old.select("item_id"), "item_id", "left_anti").unionByName(new))
     orders_1 = orders.where(f"NOT ({gone})")
-    kept = durable_cut(V.maintain(kept, items_1, orders_1, sellers, old, new, orders.where(gone), sellers.limit(0)))
+    kept = durable_cut(V.maintain(kept, items_1, orders_1, sellers, old, new, orders.where(gone), sellers.limit(0), parts))
 
     orders_2 = orders.where(f"NOT ({gone}) OR order_id % 34 = 5")
     sellers_2 = sellers.where("seller_id % 7 <> 2")
     old = items_1.where("product_id % 19 = 3")
     items_2 = items_1.where("product_id % 19 <> 3")
     return V.maintain(kept, items_2, orders_2, sellers_2, old, old.limit(0), orders.where("order_id % 34 = 5"),
-                      sellers.where("seller_id % 7 = 2"))
+                      sellers.where("seller_id % 7 = 2"), parts)
 
 
 VIOLATION_QUERIES = {"violations_after_batches": violations_after_batches}

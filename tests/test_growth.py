@@ -78,3 +78,18 @@ def test_texts_are_split_once_a_row(spark):
     docs = spark.range(3).selectExpr("id AS doc_id", "id AS slot", "repeat('a b c d ', 20000) AS name")
     assert sorted((r.term, r.tf, r.dl) for r in P._entries(docs, ["name"], []).where("doc_id = 1").collect()) == [
         (t, 20000, 80000) for t in "abcd"]
+
+
+def test_items_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    from marketlake.operators import violations as V
+    monkeypatch.setattr(V, "TASK_ITEMS", 100)
+    items = spark.range(1000).selectExpr("id AS item_id", "id div 2 AS order_id", "id % 3 AS product_id", "1L AS seller_id", "1 AS quantity")
+    orders, sellers = spark.range(500).toDF("order_id"), spark.range(2).toDF("seller_id")
+    parts = V.tasks(spark, items.count())
+    assert parts == 10
+    found = V.check(items.unionByName(items.where("item_id = 6").selectExpr("5000L AS item_id", *items.columns[1:])), orders.where("order_id <> 9"), sellers, parts)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("order_id#") and "ShuffledHashJoin" in plan
+    dealt = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert len(dealt) >= 2 and all(", 10)" in line for line in dealt)
+    assert sorted(map(tuple, found.collect())) == [("duplicate_line", 6), ("duplicate_line", 5000), ("orphan_order", 18), ("orphan_order", 19)]
