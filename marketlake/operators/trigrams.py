@@ -6,6 +6,8 @@ choose the candidates; a shorter one is a gram itself. Candidates are then verif
 texts, so the hits are those of a scan. Only the grams that some pattern needs are read, and a gram in
 most texts is left to the rarer ones of its pattern.
 
+Tasks follow the number of texts: grams are sorted, and candidates counted, in parts of about ``TASK_TEXTS`` texts.
+
 Stored as ``grams`` (gram, doc_id), sorted by gram in buckets, and ``counts`` (gram, df).
 """
 
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 LONGEST = 3
 RAREST = 3
 BUCKETS = 32
+TASK_TEXTS = 20_000
 
 
 def grams(text: Column, sizes: Sequence[int] = (1, 2, 3)) -> Column:
@@ -40,18 +43,21 @@ def _bucket(gram: Column) -> Column:
 def build(texts: DataFrame, path: str, id_col: str = "id", text_col: str = "text") -> GramIndex:
     """Index ``texts`` under ``path`` (a folder all executors share). Ids are unique."""
     rows = texts.select(F.explode(grams(F.col(text_col))).alias("gram"), F.col(id_col).alias("doc_id"))
-    rows.withColumn("bucket", _bucket(F.col("gram"))).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))) \
-        .sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/grams")
     spark = texts.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() // TASK_TEXTS))
+    deals = max(8, -(-parts // BUCKETS))
+    rows.withColumn("bucket", _bucket(F.col("gram"))).repartition(parts, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(deals))) \
+        .sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/grams")
     spark.read.parquet(f"{path}/grams").groupBy("gram").agg(F.count(F.lit(1)).alias("df")) \
         .write.mode("overwrite").parquet(f"{path}/counts")
-    return GramIndex(spark, path)
+    return GramIndex(spark, path, parts)
 
 
 class GramIndex:
     """A stored gram index, see the module's text."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, parts: int):
+        self.parts = parts
         self.grams = spark.read.parquet(f"{path}/grams")
         self.counts = spark.read.parquet(f"{path}/counts")
 
@@ -66,7 +72,9 @@ class GramIndex:
         need = need.withColumn("place", F.row_number().over(order)).where(F.col("place") <= RAREST)
         need = need.select("pattern", "gram", _bucket(F.col("gram")).alias("bucket"),
                            F.count(F.lit(1)).over(Window.partitionBy("pattern")).alias("wanted"))
-        found = need.join(self.grams, ["bucket", "gram"]).groupBy("pattern", "doc_id").agg(
+        # the grams are not sorted for the join; candidates go to their texts' tasks and are counted there
+        found = self.grams.join(need.hint("shuffle_hash"), ["bucket", "gram"]).select("pattern", "doc_id", "wanted")
+        found = found.repartition(self.parts, "doc_id").groupBy("pattern", "doc_id").agg(
             F.count(F.lit(1)).alias("found"), F.first("wanted").alias("wanted"))
         return found.where("found = wanted").select("pattern", "doc_id")
 

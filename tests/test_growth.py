@@ -93,3 +93,16 @@ def test_items_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
     dealt = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
     assert len(dealt) >= 2 and all(", 10)" in line for line in dealt)
     assert sorted(map(tuple, found.collect())) == [("duplicate_line", 6), ("duplicate_line", 5000), ("orphan_order", 18), ("orphan_order", 19)]
+
+
+def test_candidates_are_counted_in_their_texts_tasks(spark, scratch, monkeypatch):
+    from marketlake.operators import trigrams as T
+    monkeypatch.setattr(T, "TASK_TEXTS", 10)
+    texts = spark.range(90).selectExpr("id", "concat('bolt ', id) AS text")
+    patterns = spark.createDataFrame([("olt",), ("t 8",), ("zq",)], "pattern string")
+    index = T.build(texts, f"{scratch}/grams")
+    found = index.candidates(patterns)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and ", 9), REPARTITION_BY_NUM" in plan and "hashpartitioning(pattern" not in plan.split("ShuffledHashJoin")[0]
+    got = sorted((r.pattern, r.doc_id) for r in index.search(patterns, texts).collect())
+    assert got == sorted([("olt", i) for i in range(90)] + [("t 8", i) for i in [8, *range(80, 90)]])
