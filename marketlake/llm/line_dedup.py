@@ -14,18 +14,22 @@ number), all others are dropped.
    the multi-match-aware windows leave (12 for t = 2); its own segments are among
    them, marked as index. A key is length, segment number and content. From the length
    on at which n // share exceeds t, a line has keys of another kind, whose number does not grow
-   with the allowance: two lines within it share a run of (n - t) / (t + 1) code points, and
-   the smallest hash of every ``w`` neighbouring grams of ``GRAM`` code points is a key, so
-   a run of w + ``GRAM`` - 1 has one in both, shifted by the allowance at most.
-3. Pairs of an index and a probing line under one key must agree in length and in
-   the parity sketch of their letters (an edit flips at most two of its 64 bits). First
+   with the square of the allowance: its grams of ``GRAM`` code points with the smallest hashes, as many as it
+   takes until t + 1 of them are disjoint. An edit changes one of these at most, so of two
+   lines within t edits the one whose hashes end first has a gram that is unchanged in the
+   other, among its keys too and shifted by the allowance at most.
+3. Most keys have one line and are dropped where they meet; on the way there the keys of
+   many lines travel together, in arrays by bucket of the key. A key that alone has over ``HOT_ROWS`` rows
+   in an array is kept as it is and leaves one row behind to tell the others.
+4. Pairs of an index and a probing line under one key must agree in length, in
+   the parity sketch of their letters (an edit flips at most two of its 64 bits) and in the letters' counts. First
    every prober meets the key's smallest index line; once these links are joined up,
    only pairs across components are left to compare. Both are equi-joins that
    evaluate the sketch inside the join, so a key that many lines hold emits only near pairs, and adaptive
    execution may split it.
-4. What is left is verified by edit distance on the texts: banded bit-parallel, or for more
-   than ``BAND_EDITS`` by the furthest points of each diagonal, after gram counts. Only
-   lines whose hash is in a bitmap of fixed size (2 MB) of the candidates' move.
+5. What is left is verified by edit distance on the texts: banded bit-parallel, or for more
+   than ``BAND_EDITS`` by the furthest points of each diagonal, after gram counts. Only the
+   lines that still have keys move, told from the others by a bitmap of fixed size (2 MB).
 
 Defined results: null and blank texts have no lines; lines shorter than
 ``MIN_LENGTH`` (with ``share``: ``LEAST_NEAR``, of which an edit is half or
@@ -54,8 +58,13 @@ SHARE = 40
 LEAST_NEAR = 3
 GRAM = 16
 BAND_EDITS = 4
-CHUNK_LETTERS = 1 << 20
+CHUNK_LETTERS = 1 << 21
+RATES = (28, 22, 18, 15, 12, 9, 6)  # one gram in so many is tried as a line's keys
+DENSE_RATES = (3, 1)
 FLUSH_ROWS = 200_000
+FLUSH_KEYS = 1_000_000
+BUCKET_LETTERS = 10_000_000  # of all lines, to one bucket of keys
+HOT_ROWS = 2_000
 MEMO = 300_000
 WANTED_BITS = 24  # 2 MB
 
@@ -69,9 +78,14 @@ def lines_of(text: str) -> Iterator[tuple[int, str]]:
 
 
 def line_hash(line: str) -> tuple[int, int]:
-    h = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return signed(h & (1 << 64) - 1), signed(h >> 64)
+    h = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
+    return int.from_bytes(h[8:], signed=True), int.from_bytes(h[:8], signed=True)
+
+
+def line_hashes(lines: list[str]) -> np.ndarray:
+    """``line_hash`` of each, as rows of two."""
+    found = b"".join([xxhash.xxh3_128_digest(l.encode("utf-8", "surrogatepass")) for l in lines])
+    return np.frombuffer(found, dtype=">i8").astype(np.int64).reshape(-1, 2)[:, ::-1]
 
 
 def segments(n: int, t: int) -> list[tuple[int, int]]:
@@ -123,7 +137,10 @@ class Allowance:
 
     @property
     def window(self) -> int:
-        """Neighbouring grams inside the run that long lines within the allowance share."""
+        """Neighbouring grams inside the run that long lines within the allowance share.
+
+        At least one, so that a long line has more disjoint grams than its allowance.
+        """
         return -(-(self.share - 1) * (self.t + 1) // (self.t + 2)) - GRAM + 1
 
     def edits(self, n: int) -> int:
@@ -131,6 +148,11 @@ class Allowance:
             return 1 if n >= self.shortest else 0
         return max(self.t, n // self.share) if self.share else self.t
 
+    def of(self, n: np.ndarray) -> np.ndarray:
+        """``edits`` of each length, 1 below the shortest."""
+        most = np.maximum(self.t, n // self.share) if self.share else np.full(len(n), self.t)
+        return np.where(n < self.least, 1, most)
+
     def column(self, n: Column) -> Column:
         if not self.share:
             return F.lit(self.t)
@@ -152,36 +174,91 @@ def letters(line: str) -> np.ndarray:
 
 def grams(c: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of the ``size`` (a power of two) code points from each place on."""
+    block = 1 << 15  # stays in the processor's cache
+    if len(c) > block + size:
+        return np.concatenate([grams(c[at:at + block + size - 1], size) for at in range(0, len(c) - size + 1, block)])
     h = (c.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     step = 1
     while step < size:
-        h = h[:-step] * np.uint64(0xBF58476D1CE4E5B9 + 2 * step) + h[step:]
-        h ^= h >> np.uint64(32)
+        more = h[step:]
+        h = h[:-step] * np.uint64(0xBF58476D1CE4E5B9 + 2 * step)
+        h += more
         step *= 2
+    h ^= h >> np.uint64(32)
     h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
+
+
+def substring_keys(lines: list[str], places: list[tuple[int, int, int, int, bool]]) -> np.ndarray:
+    """Of each of the lines (all of one length) the keys of the ``probes``: length, segment number and content."""
+    length, segment, at, size = (np.array(x, dtype=np.int64) for x in list(zip(*places))[:4])
+    n, base = len(lines[0]), 0x9E3779B97F4A7C15
+    powers = np.full(n, base, dtype=np.uint64)
+    powers[0] = 1
+    back = np.full(n, pow(base, -1, 1 << 64), dtype=np.uint64)
+    back[0] = 1
+    powers, back = np.multiply.accumulate(powers), np.multiply.accumulate(back)
+    c = (letters("".join(lines)).reshape(-1, n).astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    c ^= c >> np.uint64(29)
+    c *= powers
+    sums = np.zeros((len(lines), n + 1), dtype=np.uint64)
+    np.cumsum(c, axis=1, out=sums[:, 1:])
+    h = (sums[:, at + size] - sums[:, at]) * back[at]
+    h += (length * 16 + segment).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for _ in range(2):
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def smallest_grams(lines: list[str], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(line number, key, first place, last place)``: the leftmost smallest gram of every window.
+def have_disjoint(at: np.ndarray, of: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Which lines have ``need`` disjoint grams among those at the given (ascending) places."""
+    after = np.append(np.searchsorted(at, at + GRAM), len(at))
+    cut = np.searchsorted(of, np.arange(len(need) + 1))
+    now, end, lacking = cut[:-1].copy(), cut[1:], need.copy()
+    going = np.flatnonzero(end - now >= need)
+    while len(going):
+        lacking[going] -= 1
+        now[going] = after[now[going]]
+        going = going[(lacking[going] > 0) & (now[going] < end[going])]
+    return lacking <= 0
+
 
-    Every line has at least ``GRAM + window - 1`` code points.
+def smallest_grams(lines: list[str], edits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(line number, key, place)``: the grams of the smallest hashes, among them ``edits + 1`` disjoint ones.
+
+    Every line has at least ``GRAM * (edits + 1)`` code points. All grams of a line up
+    to some hash are taken.
     """
     sizes = np.array([len(l) for l in lines])
-    starts = np.cumsum(sizes) - sizes
+    ends, need = np.cumsum(sizes), edits + 1
+    starts = ends - sizes
     h = grams(letters("".join(lines)), GRAM)
-    of = np.repeat(np.arange(len(lines)), sizes)
-    inside = of[:len(h) - window + 1] == of[GRAM + window - 2:]
-    at = np.flatnonzero(inside)
-    at = at + np.lib.stride_tricks.sliding_window_view(h, window)[at].argmin(axis=1)
-    at = at[np.append(True, at[1:] != at[:-1])]
-    line, key, place = of[at], h[at], at - starts[of[at]]
-    order = np.lexsort((place, key, line))
-    line, key, place = line[order], key[order], place[order]
-    new = np.append(True, (line[1:] != line[:-1]) | (key[1:] != key[:-1]))
-    last = np.append(np.flatnonzero(new)[1:], len(new)) - 1
-    return line[new], key[new].view(np.int64), place[new], place[last]
+    left = np.ones(len(lines), dtype=bool)
+    found = []
+    for rates in (RATES, DENSE_RATES):
+        if rates is RATES:
+            at = np.flatnonzero(h <= np.uint64((1 << 64) // rates[-1]))
+        elif left.any():
+            at = np.concatenate([np.arange(i, j - GRAM + 1) for i, j in zip(starts[left], ends[left])])
+        else:
+            break
+        of = np.repeat(np.arange(len(lines)), np.diff(np.searchsorted(at, ends), prepend=0))
+        inside = at + GRAM <= ends[of]
+        at, of = at[inside], of[inside]
+        key = h[at]
+        for rate in rates:
+            some = key <= np.uint64(((1 << 64) - 1) // rate)
+            enough = have_disjoint(at[some], of[some], need)
+            take = some & enough[of]
+            found.append((of[take], key[take], at[take]))
+            left &= ~enough
+            stay = ~enough[of]
+            at, of, key = at[stay], of[stay], key[stay]
+    of, key, at = (np.concatenate(x) for x in zip(*found))
+    return of, (key * np.uint64(0xD6E8FEB86659FD93)).view(np.int64), (at - starts[of]).astype(np.int32)
 
 
 def parity(line: str) -> int:
@@ -192,6 +269,34 @@ def parity(line: str) -> int:
     return int(np.packbits(odd, bitorder="little").view("<i8")[0])
 
 
+def parities(lines: list[str]) -> np.ndarray:
+    """``parity`` of each line; none is empty."""
+    if not lines:
+        return np.zeros(0, dtype=np.int64)
+    sizes = np.array([len(l) for l in lines])
+    at = letters("".join(lines)) * np.uint32(0x9E3779B1)
+    at >>= np.uint32(26)
+    bits = (np.uint64(1) << np.arange(64, dtype=np.uint64))[at]
+    return np.bitwise_xor.reduceat(bits, np.cumsum(sizes) - sizes).view(np.int64)
+
+
+COUNTS = ["counts_0", "counts_1", "counts_2", "counts_3"]
+
+
+def letter_counts(lines: list[str]) -> np.ndarray:
+    """Four times 64 bits of each line: how often the letters of each of 32 kinds occur, modulo 16.
+
+    A count is written in eight bits of which the next count changes one, so an edit
+    flips two at most. Letters' parities tell long lines of one language badly apart.
+    """
+    sizes = np.array([len(l) for l in lines], dtype=np.int64)
+    kind = (letters("".join(lines)) & np.uint32(31)).astype(np.int64)
+    kind += np.repeat(np.arange(len(lines)) << 5, sizes)
+    found = np.bincount(kind, minlength=len(lines) << 5) & 15
+    code = np.array([(1 << i) - 1 if i <= 8 else 255 & ~((1 << (i - 8)) - 1) for i in range(16)], dtype=np.uint8)
+    return code[found].view("<i8").reshape(-1, 4)
+
+
 def within(a: str, b: str, t: int) -> bool:
     """Edit distance at most t, by the bit-parallel recurrence in a band of 2t + 1 diagonals.
 
@@ -257,6 +362,8 @@ def grams_allow(a: str, b: str, t: int, size: int = 4) -> bool:
 def common_run(a: str, i: int, b: str, j: int) -> int:
     """How many code points are equal from ``a[i]`` and ``b[j]`` on."""
     most, n, step = min(len(a) - i, len(b) - j), 0, 8
+    if most > 0 and a[i] != b[j]:
+        return 0
     while n < most and a[i + n:i + n + step] == b[j + n:j + n + step]:
         n += step
         step *= 2
@@ -298,95 +405,231 @@ def linked(a: str, b: str, allowed: Allowance) -> bool:
 
 def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     row = TaskContext.get().partitionId() << 33
+
+    def frame(docs: list, first: int, counts: list[int], at: list[int], lines: list[str]) -> pd.DataFrame:
+        of = np.repeat(np.arange(len(docs)), counts)
+        h = line_hashes(lines)
+        return pd.DataFrame({"doc_id": np.array(docs, dtype=object)[of], "row": first + of, "at": at, "line": h[:, 0],
+                             "check": h[:, 1], "n": [len(l) for l in lines]})
+
     for pdf in batches:
-        out: list[tuple] = []
+        docs, counts, at, lines, waiting = [], [], [], [], 0
         for doc, text in zip(pdf["doc_id"], pdf["text"]):
-            out.append((doc, row, -1, 0, 0))
+            docs.append(doc)
+            at.append(-1)  # the row itself
+            lines.append(" ")
+            before = len(at) - 1
             for i, line in lines_of(text):
-                out.append((doc, row, i, *line_hash(line)))
-            row += 1
-            if len(out) > FLUSH_ROWS:
-                yield _frame(out, ["doc_id", "row", "at", "line", "check"])
-                out = []
-        yield _frame(out, ["doc_id", "row", "at", "line", "check"])
-
-
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    cols = list(zip(*rows)) if rows else [()] * len(names)
-    return pd.DataFrame({n: pd.Series(c, dtype=object if n in ("doc_id", "words") else None) for n, c in zip(names, cols)})
-
-
-def _new_lines(pdf: pd.DataFrame, seen: set[int], least: int) -> Iterator[tuple[int, str]]:
+                at.append(i)
+                lines.append(line)
+            counts.append(len(at) - before)
+            waiting += len(text)
+            if len(at) > FLUSH_ROWS or waiting > CHUNK_LETTERS:
+                yield frame(docs, row, counts, at, lines)
+                row += len(docs)
+                docs, counts, at, lines, waiting = [], [], [], [], 0
+        if docs:
+            yield frame(docs, row, counts, at, lines)
+            row += len(docs)
+
+
+def _new_lines(pdf: pd.DataFrame, seen: set[int], least: int, wanted: list[int] | None = None) -> Iterator[tuple[int, str]]:
+    """The lines not seen before, and of these only those whose hash has its bit in ``wanted``."""
+    last = (len(wanted or ()) << 6) - 1
     for text in pdf["text"]:
         for _, line in lines_of(text):
             if len(line) >= least:
                 h = line_hash(line)[0]
-                if h not in seen:
+                if (wanted is None or wanted[(h & last) >> 6] >> (h & 63) & 1) and h not in seen:
                     if len(seen) > MEMO:
                         seen.clear()
                     seen.add(h)
                     yield h, line
 
 
-KEY_NAMES = ["key", "line", "n", "first", "last", "own", "sketch"]
-KEY_ROWS = "key long, line long, n int, first int, last int, own boolean, sketch long"
+KEY_ROWS = "key long, line long, first int, last int, own boolean"
+PACKED_ROWS = "bucket int, hot boolean, own boolean, keys binary, lines binary, places binary"  # places: with the line's length
+MOST_PLACE = (1 << 16) - 1
 
 
-def _gram_keys(lines: list[tuple[int, str]], allowed: Allowance) -> pd.DataFrame:
+def _gram_keys(lines: list[tuple[int, str]], allowed: Allowance, sketched: bool = True) -> pd.DataFrame:
+    """``(key, line, place, n)`` of long lines, and the ``sketch`` of each if wanted."""
     hashes = np.array([h for h, _ in lines], dtype=np.int64)
-    sizes = np.array([len(l) for _, l in lines])
-    bits = np.uint64(1) << ((letters("".join(l for _, l in lines)) * np.uint32(0x9E3779B1)) >> np.uint32(26)).astype(np.uint64)
-    sketches = np.bitwise_xor.reduceat(bits, np.cumsum(sizes) - sizes).view(np.int64)  # parity() of each
-    of, key, first, last = smallest_grams([l for _, l in lines], allowed.window)
-    return pd.DataFrame(dict(zip(KEY_NAMES, (key, hashes[of], sizes[of], first, last,
-                                             np.ones(len(of), dtype=bool), sketches[of]))))
+    texts = [l for _, l in lines]
+    of, key, place = smallest_grams(texts, np.array([allowed.edits(len(l)) for l in texts]))
+    sizes = np.array([len(l) for l in texts])
+    out = pd.DataFrame({"key": key, "line": hashes[of], "place": place, "n": sizes[of]})
+    return out.assign(sketch=parities(texts)[of]) if sketched else out
+
+
+def key_order(key: np.ndarray, line: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Rows in order of key, and in order of line and place where a key has several."""
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    several = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    rows = order[several]
+    order[several] = rows[np.lexsort((place[rows], line[rows], key[rows]))]
+    return order
+
 
+def _packed(key: np.ndarray, line: np.ndarray, place: np.ndarray, n: np.ndarray, own: bool, buckets: int) -> Iterator[pd.DataFrame]:
+    """One row per bucket, of each key and line the first and the last place; hot keys beside them.
 
-def _keyed(allowed: Allowance):
+    Places and lengths end at ``MOST_PLACE``, which brings none further apart.
+    """
+    order = key_order(key, line, place)
+    key, line = key[order], line[order]
+    place = np.minimum(np.stack([place[order], n[order]], axis=1), MOST_PLACE).astype(np.uint16)
+    same = (key[1:] == key[:-1]) & (line[1:] == line[:-1])
+    ends = ~(np.append(False, same) & np.append(same, False))
+    key, line, place = key[ends], line[ends], place[ends]
+
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    count = np.diff(start, append=len(key))
+    hot = np.repeat(count > HOT_ROWS, count)
+    bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    low = key.astype(np.uint32)
+
+    def rows(which: np.ndarray, to: np.ndarray, keys: np.ndarray, is_hot: bool) -> pd.DataFrame:
+        cut = np.flatnonzero(np.append(True, to[1:] != to[:-1])).tolist()
+        parts = [slice(i, j) for i, j in zip(cut, [*cut[1:], len(to)])]
+        lines, places = line[which], place[which]
+        return pd.DataFrame({"bucket": to[cut], "hot": is_hot, "own": own,
+                             "keys": [keys[p].tobytes() for p in parts], "lines": [lines[p].tobytes() for p in parts],
+                             "places": [places[p].tobytes() for p in parts]})
+    stays = ~hot
+    stays[start] = True
+    yield rows(stays, bucket[stays], low[stays], False)
+    if hot.any():
+        at = np.flatnonzero(hot)
+        full = (bucket[at].astype(np.int64) << 32) | low[at]
+        for i in range(0, len(at), FLUSH_ROWS):
+            part = at[i:i + FLUSH_ROWS]
+            to = np.full(len(part), xxhash.xxh3_64_intdigest(line[part[:1]].tobytes()) % buckets, dtype=np.int32)
+            yield rows(part, to, full[i:i + FLUSH_ROWS], True)
+
+
+def _shared(allowed: Allowance, group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """``KEY_ROWS`` of the keys of one bucket that several lines have which may be near, one of them by its own place."""
+    bucket, hot = group
+    key = np.concatenate([np.frombuffer(x, dtype=np.int64 if hot else np.uint32) for x in pdf["keys"]]).astype(np.int64)
+    line = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in pdf["lines"]])
+    place, n = np.concatenate([np.frombuffer(x, dtype=np.uint16) for x in pdf["places"]]).reshape(-1, 2).T.astype(np.int32)
+    own = np.repeat(pdf["own"].to_numpy(dtype=bool), [len(x) // 8 for x in pdf["lines"]])
+    order = key_order(key, line, place)
+    if not hot:
+        same = key[order][1:] == key[order][:-1]
+        order = order[np.append(same, False) | np.append(False, same)]
+    key, line, place, n, own = key[order], line[order], place[order], n[order], own[order]
+    start = np.flatnonzero(changes(key, line))
+    last = place[np.append(start[1:], len(key))[:len(start)] - 1]
+    key, line, first, n, own = key[start], line[start], place[start], n[start], np.logical_or.reduceat(own, start) if len(start) else own
+    if not hot:
+        good = _beside_others(allowed, key, n, first, last, own)
+        key, line, first, last, own = key[good] | np.int64(bucket) << 32, line[good], first[good], last[good], own[good]
+    return pd.DataFrame({"key": key, "line": line, "first": first, "last": last, "own": own})
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    new = np.zeros(max(0, len(columns[0]) - 1), dtype=bool)
+    for c in columns:
+        new |= c[1:] != c[:-1]
+    return np.append(True, new) if len(columns[0]) else new
+
+
+def _beside_others(allowed: Allowance, key, n, first, last, own) -> np.ndarray:
+    """The rows left when each key's lines fall apart where no lengths, then no places are within the allowance.
+
+    Of a group there must be two, one with its own place.
+    """
+    if not len(key):
+        return np.zeros(0, dtype=np.int64)
+    t = allowed.of(n)
+    t[n == MOST_PLACE] = 1 << 20  # longer by no one knows how much
+    order = np.lexsort((n, key))
+    gap = np.append(False, (n[order][1:] - n[order][:-1]) > t[order][:-1])
+    run = np.cumsum(changes(key[order]) | gap)
+    most = np.maximum.reduceat(t[order], np.flatnonzero(changes(run)))[run - 1]
+    inner = np.lexsort((first[order], run))
+    order, run, most = order[inner], run[inner], most[inner]
+    reached = np.maximum.accumulate((run.astype(np.int64) << 32) + last[order]) - (run.astype(np.int64) << 32)
+    gap = np.append(False, first[order][1:] - reached[:-1] > most[1:])
+    start = np.flatnonzero(changes(run) | gap)
+    count = np.diff(start, append=len(run))
+    good = np.repeat((count > 1) & np.logical_or.reduceat(own[order], start), count)
+    return order[good]
+
+
+def _keyed(allowed: Allowance, buckets: int):
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
-        plans: dict[int, list] = {}
-        out: list[tuple] = []
+        waiting = {"short": 0, "long": 0}
+        short: dict[int, list[tuple[int, str]]] = {}
         long: list[tuple[int, str]] = []
-        waiting = 0
+        found: dict[bool, list] = {True: [], False: []}  # key, line, place and length, by whether it is the line's own
+
+        def short_keys() -> None:
+            for n, lines in short.items():
+                places = allowed.probes(n)
+                if not places:
+                    continue
+                keys = substring_keys([l for _, l in lines], places)
+                hashes = np.array([h for h, _ in lines], dtype=np.int64)
+                owns = np.array([p[4] for p in places])
+                for own in (True, False):
+                    k = keys[:, owns == own]
+                    found[own].append((k.ravel(), np.repeat(hashes, k.shape[1]), np.zeros(k.size, dtype=np.int32),
+                                       np.full(k.size, n)))
+            short.clear()
+            waiting["short"] = 0
+
+        def long_keys() -> None:
+            if long:
+                f = _gram_keys(long, allowed, sketched=False)
+                found[True].append((f["key"].to_numpy().view(np.uint64), f["line"].to_numpy(), f["place"].to_numpy(),
+                                    f["n"].to_numpy()))
+            long.clear()
+            waiting["long"] = 0
+
+        def flushed(most: int) -> Iterator[pd.DataFrame]:
+            for own, parts in found.items():
+                if sum(len(part[0]) for part in parts) > most:
+                    yield from _packed(*(np.concatenate(x) for x in zip(*parts)), own, buckets)
+                    parts.clear()
+
+        least_long, most_short = allowed.long, allowed.long + allowed.t
         for pdf in batches:
             for h, line in _new_lines(pdf, seen, allowed.shortest):
                 n = len(line)
-                if n >= allowed.long:
+                if n >= least_long:
                     long.append((h, line))
-                    waiting += n
-                    if waiting > CHUNK_LETTERS:
-                        yield _gram_keys(long, allowed)
-                        long, waiting = [], 0
-                    if n > allowed.long + allowed.t:  # no shorter kind of line is near
-                        continue
-                if n not in plans:
-                    plans[n] = allowed.probes(n)
-                sketch, found = parity(line), {}
-                for length, i, at, size, own in plans[n]:
-                    k = xxhash.xxh3_64_intdigest(line[at:at + size].encode("utf-8", "surrogatepass"),
-                                                 seed=length * 16 + i)
-                    found[k] = found.get(k, False) or own
-                out += [(k - (1 << 64) if k >> 63 else k, h, n, 0, 0, own, sketch) for k, own in found.items()]
-                if len(out) > FLUSH_ROWS:
-                    yield _frame(out, KEY_NAMES)
-                    out = []
-        if long:
-            yield _gram_keys(long, allowed)
-        yield _frame(out, KEY_NAMES)
+                    waiting["long"] += n
+                if n <= most_short:  # a shorter kind of line may be near
+                    short.setdefault(n, []).append((h, line))
+                    waiting["short"] += n
+                if waiting["short"] > CHUNK_LETTERS or waiting["long"] > CHUNK_LETTERS:
+                    short_keys() if waiting["short"] > CHUNK_LETTERS else long_keys()
+                    yield from flushed(FLUSH_KEYS)
+        short_keys()
+        long_keys()
+        yield from flushed(0)
     return keyed
 
 
-def _texts(least: int, bits: np.ndarray):
-    last = (len(bits) << 6) - 1
+TEXT_ROWS = "line long, words string, n int, sketch long, " + ", ".join(f"{c} long" for c in COUNTS)
+
 
+def _texts(least: int, bits: np.ndarray):
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         words = bits.tolist()
         for pdf in batches:
-            out = [(h, line) for h, line in _new_lines(pdf, seen, least)
-                   if words[(h & last) >> 6] >> (h & 63) & 1]
-            yield _frame(out, ["line", "words"])
+            found = list(_new_lines(pdf, seen, least, words))
+            lines = [l for _, l in found]
+            if lines:
+                yield pd.DataFrame({"line": [h for h, _ in found], "words": lines, "n": [len(l) for l in lines],
+                                    "sketch": parities(lines), **dict(zip(COUNTS, letter_counts(lines).T))})
     return texts
 
 
@@ -404,31 +647,38 @@ def hash_bits(lines: DataFrame, size: int = WANTED_BITS) -> np.ndarray:
 
 
 def near(x: str, y: str, allowed: Allowance) -> Column:
-    """Lengths, places and sketches of two key rows allow the edits."""
+    """Lengths, places, sketches and counts of letters of two key rows allow the edits."""
     t = allowed.column(F.least(f"{x}.n", f"{y}.n"))
     return ((F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= t)
             & (F.col(f"{x}.first") - F.col(f"{y}.last") <= t) & (F.col(f"{y}.first") - F.col(f"{x}.last") <= t)
-            & (F.bit_count(F.col(f"{x}.sketch").bitwiseXOR(F.col(f"{y}.sketch"))) <= 2 * t))
+            & (F.bit_count(F.col(f"{x}.sketch").bitwiseXOR(F.col(f"{y}.sketch"))) <= 2 * t)
+            & (sum(F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in COUNTS) <= 2 * t))
+
 
+def line_links(docs: DataFrame, size: int, t: int = MAX_EDITS, least: int = MIN_LENGTH,
+               share: int | None = None) -> DataFrame:
+    """``(a, b)``: links of distinct lines that connect every linked pair.
 
-def line_links(docs: DataFrame, t: int = MAX_EDITS, least: int = MIN_LENGTH, share: int | None = None) -> DataFrame:
-    """``(a, b)``: links of distinct lines that connect every linked pair. ``docs``: doc_id, text."""
+    ``docs``: doc_id, text. ``size``: about how many letters their lines have; keys are dealt to buckets by it.
+    """
     spark = docs.sparkSession
     allowed = Allowance(t, least, share)
-    keyed = docs.select("text").mapInPandas(_keyed(allowed), KEY_ROWS)
-    of = Window.partitionBy("key").orderBy("line", F.desc("own"))
-    whole = Window.partitionBy("key")
-    rows = keyed.repartition("key").withColumn("before", F.lag("line").over(of))
-    rows = rows.where(F.col("before").isNull() | (F.col("before") != F.col("line")))
-    rows = rows.withColumns({"size": F.count("*").over(whole), "indexed": F.max("own").over(whole)})
-    rows = durable(rows.where("size > 1 and indexed").select(*KEY_NAMES))
+    buckets = 64 + size // BUCKET_LETTERS
+    packed = docs.select("text").mapInPandas(_keyed(allowed, buckets), PACKED_ROWS)
+    rows = durable(packed.groupBy("bucket", "hot").applyInPandas(
+        lambda group, pdf: _shared(allowed, group, pdf), KEY_ROWS))
+    release(spark)
+    held = durable(rows.select("line").distinct())
+    texts = docs.select("text").mapInPandas(_texts(allowed.shortest, hash_bits(held)), TEXT_ROWS)
+    texts = durable(texts.join(held, "line", "left_semi").dropDuplicates(["line"]))
+    rows = durable(rows.join(texts.drop("words"), "line"))
     release(spark)
 
-    lead = rows.where("own").groupBy("key").agg(F.min(F.struct("line", "n", "first", "last", "sketch")).alias("lead"))
+    lead = rows.where("own").groupBy("key").agg(F.min(F.struct("line", "n", "first", "last", "sketch", *COUNTS)).alias("lead"))
     lead = lead.select("key", "lead.*")
     first = rows.alias("x").join(lead.alias("y"), (F.col("x.key") == F.col("y.key"))
                                  & (F.col("x.line") != F.col("y.line")) & near("x", "y", allowed))
-    links = verified(docs, first, allowed)
+    links = verified(texts, first, allowed)
     labels = connected_components(links)
     lab = labels.select(F.col("node").alias("line"), "label")
     rows = durable(rows.join(lab, "line", "left").withColumn("comp", F.coalesce("label", "line")).drop("label"))
@@ -436,19 +686,16 @@ def line_links(docs: DataFrame, t: int = MAX_EDITS, least: int = MIN_LENGTH, sha
                                 & (F.col("x.line") != F.col("y.line"))
                                 & (~F.col("x.own") | (F.col("x.line") < F.col("y.line"))) & (F.col("x.comp") != F.col("y.comp"))
                                 & near("x", "y", allowed))
-    more = verified(docs, rest, allowed)
+    more = verified(texts, rest, allowed)
     release(spark)
     return links.union(more)
 
 
-def verified(docs: DataFrame, candidates: DataFrame, allowed: Allowance) -> DataFrame:
+def verified(texts: DataFrame, candidates: DataFrame, allowed: Allowance) -> DataFrame:
     """The candidate pairs (of aliases x and y) whose lines are within the allowed edits."""
     a, b = F.least("x.line", "y.line"), F.greatest("x.line", "y.line")
     pairs = durable(candidates.select(a.alias("a"), b.alias("b")).distinct())
-    wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
-    wanted = durable(wanted)
-    texts = docs.select("text").mapInPandas(_texts(allowed.shortest, hash_bits(wanted)), "line long, words string")
-    texts = durable(texts.join(wanted, "line").groupBy("line").agg(F.first("words").alias("words")))
+    texts = texts.select("line", "words")
 
     def near_enough(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([linked(p, q, allowed) for p, q in zip(x, y)], dtype=bool)
@@ -466,10 +713,11 @@ def dropped_lines(docs: DataFrame, t: int = MAX_EDITS, least: int = MIN_LENGTH,
     line ends), ``n_near`` how many of them are no exact copy of the line that stays.
     """
     docs, kind = with_text_id(docs, id_col, text_or_empty(F.col(text_col)))
-    placed = docs.mapInPandas(_placed, "doc_id string, row long, at int, line long, check long")
+    placed = docs.mapInPandas(_placed, "doc_id string, row long, at int, line long, check long, n int")
     placed = durable(placed.withColumn("doc_id", F.col("doc_id").cast(kind)))
     release(docs.sparkSession)
-    labels = connected_components(line_links(docs, t, least, share))
+    size = placed.where("at >= 0").agg(F.sum("n")).first()[0] or 0
+    labels = connected_components(line_links(docs, size, t, least, share))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "at", "line")
     lines = placed.where("at >= 0").groupBy("line").agg(F.min(place).alias("place"))
     lines = lines.join(labels, F.col("line") == F.col("node"), "left").select(

@@ -154,3 +154,49 @@ def test_query_links_short_lines_and_swapped_words(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = op5_line_dedup(spark, str(tmp_path)).select("doc_id", "n_near").collect()
     assert dict(map(tuple, got)) == {1: 0, 2: 1, 3: 0, 4: 1}
+
+
+def test_fewer_keys_a_letter():
+    rng = random.Random(8)
+    allowed = L.Allowance(L.MAX_EDITS, L.MIN_LENGTH, L.SHARE)
+    lines = [(i, sentence(rng, rng.randrange(20, 200), 10**6)) for i in range(300)]
+    keys = L._gram_keys(lines, allowed)
+    assert set(keys["line"]) == {i for i, _ in lines}
+    assert 14 * len(keys) < sum(len(l) for _, l in lines)
+
+
+def test_packed_keys_keep_near_lines_and_hot_keys(monkeypatch):
+    import pandas as pd
+    monkeypatch.setattr(L, "HOT_ROWS", 5)
+    rng = random.Random(9)
+    allowed = L.Allowance(L.MAX_EDITS, L.MIN_LENGTH, L.SHARE)
+    base = [sentence(rng, w, 10**6) for w in (2, 6, 12, 30, 60, 400)]
+    lines = [*base]
+    for b in base:
+        for _ in range(12):
+            n, s = rng.randint(1, max(1, allowed.edits(len(b)) // 2)), b
+            for _ in range(n):
+                k = rng.randrange(len(s))
+                s = s[:k] + rng.choice(["", "z", s[k] + "q"]) + s[k + 1:]
+            lines.append(s)
+    lines = sorted({l for l in lines})
+    rng.shuffle(lines)
+    # three tasks; hot keys in some of them only
+    parts = [lines[:50], lines[50:52], lines[52:]]
+    packed = pd.concat([f for p in parts for f in L._keyed(allowed, 3)(iter([pd.DataFrame({"text": ["\n".join(p)]})]))])
+    assert packed["hot"].any() and not packed["hot"].all()
+    rows = pd.concat([L._shared(allowed, g, f) for g, f in packed.groupby(["bucket", "hot"])])
+    keys = {h: set() for h in (L.line_hash(l)[0] for l in lines)}
+    for key, line in zip(rows["key"], rows["line"]):
+        keys[line].add(key)
+    own = set(rows["key"][rows["own"]])
+    near = 0
+    for i, a in enumerate(lines):
+        for b in lines[:i]:
+            if min(len(a), len(b)) >= allowed.shortest and L.linked(a, b, allowed):
+                near += 1
+                assert keys[L.line_hash(a)[0]] & keys[L.line_hash(b)[0]] & own
+                t = allowed.edits(min(len(a), len(b)))
+                x, y = L.letter_counts([a, b])
+                assert sum(int(v).bit_count() for v in (x ^ y).view("u8")) <= 2 * t
+    assert near > 100
