@@ -20,7 +20,8 @@ number), all others are dropped.
    other, among its keys too and shifted by the allowance at most.
 3. Most keys have one line and are dropped where they meet; on the way there the keys of
    many lines travel together, in arrays by bucket of the key. A key that alone has over ``HOT_ROWS`` rows
-   in an array is kept as it is and leaves one row behind to tell the others.
+   in an array is kept as it is and leaves one row behind to tell the others. Of keys with the
+   same lines, as far apart in all, one stays.
 4. Pairs of an index and a probing line under one key must agree in length, in
    the parity sketch of their letters (an edit flips at most two of its 64 bits) and in the letters' counts. First
    every prober meets the key's smallest index line; once these links are joined up,
@@ -655,6 +656,22 @@ def near(x: str, y: str, allowed: Allowance) -> Column:
             & (sum(F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in COUNTS) <= 2 * t))
 
 
+def without_repeated_groups(rows: DataFrame) -> DataFrame:
+    """``KEY_ROWS`` without the keys that bring together the same lines, as far apart, as another key does.
+
+    Lines that share a passage share all its keys; one of these names every pair.
+    """
+    rows = rows.repartition("key").groupBy("key", "line").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.max("own").alias("own"))
+    lead = rows.groupBy("key").agg(F.min(F.struct("line", "first")).alias("lead"))
+    apart = ["line", F.col("first") - F.col("lead.first"), F.col("last") - F.col("lead.first"), "own"]
+    groups = rows.join(lead, "key").groupBy("key").agg(
+        F.count("*").alias("size"), F.bit_xor(F.xxhash64(F.lit(1), *apart)).alias("sign_1"),
+        F.bit_xor(F.xxhash64(F.lit(2), *apart)).alias("sign_2"))
+    kept = groups.groupBy("size", "sign_1", "sign_2").agg(F.min("key").alias("key")).select("key")
+    return rows.join(kept, "key", "left_semi")
+
+
 def line_links(docs: DataFrame, size: int, t: int = MAX_EDITS, least: int = MIN_LENGTH,
                share: int | None = None) -> DataFrame:
     """``(a, b)``: links of distinct lines that connect every linked pair.
@@ -667,6 +684,7 @@ def line_links(docs: DataFrame, size: int, t: int = MAX_EDITS, least: int = MIN_
     packed = docs.select("text").mapInPandas(_keyed(allowed, buckets), PACKED_ROWS)
     rows = durable(packed.groupBy("bucket", "hot").applyInPandas(
         lambda group, pdf: _shared(allowed, group, pdf), KEY_ROWS))
+    rows = durable(without_repeated_groups(rows))
     release(spark)
     held = durable(rows.select("line").distinct())
     texts = docs.select("text").mapInPandas(_texts(allowed.shortest, hash_bits(held)), TEXT_ROWS)

@@ -200,3 +200,11 @@ def test_packed_keys_keep_near_lines_and_hot_keys(monkeypatch):
                 x, y = L.letter_counts([a, b])
                 assert sum(int(v).bit_count() for v in (x ^ y).view("u8")) <= 2 * t
     assert near > 100
+
+
+def test_one_key_of_a_shared_passage_stays(spark):
+    rows = [(k, line, at + 20 * k + (line == 9 and k > 5) * 3, True) for k in range(10) for line, at in ((7, 0), (8, 40), (9, 2))]
+    rows += [(77, 7, 0, True), (77, 8, 40, False), (78, 7, 0, True), (78, 8, 40, True)]
+    frame = spark.createDataFrame([(k, l, a, a, o) for k, l, a, o in rows + rows[:1]], L.KEY_ROWS)
+    got = {(r["key"], r["line"]) for r in L.without_repeated_groups(frame).collect()}
+    assert got == {(k, line) for k in (0, 6) for line in (7, 8, 9)} | {(k, line) for k in (77, 78) for line in (7, 8)}
