@@ -647,13 +647,251 @@ def hash_bits(lines: DataFrame, size: int = WANTED_BITS) -> np.ndarray:
     return out
 
 
-def near(x: str, y: str, allowed: Allowance) -> Column:
-    """Lengths, places, sketches and counts of letters of two key rows allow the edits."""
-    t = allowed.column(F.least(f"{x}.n", f"{y}.n"))
-    return ((F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= t)
-            & (F.col(f"{x}.first") - F.col(f"{y}.last") <= t) & (F.col(f"{y}.first") - F.col(f"{x}.last") <= t)
-            & (F.bit_count(F.col(f"{x}.sketch").bitwiseXOR(F.col(f"{y}.sketch"))) <= 2 * t)
-            & (sum(F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in COUNTS) <= 2 * t))
+GROUP_ROWS = "lead long, part int, line long, probe boolean"
+SPLIT_ROWS = 4_000  # a larger group's rows are each compared in one of several tasks
+TOGETHER_ROWS = 20_000
+RAW_PAIRS = 1 << 19
+MOST_PAIRS = 1 << 20
+BIGRAMS = 512  # 9 bits of a hash
+BIGRAM_ROWS = 4_096
+REACH_CELLS = 1 << 19
+STRIDE = 32
+NOWHERE = -(1 << 30)
+
+
+def whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows again, as frames that end where a group ends, each about ``TOGETHER_ROWS`` or some chunks' letters."""
+    waiting: list[pd.DataFrame] = []
+    rows = letters_ = 0
+    for pdf in batches:
+        waiting.append(pdf)
+        rows, letters_ = rows + len(pdf), letters_ + int(pdf["n"].sum())
+        if rows > TOGETHER_ROWS or letters_ > 4 * CHUNK_LETTERS:
+            pdf = pd.concat(waiting, ignore_index=True)
+            new = np.flatnonzero(changes(pdf["lead"].to_numpy(), pdf["part"].to_numpy()))
+            if new[-1]:
+                yield pdf[:new[-1]]
+            waiting = [pdf[new[-1]:]]
+            rows, letters_ = len(waiting[0]), int(waiting[0]["n"].sum())
+    if waiting:
+        yield pd.concat(waiting, ignore_index=True)
+
+
+def in_groups(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """The rows by group and length, and the number of each one's group."""
+    group = np.cumsum(changes(pdf["lead"].to_numpy(), pdf["part"].to_numpy()))
+    order = np.lexsort((pdf["line"].to_numpy(), pdf["n"].to_numpy(), group))
+    return pdf.iloc[order], group[order]
+
+
+class Joined:
+    """The components that links make of rows, and the links."""
+
+    def __init__(self, rows: int):
+        self.label = np.arange(rows)
+        self.links: list[tuple[int, int]] = []
+
+    def of(self, i: int) -> int:
+        while self.label[i] != i:
+            i = self.label[i]
+        return i
+
+    def join(self, pairs: Iterator[tuple[int, int]], check=None) -> None:
+        """Link the pairs that are still apart, and that ``check`` finds linked."""
+        for i, j in pairs:
+            x, y = self.of(i), self.of(j)
+            if x != y and (check is None or check(i, j)):
+                self.label[max(x, y)] = min(x, y)
+                self.links.append((i, j))
+        while (self.label[self.label] != self.label).any():
+            self.label = self.label[self.label]
+
+
+def near_pairs(pdf: pd.DataFrame, group: np.ndarray, t: np.ndarray, joined: Joined) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs ``(i, j)`` of rows of one group whose lengths, sketches and counts of letters allow the edits.
+
+    Rows are by group and length, so the allowance ``t`` is that of i. Each pair comes where i is a
+    ``probe``, pairs that are ``joined`` by then do not come.
+    """
+    n = pdf["n"].to_numpy().astype(np.int64)
+    codes = [pdf[c].to_numpy().view(np.uint64) for c in ("sketch", *COUNTS)]
+    at = (group.astype(np.int64) << 32) + n
+    rows = np.arange(len(n))
+    count = np.where(pdf["probe"].to_numpy(dtype=bool), np.searchsorted(at, at + t, side="right") - rows - 1, 0)
+    before = np.cumsum(count) - count
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(before, before[lo] + RAW_PAIRS)))
+        some = count[lo:hi]
+        i = np.repeat(rows[lo:hi], some)
+        j = np.arange(len(i)) - np.repeat(before[lo:hi] - before[lo], some) + i + 1
+        lo = hi
+        apart = joined.label[i] != joined.label[j]
+        i, j = i[apart], j[apart]
+        alike = np.bitwise_count(codes[0][i] ^ codes[0][j]) <= 2 * t[i]
+        i, j = i[alike], j[alike]
+        far = sum(np.bitwise_count(c[i] ^ c[j]).astype(np.int32) for c in codes[1:])
+        alike = far <= 2 * t[i]
+        yield i[alike], j[alike]
+
+
+def _with_others(allowed: Allowance):
+    """The rows of a group that have a near pair in it."""
+    def with_others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches):
+            pdf, group = in_groups(pdf)
+            found = np.zeros(len(pdf), dtype=bool)
+            for i, j in near_pairs(pdf, group, allowed.of(pdf["n"].to_numpy()), Joined(len(pdf))):
+                found[i] = found[j] = True
+            yield pdf.loc[found, ["lead", "part", "line", "probe"]]
+    return with_others
+
+
+def bigram_counts(codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How often hashed pairs of neighbouring letters occur in each string, up to 255. An edit changes four counts by one at most."""
+    out = np.empty((len(size), BIGRAMS), dtype=np.uint8)
+    for k in range(0, len(size), BIGRAM_ROWS):
+        first, pairs = start[k:k + BIGRAM_ROWS], np.maximum(size[k:k + BIGRAM_ROWS] - 1, 0)
+        of = np.repeat(np.arange(len(pairs)), pairs)
+        at = np.arange(len(of)) + np.repeat(first - (np.cumsum(pairs) - pairs), pairs)
+        kind = (codes[at].astype(np.uint32) * np.uint32(0x9E3779B1) + codes[at + 1]) * np.uint32(0x85EBCA6B) >> np.uint32(23)
+        found = np.bincount(of * BIGRAMS + kind, minlength=len(pairs) * BIGRAMS)
+        out[k:k + BIGRAM_ROWS] = np.minimum(found, 255).reshape(-1, BIGRAMS)
+    return out
+
+
+def coded(lines: list[str]) -> tuple[np.ndarray, bool]:
+    """The letters of the lines, one after the other, as bytes, with ``STRIDE`` more; whether different letters have different bytes."""
+    c = letters("".join(lines))
+    known = np.zeros(0x110000, dtype=bool)
+    known[c] = True
+    known = np.flatnonzero(known)
+    table = np.zeros(0x110000, dtype=np.uint8)
+    table[known] = np.arange(len(known)) % 256
+    return np.append(table[c], np.zeros(STRIDE, dtype=np.uint8)), len(known) <= 256
+
+
+def equal_runs(codes: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many bytes are equal from the places a and b on."""
+    out = np.zeros(len(a), dtype=np.int32)
+    going = np.flatnonzero((codes[a] == codes[b]) & (most > 0))
+    windows = np.lib.stride_tricks.sliding_window_view(codes, STRIDE)
+    while len(going):
+        other = windows[a[going] + out[going]] != windows[b[going] + out[going]]
+        run = np.where(other.any(axis=1), other.argmax(axis=1), STRIDE)
+        out[going] += run.astype(np.int32)
+        going = going[(run == STRIDE) & (out[going] < most[going])]
+    return np.minimum(out, most)
+
+
+def within_each(codes: np.ndarray, start: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """``within_far`` of many pairs of strings of bytes, all pairs going on together."""
+    out = np.zeros(len(i), dtype=bool)
+    order = np.argsort(t, kind="stable")
+    while len(order):
+        fit = int(np.searchsorted(np.arange(1, len(order) + 1) * (2 * t[order].astype(np.int64) + 3), REACH_CELLS, side="right"))
+        some, order = order[:max(1, fit)], order[max(1, fit):]
+        out[some] = _within_some(codes, start[i[some]], size[i[some]], start[j[some]], size[j[some]], t[some])
+    return out
+
+
+def _within_some(codes: np.ndarray, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, t: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(a), dtype=bool)
+    live = np.flatnonzero(np.abs(nb - na) <= t)
+    if not len(live):
+        return out
+    a, na, b, nb, t = (x[live].astype(np.int64) for x in (a, na, b, nb, t))
+    most = int(t.max())
+    reach = np.full((len(live), 2 * most + 3), NOWHERE, dtype=np.int32)  # of diagonal k = j - i, at k + most + 1, the furthest i
+    for e in range(most + 1):
+        end = nb - na
+        lo, hi = max(-e, int((end - t).min()) + e), min(e, int((end + t).max()) - e)
+        k = np.arange(lo, hi + 1)
+        at = slice(lo + most + 1, hi + most + 2)
+        if e:
+            new = np.maximum(reach[:, at], reach[:, lo + most + 2:hi + most + 3])
+            new += 1
+            np.maximum(new, reach[:, lo + most:hi + most + 1], out=new)
+            new = np.minimum(new, np.minimum(na[:, None], nb[:, None] - k))
+        else:
+            new = np.zeros((len(live), 1), dtype=np.int32)
+        row, col = np.nonzero((new >= np.maximum(0, -k)) & (np.abs(end[:, None] - k) <= (t - e)[:, None]))
+        x = new[row, col].astype(np.int64)
+        y = x + k[col]
+        x += equal_runs(codes, a[row] + x, b[row] + y, np.minimum(na[row] - x, nb[row] - y))
+        reach[:] = NOWHERE
+        reach[row, col + lo + most + 1] = x
+        done = reach[np.arange(len(live)), end + most + 1] >= na
+        out[live[done]] = True
+        stay = ~done & (t > e)
+        if not stay.all():
+            live, a, na, b, nb, t, reach = live[stay], a[stay], na[stay], b[stay], nb[stay], t[stay], reach[stay]
+            if not len(live):
+                break
+    return out
+
+
+def join_near(joined: Joined, lines: list[str], i: np.ndarray, j: np.ndarray, t: np.ndarray, allowed: Allowance) -> None:
+    """Verify pairs of rows until every one is joined or found to be no link, the most alike first."""
+    rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    i, j = at[:len(i)], at[len(i):]
+    texts = [lines[r] for r in rows]
+    size = np.array([len(l) for l in texts])
+    start = np.cumsum(size) - size
+    codes, exact = coded(texts)
+    counts = bigram_counts(codes, start, size)
+    far = np.empty(len(i), dtype=np.int32)
+    for k in range(0, len(i), 1 << 13):
+        x, y = counts[i[k:k + (1 << 13)]], counts[j[k:k + (1 << 13)]]
+        far[k:k + (1 << 13)] = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int32)
+    order = np.argsort(far / t, kind="stable")
+    order = order[far[order] <= 4 * t[order]]
+    i, j, t = i[order], j[order], t[order]
+    turn = 0
+    while len(i):
+        if turn < 3:  # the best pair of each row
+            some = np.zeros(len(i), dtype=bool)
+            some[np.unique(i, return_index=True)[1]] = some[np.unique(j, return_index=True)[1]] = True
+        else:
+            some = np.arange(len(i)) < 1 << (9 + turn)
+        turn += 1
+        good = np.flatnonzero(some)
+        good = good[within_each(codes, start, size, i[good], j[good], t[good])]
+        joined.join(zip(rows[i[good]].tolist(), rows[j[good]].tolist()),
+                    None if exact else lambda x, y: linked(lines[x], lines[y], allowed))
+        stay = ~some & (joined.label[rows[i]] != joined.label[rows[j]])
+        i, j, t = i[stay], j[stay], t[stay]
+
+
+def _links(allowed: Allowance):
+    """``(a, b)``: links of lines that connect every linked pair of a group."""
+    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches):
+            pdf, group = in_groups(pdf)
+            lines, line = pdf["words"].tolist(), pdf["line"].to_numpy()
+            t = allowed.of(pdf["n"].to_numpy())
+            joined = Joined(len(pdf))
+            waiting, found = 0, []
+
+            def verify() -> None:
+                if found:
+                    i, j = (np.concatenate(x) for x in zip(*found))
+                    apart = joined.label[i] != joined.label[j]
+                    if apart.any():
+                        join_near(joined, lines, i[apart], j[apart], t[i[apart]], allowed)
+                    found.clear()
+
+            pairs = near_pairs(pdf, group, t, joined)
+            for i, j in pairs:
+                found.append((i, j))
+                waiting += len(i)
+                if waiting > MOST_PAIRS:
+                    verify()
+                    waiting = 0
+            verify()
+            a, b = np.array(joined.links, dtype=np.int64).reshape(-1, 2).T
+            yield pd.DataFrame({"a": np.minimum(line[a], line[b]), "b": np.maximum(line[a], line[b])})
+    return links
 
 
 def without_repeated_groups(rows: DataFrame) -> DataFrame:
@@ -689,38 +927,27 @@ def line_links(docs: DataFrame, size: int, t: int = MAX_EDITS, least: int = MIN_
     held = durable(rows.select("line").distinct())
     texts = docs.select("text").mapInPandas(_texts(allowed.shortest, hash_bits(held)), TEXT_ROWS)
     texts = durable(texts.join(held, "line", "left_semi").dropDuplicates(["line"]))
-    rows = durable(rows.join(texts.drop("words"), "line"))
     release(spark)
 
-    lead = rows.where("own").groupBy("key").agg(F.min(F.struct("line", "n", "first", "last", "sketch", *COUNTS)).alias("lead"))
-    lead = lead.select("key", "lead.*")
-    first = rows.alias("x").join(lead.alias("y"), (F.col("x.key") == F.col("y.key"))
-                                 & (F.col("x.line") != F.col("y.line")) & near("x", "y", allowed))
-    links = verified(texts, first, allowed)
-    labels = connected_components(links)
-    lab = labels.select(F.col("node").alias("line"), "label")
-    rows = durable(rows.join(lab, "line", "left").withColumn("comp", F.coalesce("label", "line")).drop("label"))
-    rest = rows.alias("x").join(rows.where("own").alias("y"), (F.col("x.key") == F.col("y.key"))
-                                & (F.col("x.line") != F.col("y.line"))
-                                & (~F.col("x.own") | (F.col("x.line") < F.col("y.line"))) & (F.col("x.comp") != F.col("y.comp"))
-                                & near("x", "y", allowed))
-    more = verified(texts, rest, allowed)
+    lead = rows.where("own").groupBy("key").agg(F.min("line").alias("lead"))
+    groups = durable(rows.join(lead, "key").select("lead", "line").distinct())
+    sizes = groups.groupBy("lead").agg(F.count("*").alias("size")).where("size > 1")
+    parts = F.ceil(F.col("size") / SPLIT_ROWS).cast("int")
+    groups = groups.join(sizes, "lead").withColumn("parts", parts).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "lead", "part", "line", (F.pmod("line", "parts") == F.col("part")).alias("probe"))
+    sketched = groups.join(texts.select("line", "n", "sketch", *COUNTS), "line")
+    some = durable(dealt(sketched).mapInPandas(_with_others(allowed), GROUP_ROWS))
     release(spark)
-    return links.union(more)
-
-
-def verified(texts: DataFrame, candidates: DataFrame, allowed: Allowance) -> DataFrame:
-    """The candidate pairs (of aliases x and y) whose lines are within the allowed edits."""
-    a, b = F.least("x.line", "y.line"), F.greatest("x.line", "y.line")
-    pairs = durable(candidates.select(a.alias("a"), b.alias("b")).distinct())
-    texts = texts.select("line", "words")
+    links = durable(dealt(some.join(texts, "line")).mapInPandas(_links(allowed), "a long, b long").distinct())
+    release(spark)
+    return links
 
-    def near_enough(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([linked(p, q, allowed) for p, q in zip(x, y)], dtype=bool)
 
-    check = F.pandas_udf(near_enough, "boolean")
-    found = pairs.join(texts.toDF("a", "words_a"), "a").join(texts.toDF("b", "words_b"), "b")
-    return durable(found.where(check("words_a", "words_b")).select("a", "b"))
+def dealt(groups: DataFrame) -> DataFrame:
+    """Each group's rows one after the other in one task."""
+    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return groups.repartition(n, "lead", "part").sortWithinPartitions("lead", "part")
 
 
 def dropped_lines(docs: DataFrame, t: int = MAX_EDITS, least: int = MIN_LENGTH, id_col: str = "doc_id",

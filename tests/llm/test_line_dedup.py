@@ -208,3 +208,68 @@ def test_one_key_of_a_shared_passage_stays(spark):
     frame = spark.createDataFrame([(k, l, a, a, o) for k, l, a, o in rows + rows[:1]], L.KEY_ROWS)
     got = {(r["key"], r["line"]) for r in L.without_repeated_groups(frame).collect()}
     assert got == {(k, line) for k in (0, 6) for line in (7, 8, 9)} | {(k, line) for k in (77, 78) for line in (7, 8)}
+
+
+def test_many_distances_at_once():
+    import numpy as np
+    rng = random.Random(10)
+    for alphabet in ("ab ", "abcdé\U0001F600 ", [chr(0x4E00 + i) for i in range(600)]):
+        lines = ["x", "y" * 300, "y" * 290 + "z"]
+        for _ in range(30):
+            base = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 90)))
+            for _ in range(4):
+                s = base
+                for _ in range(rng.randint(0, 9)):
+                    k = rng.randrange(len(s) + 1)
+                    s = s[:k] + rng.choice(["", "z", "ab"]) + s[k + rng.randint(0, 1):]
+                lines.append(s or "x")
+        size = np.array([len(l) for l in lines])
+        start = np.cumsum(size) - size
+        codes, exact = L.coded(lines)
+        assert exact == (len(alphabet) < 256)
+        i = np.array([rng.randrange(len(lines)) for _ in range(1500)])
+        j = np.clip(i + np.array([rng.randint(-3, 3) for _ in i]), 0, len(lines) - 1)
+        t = np.array([rng.randint(0, 14) for _ in i])
+        d = np.array([distance(lines[x], lines[y]) for x, y in zip(i, j)])
+        got = L.within_each(codes, start, size, i, j, t)
+        assert (got == (d <= t)).all() if exact else got[d <= t].all()
+        counts = L.bigram_counts(codes, start, size).astype(int)
+        assert (np.abs(counts[i] - counts[j]).sum(axis=1) <= 4 * d).all()
+
+
+def numbered(most=400):
+    """Lines that differ in up to four digits: most are no more than two edits from some others."""
+    rng = random.Random(11)
+    base = sentence(rng, 8, 10**5)[:60].strip()
+    return [(i, f"{base} {n:04d}") for i, n in enumerate(rng.sample(range(10_000), most))]
+
+
+def test_links_of_a_family_do_not_grow_with_its_square(docs):
+    rows = numbered()
+    found = docs(rows).select("doc_id", "text")
+    links = L.line_links(found, sum(len(l) for _, l in rows), share=L.SHARE).collect()
+    assert len(links) < 3 * len(rows)  # 4,412 when each pair across components was listed
+    rows = numbered(100)
+    found = docs(rows).select("doc_id", "text")
+    got = L.dropped_lines(found, share=L.SHARE).select("doc_id", "n_lines", "n_dropped", "dropped").collect()
+    assert sorted((tuple(r) for r in got), key=str) == expected(rows)
+
+
+def test_large_groups_are_split(docs, monkeypatch):
+    monkeypatch.setattr(L, "SPLIT_ROWS", 7)
+    rows = graded_rows() + [(1000 + i, l) for i, l in numbered(90)]
+    whole = docs(rows).select("doc_id", "text")
+    got = {tuple(r) for r in L.dropped_lines(whole, share=L.SHARE).select("doc_id", "n_dropped", "n_near").collect()}
+    monkeypatch.undo()
+    assert got == {tuple(r) for r in L.dropped_lines(whole, share=L.SHARE).select("doc_id", "n_dropped", "n_near").collect()}
+
+
+def test_frames_end_where_groups_end(monkeypatch):
+    import pandas as pd
+    monkeypatch.setattr(L, "TOGETHER_ROWS", 10)
+    rows = pd.DataFrame([(lead, part, 1, 9) for lead, part, n in ((1, 0, 3), (2, 0, 25), (2, 1, 4), (3, 0, 1), (5, 0, 12)) for _ in range(n)],
+                        columns=["lead", "part", "line", "n"])
+    frames = list(L.whole_groups(rows[i:i + 6] for i in range(0, len(rows), 6)))
+    assert len(frames) > 2 and pd.concat(frames, ignore_index=True).equals(rows)
+    ends = [tuple(f[["lead", "part"]].iloc[-1]) for f in frames]
+    assert all(tuple(f[["lead", "part"]].iloc[0]) != end for f, end in zip(frames[1:], ends))
