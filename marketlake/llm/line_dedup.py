@@ -434,18 +434,31 @@ def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             row += len(docs)
 
 
-def _new_lines(pdf: pd.DataFrame, seen: set[int], least: int, wanted: list[int] | None = None) -> Iterator[tuple[int, str]]:
+def _new_lines(pdf: pd.DataFrame, seen: set[int], least: int, wanted: np.ndarray | None = None) -> Iterator[tuple[int, str]]:
     """The lines not seen before, and of these only those whose hash has its bit in ``wanted``."""
-    last = (len(wanted or ()) << 6) - 1
+    lines: list[str] = []
+    waiting = 0
+
+    def new() -> Iterator[tuple[int, str]]:
+        h = line_hashes(lines)[:, 0]
+        some = np.arange(len(h))
+        if wanted is not None:
+            some = np.flatnonzero(wanted[(h & ((len(wanted) << 6) - 1)) >> 6] >> (h & 63) & 1)
+        for k, x in zip(some.tolist(), h[some].tolist()):
+            if x not in seen:
+                if len(seen) > MEMO:
+                    seen.clear()
+                seen.add(x)
+                yield x, lines[k]
+
     for text in pdf["text"]:
-        for _, line in lines_of(text):
-            if len(line) >= least:
-                h = line_hash(line)[0]
-                if (wanted is None or wanted[(h & last) >> 6] >> (h & 63) & 1) and h not in seen:
-                    if len(seen) > MEMO:
-                        seen.clear()
-                    seen.add(h)
-                    yield h, line
+        lines += [line for _, line in lines_of(text) if len(line) >= least]
+        waiting += len(text)
+        if waiting > CHUNK_LETTERS:
+            yield from new()
+            lines, waiting = [], 0
+    if lines:
+        yield from new()
 
 
 KEY_ROWS = "key long, line long, first int, last int, own boolean"
@@ -624,9 +637,8 @@ TEXT_ROWS = "line long, words string, n int, sketch long, " + ", ".join(f"{c} lo
 def _texts(least: int, bits: np.ndarray):
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
-        words = bits.tolist()
         for pdf in batches:
-            found = list(_new_lines(pdf, seen, least, words))
+            found = list(_new_lines(pdf, seen, least, bits))
             lines = [l for _, l in found]
             if lines:
                 yield pd.DataFrame({"line": [h for h, _ in found], "words": lines, "n": [len(l) for l in lines],
@@ -685,11 +697,10 @@ def in_groups(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
 
 
 class Joined:
-    """The components that links make of rows, and the links."""
+    """The components that links make of rows."""
 
     def __init__(self, rows: int):
         self.label = np.arange(rows)
-        self.links: list[tuple[int, int]] = []
 
     def of(self, i: int) -> int:
         while self.label[i] != i:
@@ -702,7 +713,6 @@ class Joined:
             x, y = self.of(i), self.of(j)
             if x != y and (check is None or check(i, j)):
                 self.label[max(x, y)] = min(x, y)
-                self.links.append((i, j))
         while (self.label[self.label] != self.label).any():
             self.label = self.label[self.label]
 
@@ -864,7 +874,7 @@ def join_near(joined: Joined, lines: list[str], i: np.ndarray, j: np.ndarray, t:
 
 
 def _links(allowed: Allowance):
-    """``(a, b)``: links of lines that connect every linked pair of a group."""
+    """``(a, b)``: the lines ``b`` that links join in a group, each beside the smallest line ``a`` of its component."""
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches):
             pdf, group = in_groups(pdf)
@@ -889,25 +899,33 @@ def _links(allowed: Allowance):
                     verify()
                     waiting = 0
             verify()
-            a, b = np.array(joined.links, dtype=np.int64).reshape(-1, 2).T
-            yield pd.DataFrame({"a": np.minimum(line[a], line[b]), "b": np.maximum(line[a], line[b])})
+            label = joined.label
+            least = np.full(len(line), np.iinfo(np.int64).max)
+            np.minimum.at(least, label, line)
+            b = np.flatnonzero(least[label] < line)
+            yield pd.DataFrame({"a": least[label[b]], "b": line[b]})
     return links
 
 
 def without_repeated_groups(rows: DataFrame) -> DataFrame:
     """``KEY_ROWS`` without the keys that bring together the same lines, as far apart, as another key does.
 
-    Lines that share a passage share all its keys; one of these names every pair.
+    Lines that share a passage share all its keys; one of these names every pair. Beside them
+    is the key's ``lead``, the smallest of the lines that have it as their own.
     """
     rows = rows.repartition("key").groupBy("key", "line").agg(
         F.min("first").alias("first"), F.max("last").alias("last"), F.max("own").alias("own"))
-    lead = rows.groupBy("key").agg(F.min(F.struct("line", "first")).alias("lead"))
-    apart = ["line", F.col("first") - F.col("lead.first"), F.col("last") - F.col("lead.first"), "own"]
-    groups = rows.join(lead, "key").groupBy("key").agg(
-        F.count("*").alias("size"), F.bit_xor(F.xxhash64(F.lit(1), *apart)).alias("sign_1"),
-        F.bit_xor(F.xxhash64(F.lit(2), *apart)).alias("sign_2"))
-    kept = groups.groupBy("size", "sign_1", "sign_2").agg(F.min("key").alias("key")).select("key")
-    return rows.join(kept, "key", "left_semi")
+    of_key = Window.partitionBy("key")
+    rows = rows.select("*", F.min(F.struct("line", "first")).over(of_key).alias("least"),
+                       F.min(F.when(F.col("own"), F.col("line"))).over(of_key).alias("lead"))
+    apart = ["line", F.col("first") - F.col("least.first"), F.col("last") - F.col("least.first"), "own"]
+    rows = rows.select("key", "line", "first", "last", "own", "lead", (F.col("line") == F.col("least.line")).alias("is_least"),
+                       F.count("*").over(of_key).alias("size"),
+                       F.bit_xor(F.xxhash64(F.lit(1), *apart)).over(of_key).alias("sign_1"),
+                       F.bit_xor(F.xxhash64(F.lit(2), *apart)).over(of_key).alias("sign_2"))
+    rows = durable(rows.where("size > 1 and lead is not null"))
+    kept = rows.where("is_least").groupBy("size", "sign_1", "sign_2").agg(F.min("key").alias("key")).select("key")
+    return rows.select("key", "line", "first", "last", "own", "lead").join(kept, "key", "left_semi")
 
 
 def line_links(docs: DataFrame, size: int, t: int = MAX_EDITS, least: int = MIN_LENGTH,
@@ -929,8 +947,7 @@ def line_links(docs: DataFrame, size: int, t: int = MAX_EDITS, least: int = MIN_
     texts = durable(texts.join(held, "line", "left_semi").dropDuplicates(["line"]))
     release(spark)
 
-    lead = rows.where("own").groupBy("key").agg(F.min("line").alias("lead"))
-    groups = durable(rows.join(lead, "key").select("lead", "line").distinct())
+    groups = durable(rows.select("lead", "line").distinct())
     sizes = groups.groupBy("lead").agg(F.count("*").alias("size")).where("size > 1")
     parts = F.ceil(F.col("size") / SPLIT_ROWS).cast("int")
     groups = groups.join(sizes, "lead").withColumn("parts", parts).withColumn(
