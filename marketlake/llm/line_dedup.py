@@ -22,14 +22,14 @@ number), all others are dropped.
    many lines travel together, in arrays by bucket of the key. A key that alone has over ``HOT_ROWS`` rows
    in an array is kept as it is and leaves one row behind to tell the others. Of keys with the
    same lines, as far apart in all, one stays.
-4. Pairs of an index and a probing line under one key must agree in length, in
-   the parity sketch of their letters (an edit flips at most two of its 64 bits) and in the letters' counts. First
-   every prober meets the key's smallest index line; once these links are joined up,
-   only pairs across components are left to compare. Both are equi-joins that
-   evaluate the sketch inside the join, so a key that many lines hold emits only near pairs, and adaptive
-   execution may split it.
-5. What is left is verified by edit distance on the texts: banded bit-parallel, or for more
-   than ``BAND_EDITS`` by the furthest points of each diagonal, after gram counts. Only the
+4. All lines of the keys that have the same smallest index line meet in one task (of a
+   group of over ``SPLIT_ROWS`` rows each is compared in one of several). Pairs must agree in length, in
+   the parity sketch of their letters (an edit flips at most two of its 64 bits) and in the letters' counts;
+   lines without such a pair leave before the texts come.
+5. What is left is verified by edit distance on the texts, after counts of pairs of letters, the
+   most alike first: the furthest points of the diagonals, of many pairs of lines at once. Pairs that others
+   have joined by then are left out, and a task gives each line it joined beside the smallest of its
+   component, so links are no more than a group's rows. Only the
    lines that still have keys move, told from the others by a bitmap of fixed size (2 MB).
 
 Defined results: null and blank texts have no lines; lines shorter than
@@ -154,11 +154,6 @@ class Allowance:
         most = np.maximum(self.t, n // self.share) if self.share else np.full(len(n), self.t)
         return np.where(n < self.least, 1, most)
 
-    def column(self, n: Column) -> Column:
-        if not self.share:
-            return F.lit(self.t)
-        return F.when(n < self.least, 1).otherwise(F.greatest(F.lit(self.t), F.floor(n / self.share)))
-
     def probes(self, n: int) -> list[tuple[int, int, int, int, bool]]:
         most = max(1, self.t)
         out = []
@@ -919,12 +914,11 @@ def without_repeated_groups(rows: DataFrame) -> DataFrame:
     rows = rows.select("*", F.min(F.struct("line", "first")).over(of_key).alias("least"),
                        F.min(F.when(F.col("own"), F.col("line"))).over(of_key).alias("lead"))
     apart = ["line", F.col("first") - F.col("least.first"), F.col("last") - F.col("least.first"), "own"]
-    rows = rows.select("key", "line", "first", "last", "own", "lead", (F.col("line") == F.col("least.line")).alias("is_least"),
-                       F.count("*").over(of_key).alias("size"),
-                       F.bit_xor(F.xxhash64(F.lit(1), *apart)).over(of_key).alias("sign_1"),
-                       F.bit_xor(F.xxhash64(F.lit(2), *apart)).over(of_key).alias("sign_2"))
-    rows = durable(rows.where("size > 1 and lead is not null"))
-    kept = rows.where("is_least").groupBy("size", "sign_1", "sign_2").agg(F.min("key").alias("key")).select("key")
+    is_least = F.col("line") == F.col("least.line")  # one row of a key has what its lines are told by
+    rows = rows.select("key", "line", "first", "last", "own", "lead", F.count("*").over(of_key).alias("lines"),
+                       *(F.when(is_least, F.bit_xor(F.xxhash64(F.lit(k), *apart)).over(of_key)).alias(f"sign_{k}") for k in (1, 2)))
+    rows = durable(rows.where("lines > 1 and lead is not null"))
+    kept = rows.where("sign_1 is not null").groupBy("lines", "sign_1", "sign_2").agg(F.min("key").alias("key")).select("key")
     return rows.select("key", "line", "first", "last", "own", "lead").join(kept, "key", "left_semi")
 
 
